@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe
-from ridgeline.llm.common import read_table
+from ridgeline.llm import bpe, sharding, winnow
+from ridgeline.llm.common import read_table, text_of
 
 
 def ranks_path() -> str:
@@ -27,8 +27,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = winnow.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text_of()) + 1).cast("long").alias("size"),
+        F.crc32(text_of().cast("binary")).alias("text_crc32"),
+        F.unhex(F.sha2(text_of(), 256)).alias("same"),
+    )
+    return sharding.shard(docs, "doc_id", "size", "same", shards=16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
