@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Pieces that a worker remembers at most, and the longest that it remembers.
-CACHED, LONGEST = 600_000, 64
+CACHED, LONGEST = 300_000, 64
 
 # Classes of code points. FIRST is added to the class of a document's first code point.
 LETTER, NUMBER, OTHER, BLANK, SPACE, APOSTROPHE1, APOSTROPHE2, FIRST = range(8)

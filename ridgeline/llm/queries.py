@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, sharding, winnow
-from ridgeline.llm.common import read_table, text_of
+from ridgeline.llm import bpe, sharding, simhash, warc, winnow
+from ridgeline.llm.common import new_path, read_table, text_of, write_out
 
 
 def ranks_path() -> str:
@@ -42,8 +42,20 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, "doc_id", "size", "same", shards=16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed, _ = write_out(simhash.fingerprint(read_table(spark, sf_dir, "documents"), keep=["doc_id"]), "hashed")
+    return simhash.near_duplicates(hashed).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.try_to_number(F.element_at(F.split(c, ":"), -1), F.lit("S999999999999999999")).cast("long")
+    return warc.read_warc(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding, op6_simhash, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
