@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, sharding, simhash, warc, winnow
+from ridgeline.llm import bpe, decontaminate, sharding, simhash, warc, winnow
 from ridgeline.llm.common import new_path, read_table, text_of, write_out
 
 
@@ -42,6 +42,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, "doc_id", "size", "same", shards=16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed, _ = write_out(simhash.fingerprint(read_table(spark, sf_dir, "documents"), keep=["doc_id"]), "hashed")
     return simhash.near_duplicates(hashed).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,7 +61,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding, op6_simhash, op9_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
