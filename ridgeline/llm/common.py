@@ -67,3 +67,11 @@ def number_rows(df: DataFrame, within: str, order: list[str], out: str, parts: i
         .withColumn(out, F.col("_own") + F.col("_first"))
         .drop("_part", "_p", "_within", "_own", "_first")
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed now: Spark drops them when the driver's objects are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, decontaminate, sharding, simhash, warc, winnow
+from ridgeline.llm import bpe, decontaminate, repeats, sharding, simhash, warc, winnow
 from ridgeline.llm.common import new_path, read_table, text_of, write_out
 
 
@@ -53,6 +53,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(hashed).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
@@ -61,7 +66,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op9_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
