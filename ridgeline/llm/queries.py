@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, decontaminate, repeats, sharding, simhash, warc, winnow
+from ridgeline.llm import bpe, decontaminate, lines, quality, repeats, sharding, simhash, token_counts, warc, winnow
 from ridgeline.llm.common import new_path, read_table, text_of, write_out
 
 
@@ -27,6 +27,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
+    judged = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.where("keep").select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("peak", 4).alias("peak"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = winnow.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
@@ -58,6 +64,24 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after five commits: all documents counted; copies of earlier texts deleted; the rest counted anew; and the last two once more, which must change nothing."""
+    docs = read_table(spark, sf_dir, "documents")
+    store = token_counts.Store(spark, new_path(spark, "rollup"))
+    counted = docs.select("doc_id", "source", "lang", F.regexp_count("text", F.lit(r"[^\t\n\x0B\f\r ]+")).cast("long").alias("n_tokens"), F.lit("words-1").alias("tokenizer"))
+    anew = docs.select("doc_id", "source", "lang", F.regexp_count("text", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9\\t\\n\\x0B\\f\\r ]")).cast("long").alias("n_tokens"), F.lit("pieces-2").alias("tokenizer"))
+    same = docs.select("doc_id", F.sha2("text", 256).alias("same"))
+    firsts = same.groupBy("same").agg(F.min("doc_id").alias("first"))
+    copies = same.join(firsts, "same").where("doc_id > first").select("doc_id")
+    revised = anew.join(copies, "doc_id", "left_anti")
+    store.commit("0001", inserts=counted)
+    store.commit("0002", deletes=copies)
+    store.commit("0003", inserts=revised)
+    store.commit("0002", deletes=copies)
+    store.commit("0003", inserts=revised)
+    return store.totals()
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
@@ -65,9 +89,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op9_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op8_token_counts, op9_warc, op10_line_dedup)}
+
+
+OP8_SQL = r"""
+WITH firsts AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text),
+kept AS (SELECT d.* FROM documents d JOIN firsts f ON d.text = f.text AND d.doc_id = f.first)
+SELECT source, lang, 'pieces-2' AS tokenizer, count(*) AS n_docs,
+  sum(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\t\n\x0B\f\r ]')))::BIGINT AS n_tokens
+FROM kept GROUP BY source, lang
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_token_counts": OP8_SQL}

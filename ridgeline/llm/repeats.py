@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import release, write_out
+from ridgeline.llm.common import numbered, release, write_out
 
 LENGTH, GRAM = 100, 24
 CHUNK, SHARD = 1 << 20, 1 << 20
@@ -318,15 +318,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with _doc and _text; _doc is the key itself where that is unique and not null, else a number in the order of key and text."""
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    if docs.groupBy(F.col(key).alias("_k")).count().where("count > 1 or _k is null").head(1):
-        ordered = rows.orderBy(F.asc_nulls_last(key), "_text").withColumn("_doc", F.monotonically_increasing_id())
-        return write_out(ordered, "numbered")[0]
-    return rows.withColumn("_doc", F.col(key).cast("long"))
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: the bytes that remain) of every row."""
     docs = numbered(docs, key, text).select(F.col(key).alias("_key"), "_doc", "_text")
