@@ -218,25 +218,31 @@ def score(docs: DataFrame, model: DataFrame, letters: dict[str, list[int]], most
     return salted.cogroup(copies).applyInArrow(pair, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model_rows: int = MODEL_ROWS) -> DataFrame:
-    """key, lang, perplexity, peak and keep of every row. labels: key, quality, toxic (good: 1 and 0)."""
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model_rows: int = MODEL_ROWS, whole: bool = False) -> DataFrame:
+    """key, lang, perplexity, peak and keep of every row; with `whole`, also row, a struct of all its columns. labels: key, quality, toxic (good: 1 and 0)."""
     good = labels.groupBy(F.col(key).alias("_of")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("_lang"), F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(11)), F.lit(5)).alias("fold"))
-    trusted = rows.join(good.where("_good = 1"), F.col("_key") == F.col("_of"), "left_semi")
+    extra = ["row"] if whole else []
+    rows = docs.select(*[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole, F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("_lang"), F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(11)), F.lit(5)).alias("fold"))
+    trusted = rows.drop("row").join(good.where("_good = 1"), F.col("_key") == F.col("_of"), "left_semi")
     trusted, _ = write_out(trusted, "trusted")
     named = [r[0] for r in trusted.where("_lang is not null and _lang <> ''").groupBy("_lang").count().where(F.col("count") >= LEAST).collect()]
     group = F.when(F.col("_lang").isin(named), F.col("_lang")).otherwise("") if named else F.lit("")
     seen = trusted.where("fold <> 0").select(F.lit("").alias("model"), "text")
     letters = alphabets(seen)
     if not letters:
-        return rows.select(F.col("_key").alias(key), F.col("_lang").alias(lang), F.lit(1.0).alias("perplexity"), F.lit(1.0).alias("peak"), F.lit(True).alias("keep"))
+        return rows.select(*extra, F.col("_key").alias(key), F.col("_lang").alias(lang), F.lit(1.0).alias("perplexity"), F.lit(1.0).alias("peak"), F.lit(True).alias("keep"))
     counts, _ = write_out(count_ngrams(seen, letters), "counts")
     model, _ = write_out(train(counts), "model")
     held = trusted.where("fold = 0").withColumn("group", F.explode(F.array_distinct(F.array(group, F.lit("")))))
     limits = score(held.select(F.lit("").alias("model"), "text", "group"), model, letters, model_rows).groupBy("group").agg(F.percentile_approx("perplexity", QUANTILE, 100_000).alias("most"), F.percentile_approx("peak", PEAK_QUANTILE, 100_000).alias("highest"))
     bounds = {r.group: (r.most, r.highest) for r in limits.collect()}  # a row for each language
-    scored = score(rows.select(F.lit("").alias("model"), "text", group.alias("_group"), F.col("_key").alias(key), F.col("_lang").alias(lang)), model, letters, model_rows)
+    scored = score(rows.select(F.lit("").alias("model"), "text", group.alias("_group"), F.col("_key").alias(key), F.col("_lang").alias(lang), *extra), model, letters, model_rows)
     keep = F.lit(True)
     for name, (most, highest) in bounds.items():
         keep = F.when(F.col("_group") == name, (F.col("perplexity") <= most) & (F.col("peak") <= highest)).otherwise(keep)
-    return scored.select(key, lang, "perplexity", "peak", keep.alias("keep"))
+    return scored.select(*extra, key, lang, "perplexity", "peak", keep.alias("keep"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
+    """The rows of docs that the classifier keeps, with their columns."""
+    return classify(docs, labels, whole=True, **names).where("keep").select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import write_out
+from ridgeline.llm.common import numbered, write_out
 from ridgeline.llm.graph import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -182,3 +182,12 @@ def near_duplicates(hashed: DataFrame, key: str = "doc_id", radius: int = RADIUS
     least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("_low").alias("component_id"))
     classes = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("simhash").alias("_simhash"), "component_id")
     return hashed.join(classes, F.col("simhash") == F.col("_simhash")).drop("_simhash")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row of the smallest key (of repeated or null keys the first by text)."""
+    names = docs.columns
+    rows = numbered(docs, key, text)
+    hashed, _ = write_out(fingerprint(rows, "_text", keep=["_doc"]), "hashed")
+    kept = near_duplicates(hashed, "_doc", radius).where(F.col("_doc") == F.col("component_id")).select(F.col("_doc").alias("_kept"))
+    return rows.join(kept, F.col("_doc") == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in names])
