@@ -247,8 +247,19 @@ def maximal_repeats(contexts: list[bytes], windows: np.ndarray, order: np.ndarra
     return out
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts (gram, doc, span, bytes) ordered by k-gram -> occurrences of maximal repeats."""
+def _merged(own: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Indices of the first row of each maximal run, and where the runs end, of spans of the same owner."""
+    sort = np.lexsort((begin, own))
+    own, begin, end = own[sort], begin[sort], end[sort]
+    lift = own.astype(np.int64) << 40
+    reach = np.maximum.accumulate(lift + end - end.min()) - lift + end.min()
+    first = np.concatenate(([True], (own[1:] != own[:-1]) | (begin[1:] > reach[:-1])))
+    last = np.concatenate((np.flatnonzero(first)[1:], [len(own)])) - 1
+    return own[first], begin[first], reach[last]
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Contexts (gram, doc, span, bytes) ordered by k-gram -> all occurrences of maximal repeats (whole), or for each context the spans that repeat something earlier, put together."""
     for table in _whole_groups(batches, SHARD):
         doc, span, contexts = table.column("doc").to_numpy(), table.column("span").to_numpy(), table.column("bytes").to_pylist()
         gram = table.column("gram").to_numpy()
@@ -261,21 +272,29 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size[i - 1] - (size[cuts[-1] - 1] if cuts[-1] else 0) >= SHARD:
                 cuts.append(int(i))
         for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-            columns = [[], [], [], []]
-            for length, own, place in maximal_repeats(contexts[a:b], (span[a:b] & 0xFF) + 1, order[a:b]):
-                at = begin[a:b][own] + place
-                for c, x in zip(columns, (doc[a:b][own], at, at + length, np.arange(len(own)) > 0)):
-                    c.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["doc", "begin", "end", "again"])
+            found = maximal_repeats(contexts[a:b], (span[a:b] & 0xFF) + 1, order[a:b])
+            if not found:
+                continue
+            own = np.concatenate([o for _, o, _ in found]) + a
+            at = begin[own] + np.concatenate([p for _, _, p in found])
+            end = at + np.repeat([n for n, _, _ in found], [len(o) for _, o, _ in found])
+            first = np.zeros(len(own), bool)
+            first[np.cumsum([0, *(len(o) for _, o, _ in found[:-1])])] = True
+            if whole:
+                leader = np.flatnonzero(first)[np.cumsum(first) - 1]
+                columns, names = [doc[own[leader]], at[leader], doc[own], at, end - at], ["first_doc", "first_begin", "doc", "begin", "length"]
+            else:
+                own, at, end = _merged(own[~first], at[~first], end[~first])
+                columns, names = [doc[own], at, end], ["doc", "begin", "end"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def _hot_limit(total: int, parts: int) -> int:
     return max(HOT, 2 * total // min(parts, SLOTS))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs: _doc long (unique; the order of documents), _text. Returns doc, begin, end: spans that repeat what starts earlier."""
+def _met(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """What anchors say when they meet (see _meet), written out; the hot slots, whose anchors are left out."""
     rows = docs.select("_doc", "_text")
     counts = rows.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -286,10 +305,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     anchors = rows.mapInArrow(lambda b: _anchors(b, hot), "gram long, context long, doc long, span long")
     met, _ = write_out(anchors.repartition("gram").sortWithinPartitions("gram", "context", "doc", "span").mapInArrow(_meet, "doc long, x long, y long, kind long"), "anchors")
     release(docs.sparkSession)
-    found = [met.where("kind = 0").selectExpr("doc", "x as begin", "y as end")]
+    return met, hot
+
 
+def _contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """The bytes of the contexts that need comparing, together by k-gram."""
     asked = met.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct(F.col("y").alias("gram"), F.col("x").alias("span"))).alias("asked"))
-    pairs = asked.join(rows, F.col("doc") == F.col("_doc")).select("doc", "_text", "asked")
+    pairs = asked.join(docs.select("_doc", "_text"), F.col("doc") == F.col("_doc")).select("doc", "_text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,14 +322,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 parts = [text[a : a + n + LENGTH] for a, n in zip((span >> 16).tolist(), (span & 0xFF).tolist())]
                 yield pa.RecordBatch.from_arrays([own.field("gram"), pa.array(np.full(len(span), batch.column(0)[i].as_py())), own.field("span"), pa.array(parts, pa.binary())], ["gram", "doc", "span", "bytes"])
 
-    contexts = pairs.mapInArrow(cut, "gram long, doc long, span long, bytes binary").repartition("gram").sortWithinPartitions("gram", "doc", "span")
-    occurrences, _ = write_out(contexts.mapInArrow(_repeats, "doc long, begin long, end long, again boolean"), "occurrences")
-    release(docs.sparkSession)
-    found.append(occurrences.where("again").select("doc", "begin", "end"))
+    return pairs.mapInArrow(cut, "gram long, doc long, span long, bytes binary").repartition("gram").sortWithinPartitions("gram", "doc", "span")
+
+
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The maximal repeats that meet at the ends of contexts: first_doc, first_begin, doc, begin, length, a row for each occurrence.
 
+    A repeat is named by its first occurrence. Runs that repeat as a whole stand for their first one, and hot slots are left out."""
+    docs = numbered(docs, key, text)
+    return _contexts(docs, _met(docs)[0]).mapInArrow(lambda b: _repeats(b, True), "first_doc long, first_begin long, doc long, begin long, length long")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """docs: _doc long (unique; the order of documents), _text. Returns doc, begin, end: spans that repeat what starts earlier."""
+    met, hot = _met(docs)
+    found = [met.where("kind = 0").selectExpr("doc", "x as begin", "y as end")]
+    occurrences, _ = write_out(_contexts(docs, met).mapInArrow(lambda b: _repeats(b, False), "doc long, begin long, end long"), "occurrences")
+    release(docs.sparkSession)
+    found.append(occurrences)
     if len(hot):
-        windows = rows.mapInArrow(lambda b: _hot_windows(b, hot), "window long, doc long, at long")
-        firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("window").alias("_window"), "first")
+        windows = docs.select("_doc", "_text").mapInArrow(lambda b: _hot_windows(b, hot), "window long, doc long, at long")
+        firsts, _ = write_out(windows.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("window").alias("_window"), "first"), "firsts")
         again = windows.join(firsts, F.col("window") == F.col("_window")).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
         spans, _ = write_out(again.select("doc", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")), "hot")
         release(docs.sparkSession)
@@ -334,11 +369,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 if lists.null_count == 0:
                     own = lists.flatten()
                     begin, end = own.field("begin").to_numpy(), own.field("end").to_numpy()
-                    sort = np.argsort(begin, kind="stable")
-                    begin, reach = begin[sort], np.maximum.accumulate(end[sort])
-                    first = np.concatenate(([True], begin[1:] > reach[:-1]))
-                    last = np.concatenate((np.flatnonzero(first)[1:], [len(begin)])) - 1
-                    runs = list(zip(begin[first].tolist(), reach[last].tolist()))
+                    _, begin, end = _merged(np.zeros(len(begin), np.int64), begin, end)
+                    runs = list(zip(begin.tolist(), end.tolist()))
                 kept = b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)])) if runs else data
                 rows.append((batch.column(0)[i].as_py(), len(data), len(data) - len(kept), len(runs), kept))
                 size += len(kept)

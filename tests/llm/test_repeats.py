@@ -70,3 +70,19 @@ def test_intervals():
                     want.add((i, j, n))
         got = repeats.intervals(common, 2)
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_groups_have_all_occurrences(spark):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    shared = say(130)
+    texts = [say(200) + shared + say(200) for _ in range(6)]
+    groups = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert groups
+    for g in groups:
+        a, b = texts[g.first_doc][g.first_begin :][: g.length], texts[g.doc][g.begin :][: g.length]
+        assert a == b and g.length >= repeats.LENGTH
+    covered = {(g.doc, g.begin + i) for g in groups for i in range(g.length)}
+    for d, t in enumerate(texts):
+        at = t.index(shared)
+        assert all((d, at + i) in covered for i in range(130))
