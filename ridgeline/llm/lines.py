@@ -28,46 +28,50 @@ from ridgeline.llm.graph import components
 EDITS, LEAST, CONTEXTS = 2, 20, 5
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Begin (from 0) and length of each segment of a line of that length; the last ones are longer by one where it doesn't divide."""
-    parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts
-    out = []
-    for i in range(parts):
-        extra = F.greatest(F.lit(0), longer - (parts - i))
-        out.append((short * i + extra, short + (F.lit(parts - i) <= longer).cast("int")))
-    return out
-
-
-def _keys(line: Column, edits: int) -> tuple[Column, Column]:
-    """Arrays of the index's and the probes' keys of a line."""
-    n = F.char_length(line)
-    own = [F.xxhash64(n, F.lit(i), F.substring(line, b + 1, m)) for i, (b, m) in enumerate(_segments(n, edits))]
-    probes = []
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for i, (b, m) in enumerate(_segments(length, edits)):
-            # Left of the segment at most i edits, right of it at most edits - i: its place moves by -i to i, and by shorter - (edits - i) to shorter + (edits - i).
-            for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = b + move
-                probes.append(F.when((at >= 0) & (at + m <= n), F.xxhash64(length, F.lit(i), F.substring(line, at + 1, m))))
-    return F.array(*own), F.array_compact(F.array(*probes))
+def _marked(rows: DataFrame, edits: int) -> DataFrame:
+    """id, key, own: the keys under which each line of rows (id, line, n) stands in the index (own), and the further ones that it probes.
+
+    A line's own keys are among its probes. Keys that a line has no room for are left out. Begins and lengths of the
+    segments are columns of their own: inside the keys' expressions they would make code too large to be compiled well."""
+    parts, keys, own = edits + 1, [], []
+    rows = rows.withColumns({f"{c}{k}": F.expr(e) for k in range(parts) for c, e in (("s", f"cast((n - {k}) div {parts} as int)"), ("r", f"cast((n - {k}) % {parts} as int)"))})
+    # Segments of a length that doesn't divide: the last ones are longer by one.
+    rows = rows.withColumns({f"{c}{k}_{i}": F.expr(e) for k in range(parts) for i in range(parts) for c, e in (("b", f"s{k} * {i} + greatest(0, r{k} - {parts - i})"), ("m", f"s{k} + cast(r{k} >= {parts - i} as int)"))})
+    for k in range(parts):  # characters fewer than the line's own
+        for i in range(parts):
+            # Left of the segment at most i edits, right of it at most edits - i: its place moves by -i to i, and by k - (edits - i) to k + (edits - i).
+            for move in range(max(-i, k - (edits - i)), min(i, k + (edits - i)) + 1):
+                key = F.xxhash64(F.col("n") - k, F.lit(i), F.expr(f"substring(line, b{k}_{i} + {move + 1}, m{k}_{i})"))
+                if k == move == 0:
+                    own.append(len(keys))
+                else:
+                    key = F.when(F.expr(f"b{k}_{i} + {move} >= 0 and b{k}_{i} + {move} + m{k}_{i} <= n"), key)
+                keys.append(key)
+    rows = rows.select("id", *[key.alias(f"k{j}") for j, key in enumerate(keys)])
+    return rows.select("id", F.posexplode(F.array(*[f"k{j}" for j in range(len(keys))])).alias("_at", "key")).where("key is not null").select("id", "key", F.col("_at").isin(own).alias("own"))
+
+
+#: Keys that several lines share are sent to all tasks up to this number (some tens of megabytes); beyond it they are joined by a shuffle.
+SENT = 2_000_000
 
 
 def near_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
-    """rows: id long (a hash of the line), line. Returns node, root: classes of linked lines; lines without a link are not in it."""
-    index, probes = _keys(F.col("line"), edits)
-    marked = rows.select("id", F.explode(F.concat(F.transform(index, lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform(probes, lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))).alias("x"))
-    held = marked.select("x.key", "id", F.col("x.own").cast("int").alias("own")).groupBy("key", "id").agg(F.max("own").alias("own"), F.min("own").alias("probe"))
-    several = held.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key"))
-    held, _ = write_out(held.join(several, F.col("key") == F.col("_key")).drop("_key"), "segments")
+    """rows: id long (a hash of the line), line, n (its characters). Returns node, root: classes of linked lines; lines without a link are not in it.
+
+    Keys are first aggregated to those that different lines share, with partial results before the shuffle, so a line that
+    many documents repeat counts once for each task; only lines with such keys go on."""
+    marked = _marked(rows, edits)
+    several, _ = write_out(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
+    release(rows.sparkSession)
+    few = several.count() <= SENT
+    held, _ = write_out(marked.join(F.broadcast(several) if few else several, F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
     release(rows.sparkSession)
-    left = held.where("own = 1").select("key", F.col("id").alias("a"))
-    right = held.where("probe = 0").select("key", F.col("id").alias("b"))
+    left = held.where("own").select("key", F.col("id").alias("a"))
+    right = held.select("key", F.col("id").alias("b"))
     pairs, _ = write_out(left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts, _ = write_out(rows.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
+    wanted, _ = write_out(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "wanted")
+    few = wanted.count() <= SENT
+    texts, _ = write_out(rows.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
     release(rows.sparkSession)
     named = lambda n: texts.select(F.col("id").alias(n), F.col("line").alias(f"{n}_line"))
     near = pairs.join(named("a"), "a").join(named("b"), "b").where(F.levenshtein("a_line", "b_line", edits) >= 0)
@@ -83,7 +87,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     around = lambda i: F.xxhash64(F.get("ids", i - 1), F.get("ids", i + 1), i > 0)
     every = hashed.select("_doc", F.explode(F.transform("parts", lambda x, i: F.struct(i.alias("no"), F.get("ids", i).alias("id"), around(i).alias("context"), x.alias("line")))).alias("x")).select("_doc", "x.*")
     long = F.char_length("line") >= least
-    roots = near_lines(every.where(long).select("id", "line"), edits)
+    own = parts.select(F.explode("parts").alias("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
+    roots = near_lines(own.select(F.xxhash64("line").alias("id"), "line", "n"), edits)
     plain = every.select("_doc", "no", "id", "context", long.alias("long"))
     rows = plain.join(roots, F.col("long") & (F.col("id") == F.col("node")), "left").select("_doc", "no", "context", "long", F.coalesce("root", "id").alias("class"))
     rows, _ = write_out(rows, "classes")
