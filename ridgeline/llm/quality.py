@@ -32,6 +32,8 @@ from ridgeline.llm.common import write_out
 ORDER, BITS, SYMBOLS, WINDOW = 5, 6, 64, 6
 LEAST, MODEL_ROWS = 200, 8_000_000
 QUANTILE, PEAK_QUANTILE = 0.995, 0.99
+#: Good labels are sent to all tasks up to this number (16 bytes each), so that no text is shuffled to find the trusted ones; beyond it they are joined by a shuffle.
+LABELS_SENT = 2_000_000
 CHUNK = 1 << 20
 SPACE, DIGIT, LETTER, SIGN = 0, 1, 2, 3
 
@@ -223,7 +225,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     good = labels.groupBy(F.col(key).alias("_of")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
     extra = ["row"] if whole else []
     rows = docs.select(*[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole, F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("_lang"), F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(11)), F.lit(5)).alias("fold"))
-    trusted = rows.drop("row").join(good.where("_good = 1"), F.col("_key") == F.col("_of"), "left_semi")
+    good, _ = write_out(good.where("_good = 1").select("_of"), "good")
+    few = good.count() <= LABELS_SENT
+    trusted = rows.drop("row").join(F.broadcast(good) if few else good, F.col("_key") == F.col("_of"), "left_semi")
     trusted, _ = write_out(trusted, "trusted")
     named = [r[0] for r in trusted.where("_lang is not null and _lang <> ''").groupBy("_lang").count().where(F.col("count") >= LEAST).collect()]
     group = F.when(F.col("_lang").isin(named), F.col("_lang")).otherwise("") if named else F.lit("")
