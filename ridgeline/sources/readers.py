@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalar as S
@@ -101,14 +101,12 @@ def classify(cells: DataFrame) -> DataFrame:
         (has(["x"]) & has(["y"]) & has(["z"])).alias("xyz"), has([a for names in AXES.values() for a in names]).alias("acc"), has([a for names in ANGLES.values() for a in names]).alias("angles"),
     )
     times = cells.where(F.lower("name").isin([a.lower() for a in TIME])).select("archive", "source_file", "line", S.number("value").alias("t")).groupBy("archive", "source_file", "line").agg(F.min("t").alias("t"))
-    largest = times.groupBy("archive", "source_file").agg(F.max("t").alias("largest"))
-    from pyspark.sql import Window
-
+    largest = times.groupBy(F.col("archive").alias("_la"), F.col("source_file").alias("_lf")).agg(F.max("t").alias("largest"))
     w = Window.partitionBy("archive", "source_file").orderBy("line")
-    same = [times["archive"].eqNullSafe(largest["archive"]), times["source_file"] == largest["source_file"]]
-    ns = times.join(largest, same).select(times["archive"], times["source_file"], "line", S.epoch_to_ns(F.col("t"), F.col("largest")).alias("ns"))
+    same = F.col("archive").eqNullSafe(F.col("_la")) & (F.col("source_file") == F.col("_lf"))
+    ns = times.join(largest, same).select("archive", "source_file", "line", S.epoch_to_ns(F.col("t"), F.col("largest")).alias("ns"))
     gaps = ns.withColumn("dt", (F.col("ns") - F.lag("ns").over(w)) * 1e-9).groupBy(F.col("archive").alias("_a"), F.col("source_file").alias("_f")).agg(F.coalesce(F.percentile("dt", F.lit(0.5)), F.lit(1.0)).alias("dt"))
-    rows = files.join(gaps, files["archive"].eqNullSafe(gaps["_a"]) & (files["source_file"] == gaps["_f"]), "left")
+    rows = files.join(gaps, F.col("archive").eqNullSafe(F.col("_a")) & (F.col("source_file") == F.col("_f")), "left")
     stem = S.bare_stem(F.col("source_file"))
     moves = F.col("xyz") | F.col("acc") | F.col("angles")
     kind = (
@@ -133,8 +131,6 @@ def widen(cells: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _timed(df: DataFrame, by: list[str]) -> DataFrame:
-    from pyspark.sql import Window
-
     present = [c for a in TIME if (c := find_column(df.columns, [a]))]
     t = F.coalesce(*[S.number(c) for c in present]) if present else F.lit(None).cast("double")
     rows = df.withColumn("_t", t)
@@ -158,8 +154,6 @@ def tidy_baro(df: DataFrame, by: list[str]) -> DataFrame:
 
 def tidy_motion(df: DataFrame, by: list[str], name: str = "source_file") -> DataFrame:
     """by, unix_ns, stream (from the file's name), x, y, z, roll_rad, pitch_rad, yaw_rad; rows without any of them go."""
-    from pyspark.sql import Window
-
     axes = [F.coalesce(_value(df, [a]), _value(df, AXES[a])).alias(a) for a in "xyz"]
     rows = _timed(df, by).select(*by, "unix_ns", F.coalesce(S.stream_prefix(F.col(name)), F.lit("acc")).alias("stream"), *axes, *[_value(df, n).alias(c) for c, n in ANGLES.items()])
     w = Window.partitionBy(*by)
