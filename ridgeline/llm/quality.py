@@ -8,12 +8,14 @@ tables. Documents are scored with the finished table: sent to every task if it h
 co-grouped with salted groups of documents.
 
 A document has a perplexity, and a peak: the perplexity of the stretches of WINDOW symbols that only one in a hundred
-of its stretches exceeds, which a few foreign words raise where the mean does not move. One model holds the trusted text
-of all languages, as documents mix them; both figures are held against quantiles of trusted documents of the same
-language that the model has not seen (a fifth, by a hash of the text). Documents above either are rejected.
-
-Trusted text is all of it, not a sample. Languages with fewer than LEAST trusted documents, and null, use the thresholds
-of all trusted text together. Null and empty texts have perplexity and peak 1 and stay. Without trusted
+of its stretches exceeds, which a few foreign words raise where the mean does not move. Bad words can also be made like
+good ones. So a second model of the same kind is trained on text labelled bad, and a document has a contrast: by how
+many bits a symbol its stretches of CONTRAST_WINDOW are likelier as bad text, at the same rank. One good model holds the
+trusted text of all languages, as documents mix them. All three figures are held against quantiles of trusted documents
+of the same language that the models have not seen (a fifth, by a hash of the text); documents above any are rejected.
+
+Trusted and bad text is all of it, not a sample. Languages with fewer than LEAST trusted documents, and null, use the thresholds
+of all trusted text together. Null and empty texts have perplexity and peak 1, contrast 0, and stay. Without trusted
 documents nothing can be judged, and all stay. Repeated rows are scored each; repeated labels of a document must all be good.
 """
 
@@ -31,7 +33,8 @@ from ridgeline.llm.common import write_out
 
 ORDER, BITS, SYMBOLS, WINDOW = 5, 6, 64, 6
 LEAST, MODEL_ROWS = 200, 8_000_000
-QUANTILE, PEAK_QUANTILE = 0.995, 0.99
+CONTRAST_WINDOW = 3
+QUANTILES = {"perplexity": 0.997, "peak": 0.995, "contrast": 0.985}
 #: Good labels are sent to all tasks up to this number (16 bytes each), so that no text is shuffled to find the trusted ones; beyond it they are joined by a shuffle.
 LABELS_SENT = 2_000_000
 CHUNK = 1 << 20
@@ -79,33 +82,31 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]
             yield model, np.array(own), [texts[j] or "" for j in own]
 
 
-def alphabets(trusted: DataFrame) -> dict[str, list[int]]:
-    """model, text -> the commonest characters of each model's texts."""
+def alphabet(texts: DataFrame) -> list[int]:
+    """The commonest characters of a column `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for model, _, texts in _groups(batch):
+            for _, _, texts in _groups(batch):
                 points, n = np.unique(np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(n)), pa.array(points.astype(np.int32)), pa.array(n)], ["model", "point", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int32)), pa.array(n)], ["point", "n"])
 
-    counts = trusted.select("model", "text").mapInArrow(run, "model string, point int, n long").groupBy("model", "point").agg(F.sum("n").alias("n"))
-    best = counts.groupBy("model").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "point"))), 1, SYMBOLS - 5).alias("best"))
-    return {r.model: [b.point for b in r.best if not (chr(b.point).isspace() or chr(b.point).isdigit())] for r in best.toLocalIterator()}
+    counts = texts.select(F.lit("").alias("model"), "text").mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    best = counts.orderBy(F.desc("n"), "point").limit(SYMBOLS - 5).collect()
+    return [r.point for r in best if not (chr(r.point).isspace() or chr(r.point).isdigit())]
 
 
-def count_ngrams(trusted: DataFrame, letters: dict[str, list[int]]) -> DataFrame:
-    """model, key, n of the n-grams of the highest order."""
+def count_ngrams(texts: DataFrame, letters: list[int]) -> DataFrame:
+    """model, text -> model, key, n of the n-grams of the highest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {}
+        table = _symbols(letters)
         for batch in batches:
             for model, _, texts in _groups(batch):
-                if model not in tables:
-                    tables[model] = _symbols(letters[model])
-                key, n = np.unique(_keys(texts, tables[model])[0], return_counts=True)
+                key, n = np.unique(_keys(texts, table)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([model] * len(n)), pa.array(key), pa.array(n)], ["model", "key", "n"])
 
-    return trusted.select("model", "text").mapInArrow(run, "model string, key long, n long").groupBy("model", "key").agg(F.sum("n").alias("n"))
+    return texts.select("model", "text").mapInArrow(run, "model string, key long, n long").groupBy("model", "key").agg(F.sum("n").alias("n"))
 
 
 def train(counts: DataFrame) -> DataFrame:
@@ -138,11 +139,11 @@ def train(counts: DataFrame) -> DataFrame:
     return out
 
 
-class Scorer:
+class Model:
     """One model's tables as sorted arrays."""
 
-    def __init__(self, rows: pa.Table, letters: list[int]):
-        self.table, self.levels = _symbols(letters), []
+    def __init__(self, rows: pa.Table):
+        self.levels = []
         size, key, p, back = (rows.column(c).to_numpy() for c in ("size", "key", "p", "back"))
         for n in range(1, ORDER + 1):
             level = []
@@ -156,95 +157,121 @@ class Scorer:
         i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return i, keys[i] == wanted
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Perplexity and peak of each text."""
-        keys, cut = _keys(texts, self.table)
-        if not len(keys):
-            return np.ones(len(texts)), np.ones(len(texts))
-        unique, inverse = np.unique(keys.astype(np.uint32), return_inverse=True)
-        unique = unique.astype(np.int64)
-        p = np.full(len(unique), 1.0 / SYMBOLS)
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        """Surprise at the last symbol of each key."""
+        p = np.full(len(keys), 1.0 / SYMBOLS)
         for n, (known, own, contexts, back) in enumerate(self.levels, 1):
-            gram = unique & ((1 << BITS * n) - 1)
+            gram = keys & ((1 << BITS * n) - 1)
             i, has = self._at(known, gram)
             j, seen = self._at(contexts, gram >> BITS)
             p = np.where(has, own[i], np.where(seen, back[j] * p, p))
-        bits = (-np.log2(p))[inverse]
-        total = np.concatenate(([0.0], np.cumsum(bits)))
-        sizes = np.diff(cut)
-        mean = (total[cut[1:]] - total[cut[:-1]]) / np.maximum(sizes, 1)
-        peak = mean.copy()
-        for i in np.flatnonzero(sizes > WINDOW).tolist():
-            own = total[cut[i] : cut[i + 1] + 1]
-            stretch = (own[WINDOW:] - own[:-WINDOW]) / WINDOW
-            rank = min(len(stretch) - 1, int(0.99 * len(stretch)))
-            peak[i] = np.partition(stretch, rank)[rank]
-        return np.where(sizes > 0, 2.0**mean, 1.0), np.where(sizes > 0, 2.0**peak, 1.0)
+        return -np.log2(p)
 
 
-def score(docs: DataFrame, model: DataFrame, letters: dict[str, list[int]], most: int = MODEL_ROWS) -> DataFrame:
-    """docs: model, text and others. Adds perplexity and peak, and drops the text."""
-    others = [c for c in docs.columns if c not in ("model", "text")]
-    schema = T.StructType([docs.schema["model"], *(docs.schema[c] for c in others), T.StructField("perplexity", T.DoubleType()), T.StructField("peak", T.DoubleType())])
-    names = schema.names
+class Scorer:
+    """The good model, and the bad one if there is one."""
 
-    def rows_of(batch: pa.RecordBatch, scorer_of) -> Iterator[pa.RecordBatch]:
-        for name, own, texts in _groups(batch):
-            perplexity, peak = scorer_of(name).score(texts)
-            rows = batch.take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(rows.column(2 + i) for i in range(len(others))), pa.array(perplexity), pa.array(peak)], names)
+    def __init__(self, rows: pa.Table, letters: list[int]):
+        self.table, names = _symbols(letters), np.array(rows.column("model").to_pylist(), object)
+        self.good, self.bad = (Model(rows.filter(pa.array(names == n))) if (names == n).any() else None for n in ("good", "bad"))
+
+    @staticmethod
+    def _upper(total: np.ndarray, cut: np.ndarray, width: int, mean: np.ndarray) -> np.ndarray:
+        """Of each text the mean of the stretches of `width` that one in a hundred of its stretches exceeds."""
+        out = mean.copy()
+        for i in np.flatnonzero(np.diff(cut) > width).tolist():
+            own = total[cut[i] : cut[i + 1] + 1]
+            stretch = (own[width:] - own[:-width]) / width
+            rank = min(len(stretch) - 1, int(0.99 * len(stretch)))
+            out[i] = np.partition(stretch, rank)[rank]
+        return out
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Perplexity, peak and contrast of each text."""
+        keys, cut = _keys(texts, self.table)
+        if not len(keys):
+            return np.ones(len(texts)), np.ones(len(texts)), np.zeros(len(texts))
+        unique, inverse = np.unique(keys.astype(np.uint32), return_inverse=True)
+        unique = unique.astype(np.int64)
+        good = self.good.bits(unique)
+        more = good - self.bad.bits(unique) if self.bad else np.zeros(len(unique))
+        sizes, figures = np.diff(cut), []
+        for bits, width in ((good, WINDOW), (more, CONTRAST_WINDOW)):
+            total = np.concatenate(([0.0], np.cumsum(bits[inverse])))
+            mean = (total[cut[1:]] - total[cut[:-1]]) / np.maximum(sizes, 1)
+            figures += [mean, self._upper(total, cut, width, mean)]
+        perplexity, peak, _, contrast = figures
+        return 2.0**perplexity, 2.0**peak, contrast
+
+
+def score(docs: DataFrame, model: DataFrame, letters: list[int], most: int = MODEL_ROWS) -> DataFrame:
+    """docs: text and others. Adds perplexity, peak and contrast, and drops the text."""
+    others = [c for c in docs.columns if c != "text"]
+    figures = ["perplexity", "peak", "contrast"]
+    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(f, T.DoubleType()) for f in figures)])
+    docs = docs.select("text", *others)
+
+    def rows_of(batch: pa.RecordBatch, scorer: Scorer) -> Iterator[pa.RecordBatch]:
+        texts, start, size = batch.column(0).to_pylist(), 0, 0
+        for i in range(len(texts) + 1):
+            if i > start and (i == len(texts) or size > CHUNK):
+                rows = batch.slice(start, i - start)
+                found = scorer.score([t or "" for t in texts[start:i]])
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], *map(pa.array, found)], schema.names)
+                start, size = i, 0
+            if i < len(texts):
+                size += len(texts[i] or "")
 
-    docs = docs.select("model", "text", *others)
     if model.count() <= most:
-        arrow = model.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast({n: (arrow.filter(pa.compute.equal(arrow.column("model"), n)), letters[n]) for n in letters})
+        shared = docs.sparkSession.sparkContext.broadcast(model.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorers = {}
+            scorer = Scorer(shared.value, letters)
             for batch in batches:
-                yield from rows_of(batch, lambda n: scorers.get(n) or scorers.setdefault(n, Scorer(*shared.value[n])))
+                yield from rows_of(batch, scorer)
 
         return docs.mapInArrow(run, schema)
 
     salts = max(1, docs.count() // 4000)
+    empty = docs.limit(0).select(*others, *[F.lit(0.0).alias(f) for f in figures]).toArrow()
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return schema_table
-        scorer = Scorer(right, letters[left.column("model")[0].as_py()])
-        return pa.Table.from_batches([r for b in left.select(["model", "text", *others]).combine_chunks().to_batches() for r in rows_of(b, lambda n: scorer)])
+            return empty
+        scorer = Scorer(right, letters)
+        return pa.Table.from_batches([r for b in left.select(["text", *others]).combine_chunks().to_batches() for r in rows_of(b, scorer)])
 
-    schema_table = docs.limit(0).select("model", *others).withColumn("perplexity", F.lit(0.0)).withColumn("peak", F.lit(0.0)).toArrow()
-    salted = docs.withColumn("_salt", F.floor(F.rand(7) * salts).cast("long")).groupBy("model", "_salt")
-    copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))).groupBy("model", "_salt")
+    salted = docs.withColumn("_salt", F.floor(F.rand(7) * salts).cast("long")).groupBy("_salt")
+    copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))).groupBy("_salt")
     return salted.cogroup(copies).applyInArrow(pair, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", model_rows: int = MODEL_ROWS, whole: bool = False) -> DataFrame:
-    """key, lang, perplexity, peak and keep of every row; with `whole`, also row, a struct of all its columns. labels: key, quality, toxic (good: 1 and 0)."""
-    good = labels.groupBy(F.col(key).alias("_of")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
-    extra = ["row"] if whole else []
+    """key, lang, perplexity, peak, contrast and keep of every row; with `whole`, also row, a struct of all its columns. labels: key, quality, toxic (good: 1 and 0)."""
+    marks = labels.groupBy(F.col(key).alias("_of")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
+    marks, _ = write_out(marks.where("_of is not null and _good is not null"), "marks")
+    extra, figures = ["row"] if whole else [], ["perplexity", "peak", "contrast"]
     rows = docs.select(*[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole, F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("_lang"), F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(11)), F.lit(5)).alias("fold"))
-    good, _ = write_out(good.where("_good = 1").select("_of"), "good")
-    few = good.count() <= LABELS_SENT
-    trusted = rows.drop("row").join(F.broadcast(good) if few else good, F.col("_key") == F.col("_of"), "left_semi")
-    trusted, _ = write_out(trusted, "trusted")
+    few = marks.count() <= LABELS_SENT
+    marked, _ = write_out(rows.drop("row").join(F.broadcast(marks) if few else marks, F.col("_key") == F.col("_of")).drop("_of"), "marked")
+    trusted = marked.where("_good = 1")
     named = [r[0] for r in trusted.where("_lang is not null and _lang <> ''").groupBy("_lang").count().where(F.col("count") >= LEAST).collect()]
     group = F.when(F.col("_lang").isin(named), F.col("_lang")).otherwise("") if named else F.lit("")
-    seen = trusted.where("fold <> 0").select(F.lit("").alias("model"), "text")
-    letters = alphabets(seen)
+    letters = alphabet(trusted.where("fold <> 0"))
     if not letters:
-        return rows.select(*extra, F.col("_key").alias(key), F.col("_lang").alias(lang), F.lit(1.0).alias("perplexity"), F.lit(1.0).alias("peak"), F.lit(True).alias("keep"))
+        return rows.select(*extra, F.col("_key").alias(key), F.col("_lang").alias(lang), F.lit(1.0).alias("perplexity"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("contrast"), F.lit(True).alias("keep"))
+    seen = marked.where("fold <> 0").select(F.when(F.col("_good") == 1, "good").otherwise("bad").alias("model"), "text")
     counts, _ = write_out(count_ngrams(seen, letters), "counts")
     model, _ = write_out(train(counts), "model")
     held = trusted.where("fold = 0").withColumn("group", F.explode(F.array_distinct(F.array(group, F.lit("")))))
-    limits = score(held.select(F.lit("").alias("model"), "text", "group"), model, letters, model_rows).groupBy("group").agg(F.percentile_approx("perplexity", QUANTILE, 100_000).alias("most"), F.percentile_approx("peak", PEAK_QUANTILE, 100_000).alias("highest"))
-    bounds = {r.group: (r.most, r.highest) for r in limits.collect()}  # a row for each language
-    scored = score(rows.select(F.lit("").alias("model"), "text", group.alias("_group"), F.col("_key").alias(key), F.col("_lang").alias(lang), *extra), model, letters, model_rows)
+    limits = score(held.select("text", "group"), model, letters, model_rows).groupBy("group").agg(*[F.percentile_approx(f, QUANTILES[f], 100_000).alias(f) for f in figures])
+    bounds = {r.group: [r[f] for f in figures] for r in limits.collect()}  # a row for each language
+    scored = score(rows.select("text", group.alias("_group"), F.col("_key").alias(key), F.col("_lang").alias(lang), *extra), model, letters, model_rows)
     keep = F.lit(True)
-    for name, (most, highest) in bounds.items():
-        keep = F.when(F.col("_group") == name, (F.col("perplexity") <= most) & (F.col("peak") <= highest)).otherwise(keep)
-    return scored.select(*extra, key, lang, "perplexity", "peak", keep.alias("keep"))
+    for name, most in bounds.items():
+        within = [F.col(f) <= m for f, m in zip(figures, most)]
+        keep = F.when(F.col("_group") == name, within[0] & within[1] & within[2]).otherwise(keep)
+    return scored.select(*extra, key, lang, *figures, keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
