@@ -138,3 +138,16 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str], order:
     w = Window.partitionBy(*keys).orderBy(*(order or [c for c in rows.columns if c not in keys] or keys))
     new = rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
     return table.unionByName(new.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+def first_near(a: DataFrame, b: DataFrame, radius: float, by: list[str], key_a: str, key_b: str) -> DataFrame:
+    """For each run the first row of a that has any row of b within the radius, with the nearest one."""
+    found = nearest_in_cells(a, b, radius, by, key_a, key_b)
+    return found.groupBy(*by).agg(F.min(F.struct(key_a, key_b, "distance")).alias("_m")).select(*by, f"_m.{key_a}", f"_m.{key_b}", "_m.distance")
+
+
+def active_interval(rows: DataFrame, intervals: DataFrame, x: str, low: str, high: str, row_key: str, order: str, slack: float = 0.5) -> DataFrame:
+    """For each row the first interval, by `order`, that holds x within the slack."""
+    hits = in_intervals(rows, intervals, x, low, high, slack=slack)
+    w = Window.partitionBy(row_key).orderBy(order)
+    return hits.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")

@@ -242,3 +242,29 @@ def drop_inaccurate(df: DataFrame, accuracy: str, o: Ordered, most: float = 75.0
     """Rows of known accuracy beyond the bound go, where at least two rows of the run would stay."""
     good = F.col(accuracy).isNull() | (F.col(accuracy) <= most)
     return df.withColumn("_n", F.count_if(good).over(o.all)).where(good | (F.col("_n") < 2)).drop("_n")
+
+
+def chunks(df: DataFrame, o: Ordered, parts: int, out: str = "chunk") -> DataFrame:
+    """Each run in about so many stretches of equal length that share their end rows: a row at a border stands in both."""
+    rows = df.withColumn("_i", o.number() - 1).withColumn("_n", F.count(F.lit(1)).over(o.all))
+    step = F.greatest(F.lit(2), F.floor(F.col("_n") / parts)).cast("int")
+    at = F.floor(F.col("_i") / step).cast("long")
+    border = (F.col("_i") % step == 0) & (F.col("_i") > 0)
+    rows = rows.withColumn(out, F.explode(F.when(border, F.array(at - 1, at)).otherwise(F.array(at))))
+    last = F.floor((F.col("_n") - 2) / step).cast("long")  # a stretch of a border row alone is none
+    return rows.where((F.col(out) <= last) | (F.col("_n") < 2)).drop("_i", "_n")
+
+
+def viewport(df: DataFrame, o: Ordered, lat: tuple[float, float], lon: tuple[float, float], most: int, least: int = 2) -> DataFrame:
+    """Rows of each run inside a box, both ends included, thinned to about `most`; of runs with too few rows inside all rows."""
+    inside = F.coalesce(F.col("latitude").between(*lat) & F.col("longitude").between(*lon), F.lit(False))
+    rows = df.withColumn("_in", inside).withColumn("_n", F.count_if("_in").over(o.all))
+    return stride(rows.where(F.col("_in") | (F.col("_n") < least)).drop("_in", "_n"), o, most)
+
+
+def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which every one of the columns has a finite value."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return df.where(ok)

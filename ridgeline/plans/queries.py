@@ -626,6 +626,73 @@ def source_of_n(spark, sf_dir):
     return G.of_n(lists, "names", "conv_id")
 
 
+# Views of runs ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DIST}, n AS (SELECT *, rn-1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM dist), s AS (SELECT *, greatest(2, floor(n/12.0)::INT) AS step FROM n),
+c AS (SELECT *, (i // step) AS chunk FROM s UNION ALL SELECT *, (i // step) - 1 FROM s WHERE i % step = 0 AND i > 0)
+SELECT run_id, chunk, count(*) AS n_rows, round(avg(speed_m_s),6) AS mean_speed FROM c WHERE chunk <= (n-2) // step OR n < 2 GROUP BY run_id, chunk""")
+def overview_segments(spark, sf_dir):
+    return Q.chunks(dist(spark, sf_dir), RUN, 12).groupBy("run_id", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("speed_m_s"), "mean_speed"))
+
+
+@query(f"""WITH {TRACK}, n AS (SELECT *, latitude BETWEEN 46.002 AND 46.008 AND longitude BETWEEN 7.002 AND 7.008 AS ok, count(*) FILTER (latitude BETWEEN 46.002 AND 46.008 AND longitude BETWEEN 7.002 AND 7.008) OVER (PARTITION BY run_id) AS k FROM track),
+v AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY run_id) AS c FROM n WHERE ok OR k < 2 WINDOW w AS {W}) SELECT run_id, event_id FROM v WHERE i % greatest(ceil(c/6.0),1)::BIGINT = 0 OR i = c-1""")
+def viewport_pick(spark, sf_dir):
+    return Q.viewport(track(spark, sf_dir), RUN, (46.002, 46.008), (7.002, 7.008), 6).select("run_id", "event_id")
+
+
+@query(f"WITH {DIST} SELECT run_id, round(avg(speed_m_s),6) AS mean, min(speed_m_s) AS low, max(speed_m_s) AS high, round(avg(speed_m_s) - 12.5,6) AS against_baseline FROM dist WHERE distance_m BETWEEN 2000.5 AND 9000.5 GROUP BY run_id")
+def section_stats(spark, sf_dir):
+    own = dist(spark, sf_dir).where(F.col("distance_m").between(2000.5, 9000.5))
+    return own.groupBy("run_id").agg(r6(F.avg("speed_m_s"), "mean"), F.min("speed_m_s").alias("low"), F.max("speed_m_s").alias("high"), r6(F.avg("speed_m_s") - 12.5, "against_baseline"))
+
+
+@query(f"""WITH {DIST}, a AS (SELECT run_id AS pair, rn AS ia, radians(longitude-7.005)*cos(radians(46.005))*6371000.0 AS x, radians(latitude-46.005)*6371000.0 AS y FROM dist WHERE run_id % 2 = 0),
+b AS (SELECT run_id - 1 AS pair, rn AS ib, radians(longitude-7.005)*cos(radians(46.005))*6371000.0 AS x, radians(latitude-46.005)*6371000.0 AS y FROM dist WHERE run_id % 2 = 1),
+c AS (SELECT a.pair, ia, ib, sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)) AS d FROM a JOIN b ON a.pair = b.pair)
+SELECT pair, ia, ib, round(d,4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ia, d, ib) AS k FROM c WHERE d <= 60) WHERE k = 1""")
+def first_near(spark, sf_dir):
+    def side(d: DataFrame, name: str) -> DataFrame:
+        x, y = S.local_xy(F.col("latitude"), F.col("longitude"), F.lit(46.005), F.lit(7.005))
+        return d.select("pair", RUN.number().cast("long").alias(name), x.alias("x"), y.alias("y"))
+
+    a, b = _pairs(spark, sf_dir)
+    return J.first_near(side(a, "ia"), side(b, "ib"), 60.0, ["pair"], "ia", "ib").select("pair", "ia", "ib", F.round("distance", 4).alias("distance"))
+
+
+@query(f"WITH {DIST}, i AS (SELECT g AS id, g*1000.0 AS low, g*1000.0 + 1000.0 AS high FROM generate_series(0, 200) t(g)) SELECT event_id, min(id) AS sector FROM dist JOIN i ON distance_m BETWEEN low - 0.5 AND high + 0.5 GROUP BY event_id")
+def active_sector(spark, sf_dir):
+    i = spark.range(201).select("id", (F.col("id") * 1000.0).alias("low"), (F.col("id") * 1000.0 + 1000.0).alias("high"))
+    return J.active_interval(dist(spark, sf_dir), i, "distance_m", "low", "high", "event_id", "id").select("event_id", F.col("id").alias("sector"))
+
+
+@query("SELECT event_id, ts FROM events WHERE value IS NOT NULL AND isfinite(value) AND TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE) IS NOT NULL AND value > 250")
+def null_aligned(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("double"))
+    return Q.aligned(e, ["value", "k"]).where("value > 250").select("event_id", "ts")
+
+
+@query("SELECT event_id, 'rgb(' || round(0 + 213*((tanh((value-245)/100)+1)/2))::INT || ',' || round(114 + (94-114)*((tanh((value-245)/100)+1)/2))::INT || ',' || round(178 + (0-178)*((tanh((value-245)/100)+1)/2))::INT || ')' AS colour, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events")
+def colour_and_stamp(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", S.rgb_mix(F.col("value") - 245, F.lit(100.0)).alias("colour"), F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE lower(trim(c_name)) IN (SELECT lower(trim(c_name)) FROM customer WHERE c_custkey <= 5)")
+def find_by_name(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    wanted = c.where("c_custkey <= 5").select(F.lower(F.trim("c_name")).alias("_key")).distinct()
+    return c.join(wanted, F.lower(F.trim("c_name")) == F.col("_key"), "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS session_count, coalesce((SELECT round(sum(o_totalprice),2) FROM orders WHERE o_custkey = c_custkey),0.0) AS total FROM customer")
+def trail_counters(spark, sf_dir):
+    trails = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trail_id"), F.col("o_totalprice").alias("distance_m"))
+    return catalog.with_counters(trails, o, o).select(F.col("id").alias("c_custkey"), "session_count", F.round("total_distance_m", 2).alias("total"))
+
+
 # Extensions and kernels ---------------------------------------------------------------------------------------------
 
 

@@ -25,8 +25,9 @@ FILTERS = {"acc": (10.0, 4), "gravity": (3.0, 4), "total_acc": (4.0, 2)}
 
 
 def motion_streams(motion: DataFrame) -> list[DataFrame]:
-    """Long rows (run_id, unix_ns, stream, x, y, z) to a frame for each stream, in the order of the names."""
-    return [motion.where(F.col("stream") == s).groupBy("run_id", "unix_ns").agg(*[F.last(a).alias(f"{s}_{a}") for a in "xyz"]) for s in sorted(TRIPLES)]
+    """Long rows (run_id, unix_ns, stream, x, y, z) to a frame for each stream that there is, in the order of the names."""
+    present = {r[0] for r in motion.select("stream").distinct().collect()}  # a few names
+    return [motion.where(F.col("stream") == s).groupBy("run_id", "unix_ns").agg(*[F.last(a).alias(f"{s}_{a}") for a in "xyz"]) for s in sorted(TRIPLES) if s in present]
 
 
 def on_clock(baro: DataFrame, gps: DataFrame, motion: DataFrame | None = None, step_ns: int = STEP_NS) -> DataFrame:

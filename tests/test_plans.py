@@ -137,3 +137,26 @@ def test_interval_join_both_ways(spark):
     i = spark.createDataFrame([(1, 0.0, 10.0), (2, 10.0, 12.5), (3, 40.0, 41.0)], "id int, low double, high double")
     few, many = (sorted((r.d, r.id) for r in J.in_intervals(rows, i, "d", "low", "high", slack=0.5, most=m).collect()) for m in (10, 0))
     assert few == many and len(few) == 11 + 4 + 2
+
+
+def test_zip_to_processed_run(spark, tmp_path):
+    from ridgeline.plans import run, session
+
+    start = 1_700_000_000_000_000_000
+    table = lambda head, rows: head + "\n" + "\n".join(",".join(map(str, r)) for r in rows)
+    gps = table("time,latitude,longitude,speed", [(start + i * 10**9, 46 + i * 1e-5, 7.0, 4.0) for i in range(13)])
+    baro = table("time,pressure", [(start + i * 40_000_000, 900 + i * 0.01) for i in range(300)])
+    gravity = table("time,x,y,z", [(start + i * 20_000_000, 0.5, 0.0, 9.7) for i in range(600)])
+    with zipfile.ZipFile(tmp_path / "ride.zip", "w") as z:
+        z.writestr("Location.csv", gps)
+        z.writestr("Barometer.csv", baro)
+        z.writestr("Gravity.csv", gravity)
+    rows = session.process_zips(spark, f"file://{tmp_path}").cache()
+    assert rows.count() in (1197, 1198)
+    (stats,) = run.run_stats(rows).collect()
+    assert stats.distance_m == pytest.approx(13.3, abs=0.3) and stats.duration_s == pytest.approx(11.96)
+    assert stats.sample_rate_hz == pytest.approx(100)
+    level = rows.select(F.max(F.abs("gravity_x")), F.min("gravity_z"), F.min("vz_m_s")).first()
+    assert level[0] < 1e-9 and level[1] > 9.7 and level[2] < -1
+    with pytest.raises(ValueError):
+        session.inside("/data", "../etc")
