@@ -100,9 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP8_SQL = r"""
 WITH firsts AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text),
-kept AS (SELECT d.* FROM documents d JOIN firsts f ON d.text = f.text AND d.doc_id = f.first)
+kept AS (SELECT d.* FROM documents d LEFT JOIN firsts f ON d.text = f.text AND d.doc_id = f.first WHERE f.first IS NOT NULL OR d.text IS NULL)
 SELECT source, lang, 'pieces-2' AS tokenizer, count(*) AS n_docs,
-  sum(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\t\n\x0B\f\r ]')))::BIGINT AS n_tokens
+  coalesce(sum(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\t\n\x0B\f\r ]'))), 0)::BIGINT AS n_tokens
 FROM kept GROUP BY source, lang
 """
 

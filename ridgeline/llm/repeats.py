@@ -36,6 +36,8 @@ from ridgeline.llm.common import numbered, release, write_out
 LENGTH, GRAM = 100, 24
 CHUNK, SHARD = 1 << 20, 1 << 20
 SLOTS, HOT = 1 << 16, 4096
+#: Windows whose k-grams are picked at a time; with a window's length less than 2^24.
+PLACES = 1 << 23
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
 _INVERSE = _U(pow(int(_B), -1, 1 << 64))
@@ -85,17 +87,23 @@ class Hashed:
         at = self.windows()
         if not len(at):
             return at, at, at
-        low = _U(0xFFFFFF)
-        least = (self.grams & ~low) | (low - np.arange(self.n, dtype=np.uint64))
-        width, most = 1, LENGTH - GRAM + 1
+        parts = [self._picks(a, min(a + PLACES, self.n)) for a in range(0, self.n, PLACES)]
+        pick = np.concatenate(parts)[at]
+        begin = np.flatnonzero(np.concatenate(([True], (pick[1:] != pick[:-1]) | (at[1:] != at[:-1] + 1))))
+        last = np.concatenate((begin[1:], [len(at)])) - 1
+        return at[begin], at[last], pick[begin]
+
+    def _picks(self, first: int, last: int) -> np.ndarray:
+        """Where the k-gram is that each of the windows from first to last picks. Places count from `first`, so that they fit beside the hashes however long a text is."""
+        low, most = _U(0xFFFFFF), LENGTH - GRAM + 1
+        grams = self.grams[first : last + most]
+        least = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
+        width = 1
         while width < most:
             step = min(width, most - width)
             np.minimum(least[:-step], least[step:], out=least[:-step])
             width += step
-        pick = 0xFFFFFF - (least[at] & low).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate(([True], (pick[1:] != pick[:-1]) | (at[1:] != at[:-1] + 1))))
-        last = np.concatenate((begin[1:], [len(at)])) - 1
-        return at[begin], at[last], pick[begin]
+        return first + 0xFFFFFF - (least[: last - first] & low).astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], key: str = "_doc") -> Iterator[tuple[np.ndarray, list[bytes]]]:

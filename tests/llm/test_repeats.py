@@ -86,3 +86,12 @@ def test_groups_have_all_occurrences(spark):
     for d, t in enumerate(texts):
         at = t.index(shared)
         assert all((d, at + i) in covered for i in range(130))
+
+
+def test_picks_in_parts(monkeypatch):
+    """A text longer than PLACES has the same runs as one picked at a time."""
+    rng = random.Random(5)
+    hashed = repeats.Hashed([bytes(rng.choices(b"abc", k=n)) for n in (3000, 0, 99, 100, 9000)])
+    whole = hashed.runs()
+    monkeypatch.setattr(repeats, "PLACES", 777)
+    assert all((x == y).all() for x, y in zip(whole, hashed.runs()))
