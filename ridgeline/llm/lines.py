@@ -59,23 +59,37 @@ def near_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     """rows: id long (a hash of the line), line, n (its characters). Returns node, root: classes of linked lines; lines without a link are not in it.
 
     Keys are first aggregated to those that different lines share, with partial results before the shuffle, so a line that
-    many documents repeat counts once for each task; only lines with such keys go on."""
+    many documents repeat counts once for each task; only lines with such keys go on. Of each key all lines first meet its
+    least and its greatest line. Then only lines that no links connect yet still meet each other, so a large group of
+    near copies costs its size, not its pairs; lines that share a key and stay unconnected do meet in pairs."""
     marked = _marked(rows, edits)
     several, _ = write_out(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
     release(rows.sparkSession)
     few = several.count() <= SENT
     held, _ = write_out(marked.join(F.broadcast(several) if few else several, F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
     release(rows.sparkSession)
-    left = held.where("own").select("key", F.col("id").alias("a"))
-    right = held.select("key", F.col("id").alias("b"))
-    pairs, _ = write_out(left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted, _ = write_out(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "wanted")
+    wanted, _ = write_out(held.select(F.col("id").alias("_id")).distinct(), "wanted")
     few = wanted.count() <= SENT
     texts, _ = write_out(rows.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
     release(rows.sparkSession)
     named = lambda n: texts.select(F.col("id").alias(n), F.col("line").alias(f"{n}_line"))
-    near = pairs.join(named("a"), "a").join(named("b"), "b").where(F.levenshtein("a_line", "b_line", edits) >= 0)
-    return components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        once, _ = write_out(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        near = once.join(named("a"), "a").join(named("b"), "b").where(F.levenshtein("a_line", "b_line", edits) >= 0)
+        return write_out(near.select(F.col("a").alias("u"), F.col("b").alias("v")), "near")[0]
+
+    ends = held.where("own").groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    near = verified(held.join(ends, "key").select(F.explode(F.array("low", "high")).alias("a"), F.col("id").alias("b")))
+    roots = components(near)
+    named_held = held.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
+    named_held, _ = write_out(named_held, "classes")
+    apart = named_held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest, _ = write_out(named_held.join(apart, "key", "left_semi"), "apart")
+    left = rest.where("own").select("key", F.col("id").alias("a"), F.col("root").alias("a_root"))
+    right = rest.select("key", F.col("id").alias("b"), F.col("root").alias("b_root"))
+    more = verified(left.join(right, "key").where("a_root <> b_root").select("a", "b"))
+    return components(near.unionByName(more))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, contexts: int = CONTEXTS) -> DataFrame:
