@@ -9,7 +9,8 @@ so all groups of a size take few steps. The plan says which ranks within a size
 numbered on the executors.
 
 Null texts count as empty ones. Repeated rows stay in one group and get different slots. A group larger than the
-capacity gets a shard of its own (fixed capacity) or raises the capacity (fixed number). An empty table gives an empty one.
+capacity gets a shard of its own (fixed capacity); with a fixed number, so does a group larger than an even share of what
+is left beside those that are larger still. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -133,21 +134,44 @@ def pack(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -
     return plan
 
 
+def alone(sizes: list[tuple[int, int]], shards: int) -> int:
+    """How many groups, from the largest on, get a shard of their own: each is larger than an even share of what is left."""
+    left, n_alone = sum(s * n for s, n in sizes), 0
+    for size, n in sizes:
+        for _ in range(n):
+            if size * (shards - n_alone) <= left:
+                return n_alone
+            left, n_alone = left - size, n_alone + 1
+    return n_alone
+
+
 def pack_into(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """The packing into a given number of shards with the least capacity that a bisection finds."""
-    total = sum(s * n for s, n in sizes)
-    low = max(-(-total // shards), sizes[0][0] if sizes else 0)
-    high, plan = low, pack(sizes, low, shards)
+    """The packing into a given number of shards with the least capacity that a bisection finds.
+
+    Groups larger than an even share stand alone, so that they raise the capacity of no other shard."""
+    n_alone, own, rest, before = alone(sizes, shards), [], [], {}
+    for size, n in sizes:
+        single = min(n, n_alone - len(own))
+        own += [(size, rank, rank + 1, len(own) + rank) for rank in range(single)]
+        before[size] = single
+        if n > single:
+            rest.append((size, n - single))
+    first, shards = len(own), shards - len(own)
+    if not rest:
+        return own
+    total = sum(s * n for s, n in rest)
+    low = max(-(-total // shards), rest[0][0])
+    high, plan = low, pack(rest, low, shards)
     while plan is None:
         low, high = high, high + max(1, high // 64)
-        plan = pack(sizes, high, shards)
+        plan = pack(rest, high, shards)
     while high - low > max(1, total // shards // 4096):
         middle = (low + high) // 2
-        if (better := pack(sizes, middle, shards)) is None:
+        if (better := pack(rest, middle, shards)) is None:
             low = middle
         else:
             high, plan = middle, better
-    return plan
+    return own + [(size, a + before[size], b + before[size], first + shard) for size, a, b, shard in plan]
 
 
 def shard(rows: DataFrame, key: str, size: str, group: str, shards: int | None = None, capacity: int | None = None) -> DataFrame:

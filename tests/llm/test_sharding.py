@@ -48,3 +48,44 @@ def test_edges(spark):
     assert len(got) == 5 and len({r.shard for r in got if r.same == "a"}) == 1
     assert [r.slot for r in got if r.same == "big"] == [0]
     assert sharding.shard(df.limit(0), "doc_id", "size", "same", shards=3).collect() == []
+
+
+def loads_of(table, shards):
+    plan, ranks, loads = sharding.pack_into(table, shards), defaultdict(list), [0] * shards
+    for s, a, b, shard in plan:
+        loads[shard] += s * (b - a)
+        ranks[s] += range(a, b)
+    assert all(sorted(ranks[s]) == list(range(n)) for s, n in table) and len(ranks) == len(table)
+    return loads
+
+
+def test_group_of_a_third_leaves_the_other_shards_even(spark):
+    rng = random.Random(3)
+    small = [rng.randrange(50, 150) for _ in range(3000)]
+    third = sum(small) // 2
+    for large in ([third], [third, third], [third, sum(small) // 10]):
+        loads = sorted(loads_of(sorted(Counter([*small, *large]).items(), reverse=True), 16), reverse=True)
+        even = sum(small) / (16 - len(large))
+        assert loads[: len(large)] == large
+        assert all(0.97 * even <= x <= 1.03 * even for x in loads[len(large) :])
+    rows = [(0, third, "hot")] + [(i + 1, s, str(i)) for i, s in enumerate(small)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, size long, same string"), "doc_id", "size", "same", shards=16).collect()
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert len(got) == len(rows) and len(loads) == 16 and min(loads.values()) >= 0.97 * sum(small) / 15
+
+
+def test_shards_near_brute_force():
+    def least(sizes, loads):
+        """The least possible largest load."""
+        if not sizes:
+            return max(loads)
+        return min(least(sizes[1:], sorted([*loads[:i], loads[i] + sizes[0], *loads[i + 1 :]])) for i in range(len(loads)))
+
+    rng = random.Random(5)
+    for _ in range(40):
+        small = [rng.randrange(1, 20) for _ in range(7)]
+        loads = sorted(loads_of(sorted(Counter([*small, sum(small)]).items(), reverse=True), 4))
+        assert loads[-1] == sum(small) and loads[-2] <= 11 / 9 * least(sorted(small, reverse=True), [0, 0, 0]) + 6
+    assert loads_of([(5, 2)], 4) == [5, 5, 0, 0] and loads_of([], 3) == [0, 0, 0]
