@@ -11,6 +11,8 @@ token at its place.
 Nulls are taken as empty texts: no tokens, empty bytes. Texts of any length work; a batch is cut between documents
 into pieces of about CHUNK bytes, and a piece of one word of any length merges in O(n log n). Repeated rows are
 encoded each on its own. Other columns pass through untouched; a column that is called like an output is an error.
+A worker holds the vocabulary once, for encoding and decoding, and remembers at most CACHED pieces of at most LONGEST
+bytes, so its memory doesn't depend on the input.
 """
 
 from __future__ import annotations
@@ -23,13 +25,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.llm.common import small_batches
+
 CHUNK = 1 << 20
 #: Pieces that a worker remembers at most, and the longest that it remembers.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 150_000, 64
 
 # Classes of code points. FIRST is added to the class of a document's first code point.
 LETTER, NUMBER, OTHER, BLANK, SPACE, APOSTROPHE1, APOSTROPHE2, FIRST = range(8)
@@ -179,25 +185,52 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Merger:
-    """Merges many short pieces at once: each round merges in every piece its pair of least rank, the leftmost on ties."""
-
-    NONE = np.int64(1 << 40)
+class Vocabulary:
+    """Pieces by rank, end to end, and the pairs that merge: arrays, so that sending and holding them costs what they measure."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.base = np.int64(max(ranks.values()) + 1)
-        self.single = np.zeros(256, np.int64)
-        pairs = {}
+        self.lengths = np.zeros(self.base, np.int64)
+        pieces, pairs = [b""] * int(self.base), {}
         for piece, rank in ranks.items():
-            if len(piece) == 1:
-                self.single[piece[0]] = rank
+            self.lengths[rank], pieces[rank] = len(piece), piece
             for cut in range(1, len(piece)):
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * int(self.base) + right] = rank
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
 
+    def ranks(self) -> dict[bytes, int]:
+        data, begins, lengths = self.data.tobytes(), self.begins.tolist(), self.lengths.tolist()
+        return {data[a : a + n]: rank for rank, (a, n) in enumerate(zip(begins, lengths)) if n}
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray, offsets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts, end to end, and how many each has. offsets: where in its text each token goes; None: end to end."""
+        wide = self.lengths[ids]
+        owner = np.repeat(np.arange(len(counts)), counts)
+        sizes = np.bincount(owner, weights=wide, minlength=len(counts)).astype(np.int64)
+        text_at = np.cumsum(sizes) - sizes
+        at = np.cumsum(wide) - wide if offsets is None else offsets + text_at[owner]
+        step = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+        got = np.empty(len(step), np.uint8)
+        got[np.repeat(at, wide) + step] = self.data[np.repeat(self.begins[ids], wide) + step]
+        return got, sizes
+
+
+class Merger:
+    """Merges many short pieces at once: each round merges in every piece its pair of least rank, the leftmost on ties."""
+
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, words: Vocabulary):
+        self.base, self.keys, self.merged = words.base, words.keys, words.merged
+        self.single = np.zeros(256, np.int64)
+        for rank in np.flatnonzero(words.lengths == 1).tolist():
+            self.single[words.data[words.begins[rank]]] = rank
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged pair's rank; NONE if it has none. A side of -1 is past the end."""
         key = left * self.base + right
@@ -238,11 +271,8 @@ class Merger:
 class Encoder:
     """Encodes texts of a worker; remembers at most CACHED pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], table: np.ndarray):
-        self.ranks, self.table, self.merger = ranks, table, Merger(ranks)
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for piece, rank in ranks.items():
-            self.lengths[rank] = len(piece)
+    def __init__(self, words: Vocabulary, table: np.ndarray):
+        self.words, self.ranks, self.table, self.merger = words, words.ranks(), table, Merger(words)
         self.forget()
 
     def forget(self) -> None:
@@ -284,12 +314,11 @@ class Encoder:
             for i in missing:
                 found[i] = new[pieces[i]]
         words = np.array(found, np.int64)
-        offsets = np.array(self.offsets, np.int64)
-        flat = np.array(self.flat, np.int32)
+        offsets, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.int32)
         counts = offsets[words + 1] - offsets[words]
         ends = np.cumsum(counts)
         ids = flat[np.repeat(offsets[words] - (ends - counts), counts) + np.arange(ends[-1])]
-        wide = self.lengths[ids]
+        wide = self.words.lengths[ids]
         token_at = np.cumsum(wide) - wide
         first_word = np.searchsorted(starts, text_at)
         tokens_to = np.concatenate(([0], ends))[first_word]
@@ -300,11 +329,16 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(name: str, parts: tuple[dict[bytes, int], np.ndarray]) -> Encoder:
+def share(spark: SparkSession, ranks_path: str) -> Broadcast:
+    """One vocabulary for all tasks: some megabytes, whatever the input."""
+    return spark.sparkContext.broadcast((Vocabulary(read_ranks(ranks_path)), class_table()))
+
+
+def encoder_of(name: str, shared: Broadcast) -> Encoder:
     """The worker's encoder, which it keeps from task to task."""
     if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(*parts)
+        _ENCODERS[name] = Encoder(*shared.value)
     return _ENCODERS[name]
 
 
@@ -326,61 +360,57 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add token_ids and token_offsets (array<int>; byte offsets into the UTF-8 text) to the columns `keep` (default: all)."""
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """Add token_ids and token_offsets (array<int>; byte offsets into the UTF-8 text) to the columns `keep` (default: all).
+
+    decoded: name of a further column, the bytes that the ids decode to at their offsets. It comes from the ids alone, as
+    `decode` would make it, in the same pass over the rows."""
     keep = docs.columns if keep is None else keep
-    if {"token_ids", "token_offsets"} & set(keep):
-        raise ValueError("a kept column is called token_ids or token_offsets")
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((read_ranks(ranks_path), class_table()))  # one vocabulary: megabytes, whatever the input
+    added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("token_ids", "token_offsets")] + [T.StructField(c, T.BinaryType()) for c in (decoded,) if c]
+    if clash := {f.name for f in added} & set(keep):
+        raise ValueError(f"a kept column is called {', '.join(sorted(clash))}")
+    names = [*keep, *(f.name for f in added)]
+    shared = share(docs.sparkSession, ranks_path)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(ranks_path, shared.value)
+        encoder = encoder_of(ranks_path, shared)
         for batch in batches:
-            texts = _bytes_of(batch.column("_text"))
+            texts = _bytes_of(batch.column(len(keep)))
             for a, b in _chunks([len(t) for t in texts]):
                 ids, counts, offsets = encoder.encode(texts[a:b])
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), _lists(ids, counts), _lists(offsets, counts)], [*keep, "token_ids", "token_offsets"])
+                columns = [*(rows.column(i) for i in range(len(keep))), _lists(ids, counts), _lists(offsets, counts)]
+                if decoded:
+                    columns.append(_binaries(*encoder.words.decode(ids, counts, offsets)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("token_ids", "token_offsets")])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + added))
 
 
 def decode(tokens: DataFrame, ranks_path: str, out: str = "decoded") -> DataFrame:
     """Add the bytes that token_ids stand for, each put at its offset (token_offsets; without them, end to end)."""
     names = tokens.columns
-    shared = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    if out in names:
+        raise ValueError(f"a column is called {out}")
+    shared = share(tokens.sparkSession, ranks_path)
+    small_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sorted(shared.value.items(), key=lambda x: x[1])
-        data = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
-        lengths, begin = np.zeros(pieces[-1][1] + 1, np.int64), np.zeros(pieces[-1][1] + 1, np.int64)
-        rank = np.array([r for _, r in pieces])
-        lengths[rank] = [len(p) for p, _ in pieces]
-        begin[rank] = np.cumsum(lengths[rank]) - lengths[rank]
+        words = encoder_of(ranks_path, shared).words
         for batch in batches:
             column = batch.column(names.index("token_ids"))
-            for a, b in _chunks(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_pylist(), CHUNK // 4):
+            for a, b in _chunks(pc.fill_null(pc.list_value_length(column), 0).to_pylist(), CHUNK // 4):
                 rows = batch.slice(a, b - a)
                 lists = rows.column(names.index("token_ids"))
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
-                counts = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                wide = lengths[ids]
-                sizes = np.zeros(len(counts), np.int64)
-                np.add.at(sizes, np.repeat(np.arange(len(counts)), counts), wide)
-                text_at = np.cumsum(sizes) - sizes
-                if "token_offsets" in names:
-                    at = rows.column(names.index("token_offsets")).flatten().to_numpy(zero_copy_only=False) + np.repeat(text_at, counts)
-                else:
-                    at = np.cumsum(wide) - wide
-                step = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-                got = np.empty(len(step), np.uint8)
-                got[np.repeat(at, wide) + step] = data[np.repeat(begin[ids], wide) + step]
-                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(got.tobytes())])
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), decoded], [*names, out])
-
-    import pyarrow.compute  # noqa: F401
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                offsets = rows.column(names.index("token_offsets")).flatten().to_numpy(zero_copy_only=False) if "token_offsets" in names else None
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), _binaries(*words.decode(ids, counts, offsets))], [*names, out])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -46,6 +46,14 @@ def write_out(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Batches for Python workers hold at most so many bytes, where the session allows more: workers hold whole batches of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

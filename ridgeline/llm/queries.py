@@ -18,8 +18,8 @@ def ranks_path() -> str:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe.encode(read_table(spark, sf_dir, "documents"), ranks_path(), keep=["doc_id"])
-    return bpe.decode(tokens, ranks_path()).select(
+    tokens = bpe.encode(read_table(spark, sf_dir, "documents"), ranks_path(), keep=["doc_id"], decoded="decoded")
+    return tokens.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -24,8 +24,10 @@ def test_like_the_library(spark, reference):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "id")
     got = bpe.decode(bpe.encode(docs, ranks_path()), ranks_path()).collect()
     assert len(got) == len(rows)
+    at_once = {(r.id, r.text): (r.token_ids, r.token_offsets, r.decoded) for r in bpe.encode(docs, ranks_path(), decoded="decoded").collect()}
     for r in got:
         text = r.text or ""
+        assert at_once[r.id, r.text] == (r.token_ids, r.token_offsets, r.decoded)
         assert list(r.token_ids) == reference.encode_ordinary(text), repr(text)
         assert bytes(r.decoded) == text.encode()
 
