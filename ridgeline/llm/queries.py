@@ -85,7 +85,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
-    page = lambda c: F.try_to_number(F.element_at(F.split(c, ":"), -1), F.lit("S999999999999999999")).cast("long")
+    page = lambda c: F.element_at(F.split(c, ":"), -1).try_cast("long")
     return warc.read_warc(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 

@@ -13,8 +13,11 @@ inside compressed data. So a piece is only a candidate: it must decode, to its c
 member that is cut by a chance magic is continued with the next piece. What begins in one range and is cut by a chance
 magic in the next is put together afterwards, by file; that is next to nothing.
 
-Null payloads count as empty. A null id matches no other row's; such rows are responses unless an equal payload has an id.
-Rows repeated with the largest id are all responses. What cannot be decoded comes back as a record of type `corrupt`.
+Archives are files called *.warc.gz, the standard name. Spark would decompress such a file as a whole before it looks
+for lines, as codecs go by suffix; the reader's own options switch that off for this read, so ranges hold the raw bytes.
+
+Null payloads count as empty; payloads may be as long as a cell can be. A null id matches no other row's; such rows are responses unless an equal payload has an id.
+Rows repeated with the largest id are all responses. Further columns of pages are not read. An empty table gives no record. What cannot be decoded comes back as a record of type `corrupt`.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm.common import small_batches
+
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
@@ -49,7 +54,8 @@ def _member(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Write a record for every row under `path`."""
+    """Write a record for every row under `path`, into files called *.warc.gz."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{key}`").cast("string").alias("_key"), F.col(f"`{uri}`").cast("string").alias("_uri"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("_payload"), F.col(f"`{key}`").alias("_order"))
     rows = rows.withColumn("_same", F.sha1("_payload"))
     kept = rows.groupBy(F.col("_same").alias("_of")).agg(F.max("_order").cast("string").alias("_kept"))
@@ -77,6 +83,10 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "ur
 
     members = rows.mapInArrow(run, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    at = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for file in fs.globStatus(at.suffix("/part-*.txt")) or []:  # names only, one for each task
+        fs.rename(file.getPath(), at.suffix("/" + file.getPath().getName().removesuffix(".txt") + ".warc.gz"))
 
 
 class _Broken(Exception):
@@ -141,11 +151,22 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], [f.split()[0] for f in FIELDS.split(", ")])
 
 
+def raw_options(spark: SparkSession) -> dict[str, str]:
+    """Options of a reader that takes *.gz for plain bytes.
+
+    Hadoop looks for a file's codec among the known suffixes, all reversed and in order: the last one before the reversed
+    name is the file's, if the name begins with it. A codec of a suffix that no file has, but that stands between ".gz" and
+    every name that ends so, leaves such names without a codec."""
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    return {"io.compression.codecs": codec.CLASSNAME, codec.OPT_EXTENSION: ".\x01.gz"}
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records but warcinfo: record_type, record_id, target_uri, refers_to, payload_bytes, payload_digest, payload.
 
     Length and digest of a response are those of the payload read; of a revisit, those that it states."""
-    found = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    small_batches(spark)
+    found = spark.read.options(**raw_options(spark)).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("piece"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

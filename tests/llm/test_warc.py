@@ -3,6 +3,7 @@ import hashlib
 import random
 
 from ridgeline.llm import warc
+from ridgeline.llm.queries import op9_warc
 
 
 def test_round_trip(spark, tmp_path):
@@ -35,6 +36,43 @@ def test_round_trip(spark, tmp_path):
                     assert r.record_type == "response" and bytes(r.payload) == data and r.refers_to is None
 
 
+def test_large_ids_and_standard_names(spark, tmp_path):
+    """Ids of both signs up to 64 bits; archives of the standard name, read in ranges of 1 KB, from any folder, by any name."""
+    ids = [9100000000000000001, 9100000000000000002, -9223372036854775808, 9223372036854775807, -1, 0]
+    rows = [(i, f"http://a/{i}", "x" * (300 * (k // 2 + 1))) for k, i in enumerate(ids)]
+    noise = random.Random(4)
+    rows += [(k, "u", "".join(noise.choices("abcdefgh\n", k=2000))) for k in range(1, 60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    got = {r.page_id: r for r in op9_warc(spark, str(tmp_path)).collect()}
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"))
+    names = sorted(f.name for f in (tmp_path / "w").iterdir() if f.name.startswith("part-"))
+    assert names and all(n.endswith(".warc.gz") for n in names)
+    one = b"".join((tmp_path / "w" / n).read_bytes() for n in names)
+    for name in ("a.warc.gz", "!.gz", "CC-MAIN-2024~é.warc.gz"):
+        (tmp_path / name).write_bytes(one)
+        found = warc.read_warc(spark, str(tmp_path / name))
+        assert found.count() == len(rows)
+    assert found.rdd.getNumPartitions() > 20
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert set(got) == {r[0] for r in rows}
+    for k in (0, 2, 4):
+        keeper = max(ids[k], ids[k + 1])
+        other = min(ids[k], ids[k + 1])
+        assert got[other].refers_to == keeper and got[other].record_type == "revisit" and got[keeper].record_type == "response"
+
+
+def test_very_long_payload(spark, tmp_path):
+    body = "".join(random.Random(6).choices("abcdefghijklmnop\n<>é", k=6_000_000))
+    warc.write_warc(spark.createDataFrame([(1, "u", body), (2, "u", None)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert bytes(got["urn:x-page:1"].payload) == body.encode() and got["urn:x-page:2"].payload_bytes == 0
+
+
 def test_chance_magic_and_damage(spark, tmp_path):
     """Stored (level 0) members whose payload holds the magic, cut by every range."""
     noise = hashlib.sha256(b"1").digest() * 40
