@@ -5,10 +5,13 @@ capacity that holds them. Groups of one size are interchangeable, so packing nee
 each size: that histogram comes from an aggregation and is bounded by the number of sizes told apart (exact up to
 EXACT bytes, above that rounded up to 12 significant bits, so a few million at most), never by the rows. The open shards
 stand in a balanced tree by remaining capacity; the tightest one keeps being the tightest until a size no longer fits,
-so all groups of a size take few steps. The plan says which ranks within a size go to which shard; ranks and slots are
-numbered on the executors.
+so all groups of a size take few steps. The plan says which ranks within a size go to which shard, as runs: `each` groups
+to one shard, as many to the next, and so on. Ranks and slots are numbered on the executors.
 
-Null texts count as empty ones. Repeated rows stay in one group and get different slots. A group larger than the
+Sizes above EXACT are packed as if they were larger by less than one part in 4096, so with a number of shards the fullest
+is larger by no more than that share of its bytes than exact sizes would make it, and a capacity is never exceeded.
+
+Columns called shard or slot are replaced. Null texts count as empty ones; a null group is a group. Repeated rows stay in one group and get different slots. A group larger than the
 capacity gets a shard of its own (fixed capacity); with a fixed number, so does a group larger than an even share of what
 is left beside those that are larger still. An empty table gives an empty one.
 """
@@ -109,10 +112,10 @@ class RoomTree:
         return key
 
 
-def pack(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int]] | None:
-    """Best fit, decreasing: (size, first rank, end rank, shard). None if more than `most` shards would be needed.
+def pack(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int, int]] | None:
+    """Best fit, decreasing: runs (size, first rank, end rank, first shard, each). None if more than `most` shards would be needed.
 
-    sizes: (size, number of groups), sizes falling."""
+    sizes: (size, number of groups), sizes falling. Of a run the rank r goes to shard first shard + (r - first rank) // each."""
     tree, plan, opened = RoomTree(), [], 0
     if most is not None:
         for shard in range(most):
@@ -128,7 +131,10 @@ def pack(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -
                 opened += 1
             room, shard = found
             fit = min(n - rank, room // size)
-            plan.append((size, rank, rank + fit, shard))
+            if plan and (last := plan[-1])[0] == size and fit <= last[4] and (last[2] - last[1]) % last[4] == 0 and shard == last[3] + (last[2] - last[1]) // last[4]:
+                plan[-1] = (size, last[1], rank + fit, last[3], last[4])
+            else:
+                plan.append((size, rank, rank + fit, shard, fit))
             rank += fit
             tree.add(room - fit * size, shard)
     return plan
@@ -145,14 +151,14 @@ def alone(sizes: list[tuple[int, int]], shards: int) -> int:
     return n_alone
 
 
-def pack_into(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+def pack_into(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
     """The packing into a given number of shards with the least capacity that a bisection finds.
 
     Groups larger than an even share stand alone, so that they raise the capacity of no other shard."""
     n_alone, own, rest, before = alone(sizes, shards), [], [], {}
     for size, n in sizes:
         single = min(n, n_alone - len(own))
-        own += [(size, rank, rank + 1, len(own) + rank) for rank in range(single)]
+        own += [(size, rank, rank + 1, len(own) + rank, 1) for rank in range(single)]
         before[size] = single
         if n > single:
             rest.append((size, n - single))
@@ -171,7 +177,7 @@ def pack_into(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int,
             low = middle
         else:
             high, plan = middle, better
-    return own + [(size, a + before[size], b + before[size], first + shard) for size, a, b, shard in plan]
+    return own + [(size, a + before[size], b + before[size], first + shard, each) for size, a, b, shard, each in plan]
 
 
 def shard(rows: DataFrame, key: str, size: str, group: str, shards: int | None = None, capacity: int | None = None) -> DataFrame:
@@ -182,14 +188,21 @@ def shard(rows: DataFrame, key: str, size: str, group: str, shards: int | None =
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     spark = rows.sparkSession
-    groups = rows.groupBy(F.col(group).alias("_group")).agg(F.sum(size).alias("_bytes"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot") or c in (key, size, group)])
+    taken = {c: f"_own_{c}" for c in ("shard", "slot") if c in rows.columns}  # columns so called that are asked for stand aside
+    rows = rows.withColumnsRenamed(taken)
+    key, size, group = (taken.get(c, c) for c in (key, size, group))
+    same = F.struct(F.col(f"`{group}`"))
+    groups = rows.groupBy(same.alias("_group")).agg(F.sum(f"`{size}`").alias("_bytes"))
     unit = F.pow(F.lit(2.0), F.floor(F.log2(F.col("_bytes"))) - 12).cast("long")
     weight = F.when(F.col("_bytes") <= EXACT, F.col("_bytes")).otherwise(F.ceil(F.col("_bytes") / unit) * unit).cast("long")
     groups, _ = write_out(groups.withColumn("_weight", weight), "groups")
     sizes = [(r[0], r[1]) for r in groups.groupBy("_weight").count().orderBy(F.desc("_weight")).toLocalIterator()]
     plan = pack_into(sizes, shards) if shards else pack(sizes, capacity)
-    planned = spark.createDataFrame(plan, "_size long, _from long, _to long, shard int")
+    planned = spark.createDataFrame(plan, "_size long, _from long, _to long, _shard int, _each long")
     ranked = number_rows(groups, "_weight", ["_group"], "_rank")
-    placed = ranked.join(planned, (F.col("_weight") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select("_group", "shard")
-    dealt = rows.join(placed, F.col(group) == F.col("_group")).drop("_group")
-    return number_rows(dealt, "shard", [key, group], "slot", parts=512)
+    at = (F.col("_shard") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_each"))).cast("int")
+    placed = ranked.join(planned, (F.col("_weight") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select("_group", at.alias("shard"))
+    dealt = rows.withColumn("_same", same).join(placed, F.col("_same") == F.col("_group")).drop("_group")
+    parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // (shards or 64))
+    return number_rows(dealt, "shard", [f"`{key}`", "_same"], "slot", parts=parts).drop("_same", *taken.values())

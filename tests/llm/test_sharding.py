@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter, defaultdict
 
 from ridgeline.llm import sharding
@@ -24,10 +25,11 @@ def test_like_plain_best_fit():
         table = sorted(Counter(sizes).items(), reverse=True)
         plan = sharding.pack(table, 50)
         used = Counter()
-        for s, a, b, shard in plan:
-            used[shard] += s * (b - a)
+        for s, a, b, first, each in plan:
+            for r in range(b - a):
+                used[first + r // each] += s
         assert sorted(50 - u for u in used.values()) == sorted(plain_best_fit(sizes, 50))
-        assert sum(b - a for _, a, b, _ in plan) == len(sizes)
+        assert sum(p[2] - p[1] for p in plan) == len(sizes)
 
 
 def test_query(spark):
@@ -39,6 +41,33 @@ def test_query(spark):
     for own in by_shard.values():
         assert sorted(r.slot for r in own) == list(range(len(own)))
     assert len({r.doc_id for r in rows}) == len(rows)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    shard_of, loads = {}, Counter()
+    for r in rows:
+        data = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        assert shard_of.setdefault(docs[r.doc_id], r.shard) == r.shard
+        loads[r.shard] += r.size
+    groups = Counter()
+    for text in docs.values():
+        groups[text] += len(text.encode()) + 1
+    sizes, n_alone = sorted(groups.values(), reverse=True), 0
+    while sizes[0] * (16 - n_alone) > sum(sizes):
+        sizes, n_alone = sizes[1:], n_alone + 1
+    assert max(sorted(loads.values(), reverse=True)[n_alone:]) <= 1.01 * max(sum(sizes) / (16 - n_alone), sizes[0])
+
+
+def test_equal_groups_need_one_run_and_names_may_clash(spark):
+    assert len(sharding.pack([(7, 40_000)], 24)) <= 2
+    rows = [(i % 3, 7, i // 2, "x", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, same long, shard string, slot long")
+    got = sharding.shard(df, "doc_id", "size", "same", capacity=28).collect()
+    assert len(got) == 400 and Counter(Counter(r.shard for r in got).values()) == {4: 100}
+    got = sharding.shard(df, "slot", "size", "same", shards=3).collect()
+    by_shard = defaultdict(list)
+    for r in got:
+        by_shard[r.shard].append(r.slot)
+    assert [sorted(v) for v in by_shard.values()] == [list(range(len(v))) for v in by_shard.values()]
 
 
 def test_edges(spark):
@@ -52,8 +81,9 @@ def test_edges(spark):
 
 def loads_of(table, shards):
     plan, ranks, loads = sharding.pack_into(table, shards), defaultdict(list), [0] * shards
-    for s, a, b, shard in plan:
-        loads[shard] += s * (b - a)
+    for s, a, b, first, each in plan:
+        for r in range(b - a):
+            loads[first + r // each] += s
         ranks[s] += range(a, b)
     assert all(sorted(ranks[s]) == list(range(n)) for s, n in table) and len(ranks) == len(table)
     return loads
