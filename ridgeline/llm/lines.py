@@ -1,31 +1,42 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Two lines of at least LEAST characters are linked if at most EDITS edits tell them apart. A line is split into EDITS + 1
-segments of even length; a line within EDITS edits holds one of them unchanged, at a place that the number of edits
-bounds. So each line puts its segments into an index, keyed by its length, the segment's number and its characters,
-and each line probes, for each length up to EDITS shorter than its own, the substrings at the few places where that
-segment can stand (the multi-match-aware bounds). Lines that meet are verified by Spark's banded edit distance.
-Linked lines are one class, with the lines that links reach from them.
-
-What goes: in a document, later lines of a class that an earlier line has; and across documents, every line but the
-first of a class that is boilerplate: one that stands between many different neighbours. A class is boilerplate if its
-lines have at least CONTEXTS different pairs of neighbours, and no fewer than half as many as lines. In copies of a text
-the neighbours are copies too, so copies stay whole for the near-duplicate operators to find.
-
-Lines end at newlines. Null texts stay null, with no lines. Lines are told apart by a 64-bit hash. Rows whose ids repeat
-or are null are documents of their own, ordered by id (nulls last) and text. Other columns stay as they are; columns called n_lines
-or n_removed are replaced.
+Two lines of at least LEAST characters are linked if at most EDITS edits tell them apart; shorter ones only if they are
+equal, since two edits there join different words. Linked lines are one class, with the lines that links reach from them.
+
+1. A line is split into EDITS + 1 segments of even length; a line within EDITS edits holds one of them unchanged, at a
+   place that the number of edits bounds. So each line puts its segments into an index, keyed by its length, the segment's
+   number and its characters, and each line probes, for each length up to EDITS shorter than its own, the substrings at
+   the few places where that segment can stand. Lines under keys that at most MEET lines share meet in pairs.
+2. Lines under other keys are split anew, into more segments (FINER): edits touch at most EDITS of them, so all others
+   agree, and a key is all of those at once. Every near pair of such lines shares a finer key too, so nothing is lost, and
+   keys cover more and more of the line until only lines that are alike nearly everywhere share one.
+3. Under keys that many lines share even then, all lines are compared with the key's first line; keys whose lines those
+   links connect are done, and what is left meets in pairs.
+4. Lines that meet are verified by banded bit-parallel edit distance: a column of the band is a few bits of an integer.
+
+What goes: of a class, every later line in a document; and every line of a document but the class's first one, unless the
+two documents are copies. A document is a copy of another if more than half of its characters stand in lines whose class
+begins there; copies of one document are one family, and stay whole for the near-duplicate operators to find. So neither
+passages of several lines nor the number of documents that hold a line matter. Lines of white space alone stay.
+
+Lines end at newlines and may be of any length. Null texts stay null, with no lines. Unlinked lines are told apart by 96
+bits of hashes. Rows whose ids repeat or are null are documents of their own, ordered by id (nulls last) and text. Of
+repeated rows, then, the later ones are copies and stay. Other columns stay as they are; columns called n_lines or n_removed
+are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import numbered, release, write_out
 from ridgeline.llm.graph import components
 
-EDITS, LEAST, CONTEXTS = 2, 20, 5
+EDITS, LEAST = 2, 20
+MEET, FINER = 16, (6, 12)
 
 
 def _marked(rows: DataFrame, edits: int) -> DataFrame:
@@ -51,56 +62,152 @@ def _marked(rows: DataFrame, edits: int) -> DataFrame:
     return rows.select("id", F.posexplode(F.array(*[f"k{j}" for j in range(len(keys))])).alias("_at", "key")).where("key is not null").select("id", "key", F.col("_at").isin(own).alias("own"))
 
 
-#: Keys that several lines share are sent to all tasks up to this number (some tens of megabytes); beyond it they are joined by a shuffle.
-SENT = 2_000_000
+def moves(edits: int, parts: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """All (characters fewer, ((segment, move), ...)): where the untouched segments of a line can stand in one within `edits` edits.
 
+    Edits change the place of what follows only in the segments that they touch."""
+    out = {}
+    for touched in combinations(range(parts), edits):
+        for fewer in range(edits + 1):
+            for inner in product(range(-edits, edits + 1), repeat=edits - 1):
+                path = (0, *inner, fewer)
+                if sum(abs(a - b) for a, b in zip(path, path[1:])) <= edits:
+                    out[fewer, tuple((i, path[sum(t < i for t in touched)]) for i in range(parts) if i not in touched)] = None
+    return list(out)
 
-def near_lines(rows: DataFrame, edits: int = EDITS) -> DataFrame:
-    """rows: id long (a hash of the line), line, n (its characters). Returns node, root: classes of linked lines; lines without a link are not in it.
 
-    Keys are first aggregated to those that different lines share, with partial results before the shuffle, so a line that
-    many documents repeat counts once for each task; only lines with such keys go on."""
-    marked = _marked(rows, edits)
-    several, _ = write_out(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
-    release(rows.sparkSession)
-    few = several.count() <= SENT
-    held, _ = write_out(marked.join(F.broadcast(several) if few else several, F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
-    release(rows.sparkSession)
-    left = held.where("own").select("key", F.col("id").alias("a"))
-    right = held.select("key", F.col("id").alias("b"))
-    pairs, _ = write_out(left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def _finer(rows: DataFrame, edits: int, parts: int) -> DataFrame:
+    """Like _marked, with keys of all the segments that `edits` edits leave untouched, out of `parts`.
+
+    The ways to choose and move them are rows of a constant array, so one small expression makes all keys."""
+    ways = ", ".join(f"struct({fewer} as k, {'true' if fewer == 0 and not any(m for _, m in kept) else 'false'} as own, array({', '.join(str(i) for i, _ in kept)}) as seg, array({', '.join(str(m) for _, m in kept)}) as move)" for fewer, kept in moves(edits, parts))
+    dealt = rows.select("id", "line", "n", F.expr(f"explode(array({ways}))").alias("w")).select("id", "line", "n", "w.*")
+    dealt = dealt.withColumns({"s": F.expr(f"cast((n - k) div {parts} as int)"), "r": F.expr(f"cast((n - k) % {parts} as int)")})
+    begin, size = f"s * i + greatest(0, r - ({parts} - i))", f"(s + cast(r >= {parts} - i as int))"
+    fits = F.expr(f"forall(zip_with(seg, move, (i, m) -> {begin} + m >= 0 and {begin} + m + {size} <= n), x -> x)")
+    pieces = F.expr(f"zip_with(seg, move, (i, m) -> substring(line, cast({begin} + m + 1 as int), cast({size} as int)))")
+    return dealt.where(fits).select("id", F.xxhash64(F.col("n") - F.col("k"), F.lit(parts), "seg", pieces).alias("key"), "own")
+
+
+def edit_distance(x: Column, y: Column, edits: int) -> Column:
+    """Edit distance of two arrays of characters by bits, if it is at most `edits` (else some greater number). Their sizes must differ by no more than `edits`.
+
+    The band holds 2 edits + 1 cells of each column; a bit of VP or VN says that a cell is greater or less than the one
+    above it. The distance is followed down the band's lower edge, and from the last row on along that row."""
+    width = 2 * edits + 1
+    full, top = (1 << width) - 1, 1 << width - 1
+    m, n = F.size(y), F.size(x)
+    both = lambda f, g: F.element_at(F.transform(F.array(f), g), 1)  # noqa: E731  g with the value of f, worked out once
+
+    def step(s: Column, j: Column) -> Column:
+        seen = F.get(x, j - 1)
+        match = F.lit(0)
+        for b in range(width):
+            match = match.bitwiseOR(F.when(F.get(y, F.greatest(j + (b - edits - 1), F.lit(-1))) == seen, 1 << b).otherwise(0))
+        known = lambda e: (((e.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(e).bitwiseOR(s["vn"])).bitwiseAND(F.lit(full))
+
+        def rest(d: Column) -> Column:
+            hp = s["vn"].bitwiseOR(F.lit(full).bitwiseXOR(d.bitwiseOR(s["vp"])))
+            hn = d.bitwiseAND(s["vp"])
+            down = F.shiftright(d, 1)
+            past = j + edits - m  # rows that the band reaches below the last one
+            row = F.element_at(F.array(*[F.lit(1 << width - 1 - p) for p in range(width)]), F.least(F.greatest(past, F.lit(0)), F.lit(width - 1)) + 1)
+            more = F.when(past <= 0, F.when(d.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)).otherwise(F.when(hp.bitwiseAND(row) != 0, 1).when(hn.bitwiseAND(row) != 0, -1).otherwise(0))
+            return F.struct(hn.bitwiseOR(F.lit(full).bitwiseXOR(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["far"] + more).alias("far"))
+
+        return both(both(match, known), rest)
+
+    start = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("far"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["far"])
+
+
+def _named(texts: DataFrame, n: str) -> DataFrame:
+    return texts.select(F.col("id").alias(n), F.regexp_extract_all("line", F.lit("(?s)(.)")).alias(f"{n}_line"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
+    """u, v: the pairs (a, b) of lines that are near."""
     wanted, _ = write_out(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "wanted")
-    few = wanted.count() <= SENT
-    texts, _ = write_out(rows.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
-    release(rows.sparkSession)
-    named = lambda n: texts.select(F.col("id").alias(n), F.col("line").alias(f"{n}_line"))
-    near = pairs.join(named("a"), "a").join(named("b"), "b").where(F.levenshtein("a_line", "b_line", edits) >= 0)
-    return components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    texts, _ = write_out(rows.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
+    both = pairs.join(_named(texts, "a"), "a").join(_named(texts, "b"), "b")
+    near, _ = write_out(both.where(edit_distance(F.col("a_line"), F.col("b_line"), edits) <= edits).select(F.col("a").alias("u"), F.col("b").alias("v")), "near")
+    return near
+
+
+def _in_pairs(held: DataFrame) -> DataFrame:
+    left, right = held.where("own").select("key", F.col("id").alias("a")), held.select("key", F.col("id").alias("b"))
+    return left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, contexts: int = CONTEXTS) -> DataFrame:
+def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """rows: id long (a hash of the line), line, n (its characters). Returns node, root: classes of linked lines; lines without a link are not in it.
+
+    Keys are first aggregated to those that different lines share, with partial results before the shuffle, so a line that
+    many documents repeat counts once for each task; only lines with such keys go on."""
+    marked, near, crowded = _marked(rows, edits), [], None
+    for parts in (0, *finer):
+        if parts:  # the lines of the keys that too many share, once each
+            few, _ = write_out(crowded.select(F.col("id").alias("_id")).distinct(), "few")
+            some, _ = write_out(rows.join(few, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line"), F.min("n").alias("n")), "again")
+            marked = _finer(some, edits, parts)
+        shared, _ = write_out(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
+        release(rows.sparkSession)
+        held, _ = write_out(marked.join(shared, F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
+        release(rows.sparkSession)
+        busy, _ = write_out(held.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > meet).select("_key"), "busy")
+        crowded, _ = write_out(held.join(busy, F.col("key") == F.col("_key"), "left_semi"), "crowded")
+        pairs, _ = write_out(_in_pairs(held.join(busy, F.col("key") == F.col("_key"), "left_anti")), "pairs")
+        near.append(_verified(pairs, rows, edits))
+        if crowded.isEmpty():
+            return components(_union(near))
+    first = crowded.where("own").groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("a"))
+    star, _ = write_out(crowded.join(first, F.col("key") == F.col("_key")).where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "stars")
+    near.append(_verified(star, rows, edits))
+    roots, _ = write_out(components(_union(near)), "roots")
+    placed, _ = write_out(crowded.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "placed")
+    apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("_key")
+    pairs, _ = write_out(_in_pairs(placed.join(apart, F.col("key") == F.col("_key"), "left_semi")), "pairs")
+    near.append(_verified(pairs.join(star, ["a", "b"], "left_anti"), rows, edits))
+    return components(_union(near))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with the lines removed from `text`, and n_lines and n_removed long."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = numbered(docs.select(*[F.col(f"`{c}`") for c in names]), key, text)
     parts = docs.where(F.col(f"`{text}`").isNotNull()).select("_doc", F.split("_text", "\n", -1).alias("parts"))
-    hashed = parts.select("_doc", "parts", F.transform("parts", lambda x: F.xxhash64(x)).alias("ids"))
-    around = lambda i: F.xxhash64(F.get("ids", i - 1), F.get("ids", i + 1), i > 0)
-    every = hashed.select("_doc", F.explode(F.transform("parts", lambda x, i: F.struct(i.alias("no"), F.get("ids", i).alias("id"), around(i).alias("context"), x.alias("line")))).alias("x")).select("_doc", "x.*")
-    long = F.char_length("line") >= least
     own = parts.select(F.explode("parts").alias("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
     roots = near_lines(own.select(F.xxhash64("line").alias("id"), "line", "n"), edits)
-    plain = every.select("_doc", "no", "id", "context", long.alias("long"))
-    rows = plain.join(roots, F.col("long") & (F.col("id") == F.col("node")), "left").select("_doc", "no", "context", "long", F.coalesce("root", "id").alias("class"))
-    rows, _ = write_out(rows, "classes")
+    every = parts.select("_doc", F.posexplode("parts").alias("no", "line")).where(F.col("line").rlike(r"\S"))
+    plain = every.select("_doc", "no", F.xxhash64("line").alias("id"), F.hash("line").alias("more"), F.char_length("line").alias("n"))
+    rows = plain.join(roots, (F.col("n") >= least) & (F.col("id") == F.col("node")), "left")
+    rows, _ = write_out(rows.select("_doc", "no", "n", F.coalesce("root", "id").alias("class"), F.when(F.col("root").isNull(), F.col("more")).alias("more")), "classes")
+    release(docs.sparkSession)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    firsts = rows.groupBy(F.col("class").alias("_class"), F.col("more").alias("_more")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "no")).alias("first")).where("_n > 1").select("_class", "_more", F.col("first._doc").alias("first_doc"))
+    held, _ = write_out(rows.join(firsts, (F.col("class") == F.col("_class")) & same("more", "_more")).select("_doc", "no", "n", "class", "more", "first_doc"), "held")
     release(docs.sparkSession)
-    stands = rows.where("long").groupBy("class", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "no")).alias("first"))
-    often = stands.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min("first").alias("first"))
-    often = often.where((F.col("m") >= contexts) & (2 * F.col("m") >= F.col("n"))).select(F.col("class").alias("_class"), "first")
-    firsts = rows.where("long").groupBy(F.col("_doc").alias("_d"), F.col("class").alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first_no")).where("n > 1")
-    judged = rows.join(often, F.col("long") & (F.col("class") == F.col("_class")), "left").join(firsts, F.col("long") & (F.col("_doc") == F.col("_d")) & (F.col("class") == F.col("_c")), "left")
-    gone = (F.col("first").isNotNull() & (F.struct("_doc", "no") != F.col("first"))) | (F.col("first_no").isNotNull() & (F.col("no") > F.col("first_no")))
-    flags = judged.select("_doc", "no", F.coalesce(gone, F.lit(False)).alias("gone")).groupBy(F.col("_doc").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("no", "gone"))).alias("flags"), F.count_if("gone").alias("_n"))
-    both = docs.join(flags, F.col("_doc") == F.col("_of"), "left")
-    kept = F.array_join(F.transform(F.filter(F.zip_with(F.split("_text", "\n", -1), "flags", lambda x, f: F.struct(x.alias("x"), f["gone"].alias("gone"))), lambda p: ~p["gone"]), lambda p: p["x"]), "\n")
-    columns = [F.when(F.col("_n") > 0, kept).otherwise(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in names]
-    return both.select(*columns, F.coalesce(F.size("flags"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
+    within = held.groupBy(F.col("_doc").alias("_d"), F.col("class").alias("_c"), F.col("more").alias("_e")).agg(F.count(F.lit(1)).alias("_n"), F.min("no").alias("first_no")).where("_n > 1").drop("_n")
+    total = rows.groupBy(F.col("_doc").alias("_d")).agg(F.sum("n").alias("all"))
+    from_one = held.where("first_doc <> _doc").groupBy("_doc", "first_doc").agg(F.sum("n").alias("n")).groupBy("_doc").agg(F.min(F.struct((-F.col("n")).alias("n"), "first_doc")).alias("best"))
+    families = from_one.join(total, F.col("_doc") == F.col("_d")).where(-2 * F.col("best.n") > F.col("all")).select(F.col("_doc").alias("member"), F.col("best.first_doc").alias("family"))
+    families, _ = write_out(families, "families")
+    of = lambda d, f: families.select(F.col("member").alias(d), F.col("family").alias(f))
+    judged = held.join(of("_m1", "f1"), F.col("_doc") == F.col("_m1"), "left").join(of("_m2", "f2"), F.col("first_doc") == F.col("_m2"), "left")
+    judged = judged.join(within, (F.col("_doc") == F.col("_d")) & (F.col("class") == F.col("_c")) & same("more", "_e"), "left")
+    gone = (F.col("no") > F.coalesce("first_no", F.lit(1 << 30))) | (F.coalesce("f1", "_doc") != F.coalesce("f2", "first_doc"))
+    out = judged.where(gone).groupBy(F.col("_doc").alias("_of")).agg(F.sort_array(F.collect_set("no")).alias("_gone"))
+    both = docs.join(out, F.col("_doc") == F.col("_of"), "left")
+    ends = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(F.split("_text", "\n", -1))))
+    n_lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split("_text", "\n", -1)))
+    both = both.withColumn("_ends", ends).withColumn("_parts", F.when(F.col("_gone").isNotNull(), F.split("_text", "\n", -1)))
+    kept = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice("_parts", F.get("_ends", i) + 2, F.get("_ends", i + 1) - F.get("_ends", i) - 1))
+    columns = [F.when(F.col("_gone").isNotNull(), F.array_join(F.flatten(kept), "\n")).otherwise(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in names]
+    return both.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -1,6 +1,8 @@
 import random
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import lines
 
@@ -15,9 +17,9 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def brute(docs, edits, least, contexts):
-    rows = [(d, i, x, parts) for d, t in enumerate(docs) if t is not None for parts in [t.split("\n")] for i, x in enumerate(parts)]
-    names = sorted({r[2] for r in rows if len(r[2]) >= least})
+def brute(docs, edits, least):
+    rows = [(d, i, x) for d, t in enumerate(docs) if t is not None for i, x in enumerate(t.split("\n")) if x.strip()]
+    names = sorted({r[2] for r in rows})
     root = {n: n for n in names}
 
     def find(x):
@@ -25,23 +27,28 @@ def brute(docs, edits, least, contexts):
             x = root[x]
         return x
 
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
+    long = [n for n in names if len(n) >= least]
+    for i, a in enumerate(long):
+        for b in long[i + 1 :]:
             if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits:
                 root[find(a)] = find(b)
-    own = {}
-    for d, i, x, parts in rows:
-        if len(x) >= least:
-            around = (parts[i - 1] if i else None, parts[i + 1] if i + 1 < len(parts) else None)
-            own.setdefault(find(x), []).append((d, i, around))
-    gone = set()
-    for places in own.values():
-        places.sort(key=lambda p: p[:2])
-        different = len({p[2] for p in places})
-        if different >= contexts and 2 * different >= len(places):
-            gone.update(p[:2] for p in places[1:])
-        for d in {p[0] for p in places}:
-            gone.update([p[:2] for p in places if p[0] == d][1:])
+    first, total, shared = {}, Counter(), defaultdict(Counter)
+    for d, i, x in rows:
+        first.setdefault(find(x), d)
+        total[d] += len(x)
+        if first[find(x)] != d:
+            shared[d][first[find(x)]] += len(x)
+    family = {}
+    for d, own in shared.items():
+        n, e = min((-n, e) for e, n in own.items())
+        if -2 * n > total[d]:
+            family[d] = e
+    gone, met = set(), set()
+    for d, i, x in rows:
+        c = find(x)
+        if (d, c) in met or family.get(d, d) != family.get(first[c], first[c]):
+            gone.add((d, i))
+        met.add((d, c))
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in enumerate(docs)]
 
 
@@ -60,8 +67,8 @@ def test_like_brute_force(spark, edits):
     docs = [None, "", "\n", "a\n\nb", *("\n".join(mutate(rng, rng.choice(common), rng.choice([0, 0, 1, 2, 3])) if rng.random() < 0.6 else say(rng.randrange(25)) for _ in range(rng.randrange(1, 8))) for _ in range(70))]
     docs += [docs[9], docs[9]]
     table = spark.createDataFrame([(i, t, "k") for i, t in enumerate(docs)], "doc_id long, text string, n_lines string").repartition(3)
-    got = lines.dedup_lines(table, edits=edits, least=5, contexts=4).collect()
-    want = brute(docs, edits, 5, 4)
+    got = lines.dedup_lines(table, edits=edits, least=5).collect()
+    want = brute(docs, edits, 5)
     assert len(got) == len(docs)
     for r in got:
         assert r.text == want[r.doc_id]
@@ -74,4 +81,63 @@ def test_no_python_and_edges(spark):
     got = lines.dedup_lines(docs)
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
     assert sorted((r.text or "", r.n_removed) for r in got.collect()) == [("", 0), ("the same line of text", 0), ("the same line of text", 1)]
+    clash = docs.withColumns({"n_removed": F.lit("x"), "no": F.lit(1), "class": F.lit(2), "first_doc": F.lit(3)})
+    assert {(r.no, r["class"], r.first_doc) for r in lines.dedup_lines(clash).collect()} == {(1, 2, 3)}
     assert lines.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_bit_parallel_distance(spark):
+    rng = random.Random(7)
+    pairs = [("", ""), ("a", ""), ("é😀", "😀")]
+    for _ in range(1500):
+        a = "".join(rng.choices("ab😀", k=rng.randrange(30)))
+        pairs.append((a, mutate(rng, a, rng.randrange(5)) if rng.random() < 0.7 else "".join(rng.choices("ab😀", k=len(a)))))
+    for edits in (1, 2, 3):
+        own = [p for p in pairs if abs(len(p[0]) - len(p[1])) <= edits and min(map(len, p)) >= edits]
+        chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)(.)"))
+        got = spark.createDataFrame(own, "a string, b string").select("a", "b", lines.edit_distance(chars("a"), chars("b"), edits).alias("d")).collect()
+        for r in got:
+            d = edit_distance(r.a, r.b)
+            assert (r.d == d) if d <= edits else r.d > edits, (r, d, edits)
+
+
+@pytest.mark.parametrize("finer", [(6, 12), ()])
+def test_crowded_keys_lose_no_link(spark, finer):
+    """Variants of two lines, so that every key is shared by many; meet=1 sends all lines through every step."""
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdef ", k=n)) for n in (24, 60)]
+    texts = sorted({mutate(rng, b, rng.choice([0, 1, 1, 2, 2, 3, 4, 6])) for b in base for _ in range(60)})
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "id long, line string, n int").repartition(3)
+    root = {r.node: r.root for r in lines.near_lines(rows, meet=1, finer=finer).collect()}
+    want = list(range(len(texts)))
+
+    def find(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if edit_distance(a, texts[j]) <= 2:
+                want[max(find(i), find(j))] = min(find(i), find(j))
+    assert [root.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
+def test_what_goes(spark):
+    """A passage of several lines goes from all but its first document, in however few; copies stay whole; a short line goes if it is equal."""
+    say = lambda k, i: f"{k} words of its own number {i * 7919 % 10007} and {i * 104729 % 10007} here"
+    passage = "\n".join(say("passage", i) for i in range(3))
+    own = ["\n".join([*(f"{say(f'text {d}', i)} {d * 31} {'xyz'[d % 3] * 9}" for i in range(6)), "short", ""]) for d in range(4)]
+    docs = [own[0] + passage, own[1] + passage, own[2], own[2], own[3].replace("xyz"[0] * 9, "changed words in a copy", 1), own[3]]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got[0] == (docs[0], 0)
+    assert got[1] == (own[1].replace("\nshort", ""), 4) or got[1][1] == 4
+    assert got[2] == (own[2].replace("\nshort", ""), 1) and got[3] == got[2]
+    assert got[5][1] == 1 and got[4][1] == 1
+
+
+def test_very_long_line(spark):
+    line = "".join(random.Random(2).choices("abcdefgh ", k=300_000))
+    docs = [(1, line), (2, line[:1000] + "#" + line[1000:] + "\nother words in this document, more than in the line?"), (3, None)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0}  # nearly all of the second document is the first one: a copy
