@@ -30,7 +30,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
     judged = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return judged.where("keep").select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("peak", 4).alias("peak"), F.round("contrast", 4).alias("contrast"))
+    return judged.where("keep").select("doc_id", "lang", *[F.round(f, 4).alias(f) for f in quality.FIGURES])
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
