@@ -12,7 +12,8 @@ equal, since two edits there join different words. Linked lines are one class, w
    keys cover more and more of the line until only lines that are alike nearly everywhere share one.
 3. Under keys that many lines share even then, all lines are compared with the key's first line; keys whose lines those
    links connect are done, and what is left meets in pairs.
-4. Lines that meet are verified by banded bit-parallel edit distance: a column of the band is a few bits of an integer.
+4. Lines that meet must hold all but EDITS of SCREEN segments about where they should, and lose what they begin and end
+   with alike; what is left is verified by banded bit-parallel edit distance: a column of the band is a few bits of an integer.
 
 What goes: of a class, every later line in a document; and every line of a document but the class's first one, unless the
 two documents are copies. A document is a copy of another if more than half of its characters stand in lines whose class
@@ -37,6 +38,8 @@ from ridgeline.llm.graph import components
 
 EDITS, LEAST = 2, 20
 MEET, FINER = 16, (6, 12)
+#: Segments by which lines that meet are screened; rows of a table that is sent to all tasks.
+SCREEN, SENT = 12, 1_000_000
 
 
 def _marked(rows: DataFrame, edits: int) -> DataFrame:
@@ -117,21 +120,38 @@ def edit_distance(x: Column, y: Column, edits: int) -> Column:
 
         return both(both(match, known), rest)
 
-    start = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("far"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["far"])
+    start = F.struct(F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(edits), m).alias("far"))
+    return F.when(n == 0, m).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, lambda s: s["far"]))
 
 
-def _named(texts: DataFrame, n: str) -> DataFrame:
-    return texts.select(F.col("id").alias(n), F.regexp_extract_all("line", F.lit("(?s)(.)")).alias(f"{n}_line"))
+def _windows(pairs: DataFrame, edits: int) -> DataFrame:
+    """pairs (a_line, b_line, a_n, b_n), and what is left between their common beginnings and ends: x and y, characters each."""
+    steps = F.lit([1 << i for i in range(30, -1, -1)])  # of a doubling search
+    grow = lambda same: F.aggregate(steps, F.lit(0), lambda p, s: F.when(p + s > F.least("a_n", "b_n"), p).when(same(p, s), p + s).otherwise(p))
+    begin = grow(lambda p, s: F.substring("a_line", p + 1, s) == F.substring("b_line", p + 1, s))
+    end = grow(lambda p, s: F.substring("a_line", F.col("a_n") - p - s + 1, s) == F.substring("b_line", F.col("b_n") - p - s + 1, s))
+    pairs = pairs.withColumns({"_begin": begin, "_end": end})
+    pairs = pairs.withColumn("_end", F.least("_end", F.least("a_n", "b_n") - F.col("_begin")))
+    left = lambda c: F.regexp_extract_all(F.substring(f"{c}_line", F.col("_begin") + 1, F.col(f"{c}_n") - F.col("_begin") - F.col("_end")), F.lit("(?s)(.)"))
+    return pairs.withColumns({"x": left("a"), "y": left("b")})
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
-    """u, v: the pairs (a, b) of lines that are near."""
-    wanted, _ = write_out(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "wanted")
-    texts, _ = write_out(rows.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
-    both = pairs.join(_named(texts, "a"), "a").join(_named(texts, "b"), "b")
-    near, _ = write_out(both.where(edit_distance(F.col("a_line"), F.col("b_line"), edits) <= edits).select(F.col("a").alias("u"), F.col("b").alias("v")), "near")
-    return near
+def _screened(edits: int, parts: int = SCREEN) -> Column:
+    """Whether enough of b's segments stand about where they should in a: near lines pass, as edits touch at most `edits` segments."""
+    m = f"(b_n div {parts} + cast(i < b_n % {parts} as int))"
+    at = f"(i * (b_n div {parts}) + least(i, b_n % {parts}))"
+    piece = f"substring(b_line, cast({at} + 1 as int), cast({m} as int))"
+    around = f"substring(a_line, cast(greatest(1, {at} + 1 - {edits}) as int), cast({m} + {edits} + least({at}, {edits}) as int))"
+    return F.expr(f"aggregate(sequence(0, {parts - 1}), 0, (bad, i) -> if(bad > {edits}, bad, if(contains({around}, {piece}), bad, bad + 1))) <= {edits}")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """u, v: the pairs (a, b) of lines that are near. texts: id, line, n."""
+    named = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"), F.col("n").alias(f"{c}_n"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.join(named("a"), "a").join(named("b"), "b").where(_screened(edits)).repartition(parts, "a", "b")
+    near = _windows(both, edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
+    return write_out(near.select(F.col("a").alias("u"), F.col("b").alias("v")), "near")[0]
 
 
 def _in_pairs(held: DataFrame) -> DataFrame:
@@ -144,33 +164,41 @@ def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tup
 
     Keys are first aggregated to those that different lines share, with partial results before the shuffle, so a line that
     many documents repeat counts once for each task; only lines with such keys go on."""
-    marked, near, crowded = _marked(rows, edits), [], None
+    marked, near, texts, crowded = _marked(rows, edits), [], None, None
     for parts in (0, *finer):
         if parts:  # the lines of the keys that too many share, once each
             few, _ = write_out(crowded.select(F.col("id").alias("_id")).distinct(), "few")
-            some, _ = write_out(rows.join(few, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line"), F.min("n").alias("n")), "again")
-            marked = _finer(some, edits, parts)
+            marked = _finer(texts.join(few, F.col("id") == F.col("_id"), "left_semi"), edits, parts)
         shared, _ = write_out(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
         release(rows.sparkSession)
-        held, _ = write_out(marked.join(shared, F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
+        held, _ = write_out(marked.join(_sent(shared), F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
         release(rows.sparkSession)
+        if not parts:
+            wanted, _ = write_out(held.select(F.col("id").alias("_id")).distinct(), "wanted")
+            texts, _ = write_out(rows.join(_sent(wanted), F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line"), F.min("n").alias("n")), "lines")
+            release(rows.sparkSession)
         busy, _ = write_out(held.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > meet).select("_key"), "busy")
         crowded, _ = write_out(held.join(busy, F.col("key") == F.col("_key"), "left_semi"), "crowded")
         pairs, _ = write_out(_in_pairs(held.join(busy, F.col("key") == F.col("_key"), "left_anti")), "pairs")
-        near.append(_verified(pairs, rows, edits))
+        near.append(_verified(pairs, texts, edits))
         if crowded.isEmpty():
             return components(_union(near))
     first = crowded.where("own").groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("a"))
     star, _ = write_out(crowded.join(first, F.col("key") == F.col("_key")).where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "stars")
-    near.append(_verified(star, rows, edits))
+    near.append(_verified(star, texts, edits))
     roots, _ = write_out(components(_union(near)), "roots")
     placed, _ = write_out(crowded.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "placed")
     apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("_key")
-    pairs, _ = write_out(_in_pairs(placed.join(apart, F.col("key") == F.col("_key"), "left_semi")), "pairs")
-    near.append(_verified(pairs.join(star, ["a", "b"], "left_anti"), rows, edits))
+    pairs, _ = write_out(_in_pairs(placed.join(apart, F.col("key") == F.col("_key"), "left_semi")).join(star, ["a", "b"], "left_anti"), "pairs")
+    near.append(_verified(pairs, texts, edits))
     return components(_union(near))
 
 
+def _sent(some: DataFrame) -> DataFrame:
+    """A written table of hashes, sent to all tasks if it has at most SENT rows (16 bytes each); else it is joined by a shuffle."""
+    return F.broadcast(some) if some.count() <= SENT else some
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
