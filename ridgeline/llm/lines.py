@@ -150,8 +150,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     named = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"), F.col("n").alias(f"{c}_n"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").where(_screened(edits)).repartition(parts, "a", "b")
-    near = _windows(both, edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
-    return write_out(near.select(F.col("a").alias("u"), F.col("b").alias("v")), "near")[0]
+    # The distance is a column that is written: a filter by it would be pushed below what it is worked out from, and carry that along.
+    told, _ = write_out(_windows(both, edits).select(F.col("a").alias("u"), F.col("b").alias("v"), edit_distance(F.col("x"), F.col("y"), edits).alias("d")), "near")
+    return told.where(F.col("d") <= edits).select("u", "v")
 
 
 def _in_pairs(held: DataFrame) -> DataFrame:
