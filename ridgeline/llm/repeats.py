@@ -12,13 +12,21 @@ earlier in the same one). Matches never cross documents; strings are judged on t
    takes the common prefixes of neighbours, and a stack scan gives the tree of common-prefix intervals of at least LENGTH
    bytes. An interval whose occurrences have different bytes before them (or reach a context's start) is a maximal
    repeat: all its occurrences come out, the first marked.
-4. A k-gram with very many anchors (a passage that much of the corpus holds) would fill one task. Slots of k-grams with
-   far more anchors than most are found by a count; their windows go one by one, hashed whole, through an aggregation
-   with partial results, and come back by a join that adaptive execution splits.
+4. A k-gram with very many anchors (a passage that much of the corpus holds) would fill one task. K-grams of more than
+   about HOT anchors, whatever the input's size, are found by counting one anchor in PART, picked by place; their windows
+   go one by one, by k-gram and a hash of the whole, through an aggregation with partial results, and come back by a join
+   that adaptive execution splits. Which way a k-gram goes moves cost, never results.
 5. The spans of all occurrences but the first are joined to the texts and cut out.
 
-Null texts are empty; texts shorter than LENGTH lose nothing. Ids that repeat or are null: rows are ordered by id (nulls
-last) and text, and each counts as a document of its own. Other columns are dropped but for those asked for.
+`repeat_groups` gives the groups themselves. Runs that repeat as a whole, intervals of the tree and hot windows are all
+pieces of groups; an occurrence that stands for a class of equal runs is spread to all of them. Pieces whose occurrences lie
+alike (the same documents at the same distances, told by their number and two sums of hashes) and overlap are one repeat.
+Where a stretch inside a repeat stands in more places, it is a group of its own, and may part the longer one in two.
+
+Runs and windows are told apart by 128 bits of hashes. Null texts are empty; texts shorter than LENGTH lose nothing; texts
+longer than PIECE are worked through in pieces that overlap by a window. Ids that repeat or are null: rows are ordered by id
+(nulls last) and text, and each counts as a document of its own. Other columns are dropped but for those asked for, whatever
+they are called. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,14 +36,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import numbered, release, write_out
+from ridgeline.llm.common import numbered, release, small_batches, write_out
 
 LENGTH, GRAM = 100, 24
 CHUNK, SHARD = 1 << 20, 1 << 20
-SLOTS, HOT = 1 << 16, 4096
+HOT, PART = 4096, 16
+#: Bytes of a text that are worked through at a time; each piece goes on for the bytes of a window.
+PIECE = 4 << 20
 #: Windows whose k-grams are picked at a time; with a window's length less than 2^24.
 PLACES = 1 << 23
 _U = np.uint64
@@ -106,21 +116,30 @@ class Hashed:
         return first + 0xFFFFFF - (least[: last - first] & low).astype(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], key: str = "_doc") -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], key: str = "_doc") -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """Keys, texts or pieces of long ones, and where in its text each begins."""
+    keys, texts, begins, size = [], [], [], 0
     for batch in batches:
-        keys, texts = batch.column(key).to_numpy(), [x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i in range(len(texts) + 1):
-            if i == len(texts) or size > CHUNK:
-                if i > start:
-                    yield keys[start:i], texts[start:i]
-                start, size = i, 0
-            if i < len(texts):
-                size += len(texts[i])
-
-
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams % _U(SLOTS)).astype(np.int64)
+        for k, text in zip(batch.column(key).to_pylist(), batch.column("_text")):
+            data = (text.cast(pa.binary()).as_py()) or b""
+            for a in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+                keys.append(k)
+                texts.append(data if len(data) <= PIECE else data[a : a + PIECE + LENGTH - 1])
+                begins.append(a)
+                size += len(texts[-1])
+                if size > CHUNK:
+                    yield np.array(keys, np.int64), texts, np.array(begins, np.int64)
+                    keys, texts, begins, size = [], [], [], 0
+    if keys:
+        yield np.array(keys, np.int64), texts, np.array(begins, np.int64)
+
+
+def _is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """hot: sorted k-grams."""
+    if not len(hot):
+        return np.zeros(len(grams), bool)
+    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+    return hot[at] == grams
 
 
 def _span(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -128,38 +147,42 @@ def _span(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (a << 16) | ((q - a) << 8) | (b - a)
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
-    for _, texts in _chunks(batches):
+def _some_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """K-grams and how many of the counted anchors have them; one anchor in PART counts, by a hash of its place and document."""
+    for keys, texts, begins in _chunks(batches):
         hashed = Hashed(texts)
-        total += np.bincount(_slot(hashed.grams[hashed.runs()[2]]), minlength=SLOTS)
-    own = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["slot", "n"])
+        q = hashed.runs()[2]
+        own = np.searchsorted(hashed.ends, q, side="right")
+        place = _mix((q - hashed.starts[own] + begins[own]).astype(np.uint64) + _mix(keys[own].view(np.uint64)))
+        gram, n = np.unique(hashed.grams[q[place % _U(PART) == 0]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for keys, texts in _chunks(batches):
+    for keys, texts, begins in _chunks(batches):
         hashed = Hashed(texts)
         a, b, q = hashed.runs()
         gram = hashed.grams[q]
-        cold = ~np.isin(_slot(gram), hot)
+        cold = ~_is_hot(gram, hot)
         a, b, q, gram = a[cold], b[cold], q[cold], gram[cold]
         own = np.searchsorted(hashed.ends, a, side="right")
-        base = hashed.starts[own]
+        base = hashed.starts[own] - begins[own]
         columns = [gram.view(np.int64), hashed.stretch(a, b + LENGTH).view(np.int64), keys[own], _span(a - base, b - base, q - base)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "doc", "span"])
 
 
 def _hot_windows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(hash of the window and its doc) for each window of a hot slot."""
-    for keys, texts in _chunks(batches):
+    """(k-gram, hash of the window, doc, place) for each window of a hot k-gram."""
+    for keys, texts, begins in _chunks(batches):
         hashed = Hashed(texts)
         a, b, q = hashed.runs()
-        own = np.isin(_slot(hashed.grams[q]), hot)
+        own = _is_hot(hashed.grams[q], hot)
         counts = (b - a + 1)[own]
         at = np.repeat(a[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        gram = np.repeat(hashed.grams[q[own]], counts)
         doc = np.searchsorted(hashed.ends, at, side="right")
-        yield pa.RecordBatch.from_arrays([pa.array(hashed.stretch(at, at + LENGTH).view(np.int64)), pa.array(keys[doc]), pa.array(at - hashed.starts[doc])], ["window", "doc", "at"])
+        columns = [gram.view(np.int64), hashed.stretch(at, at + LENGTH).view(np.int64), keys[doc], at - hashed.starts[doc] + begins[doc]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "window", "doc", "at"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], enough: int = 1) -> Iterator[pa.Table]:
@@ -290,28 +313,30 @@ def _repeats(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
             first[np.cumsum([0, *(len(o) for _, o, _ in found[:-1])])] = True
             if whole:
                 leader = np.flatnonzero(first)[np.cumsum(first) - 1]
-                columns, names = [doc[own[leader]], at[leader], doc[own], at, end - at], ["first_doc", "first_begin", "doc", "begin", "length"]
+                columns, names = [gram[own], doc[own[leader]], at[leader], doc[own], span[own], at, end - at], ["gram", "first_doc", "first_begin", "doc", "span", "begin", "length"]
             else:
                 own, at, end = _merged(own[~first], at[~first], end[~first])
                 columns, names = [doc[own], at, end], ["doc", "begin", "end"]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _hot_limit(total: int, parts: int) -> int:
-    return max(HOT, 2 * total // min(parts, SLOTS))
+def _hot_grams(docs: DataFrame) -> np.ndarray:
+    """The k-grams of about HOT anchors and more, sorted: at most one for each HOT anchors of the input, eight bytes each."""
+    counts = docs.select("_doc", "_text").mapInArrow(_some_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") > HOT // PART).select("gram").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _dealt(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Anchors of all but the hot k-grams, together by k-gram, ordered by k-gram, context, document and place."""
+    anchors = docs.select("_doc", "_text").mapInArrow(lambda b: _anchors(b, hot), "gram long, context long, doc long, span long")
+    return anchors.repartition("gram").sortWithinPartitions("gram", "context", "doc", "span")
 
 
 def _met(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """What anchors say when they meet (see _meet), written out; the hot slots, whose anchors are left out."""
-    rows = docs.select("_doc", "_text")
-    counts = rows.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts, _ = write_out(counts, "slots")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    most = _hot_limit(total, parts)
-    hot = np.array([r[0] for r in counts.where(F.col("n") > most).collect()], np.int64)  # at most SLOTS
-    anchors = rows.mapInArrow(lambda b: _anchors(b, hot), "gram long, context long, doc long, span long")
-    met, _ = write_out(anchors.repartition("gram").sortWithinPartitions("gram", "context", "doc", "span").mapInArrow(_meet, "doc long, x long, y long, kind long"), "anchors")
+    """What anchors say when they meet (see _meet), written out; the hot k-grams, whose anchors are left out."""
+    small_batches(docs.sparkSession)
+    hot = _hot_grams(docs)
+    met, _ = write_out(_dealt(docs, hot).mapInArrow(_meet, "doc long, x long, y long, kind long"), "anchors")
     release(docs.sparkSession)
     return met, hot
 
@@ -334,11 +359,41 @@ def _contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The maximal repeats that meet at the ends of contexts: first_doc, first_begin, doc, begin, length, a row for each occurrence.
+    """The maximal repeats with all their occurrences: first_doc, first_begin, doc, begin, length, a row for each occurrence.
 
-    A repeat is named by its first occurrence. Runs that repeat as a whole stand for their first one, and hot slots are left out."""
+    A repeat is named by its first occurrence and its length; documents go by key, or by number where keys repeat or are null."""
     docs = numbered(docs, key, text)
-    return _contexts(docs, _met(docs)[0]).mapInArrow(lambda b: _repeats(b, True), "first_doc long, first_begin long, doc long, begin long, length long")
+    met, hot = _met(docs)
+    anchors, _ = write_out(_dealt(docs, hot), "anchors")
+    spread = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "span")).alias("first")).where("n > 1")
+    spread, _ = write_out(spread.select(F.col("gram").alias("_gram"), F.col("context").alias("_context"), F.col("first.doc").alias("low_doc"), F.col("first.span").alias("low_span")), "classes")
+    member = anchors.join(spread, (F.col("gram") == F.col("_gram")) & (F.col("context") == F.col("_context"))).select("gram", "low_doc", "low_span", "doc", "span")
+    member, _ = write_out(member, "members")
+    start, size = F.shiftright("span", 16), F.col("span").bitwiseAND(F.lit(0xFF)) + LENGTH
+    found, _ = write_out(_contexts(docs, met).mapInArrow(lambda b: _repeats(b, True), "gram long, first_doc long, first_begin long, doc long, span long, begin long, length long"), "tree")
+    # A run whose bytes stand within a longer run of its k-gram too is in the tree with all its places.
+    within = found.where((F.col("begin") == start) & (F.col("length") == size)).select(F.col("gram").alias("_g"), F.col("doc").alias("_d"), F.col("span").alias("_s")).distinct()
+    alone = member.join(within, (F.col("gram") == F.col("_g")) & (F.col("low_doc") == F.col("_d")) & (F.col("low_span") == F.col("_s")), "left_anti")
+    runs = alone.select(F.xxhash64("gram", "low_doc", "low_span").alias("piece"), "doc", start.alias("begin"), size.alias("length"))
+    tree = found.withColumn("piece", F.xxhash64("gram", "first_doc", "first_begin", "length"))
+    whole = member.select(F.col("gram").alias("_g"), F.col("low_doc").alias("_d"), F.col("low_span").alias("_s"), F.col("doc").alias("_doc2"), F.shiftright("span", 16).alias("_start"))
+    of_class = tree.join(whole, (F.col("gram") == F.col("_g")) & (F.col("doc") == F.col("_d")) & (F.col("span") == F.col("_s")), "left")
+    tree = of_class.select("piece", F.coalesce("_doc2", "doc").alias("doc"), (F.col("begin") - start + F.coalesce("_start", start)).alias("begin"), "length")
+    windows = docs.select("_doc", "_text").mapInArrow(lambda b: _hot_windows(b, hot), "gram long, window long, doc long, at long")
+    often = windows.groupBy("gram", "window").count().where("count > 1").select(F.col("gram").alias("_gram"), F.col("window").alias("_window"))
+    windows = windows.join(often, (F.col("gram") == F.col("_gram")) & (F.col("window") == F.col("_window"))).select(F.xxhash64("gram", "window").alias("piece"), "doc", F.col("at").alias("begin"), F.lit(LENGTH).cast("long").alias("length"))
+    pieces, _ = write_out(runs.unionByName(tree).unionByName(windows), "pieces")
+    first = pieces.groupBy("piece").agg(F.min(F.struct("doc", "begin")).alias("first"))
+    placed = pieces.join(first, "piece")
+    way = lambda seed: F.sum(F.xxhash64("doc", F.col("begin") - F.col("first.begin"), F.lit(seed)).cast("decimal(38,0)"))  # noqa: E731  occurrences lie alike
+    shapes = placed.groupBy("piece", "first", "length").agg(way(1).alias("s1"), way(2).alias("s2"), F.count(F.lit(1)).alias("n"))
+    alike = ["first_doc", "s1", "s2", "n"]
+    shapes = shapes.select("piece", F.col("first.doc").alias("first_doc"), F.col("first.begin").alias("at"), (F.col("first.begin") + F.col("length")).alias("end"), "s1", "s2", "n")
+    w = Window.partitionBy(*alike).orderBy("at", "end", "piece")
+    shapes = shapes.withColumn("_new", (F.col("at") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")).withColumn("part", F.sum("_new").over(w))
+    groups = shapes.groupBy(*alike, "part").agg(F.min("at").alias("first_begin"), F.max("end").alias("_end"), F.min_by("piece", F.struct("at", "piece")).alias("_piece"))
+    named = groups.select("_piece", "first_doc", "first_begin", (F.col("_end") - F.col("first_begin")).alias("length"))
+    return pieces.drop("length").join(named, F.col("piece") == F.col("_piece")).select("first_doc", "first_begin", "doc", "begin", "length").distinct()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -349,9 +404,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     found.append(occurrences)
     if len(hot):
-        windows = docs.select("_doc", "_text").mapInArrow(lambda b: _hot_windows(b, hot), "window long, doc long, at long")
-        firsts, _ = write_out(windows.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("window").alias("_window"), "first"), "firsts")
-        again = windows.join(firsts, F.col("window") == F.col("_window")).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+        windows = docs.select("_doc", "_text").mapInArrow(lambda b: _hot_windows(b, hot), "gram long, window long, doc long, at long")
+        firsts, _ = write_out(windows.groupBy("gram", "window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("_gram"), F.col("window").alias("_window"), "first"), "firsts")
+        again = windows.join(firsts, (F.col("gram") == F.col("_gram")) & (F.col("window") == F.col("_window"))).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
         spans, _ = write_out(again.select("doc", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")), "hot")
         release(docs.sparkSession)
         found.append(spans)

@@ -36,14 +36,34 @@ def corpus(rng):
     return texts + texts[3:9] + [near, near]
 
 
+def hot_grams(docs, most):
+    """K-grams of more than `most` anchors, counted plainly."""
+    counts = {}
+    for r in docs.select("_text").collect():
+        hashed = repeats.Hashed([r._text.encode()])
+        for g in hashed.grams[hashed.runs()[2]].tolist():
+            counts[g] = counts.get(g, 0) + 1
+    return np.sort(np.array([g for g, n in counts.items() if n > most], np.uint64))
+
+
+def test_hot_grams_are_found(spark):
+    rng = random.Random(4)
+    common = "".join(rng.choices("abcdefgh", k=120))
+    texts = ["".join(rng.choices("abcdefgh", k=80)) + common for _ in range(3 * repeats.HOT)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_doc long, _text string")
+    got = set(repeats._hot_grams(docs).tolist())
+    assert set(hot_grams(docs, 2 * repeats.HOT).tolist()) <= got <= set(hot_grams(docs, repeats.HOT // 2).tolist()) and got
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT, 3])
 def test_like_brute_force(spark, monkeypatch, hot):
     texts = corpus(random.Random(hot))
     rows = [(i * 2, t, "z") for i, t in enumerate(texts)] + [(10**6, None, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
     if hot == 3:
-        monkeypatch.setattr(repeats, "SHARD", 3000)
-        monkeypatch.setattr(repeats, "_hot_limit", lambda total, parts: 3)
+        # Small bounds reach workers as values of the closures that the driver sends, so they are set in the module's functions.
+        monkeypatch.setattr(repeats, "HOT", 3)
+        monkeypatch.setattr(repeats, "_hot_grams", lambda docs: hot_grams(docs, 3))
     got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
     assert len(got) == len(rows)
     for (i, text, _), (kept, runs) in zip(rows, brute([(t or "").encode() for _, t, _ in rows])):
@@ -72,20 +92,70 @@ def test_intervals():
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_groups_have_all_occurrences(spark):
+def check_groups(texts, groups):
+    """Every group has all places of its string; every window that repeats is in groups at each of its places."""
+    data = [t.encode() for t in texts]
+    own = {}
+    for g in groups:
+        own.setdefault((g.first_doc, g.first_begin, g.length), set()).add((g.doc, g.begin))
+    covered = {}
+    for (d, b, n), places in own.items():
+        string = data[d][b : b + n]
+        assert n >= repeats.LENGTH and len(string) == n
+        want = {(i, k) for i, t in enumerate(data) for k in range(len(t) - n + 1) if t.startswith(string, k)}
+        assert places == want and min(places) == (d, b) and len(places) > 1
+        for e, k in places:
+            covered.setdefault(e, set()).update(range(k, k + n - repeats.LENGTH + 1))
+    windows = {}
+    for i, t in enumerate(data):
+        for k in range(len(t) - repeats.LENGTH + 1):
+            windows.setdefault(t[k : k + repeats.LENGTH], []).append((i, k))
+    for places in windows.values():
+        if len(places) > 1:
+            assert all(k in covered.get(i, ()) for i, k in places)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_groups_have_all_occurrences(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(repeats, "_hot_grams", lambda docs: hot_grams(docs, 3))
     rng = random.Random(9)
     say = lambda n: "".join(rng.choices("abcdefghij", k=n))
-    shared = say(130)
-    texts = [say(200) + shared + say(200) for _ in range(6)]
-    groups = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert groups
-    for g in groups:
-        a, b = texts[g.first_doc][g.first_begin :][: g.length], texts[g.doc][g.begin :][: g.length]
-        assert a == b and g.length >= repeats.LENGTH
-    covered = {(g.doc, g.begin + i) for g in groups for i in range(g.length)}
-    for d, t in enumerate(texts):
-        at = t.index(shared)
-        assert all((d, at + i) in covered for i in range(130))
+    shared, other, whole = say(130), say(260), say(1000)
+    texts = [say(200) + shared + say(200) for _ in range(6)] + [say(50) + other + shared + say(90) for _ in range(3)]
+    texts += [whole, say(30) + other[:180], "x" * 99, "", whole, whole]
+    groups = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    check_groups(texts, groups)
+    assert sorted((g.doc, g.begin, g.length) for g in groups if g.first_doc == 9) == [(9, 0, 1000), (13, 0, 1000), (14, 0, 1000)]
+
+
+def test_groups_of_a_corpus(spark):
+    texts = [t for t in corpus(random.Random(11)) if len(t) < 300 and "xxx" not in t and "abababab" not in t][:60]
+    groups = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    check_groups(texts, groups)
+
+
+def test_long_text_in_pieces(monkeypatch):
+    """Runs of a text longer than PIECE cover each window once, under the k-gram that it has in the whole text."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    data = bytes(rng.choices(b"abcd", k=30_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([data.decode(), None, data[:777].decode()])], ["_doc", "_text"])
+    whole = repeats.Hashed([data])
+    pick = {w: q for a, b, q in zip(*(x.tolist() for x in whole.runs())) for w in range(a, b + 1)}
+    monkeypatch.setattr(repeats, "PIECE", 777)
+    got = {}
+    for keys, texts, begins in repeats._chunks(iter([batch])):
+        hashed = repeats.Hashed(texts)
+        for a, b, q in zip(*(x.tolist() for x in hashed.runs())):
+            i = int(np.searchsorted(hashed.ends, a, side="right"))
+            if keys[i] == 7:
+                for w in range(a, b + 1):
+                    place = w - int(hashed.starts[i]) + int(begins[i])
+                    assert place not in got
+                    got[place] = q - int(hashed.starts[i]) + int(begins[i])
+    assert got == pick
 
 
 def test_picks_in_parts(monkeypatch):
