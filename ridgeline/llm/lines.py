@@ -37,7 +37,7 @@ from ridgeline.llm.common import numbered, release, write_out
 from ridgeline.llm.graph import components
 
 EDITS, LEAST = 2, 20
-MEET, FINER = 16, (6, 12)
+MEET, FINER = 64, (6, 12)
 #: Segments by which lines that meet are screened; rows of a table that is sent to all tasks.
 SCREEN, SENT = 12, 1_000_000
 
@@ -54,7 +54,8 @@ def _marked(rows: DataFrame, edits: int) -> DataFrame:
     for k in range(parts):  # characters fewer than the line's own
         for i in range(parts):
             # Left of the segment at most i edits, right of it at most edits - i: its place moves by -i to i, and by k - (edits - i) to k + (edits - i).
-            for move in range(max(-i, k - (edits - i)), min(i, k + (edits - i)) + 1):
+            # Of two lines of one length each probes the other, and what moves back in one moves on in the other.
+            for move in range(max(-i, k - (edits - i)) if k else 0, min(i, k + (edits - i)) + 1):
                 key = F.xxhash64(F.col("n") - k, F.lit(i), F.expr(f"substring(line, b{k}_{i} + {move + 1}, m{k}_{i})"))
                 if k == move == 0:
                     own.append(len(keys))
@@ -68,13 +69,14 @@ def _marked(rows: DataFrame, edits: int) -> DataFrame:
 def moves(edits: int, parts: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """All (characters fewer, ((segment, move), ...)): where the untouched segments of a line can stand in one within `edits` edits.
 
-    Edits change the place of what follows only in the segments that they touch."""
+    Edits change the place of what follows only in the segments that they touch. Of two lines of one length each probes the
+    other, so the moves that begin backwards are left out."""
     out = {}
     for touched in combinations(range(parts), edits):
         for fewer in range(edits + 1):
             for inner in product(range(-edits, edits + 1), repeat=edits - 1):
                 path = (0, *inner, fewer)
-                if sum(abs(a - b) for a, b in zip(path, path[1:])) <= edits:
+                if sum(abs(a - b) for a, b in zip(path, path[1:])) <= edits and (fewer or next((s for s in path if s), 0) >= 0):
                     out[fewer, tuple((i, path[sum(t < i for t in touched)]) for i in range(parts) if i not in touched)] = None
     return list(out)
 
@@ -169,7 +171,7 @@ def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tup
     for parts in (0, *finer):
         if parts:  # the lines of the keys that too many share, once each
             few, _ = write_out(crowded.select(F.col("id").alias("_id")).distinct(), "few")
-            marked = _finer(texts.join(few, F.col("id") == F.col("_id"), "left_semi"), edits, parts)
+            marked, _ = write_out(_finer(texts.join(few, F.col("id") == F.col("_id"), "left_semi"), edits, parts), "finer")
         shared, _ = write_out(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
         release(rows.sparkSession)
         held, _ = write_out(marked.join(_sent(shared), F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
