@@ -4,16 +4,43 @@ Each takes and gives NumPy arrays of one run, which is bounded by a ride's lengt
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def per_run(df: DataFrame, by: str, order: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply a kernel to each run's rows in order."""
-    return df.groupBy(by).applyInPandas(lambda rows: kernel(rows.sort_values(order, kind="stable", ignore_index=True)), schema)
+    """Apply a kernel to each run's rows in order. Runs are dealt by key and sorted by Spark; a batch of rows holds many short runs, and no more than one is kept beyond it."""
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            keys = rows[by].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(rows)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = rows.iloc[a:b]
+                if held and held[0][by].iloc[0] != part[by].iloc[0]:
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                held.append(part)
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for own in runs(b for b in batches if len(b)):
+            out.append(kernel(own))
+            size += len(out[-1])
+            if size > 10_000:
+                yield pd.concat(out, ignore_index=True)
+                out, size = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    return df.where(F.col(by).isNotNull()).repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
 
 
 # Filters ------------------------------------------------------------------------------------------------------------
@@ -28,16 +55,30 @@ def butterworth(order: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     return b * a.sum() / b.sum(), a
 
 
-def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Transposed direct form, from a given state."""
-    n, out, z = len(a) - 1, np.empty(len(x)), [*state.tolist(), 0.0]
-    b0, tail_b, tail_a = float(b[0]), b[1:].tolist(), a[1:].tolist()
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z[0]
-        for j in range(n):
-            z[j] = z[j + 1] + tail_b[j] * v - tail_a[j] * y
-        out[i] = y
-    return out
+def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 128) -> np.ndarray:
+    """Transposed direct form, from a given state.
+
+    In blocks: a block's output is its input times the impulse response, plus what the state before it still gives; both
+    are matrix products over all blocks, and only the states go from block to block."""
+    n = len(a) - 1
+    step = np.zeros((n, n))
+    step[:, 0] = -a[1:]
+    step[:-1, 1:] += np.eye(n - 1)
+    feed = b[1:] - a[1:] * b[0]
+    powers = [np.eye(n)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    impulse = np.concatenate(([b[0]], [p[0] @ feed for p in powers[: block - 1]]))
+    at = np.arange(block)[:, None] - np.arange(block)
+    own = np.where(at >= 0, impulse[np.maximum(at, 0)], 0.0)
+    later = np.array([p[0] for p in powers[:block]])
+    gather = np.array([powers[block - 1 - i] @ feed for i in range(block)])
+    rows = np.concatenate((x, np.zeros(-len(x) % block))).reshape(-1, block)
+    inner, brought, z, states = rows @ own.T, rows @ gather, np.asarray(state, float), np.empty((len(rows), n))
+    for i in range(len(rows)):
+        states[i] = z
+        z = powers[block] @ z + brought[i]
+    return (inner + states @ later.T).ravel()[: len(x)]
 
 
 def settled_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -113,6 +154,19 @@ def smooth(y: np.ndarray, rate: float, seconds: float = 1.0, order: int = 3) ->
     return local_polynomial(filled, width, min(order, width - 1))
 
 
+def _three_diagonals(low: np.ndarray, mid: np.ndarray, high: np.ndarray, r: np.ndarray) -> list[float]:
+    """Solves low[i] x[i - 1] + mid[i] x[i] + high[i] x[i + 1] = r[i], forward and back."""
+    low, high, mid, r = low.tolist(), high.tolist(), mid.tolist(), r.tolist()
+    for i in range(1, len(r)):
+        share = low[i] / mid[i - 1]
+        mid[i] -= share * high[i - 1]
+        r[i] -= share * r[i - 1]
+    out = [r[-1] / mid[-1]]
+    for i in range(len(r) - 2, -1, -1):
+        out.append((r[i] - high[i] * out[-1]) / mid[i])
+    return out[::-1]
+
+
 def spline_gaps(t: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A cubic spline (not-a-knot) through the finite samples; it changes gaps alone, not the samples."""
     good = np.isfinite(y) & np.isfinite(t)
@@ -121,13 +175,17 @@ def spline_gaps(t: np.ndarray, y: np.ndarray) -> np.ndarray:
         return y if good.all() or not good.any() else np.where(np.isfinite(y), y, np.interp(t, x, y[good][first]))
     v, h = y[good][first], np.diff(x)
     n = len(x)
-    m, r = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
-    m[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    c = np.linalg.solve(m, r)
+    # Second derivatives of the inner knots: three diagonals, once those of the ends are put in by the next two (not-a-knot).
+    low, mid, high = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    r = 6 * (np.diff(v[1:]) / h[1:] - np.diff(v[:-1]) / h[:-1])
+    mid[0] += h[0] * (h[0] + h[1]) / h[1]
+    high[0] -= h[0] ** 2 / h[1]
+    mid[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+    low[-1] -= h[-1] ** 2 / h[-2]
+    c = np.zeros(n)
+    c[1:-1] = _three_diagonals(low, mid, high, r)
+    c[0] = ((h[0] + h[1]) * c[1] - h[0] * c[2]) / h[1]
+    c[-1] = ((h[-1] + h[-2]) * c[-2] - h[-1] * c[-3]) / h[-2]
     at = np.clip(np.searchsorted(x, t[~good], side="right") - 1, 0, n - 2)
     a, b, k = t[~good] - x[at], x[at + 1] - t[~good], h[at]
     out = y.copy()
@@ -195,19 +253,29 @@ def peaks(y: np.ndarray, height: float, distance: int, prominence: float, width:
 def fuse_vertical(t: np.ndarray, h: np.ndarray, acc: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Linear Kalman filter of height, climb and accelerometer bias: fused height and climb."""
     noise = max(float(np.nanvar(h - low_pass(h, rate, 0.5, 2))), 0.35**2)
-    x, p = np.array([h[0], 0.0, 0.0]), np.diag([4.0, 4.0, 0.8])
-    heights, climbs = np.empty(len(h)), np.empty(len(h))
-    for i in range(len(h)):
+    steps = np.clip(np.diff(t), 1e-4, 0.5).tolist()
+    height, climb, bias = float(h[0]), 0.0, 0.0
+    hh, hc, hb, cc, cb, bb = 4.0, 0.0, 0.0, 4.0, 0.0, 0.8  # covariances of height, climb and bias
+    heights, climbs = [], []
+    for i, (seen, push) in enumerate(zip(h.tolist(), acc.tolist())):
         if i:
-            dt = min(max(t[i] - t[i - 1], 1e-4), 0.5)
-            f = np.array([[1, dt, -dt * dt / 2], [0, 1, -dt], [0, 0, 1]])
-            x = f @ x + np.array([dt * dt / 2, dt, 0]) * acc[i]
-            p = f @ p @ f.T + np.diag([0.15 * dt**4, 0.6 * dt**2, 0.01 * dt])
-        gain = p[:, 0] / (p[0, 0] + noise)
-        x = x + gain * (h[i] - x[0])
-        p = p - np.outer(gain, p[0])
-        heights[i], climbs[i] = x[0], min(max(x[1], -50.0), 50.0)
-    return heights, climbs
+            dt = steps[i - 1]
+            half = dt * dt / 2
+            height += dt * climb + half * (push - bias)
+            climb += dt * (push - bias)
+            h1, h2, h3 = hh + dt * hc - half * hb, hc + dt * cc - half * cb, hb + dt * cb - half * bb
+            c2, c3 = cc - dt * cb, cb - dt * bb
+            hh, hc, hb = h1 + dt * h2 - half * h3 + 0.15 * dt**4, h2 - dt * h3, h3
+            cc, cb = c2 - dt * c3 + 0.6 * dt**2, c3
+            bb += 0.01 * dt
+        total, off = hh + noise, seen - height
+        k1, k2, k3 = hh / total, hc / total, hb / total
+        height, climb, bias = height + k1 * off, climb + k2 * off, bias + k3 * off
+        cc, cb, bb = cc - k2 * hc, cb - k2 * hb, bb - k3 * hb
+        hh, hc, hb = hh - k1 * hh, hc - k1 * hc, hb - k1 * hb
+        heights.append(height)
+        climbs.append(min(max(climb, -50.0), 50.0))
+    return np.array(heights), np.array(climbs)
 
 
 def z_scores(y: np.ndarray) -> np.ndarray:
@@ -216,19 +284,27 @@ def z_scores(y: np.ndarray) -> np.ndarray:
 
 
 def warping_path(a: np.ndarray, b: np.ndarray, band: int) -> list[tuple[int, int]]:
-    """Dynamic time warping within a band around the diagonal."""
+    """Dynamic time warping within a band around the diagonal; of the matrix only the band is held.
+
+    Along a row a cell is the least, over the cells where the row may have been entered, of the entry plus what lies between."""
     n, m = len(a), len(b)
     band = max(band, abs(n - m) + 1)
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0
+    lows = [max(1, round(i * m / n) - band) for i in range(n + 1)]
+    highs = [min(m, round(i * m / n) + band) for i in range(n + 1)]
+    rows, lows[0], highs[0] = [np.array([0.0])], 0, 0
+    reach = lambda i, lo, hi: np.concatenate([np.full(max(0, min(lows[i], hi + 1) - lo), np.inf), rows[i][max(0, lo - lows[i]) : max(0, hi + 1 - lows[i])], np.full(max(0, hi - max(highs[i], lo - 1)), np.inf)])
     for i in range(1, n + 1):
-        centre = round(i * m / n)
-        for j in range(max(1, centre - band), min(m, centre + band) + 1):
-            cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
+        lo, hi = lows[i], highs[i]
+        d = np.abs(b[lo - 1 : hi] - a[i - 1])
+        above = reach(i - 1, lo - 1, hi)
+        entry = np.minimum(above[1:], above[:-1])
+        before = np.concatenate(([0.0], np.cumsum(d)))
+        rows.append(before[1:] + np.minimum.accumulate(entry - before[:-1]))
     path, i, j = [], n, m
+    cost = lambda i, j: rows[i][j - lows[i]] if lows[i] <= j <= highs[i] else np.inf
     while i and j:
         path.append((i - 1, j - 1))
-        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda s: cost[s])
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda s: cost(*s))
     return path[::-1]
 
 

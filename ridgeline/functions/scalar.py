@@ -137,15 +137,16 @@ ORDINALS = ["First", "Second", "Third", "Fourth", "Fifth", "Sixth", "Seventh", "
 
 
 def ordinal_label(n: Column) -> Column:
-    """First to Tenth, then 11th, 21st, 22nd and so on, of a number from 1."""
+    """First run to Tenth run, then 11th run, 21st run, 22nd run and so on, of a number from 1."""
     last = F.pmod(n, F.lit(10))
     teen = F.pmod(n, F.lit(100)).between(11, 13)
     ending = F.when(teen, "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th")
-    return F.when(n.between(1, 10), F.element_at(F.array(*map(F.lit, ORDINALS)), clamp(n, 1, 10).cast("int"))).otherwise(F.concat(n.cast("string"), ending))
+    return F.when(n.between(1, 10), F.concat(F.element_at(F.array(*map(F.lit, ORDINALS)), clamp(n, 1, 10).cast("int")), F.lit(" run"))).otherwise(F.concat(n.cast("string"), ending, F.lit(" run")))
 
 
 def safe_stem(name: Column, most: int = 64) -> Column:
-    return F.substring(F.regexp_replace(name, r"[^A-Za-z0-9_\-.]+", "_"), 1, most)
+    """Runs of signs become one _; letters and digits of any script stay."""
+    return F.substring(F.regexp_replace(name, r"[^\p{L}\p{N}\p{M}_\-.]+", "_"), 1, most)
 
 
 def duration_label(seconds: Column) -> Column:
@@ -177,8 +178,9 @@ def rgb_mix(x: Column, scale: Column, cold: tuple[int, int, int] = (0, 114, 178)
     return F.concat(F.lit("rgb("), F.concat_ws(",", *[F.round(a + (b - a) * share).cast("int").cast("string") for a, b in zip(cold, warm)]), F.lit(")"))
 
 
-# Sensor files. Stems of the sensors' files, in the order in which they are tried.
+# Sensor files. Stems of the sensors' files, in the order in which they are tried; those of gyroscopes must begin the name.
 STREAM_STEMS = [("gyroscopeuncalibrated", "gyro_uncal"), ("gyroscope", "gyro"), ("accelerometeruncalibrated", "acc_uncal"), ("totalacceleration", "total_acc"), ("gravity", "gravity"), ("accelerometer", "acc")]
+NO_STREAM = ["metadata", "location", "barometer"]
 
 
 def bare_stem(name: Column) -> Column:
@@ -188,12 +190,43 @@ def bare_stem(name: Column) -> Column:
 
 
 def stream_prefix(name: Column) -> Column:
-    stem, out = bare_stem(name), F.lit(None).cast("string")
-    for start, prefix in reversed(STREAM_STEMS):
-        out = F.when(stem.startswith(start), prefix).otherwise(out)
-    return out
+    """The columns' prefix of a motion file; acc where no stem is known, null for files of other kinds."""
+    stem, out = bare_stem(name), F.lit("acc")
+    for part, prefix in reversed(STREAM_STEMS):
+        out = F.when(stem.startswith(part) if prefix == "gyro" else stem.contains(part), prefix).otherwise(out)
+    other = (stem == NO_STREAM[0]) | stem.startswith(NO_STREAM[1]) | stem.contains(NO_STREAM[2])
+    return F.when(~other, out)
 
 
 def is_motion_sensor(name: Column) -> Column:
     stem = bare_stem(name)
     return F.greatest(*[stem.contains(s) for s, _ in STREAM_STEMS], stem.contains("orientation"))
+
+
+# Views --------------------------------------------------------------------------------------------------------------
+
+
+def percentile_pair(low: Column, high: Column) -> tuple[Column, Column]:
+    """Whole percentiles within 0 to 98 and 2 to 100, at least two apart; 2 and 98 where there are none."""
+    lo = clamp(F.round(F.coalesce(low, F.lit(2.0))), 0.0, 98.0)
+    hi = clamp(F.round(F.coalesce(high, F.lit(98.0))), 2.0, 100.0)
+    up = F.when(hi - lo < 2, F.least(F.lit(100.0), lo + 2)).otherwise(hi)
+    return F.when(up - lo < 2, F.greatest(F.lit(0.0), up - 2)).otherwise(lo), up
+
+
+def section_around(centre: Column, total: Column, width: float = 0.2) -> tuple[Column, Column]:
+    """A section of a width around a place, kept inside the total; all of a shorter total."""
+    start = F.greatest(F.lit(0.0), F.least(centre - width / 2, total - width))
+    return F.when(total <= width, 0.0).otherwise(start), F.when(total <= width, F.greatest(total, F.lit(0.05))).otherwise(start + width)
+
+
+def default_section(total: Column) -> tuple[Column, Column]:
+    """1 to 1.2 of at least 1.25, else the stretch from 35 to 55 %, of 0.05 at least."""
+    start = F.greatest(F.lit(0.0), total * 0.35)
+    return F.when(total >= 1.25, 1.0).otherwise(start), F.when(total >= 1.25, 1.2).otherwise(F.greatest(start + 0.05, total * 0.55))
+
+
+def smooth_or_raw(smooth: Column, raw: Column, least: float = 0.0) -> Column:
+    """The smooth value where it is finite and more than `least` in size, else the raw one, else 0."""
+    good = smooth.isNotNull() & ~F.isnan(smooth) & (F.abs(smooth) != float("inf")) & (F.abs(smooth) > least)
+    return F.coalesce(F.when(good, smooth), raw, F.lit(0.0))

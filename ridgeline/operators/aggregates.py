@@ -47,22 +47,31 @@ def floor_rank(v: Column, share: float) -> Column:
     return F.element_at(values, F.least(F.floor(share * F.size(values)).cast("int") + 1, F.size(values)))
 
 
-def robust_range(df: DataFrame, by: list[str], v: str, low: float = 0.02, high: float = 0.98, pad: float = 0.08, least_span: float = 0.0, symmetric: bool = False) -> DataFrame:
-    """An axis's ends from nearest-rank percentiles, widened by a share of the span, kept within the data and at least so wide.
-
-    Groups of fewer than four finite values get no range."""
-    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
-    own = df.where(F.col(v).isNotNull() & ~F.isnan(v)).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), nearest_rank(v, low).alias("_a"), nearest_rank(v, high).alias("_b"), F.min(v).alias("_min"), F.max(v).alias("_max")).where("_n >= 4")
-    if symmetric:
-        most = F.greatest(F.abs("_a"), F.abs("_b"))
-        own = own.withColumn("_s", most).withColumn("_a", -F.col("_s")).withColumn("_b", F.col("_s"))
-    eps = F.greatest(F.lit(1e-6), 1e-4 * F.abs(mid("_a", "_b")))
+def robust_range(df: DataFrame, by: list[str], v: str, low: float = 0.02, high: float = 0.98, pad: float = 0.08, least_span: float = 0.0, most: float | None = None, least: float | None = None) -> DataFrame:
+    """An axis's ends from nearest-rank percentiles, widened by a share of the span, kept within the data and the bounds, and at least so wide.
+
+    Groups of fewer than four finite values, or whose bounds leave nothing, get no range."""
+    own = _finite(df, v).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), nearest_rank(v, low).alias("_a"), nearest_rank(v, high).alias("_b"), F.min(v).alias("_min"), F.max(v).alias("_max")).where("_n >= 4")
+    middle = (F.col("_a") + F.col("_b")) / 2
+    eps = F.greatest(F.lit(1e-6), 1e-4 * F.abs(middle))
     own = own.withColumn("_e", F.when(F.col("_b") - F.col("_a") < eps, eps).otherwise(0.0)).withColumn("_a", F.col("_a") - F.col("_e")).withColumn("_b", F.col("_b") + F.col("_e"))
-    own = own.withColumn("_w", (F.col("_b") - F.col("_a")) * pad).withColumn("_a", F.col("_a") - F.col("_w")).withColumn("_b", F.col("_b") + F.col("_w"))
-    if not symmetric:
-        own = own.withColumn("_a", F.greatest("_a", F.col("_min") - F.col("_w"))).withColumn("_b", F.least("_b", F.col("_max") + F.col("_w")))
-    short = F.greatest(least_span - (F.col("_b") - F.col("_a")), F.lit(0.0)) / 2
-    return own.select(*by, (F.col("_a") - short).alias("low"), (F.col("_b") + short).alias("high"))
+    own = own.withColumn("_w", (F.col("_b") - F.col("_a")) * pad).withColumn("_a", F.greatest(F.col("_a") - F.col("_w"), F.col("_min") - F.col("_w"))).withColumn("_b", F.least(F.col("_b") + F.col("_w"), F.col("_max") + F.col("_w")))
+    bound = lambda d: d.withColumns({"_a": F.greatest("_a", F.lit(least)) if least is not None else F.col("_a"), "_b": F.least("_b", F.lit(most)) if most is not None else F.col("_b")})
+    own = bound(own)
+    own = own.withColumn("_s", F.greatest(least_span - (F.col("_b") - F.col("_a")), F.lit(0.0)) / 2).withColumns({"_a": F.col("_a") - F.col("_s"), "_b": F.col("_b") + F.col("_s")})
+    return bound(own).where("_b > _a").select(*by, F.col("_a").alias("low"), F.col("_b").alias("high"))
+
+
+def robust_symmetric(df: DataFrame, by: list[str], v: str, high: float = 0.98, pad: float = 0.06, least_span: float = 0.0, most: float | None = None) -> DataFrame:
+    """An axis around 0 from a nearest-rank percentile of the magnitude, widened by a share, within a bound and at least so wide."""
+    own = _finite(df, v).withColumn("_v", F.abs(v)).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), nearest_rank("_v", high).alias("_h")).where("_n >= 4")
+    half = F.col("_h") * (1 + pad) if most is None else F.least(F.col("_h") * (1 + pad), F.lit(most))
+    own = own.withColumn("_h", half).where("_h > 0").withColumn("high", F.greatest(2 * F.col("_h"), F.lit(least_span)) / 2)
+    return own.select(*by, (-F.col("high")).alias("low"), "high")
+
+
+def _finite(df: DataFrame, v: str) -> DataFrame:
+    return df.where(F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
 
 
 def median_and_mad(df: DataFrame, by: list[str], v: str) -> DataFrame:
@@ -95,3 +104,30 @@ def bounds(df: DataFrame, by: list[str], lat: str, lon: str, pad: float = 0.05)
         margin = (F.col(f"max_{c}") - F.col(f"min_{c}")) * pad
         box = box.withColumn("_m", margin).withColumn(f"min_{c}", F.col(f"min_{c}") - F.col("_m")).withColumn(f"max_{c}", F.col(f"max_{c}") + F.col("_m")).drop("_m")
     return box.withColumn("aspect", (F.col(f"max_{lon}") - F.col(f"min_{lon}")) * F.cos(F.radians((F.col(f"max_{lat}") + F.col(f"min_{lat}")) / 2)) / F.nullif(F.col(f"max_{lat}") - F.col(f"min_{lat}"), F.lit(0.0)))
+
+
+def symmetric_range(v: str, least: float = 0.75) -> tuple[Column, Column]:
+    """An axis around 0: 1.2 times the magnitude of index floor(0.98 n), at least so much. Over the finite values of a group."""
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), F.abs(v))
+    bound = F.greatest(1.2 * floor_rank(finite, 0.98), F.lit(least))
+    return -bound, bound
+
+
+def axis_range(v: str, least_pad: float = 1.0) -> tuple[Column, Column]:
+    """Least and greatest finite value, widened by 12 % of the span or so much at least; a single value by 1."""
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), F.col(v))
+    low, high = F.min(finite), F.max(finite)
+    pad = F.when(low == high, 1.0).otherwise(F.greatest((high - low) * 0.12, F.lit(least_pad)))
+    return low - pad, high + pad
+
+
+def finite_summary(df: DataFrame, by: list[str], v: str, order: str) -> DataFrame:
+    """by, low, high, last: least, greatest and latest of the finite values."""
+    finite = F.when(F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), F.col(v))
+    return df.groupBy(*by).agg(F.min(finite).alias("low"), F.max(finite).alias("high"), F.max(F.when(finite.isNotNull(), F.struct(order, v))).alias("_l")).select(*by, "low", "high", F.col(f"_l.{v}").alias("last"))
+
+
+def total_distance(df: DataFrame, o: Ordered, distance: str = "distance_m") -> DataFrame:
+    """One row: the greatest of the runs' last distances, 0 without any."""
+    last = df.groupBy(*o.by).agg(F.max(F.struct(*o.order, distance)).alias("_l"))
+    return last.agg(F.greatest(F.coalesce(F.max(f"_l.{distance}"), F.lit(0.0)), F.lit(0.0)).alias("total_m"))

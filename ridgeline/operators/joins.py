@@ -1,7 +1,7 @@
 """Joins that ordered and spatial data need, as plans of shuffles and windows.
 
-As-of and interpolation joins put both sides into one table, ordered by key and time, and look back and ahead with window
-functions: one shuffle and one sort, no product of the sides. Spatial joins meet in grid cells of the radius.
+As-of and interpolation joins put both sides into one table, dealt by key, and look back and ahead with window functions:
+one shuffle, a sort for each direction, no product of the sides. Spatial joins meet in grid cells of the radius.
 """
 
 from __future__ import annotations
@@ -108,22 +108,23 @@ def nearest_row(rows: DataFrame, x: str, target: Column, by: list[str], order: s
     return rows.withColumn("_d", F.abs(F.col(x) - target)).groupBy(*by).agg(F.min(F.struct("_d", order, x)).alias("_b")).select(*by, f"_b.{order}", f"_b.{x}")
 
 
-def in_intervals(rows: DataFrame, intervals: DataFrame, x: str, low: str, high: str, by: list[str] | None = None, slack: float = 0.0, most: int = 100_000) -> DataFrame:
-    """Rows with the intervals that hold x, both ends included.
-
-    A list of at most `most` intervals is sent to all tasks (its size is counted); a longer one meets the rows in cells
-    as wide as its longest interval, each interval standing in the two or three cells that it touches."""
-    held = rows[x].between(intervals[low] - slack, intervals[high] + slack)
-    keys = [rows[c] == intervals[c] for c in by or []]
-    n, width = intervals.agg(F.count(F.lit(1)), F.max(F.col(high) - F.col(low))).first()
-    if n <= most:
-        return rows.join(F.broadcast(intervals), [held, *keys])
-    width = max(float(width), 1e-9) + 2 * slack
-    cells = F.sequence(F.floor((F.col(low) - slack) / width), F.floor((F.col(high) + slack) / width))
-    spread = intervals.withColumn("_cell", F.explode(cells))
-    dealt = rows.withColumn("_cell", F.floor(F.col(x) / width))
-    cond = [dealt["_cell"] == spread["_cell"], dealt[x].between(spread[low] - slack, spread[high] + slack), *[dealt[c] == spread[c] for c in by or []]]
-    return dealt.join(spread, cond).drop("_cell")
+def in_intervals(rows: DataFrame, intervals: DataFrame, x: str, low: str, high: str, by: list[str] | None = None, slack: float = 0.0) -> DataFrame:
+    """Rows with the intervals that hold x, both ends included: the columns of both, `by` once.
+
+    Both meet in cells: an interval stands in the two or three cells that it touches, of the power of two that its length
+    fits in, so long and short ones don't get into each other's way; a row asks one cell for each such power that there is."""
+    levels = intervals.select(F.greatest(F.ceil(F.log2(F.greatest(F.col(high) - F.col(low) + 2 * slack, F.lit(1e-9)))), F.lit(-30)).cast("int").alias("_level"), "*")
+    width = lambda e: F.pow(F.lit(2.0), e)
+    cells = F.sequence(F.floor((F.col(low) - slack) / width(F.col("_level"))), F.floor((F.col(high) + slack) / width(F.col("_level"))))
+    spread = levels.where(F.col(low) <= F.col(high)).withColumn("_cell", F.explode(cells))
+    there = levels.agg(F.sort_array(F.collect_set("_level")).alias("_levels"))  # one row of at most some dozens
+    asked = F.transform("_levels", lambda e: F.struct(e.alias("e"), F.floor(F.col(x) / width(e)).alias("c")))
+    dealt = rows.crossJoin(F.broadcast(there)).withColumn("_ask", F.explode(asked)).drop("_levels")
+    by = by or []
+    spread = spread.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    held = F.col(x).between(F.col(low) - slack, F.col(high) + slack)
+    cond = [F.col("_ask.e") == F.col("_level"), F.col("_ask.c") == F.col("_cell"), held, *[F.col(c) == F.col(f"_of_{c}") for c in by]]
+    return dealt.join(spread, cond).drop("_cell", "_ask", "_level", *[f"_of_{c}" for c in by])
 
 
 def same_sets(members: DataFrame, owner: str, value: str, wanted: list) -> DataFrame:

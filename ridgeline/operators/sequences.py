@@ -29,7 +29,8 @@ class Ordered:
 
     @property
     def future(self) -> WindowSpec:
-        return self.w.rowsBetween(0, Window.unboundedFollowing)
+        """Rows from this one on, in reversed order: a frame that grows by a row is one pass, a frame that shrinks is worked out anew for each row."""
+        return Window.partitionBy(*self.by).orderBy(*[F.desc_nulls_last(c) for c in self.order]).rowsBetween(Window.unboundedPreceding, 0)
 
     def rows(self, a: int, b: int) -> WindowSpec:
         return self.w.rowsBetween(a, b)
@@ -61,7 +62,7 @@ def with_elapsed(df: DataFrame, o: Ordered, ns: str = "unix_ns", out: str = "tim
 
 def fill_both(c: str, o: Ordered) -> Column:
     """The last value before or at a row, else the first after it."""
-    return F.coalesce(F.last(c, ignorenulls=True).over(o.past), F.first(c, ignorenulls=True).over(o.future))
+    return F.coalesce(F.last(c, ignorenulls=True).over(o.past), F.last(c, ignorenulls=True).over(o.future))
 
 
 def fill_linear(df: DataFrame, c: str, o: Ordered, out: str, default: float = 0.0, x: str | None = None) -> DataFrame:
@@ -69,7 +70,7 @@ def fill_linear(df: DataFrame, c: str, o: Ordered, out: str, default: float = 0.
     at = F.col(x) if x else o.number()
     df = df.withColumn("_x", at.cast("double"))
     known = F.when(F.col(c).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(c).alias("y")))
-    df = df.withColumn("_a", F.last(known, ignorenulls=True).over(o.past)).withColumn("_b", F.first(known, ignorenulls=True).over(o.future))
+    df = df.withColumn("_a", F.last(known, ignorenulls=True).over(o.past)).withColumn("_b", F.last(known, ignorenulls=True).over(o.future))
     line = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col("_x") - F.col("_a.x")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0))
     return df.withColumn(out, F.coalesce(F.col(c), line, F.col("_a.y"), F.col("_b.y"), F.lit(default))).drop("_x", "_a", "_b")
 
@@ -255,6 +256,11 @@ def chunks(df: DataFrame, o: Ordered, parts: int, out: str = "chunk") -> DataFra
     return rows.where((F.col(out) <= last) | (F.col("_n") < 2)).drop("_i", "_n")
 
 
+def padded(low: float, high: float, share: float = 0.04) -> tuple[float, float]:
+    """A box's side, wider by a share at either end."""
+    return low - (high - low) * share, high + (high - low) * share
+
+
 def viewport(df: DataFrame, o: Ordered, lat: tuple[float, float], lon: tuple[float, float], most: int, least: int = 2) -> DataFrame:
     """Rows of each run inside a box, both ends included, thinned to about `most`; of runs with too few rows inside all rows."""
     inside = F.coalesce(F.col("latitude").between(*lat) & F.col("longitude").between(*lon), F.lit(False))

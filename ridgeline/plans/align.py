@@ -11,7 +11,8 @@ from ridgeline.functions import dsp
 from ridgeline.functions import scalar as S
 from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
-from ridgeline.plans import compare
+from ridgeline.plans import compare, features
+from ridgeline.sources.shared import written
 
 RADIUS_M, SPAN_M, FORWARD_M, ONWARD_M, BACK_M = 12.0, 50.0, 35.0, 140.0, 8.0
 
@@ -53,38 +54,67 @@ def altitude_agreement(a: DataFrame, b: DataFrame, by: list[str], altitude: str
     return out.withColumn("reason", reason).select(*by, F.when(F.col("reason") == "trimmed", F.col("first_distance_m")).otherwise(0.0).alias("trim_m"), "reason")
 
 
-def climb_lag(a: DataFrame, b: DataFrame, by: str, vz: str = "vz_m_s", most_m: float | None = None) -> DataFrame:
-    """by, lag_s, peak: samples are paired by index; within most_m of a's start if that leaves 32."""
+def climb_lag(a: DataFrame, b: DataFrame, by: str, vz: str = "vz_m_s", most_m: float | None = 100.0, least: int = 32) -> DataFrame:
+    """by, lag_s, lag_samples, peak, n_samples, median_dt_s: samples are paired by index; within most_m of a's start if that leaves `least`."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({by: [], "lag_s": [], "peak": []})
+            return pd.DataFrame({c: [] for c in (by, "lag_s", "lag_samples", "peak", "n_samples", "median_dt_s")})
         left, right = left.sort_values("unix_ns"), right.sort_values("unix_ns")
         n = min(len(left), len(right))
         x, y = left[vz].to_numpy(float)[:n], right[vz].to_numpy(float)[:n]
-        if most_m is not None and (own := left["distance_m"].to_numpy()[:n] <= most_m).sum() >= 32:
+        if most_m is not None and (own := left["distance_m"].to_numpy()[:n] <= most_m).sum() >= least:
             x, y = x[own], y[own]
         gaps = np.diff(right["unix_ns"].to_numpy()) * 1e-9
-        lag, peak = dsp.best_lag(np.nan_to_num(x), np.nan_to_num(y), float(np.median(gaps)) if len(gaps) else 0.04)
-        return pd.DataFrame({by: [left[by].iloc[0]], "lag_s": [lag], "peak": [peak]})
+        step = float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else 0.04
+        lag, peak = dsp.best_lag(np.nan_to_num(x), np.nan_to_num(y), step)
+        return pd.DataFrame({by: [left[by].iloc[0]], "lag_s": [lag], "lag_samples": [round(lag / max(step, 1 / 500))], "peak": [peak], "n_samples": [len(x)], "median_dt_s": [step]})
 
     cut = lambda d: d.select(*[F.col(c).alias(c) for c in (by, "unix_ns", "distance_m", vz)])
-    return cut(a).groupBy(by).cogroup(cut(b).groupBy(by)).applyInPandas(kernel, f"{by} long, lag_s double, peak double")
+    return cut(a).groupBy(by).cogroup(cut(b).groupBy(by)).applyInPandas(kernel, f"{by} long, lag_s double, lag_samples long, peak double, n_samples long, median_dt_s double")
 
 
 def rezero(rows: DataFrame, o: Q.Ordered) -> DataFrame:
     return rows.withColumns({c: F.col(c) - F.min(c).over(o.all) for c in ("distance_m", "time_s")})
 
 
-def from_gate(rows: DataFrame, by: str, lat: float, lon: float, radius: float) -> DataFrame:
-    """Each run from its first row within the radius of the gate (else its nearest row) to its end, from zero again."""
+def gate_rows(rows: DataFrame, by: str, lat: float, lon: float, radius: float) -> DataFrame:
+    """by, gate_row (from 1), inside: each run's first row within the radius of the gate, else its nearest row."""
+    numbered = rows.withColumn("_rn", Q.Ordered(by, "unix_ns").number())
+    d = S.haversine_m(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))
+    return J.first_or_nearest(numbered, d, radius, [by], "_rn").select(by, F.col("_rn").alias("gate_row"), "inside")
+
+
+def from_row(rows: DataFrame, gates: DataFrame, by: str) -> DataFrame:
+    """Each run from its gate row to its end, from zero again."""
     o = Q.Ordered(by, "unix_ns")
+    gate = gates.select(F.col(by).alias("_by"), F.col("gate_row").alias("_gate"))
     numbered = rows.withColumn("_rn", o.number())
-    d = S.haversine_m(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))
-    gate = J.first_or_nearest(numbered, d, radius, [by], "_rn").select(F.col(by).alias("_by"), F.col("_rn").alias("_gate"))
     return rezero(numbered.join(gate, F.col(by) == F.col("_by")).where(F.col("_rn") >= F.col("_gate")).drop("_rn", "_by", "_gate"), o)
 
 
+def gate_line(rows: DataFrame, gates: DataFrame, by: str, half_width: float = 12.0) -> DataFrame:
+    """by, gate_row, latitude, longitude, bearing_deg and the ends of a line across the way of travel at each run's gate row: left and right of it.
+
+    Travel is towards the next row, at the last row from the one before. Runs of one row have no bearing."""
+    o = Q.Ordered(by, "unix_ns")
+    e, n = F.col("_e"), F.col("_n")
+    step = lambda c: F.coalesce(o.lead(c) - F.col(c), F.col(c) - o.lag(c))
+    middle = F.coalesce((o.lead("latitude") + F.col("latitude")) / 2, (o.lag("latitude") + F.col("latitude")) / 2)
+    moves = rows.withColumns({"_rn": o.number(), "_e": F.radians(step("longitude")) * F.cos(F.radians(middle)) * S.EARTH_RADIUS_M, "_n": F.radians(step("latitude")) * S.EARTH_RADIUS_M})
+    size = F.sqrt(e * e + n * n) + 1e-9
+    at = moves.join(gates.select(F.col(by).alias("_by"), "gate_row"), (F.col(by) == F.col("_by")) & (F.col("_rn") == F.col("gate_row")))
+    end = lambda sign: S.offset_position(F.col("latitude"), F.col("longitude"), -n / size * sign * half_width, e / size * sign * half_width)
+    (lat_a, lon_a), (lat_b, lon_b) = end(-1.0), end(1.0)
+    return at.select(by, "gate_row", "latitude", "longitude", F.degrees(F.atan2(e, n)).alias("bearing_deg"), lat_a.alias("gate_lat_a"), lon_a.alias("gate_lon_a"), lat_b.alias("gate_lat_b"), lon_b.alias("gate_lon_b"))
+
+
+def gate_of(meta: DataFrame, by: str) -> DataFrame:
+    """The gate lines that there are in rows about alignments: by, and an array of its two ends (longitude, latitude)."""
+    ends = F.array(*[F.struct(F.col(f"gate_lon_{s}").alias("longitude"), F.col(f"gate_lat_{s}").alias("latitude")) for s in "ab"])
+    return meta.where("gate_lon_a is not null and gate_lon_b is not null").select(by, ends.alias("gate_line"))
+
+
 def equal_length(a: DataFrame, b: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both runs of each pair, cut to the shorter one's rows."""
     o = Q.Ordered(by, "unix_ns")
@@ -92,24 +122,51 @@ def equal_length(a: DataFrame, b: DataFrame, by: list[str]) -> tuple[DataFrame,
     return tuple(d.withColumn("_rn", o.number()).join(n, by).where(F.col("_rn") <= F.col("_most")).drop("_rn", "_most") for d in (a, b))
 
 
-def align_gate(a: DataFrame, b: DataFrame, by: str, lat: float, lon: float, radius: float = 25.0, moves: float = 0.3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both runs from a gate on, cut to one length, and from their first to their last climb or descent; with the lag of their climbs."""
+def shared_distance(a: DataFrame, b: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Both runs up to the lesser of their greatest distances; pairs without a common distance have no rows."""
+    most = compare.overlap(a, b, [by]).where("shared_m > 0")
+    return tuple(d.join(most, by).where(F.col("distance_m") <= F.col("shared_m")).drop("shared_m") for d in (a, b))
+
+
+def _finish(a: DataFrame, b: DataFrame, by: str, moves: float) -> tuple[DataFrame, DataFrame]:
+    """From the first to the last climb or descent, up to the shared distance, braking worked out anew."""
     o = Q.Ordered(by, "unix_ns")
-    a, b = equal_length(from_gate(a, by, lat, lon, radius), from_gate(b, by, lat, lon, radius), [by])
-    lags = climb_lag(a, b, by)
-    trim = lambda d: rezero(Q.edge_trim(d, F.abs("vz_m_s") > moves, o), o)
-    return trim(a), trim(b), lags
+    a, b = shared_distance(*(rezero(Q.edge_trim(d, F.abs("vz_m_s") > moves, o), o) for d in (a, b)), by)
+    anew = lambda d: features.braking_at_rate(d, "acc_y_filt", o) if "acc_y_filt" in d.columns else d
+    return anew(a), anew(b)
+
+
+def align_gate(a: DataFrame, b: DataFrame, by: str, lat: float, lon: float, radius: float = 20.0, moves: float = 0.03, most_m: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both runs from a gate on, cut to one length, from their first to their last climb or descent, up to the distance that they share; with a row on the alignment for each pair.
+
+    The row has the gate rows and places of both, the gate line across a's way, the rows after the cut, and climb_lag's columns."""
+    gates = [gate_rows(d, by, lat, lon, radius) for d in (a, b)]
+    line = gate_line(a, gates[0], by).withColumnsRenamed({"gate_row": "gate_row_a", "latitude": "gate_latitude_a", "longitude": "gate_longitude_a"})
+    other = gate_line(b, gates[1], by).select(by, F.col("gate_row").alias("gate_row_b"), F.col("latitude").alias("gate_latitude_b"), F.col("longitude").alias("gate_longitude_b"))
+    a, b = (written(d, "runs") for d in equal_length(from_row(a, gates[0], by), from_row(b, gates[1], by), [by]))
+    lags = climb_lag(a, b, by, most_m=most_m)
+    cropped = a.groupBy(by).agg(F.count(F.lit(1)).alias("cropped_rows"))
+    a, b = _finish(a, b, by, moves)
+    return a, b, lags.join(line, by, "left").join(other, by, "left").join(cropped, by, "left").withColumn("quality", S.sync_label(F.col("peak")))
+
 
+def align_auto(a: DataFrame, b: DataFrame, by: str, moves: float = 0.03, most_m: float = 100.0, least: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both runs over the corridor that they share, from where their altitudes agree, cut to one length and to the distance that they share; with a row on the alignment for each pair.
 
-def align_auto(a: DataFrame, b: DataFrame, by: str, moves: float = 0.3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both runs over the corridor that they share, from where their altitudes agree; with a row on the alignment for each pair."""
+    Pairs of which fewer than `least` rows are left have the reason too_few_rows, and no rows."""
     o = Q.Ordered(by, "unix_ns")
-    found = shared_corridor(a, b, [by])
+    found = written(shared_corridor(a, b, [by]), "corridor")
     cut = lambda d, s: rezero(d.join(found.select(by, F.col(f"{s}_start").alias("_lo"), F.col(f"{s}_end").alias("_hi")), by).where(F.floor("distance_m").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi"), o)
-    a, b = cut(a, "a"), cut(b, "b")
-    agreed = altitude_agreement(a, b, [by])
+    a, b = written(cut(a, "a"), "runs"), written(cut(b, "b"), "runs")
+    agreed = written(altitude_agreement(a, b, [by]), "agreement")
     tail = lambda d: rezero(d.join(agreed.select(by, "trim_m"), by).where(F.col("distance_m") >= F.col("trim_m")).drop("trim_m"), o)
-    a, b = tail(a), tail(b)
-    lags = climb_lag(a, b, by)
-    trim = lambda d: rezero(Q.edge_trim(d, F.abs("vz_m_s") > moves, o), o)
-    return trim(a), trim(b), found.join(agreed, by).join(lags, by, "left").withColumn("quality", S.sync_label(F.col("peak")))
+    a, b = (written(d, "runs") for d in equal_length(tail(a), tail(b), [by]))
+    cropped = a.groupBy(by).agg(F.count(F.lit(1)).alias("cropped_rows"))
+    few = F.coalesce("cropped_rows", F.lit(0)) < least
+    a, b = (d.join(cropped.where(~few).select(by), by, "left_semi") for d in (a, b))
+    first = a.select(by, F.lit(1).alias("gate_row")).distinct()
+    line = gate_line(a, first, by).drop("gate_row").withColumnsRenamed({"latitude": "gate_latitude_a", "longitude": "gate_longitude_a"})
+    lags = climb_lag(a, b, by, most_m=most_m)
+    a, b = _finish(a, b, by, moves)
+    meta = found.join(agreed, by).join(cropped, by, "left").withColumn("reason", F.when(few, "too_few_rows").otherwise(F.col("reason")))
+    return a, b, meta.join(lags, by, "left").join(line, by, "left").withColumn("quality", S.sync_label(F.col("peak")))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import dsp
 from ridgeline.operators import aggregates as A
 from ridgeline.operators import generators as G
+from ridgeline.operators import sequences as Q
 from ridgeline.plans import compare
+from ridgeline.sources.shared import written
 
 
 def fuse(runs: DataFrame, by: str = "run_id") -> DataFrame:
@@ -36,40 +38,58 @@ def fuse(runs: DataFrame, by: str = "run_id") -> DataFrame:
 def synthesise(runs: DataFrame, trail: str, by: str = "run_id", step: float = 1.0) -> DataFrame:
     """trail, distance_m, time_s, time_sigma_s, altitude_m, vz_m_s, grade, sigma_m, confidence_m, reliability, low_m, high_m: a reference for each trail of at least two runs.
 
-    Times are medians over runs on a common grid; altitudes and climbs of the other runs are warped onto the first run's and averaged, and a Gaussian process smooths the outcome."""
-    fused = fuse(runs, by).join(runs.select(trail, by).distinct(), by)
+    Times are medians over runs on a common grid; altitudes and climbs of the other runs are warped onto the first run's and averaged, and a Gaussian process smooths the outcome.
+    Each run belongs to one trail and is warped in a task of its own; a trail meets again as one averaged profile, a row for each step."""
+    fused = written(fuse(runs, by).join(runs.select(trail, by).distinct(), by), "fused")
     limits = fused.groupBy(trail, by).agg(F.max("distance_m").alias("_d")).groupBy(trail).agg((F.floor(F.min("_d") / step) * step + step / 2).alias("_most"), F.count(F.lit(1)).alias("_n")).where("_n >= 2")
     grid = G.distance_grid(fused.select(trail, by).distinct().join(limits, trail), [trail, by], "_most", step)
     own = fused
     rows = grid
     for c in ("time_s", "altitude_m", "vz_m_s"):
         rows = rows.join(compare.time_on_grid(own, grid, [trail, by], time=c).select(trail, by, "grid_index", c), [trail, by, "grid_index"])
+    rows = written(rows, "gridded")
     times = A.dispersion(rows, [trail, "distance_m"], "time_s").select(trail, "distance_m", F.col("median").alias("time_s"), F.col("sigma").alias("time_sigma_s"))
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        tables = {k: v.sort_values("distance_m") for k, v in rows.groupby(by)}
-        first = tables[min(tables)]
-        d, base = first["distance_m"].to_numpy(), first["vz_m_s"].to_numpy()
-        heights, climbs = [], []
-        for k in sorted(tables):
-            v, h = tables[k]["vz_m_s"].to_numpy(), tables[k]["altitude_m"].to_numpy()
-            heights.append(h if k == min(tables) else dsp.warp_onto(base, v, h))
-            climbs.append(v if k == min(tables) else dsp.warp_onto(base, v, v))
-        heights, climbs = np.array(heights), np.array(climbs)
-        slopes = np.gradient(heights, step, axis=1)
-        q = (np.sign(slopes) * np.sqrt(np.abs(slopes) + 1e-12)).mean(0)
-        shape = np.concatenate(([0.0], np.cumsum(q * np.abs(q) * step)[:-1]))
-        shape += np.median(heights - shape)
-        height, sigma = dsp.gaussian_process(d, shape)
-        climb = np.median(climbs, 0)
+    onto = _warped(rows.select(trail, by, "grid_index", "distance_m", "altitude_m", "vz_m_s"), trail, by)
+    o = Q.Ordered([trail, by], "grid_index")
+    slope = F.coalesce((o.lead("altitude_m") - o.lag("altitude_m")) / 2, o.lead("altitude_m") - F.col("altitude_m"), F.col("altitude_m") - o.lag("altitude_m"), F.lit(0.0)) / step
+    onto = written(onto.withColumn("_q", Q.srvf(slope)), "warped")
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    place = [trail, "grid_index", "distance_m"]
+    mean = onto.groupBy(*place).agg(F.avg("_q").alias("_q"), half("vz_m_s").alias("_climb"), F.stddev_pop("altitude_m").alias("_spread"), half("altitude_m").alias("_mid"))
+    around = onto.join(mean.select(*place, "_mid"), place).groupBy(*place).agg(F.sqrt(F.avg(F.pow(F.col("altitude_m") - F.col("_mid"), F.lit(2.0)))).alias("_around"))
+    t = Q.Ordered(trail, "grid_index")
+    shape = F.coalesce(F.sum(F.col("_q") * F.abs(F.col("_q")) * step).over(t.rows(Window.unboundedPreceding, -1)), F.lit(0.0))
+    profile = mean.withColumn("_shape", shape)
+    level = onto.join(profile.select(*place, "_shape"), place).groupBy(trail).agg(half(F.col("altitude_m") - F.col("_shape")).alias("_level"))
+    profile = profile.join(level, trail).join(around, place).select(trail, "grid_index", "distance_m", (F.col("_shape") + F.col("_level")).alias("shape"), "_climb", "_spread", "_around")
+
+    def kernel(own: pd.DataFrame) -> pd.DataFrame:
+        d, climb = own["distance_m"].to_numpy(), own["_climb"].to_numpy()
+        height, sigma = dsp.gaussian_process(d, own["shape"].to_numpy())
         width = min(21, len(climb) - 1 | 1)
         if 3 <= width < len(climb):
             climb = dsp.local_polynomial(climb, width, 2)
-        spread = heights.std(0)
-        around = np.sqrt(((heights - np.median(heights, 0)) ** 2).mean(0))
-        sure = np.sqrt(sigma**2 + spread**2 + around**2)
-        return pd.DataFrame({trail: first[trail].to_numpy(), "distance_m": d, "altitude_m": height, "vz_m_s": climb, "grade": np.gradient(height, step), "sigma_m": sigma, "confidence_m": sure, "reliability": 1 / (1 + sure), "low_m": height - 1.96 * sure, "high_m": height + 1.96 * sure})
+        sure = np.sqrt(sigma**2 + own["_spread"].to_numpy() ** 2 + own["_around"].to_numpy() ** 2)
+        grade = np.gradient(height, step) if len(d) > 1 else np.zeros(len(d))
+        return pd.DataFrame({trail: own[trail].to_numpy(), "distance_m": d, "altitude_m": height, "vz_m_s": climb, "grade": grade, "sigma_m": sigma, "confidence_m": sure, "reliability": 1 / (1 + sure), "low_m": height - 1.96 * sure, "high_m": height + 1.96 * sure})
 
     names = ["altitude_m", "vz_m_s", "grade", "sigma_m", "confidence_m", "reliability", "low_m", "high_m"]
-    profile = rows.select(trail, by, "distance_m", "altitude_m", "vz_m_s").groupBy(trail).applyInPandas(kernel, f"{trail} long, distance_m double, " + ", ".join(f"{n} double" for n in names))
-    return times.join(profile, [trail, "distance_m"])
+    smooth = dsp.per_run(profile, trail, ["grid_index"], kernel, f"{trail} long, distance_m double, " + ", ".join(f"{n} double" for n in names))
+    return times.join(smooth, [trail, "distance_m"])
+
+
+def _warped(rows: DataFrame, trail: str, by: str) -> DataFrame:
+    """rows (trail, by, grid_index, distance_m, altitude_m, vz_m_s) with altitudes and climbs of each run warped onto its trail's first run: a task holds two runs at a time."""
+    first = rows.groupBy(trail).agg(F.min(by).alias("_first"))
+    base = rows.join(first, trail).where(F.col(by) == F.col("_first")).select(trail, "grid_index", F.col("vz_m_s").alias("_base"))
+    both = rows.join(base, [trail, "grid_index"]).join(first, trail)
+
+    def kernel(own: pd.DataFrame) -> pd.DataFrame:
+        if own[by].iloc[0] == own["_first"].iloc[0]:
+            return own[names]
+        base, v, h = (own[c].to_numpy() for c in ("_base", "vz_m_s", "altitude_m"))
+        return own[names].assign(altitude_m=dsp.warp_onto(base, v, h), vz_m_s=dsp.warp_onto(base, v, v))
+
+    names = [trail, by, "grid_index", "distance_m", "altitude_m", "vz_m_s"]
+    return dsp.per_run(both, by, ["grid_index"], kernel, f"{trail} long, {by} long, grid_index long, distance_m double, altitude_m double, vz_m_s double")

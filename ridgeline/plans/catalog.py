@@ -34,10 +34,16 @@ def create_trails(trails: DataFrame, new: DataFrame) -> DataFrame:
 
 def list_sessions(sessions: DataFrame, files: DataFrame, blobs: DataFrame, session: str, blob: str, size: str, order: list[Column], limit: int = 25, where: Column | None = None) -> DataFrame:
     """Sessions with the number of their files and bytes, in order, 1 to 200 of them. session and blob: the keys that the tables share."""
-    own = sessions if where is None else sessions.where(where)
-    sums = files.join(blobs.select(blob, size), blob, "left").groupBy(session).agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"))
+    own = (sessions if where is None else sessions.where(where)).orderBy(*order).limit(max(1, min(limit, 200)))  # first the page, then its files alone
+    paged = files.join(F.broadcast(own.select(session)), session, "left_semi")
+    sums = paged.join(blobs.select(blob, size), blob, "left").groupBy(session).agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"))
     rows = own.join(sums, session, "left").withColumns({"file_count": F.coalesce("file_count", F.lit(0)), "total_bytes": F.coalesce("total_bytes", F.lit(0))})
-    return rows.orderBy(*order).limit(max(1, min(limit, 200)))
+    return rows.orderBy(*order)
+
+
+def get_trail(trails: DataFrame, trail: str) -> DataFrame:
+    """The row of one trail, or none."""
+    return trails.where(F.col("id") == trail).limit(1)
 
 
 def list_files(files: DataFrame, blobs: DataFrame, sessions: DataFrame, session: str, blob: str) -> DataFrame:

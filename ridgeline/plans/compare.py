@@ -31,10 +31,14 @@ def delta_t(a: DataFrame, b: DataFrame, by: list[str], step: float, distance: st
     return on_a.join(on_b, [*by, "grid_index"]).withColumn("delta_t_s", F.col("t_b_s") - F.col("t_a_s"))
 
 
-def pace(runs: DataFrame, reference: DataFrame, by: list[str], distance: str = "distance_m", time: str = "time_s") -> DataFrame:
-    """Runs against a reference (distance, time), at the reference's places from 0 to the overlap: t_run_s, t_reference_s, delta_t_s. Overlaps of one place are left out."""
-    limits = runs.groupBy(*by).agg(F.max(distance).alias("_most"))
-    held = limits.join(reference.select(distance, F.col(time).alias("t_reference_s")), (F.col(distance) >= 0) & (F.col(distance) <= F.col("_most"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("_n >= 2").drop("_n", "_most")
+def pace(runs: DataFrame, reference: DataFrame, by: list[str], distance: str = "distance_m", time: str = "time_s", cell: float = 256.0) -> DataFrame:
+    """Runs against a reference (distance, time), at the reference's places from 0 to the overlap: t_run_s, t_reference_s, delta_t_s. Overlaps of one place are left out.
+
+    Runs ask for the cells of places that they reach, and meet the reference there."""
+    limits = runs.groupBy(*by).agg(F.max(distance).alias("_most")).where("_most >= 0")
+    reached = limits.withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_most") / cell))))
+    places = reference.where(F.col(distance) >= 0).select(distance, F.col(time).alias("t_reference_s"), F.floor(F.col(distance) / cell).alias("_cell"))
+    held = reached.join(places, "_cell").where(F.col(distance) <= F.col("_most")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where("_n >= 2").drop("_n", "_most", "_cell")
     return time_on_grid(runs, held, by, distance, time).withColumnRenamed(time, "t_run_s").withColumn("delta_t_s", F.col("t_run_s") - F.col("t_reference_s"))
 
 
@@ -50,13 +54,66 @@ def high_delta(deltas: DataFrame, by: list[str], width: int = 21, factor: float
     inner = (o.lead("delta_t_s") - o.lag("delta_t_s")) / 2
     slope = F.coalesce(inner, o.lead("delta_t_s") - F.col("delta_t_s"), F.col("delta_t_s") - o.lag("delta_t_s"), F.lit(0.0))
     rows = deltas.withColumn("_slope", F.abs(slope)).withColumn("_box", Q.box("_slope", o, width)).withColumn("_n", F.count(F.lit(1)).over(o.all))
-    scale = A.median_and_mad(rows, by, "_box")
-    return rows.join(scale, by).withColumn("high", (F.col("_n") >= width) & (F.col("_box") > F.col("median") + factor * (F.col("mad") + 1e-9))).drop("_slope", "_box", "_n", "median", "mad")
+    half = lambda c: F.percentile(c, F.lit(0.5)).over(o.all)  # noqa: E731  all windows share one dealing of the rows
+    rows = rows.withColumn("_median", half("_box")).withColumn("_mad", half(F.abs(F.col("_box") - F.col("_median"))))
+    return rows.withColumn("high", (F.col("_n") >= width) & (F.col("_box") > F.col("_median") + factor * (F.col("_mad") + 1e-9))).drop("_slope", "_box", "_n", "_median", "_mad")
 
 
 def sector_table(samples: DataFrame, sectors: DataFrame, by: list[str], distance: str = "distance_m", time: str = "time_s", speed: str = "vz_m_s") -> DataFrame:
-    """For each run and sector: the time from the last sample at or before its start to that at or before its end (the first sample if there is none), and the mean speed inside."""
-    upto = lambda c, edge: F.when(F.col(distance) <= F.col(edge), F.col(c))
-    last_by = lambda edge: F.coalesce(F.max_by(upto(time, edge), upto(distance, edge)), F.min_by(time, distance))
-    both = samples.join(sectors, by)
-    return both.groupBy(*by, "id", "d0", "d1").agg((last_by("d1") - last_by("d0")).alias("sector_s"), F.avg(F.when(F.col(distance).between(F.col("d0"), F.col("d1")), F.col(speed))).alias("mean_speed"), F.count_if(F.col(distance).between(F.col("d0"), F.col("d1"))).alias("n_samples"))
+    """For each run and sector: the time from the last sample at or before its start to that at or before its end (the first sample if there is none), and the mean speed inside.
+
+    Times at the edges come by an as-of join; samples go to the sectors that hold them, not to all of their run."""
+    edges = sectors.select(*by, F.explode(F.array("d0", "d1")).alias(distance)).distinct()
+    known = samples.where(F.col(distance).isNotNull()).select(*by, distance, time)
+    at = J.asof(edges, known, by, distance, [time], direction="backward")
+    first = known.groupBy(*by).agg(F.min(F.struct(distance, time)).alias("_first")).select(*by, F.col(f"_first.{time}").alias("_first"))
+    at = at.join(first, by).select(*by, F.col(distance).alias("_d"), F.coalesce(time, "_first").alias("_t"))
+    edge = lambda d, t: at.select(*by, F.col("_d").alias(d), F.col("_t").alias(t))
+    timed = sectors.join(edge("d0", "_t0"), [*by, "d0"]).join(edge("d1", "_t1"), [*by, "d1"]).select(*by, "id", "d0", "d1", (F.col("_t1") - F.col("_t0")).alias("sector_s"))
+    inside = J.in_intervals(samples.select(*by, distance, speed), sectors.select(*by, "id", "d0", "d1"), distance, "d0", "d1", by)
+    means = inside.groupBy(*by, "id").agg(F.avg(speed).alias("mean_speed"), F.count(F.lit(1)).alias("n_samples"))
+    return timed.join(means, [*by, "id"], "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
+
+
+def comparison(a: DataFrame, b: DataFrame, by: list[str], step: float = 1.0, altitude: str = "altitude_smooth_m") -> DataFrame:
+    """Two aligned runs as rows of a common grid: delta_t's columns, high, and both altitudes there."""
+    rows = high_delta(delta_t(a, b, by, step), by)
+    grid = rows.select(*by, "grid_index", "distance_m")
+    for runs, name in ((a, "altitude_a_m"), (b, "altitude_b_m")):
+        on = J.interpolate(grid, runs.groupBy(*by, "distance_m").agg(F.max(altitude).alias(name)), by, "distance_m", [name])
+        rows = rows.join(on.drop("distance_m"), [*by, "grid_index"])
+    return rows
+
+
+def against_reference(runs: DataFrame, reference: DataFrame, by: list[str], altitude: str = "altitude_smooth_m", width: int = 21) -> DataFrame:
+    """pace's rows of each run with the reference's altitude and time sigma at the place, the run's own altitude, and high.
+
+    reference: distance_m, time_s, altitude_m, time_sigma_s (null counts as 0)."""
+    paced = pace(runs, reference, by)
+    places = reference.groupBy("distance_m").agg(F.min("altitude_m").alias("reference_altitude_m"), F.coalesce(F.min("time_sigma_s"), F.lit(0.0)).alias("t_reference_sigma_s"))
+    rows = paced.join(places, "distance_m").withColumn("grid_index", F.row_number().over(Window.partitionBy(*by).orderBy("distance_m")) - 1)
+    own = runs.groupBy(*by, "distance_m").agg(F.max(altitude).alias("altitude_m"))
+    on = J.interpolate(rows.select(*by, "grid_index", "distance_m"), own, by, "distance_m", ["altitude_m"]).drop("distance_m")
+    return high_delta(rows.join(on, [*by, "grid_index"]), by, width)
+
+
+def compact_reference(reference: DataFrame) -> DataFrame:
+    """A reference's places with finite distance, time and altitude; a sigma that is not finite counts as 0."""
+    kept = Q.aligned(reference, ["distance_m", "time_s", "altitude_m"])
+    sigma = F.col("time_sigma_s")
+    return kept.withColumn("time_sigma_s", F.when(sigma.isNull() | F.isnan(sigma) | (F.abs(sigma) == float("inf")), 0.0).otherwise(sigma))
+
+
+def against_baseline(runs: DataFrame, baseline: DataFrame, by: list[str], columns: list[str], distance: str = "distance_m", default: float = 0.0) -> DataFrame:
+    """Every sample of the runs with the difference of each column from the baseline's at the same distance, as delta_<column>.
+
+    baseline: by, distance and the columns; it is interpolated linearly and constant beyond its ends. Where either is missing the difference is the default."""
+    line = baseline.where(F.col(distance).isNotNull()).groupBy(*by, distance).agg(*[F.max(c).alias(f"_b_{c}") for c in columns])
+    held = J.interpolate(runs, line, by, distance, [f"_b_{c}" for c in columns])
+    return held.withColumns({f"delta_{c}": F.coalesce(F.col(c) - F.col(f"_b_{c}"), F.lit(default)) for c in columns}).drop(*[f"_b_{c}" for c in columns])
+
+
+def pin_rows(samples: DataFrame, found: DataFrame, by: list[str], order: str, distance: str = "distance_m") -> DataFrame:
+    """For each pin (by, rank, distance) the nearest sample's order value, the first on ties, by an as-of join."""
+    near = J.asof(found.select(*by, "rank", distance), samples.groupBy(*by, distance).agg(F.min(order).alias(order)), by, distance, [order])
+    return near.select(*by, "rank", distance, order)

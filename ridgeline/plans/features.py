@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
 
 BRAKING_M_S2, FLIGHT_G, STRICT_G, LANDING_G, TAKEOFF_G = -3.0, 0.55, 0.33, 1.3, 1.15
@@ -18,6 +19,14 @@ def braking_columns(df: DataFrame, acc: str, o: Q.Ordered, width: int) -> DataFr
     return rows.withColumns({"mtb_braking_active": F.coalesce(F.col("mtb_braking_ma_ms2") < BRAKING_M_S2, F.lit(False)), "mtb_braking_intensity": F.coalesce(F.abs(F.least("mtb_braking_ma_ms2", F.lit(0.0))), F.lit(0.0))})
 
 
+def braking_at_rate(df: DataFrame, acc: str, o: Q.Ordered, ns: str = "unix_ns") -> DataFrame:
+    """braking_columns with a window of half a second: rows from the half second's rows before to those after, by time."""
+    keys = ", ".join(f"`{k}`" for k in o.by)
+    at = f"over (partition by {keys} order by `{ns}` range between 250000000 preceding and 249999999 following)"
+    rows = df.withColumn("mtb_braking_ma_ms2", F.expr(f"avg(`{acc}`) {at}"))
+    return rows.withColumns({"mtb_braking_active": F.coalesce(F.col("mtb_braking_ma_ms2") < BRAKING_M_S2, F.lit(False)), "mtb_braking_intensity": F.coalesce(F.abs(F.least("mtb_braking_ma_ms2", F.lit(0.0))), F.lit(0.0))})
+
+
 def braking(df: DataFrame, acc: str, o: Q.Ordered, width: int, distance: str = "distance_m") -> DataFrame:
     """Braking intervals: by, island, start_m, end_m, intensity (the greatest)."""
     rows = braking_columns(df, acc, o, width)
@@ -47,7 +56,8 @@ def flights(df: DataFrame, o: Q.Ordered, rate: str, flight: str, raw: str, susta
     best = parts.groupBy(*own).agg(F.min(F.struct((-F.col("part_rows")).alias("a"), "start_row", "end_row")).alias("b")).select(*own, "b.start_row", "b.end_row")
     found = sizes.join(best, own, "left")
     around = found.select(*own, "start_row", "end_row", (F.col("start_row") - n(TAKEOFF_S)).alias("_from"), (F.col("end_row") + n(LANDING_S)).alias("_to")).where("start_row is not null")
-    near = rows.select(*o.by, "_i", F.col(raw).alias("_raw"), F.col(sustained).alias("_land")).join(around, o.by).where(F.col("_i").between(F.col("_from"), F.col("_to")))
+    signals = rows.select(*o.by, "_i", F.col(raw).alias("_raw"), F.col(sustained).alias("_land"))
+    near = J.in_intervals(signals, around, "_i", "_from", "_to", o.by)
     peaks = near.groupBy(*own).agg(F.max(F.when(F.col("_i") < F.col("start_row"), F.col("_raw"))).alias("takeoff_g"), F.max(F.when(F.col("_i") > F.col("end_row"), F.col("_land"))).alias("landing_g"))
     found = found.join(peaks, own, "left")
     kind = (
@@ -71,3 +81,9 @@ def almost(found: DataFrame, by: list[str], most: int = 25) -> DataFrame:
     none = airtime(found, by).where("airtime_s = 0").select(*by)
     w = Window.partitionBy(*by).orderBy("first_row")
     return found.where(~F.col("kind").isin(*ACCEPTED)).join(none, by, "left_semi").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
+def simple_airtime(df: DataFrame, by: list[str], raw: str, moving: Column, rate: str, limit: float = FLIGHT_G) -> DataFrame:
+    """by, simple_airtime_s: samples of low total acceleration in motion, over the samples a second."""
+    low = (F.col(raw) < limit) & ~F.isnan(raw) & moving
+    return df.groupBy(*by).agg((F.count_if(low) / F.max(rate)).alias("simple_airtime_s"))

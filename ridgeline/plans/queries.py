@@ -16,6 +16,7 @@ from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
 from ridgeline.plans import catalog, compare
 from ridgeline.plans.sql import DIST, TRACK, W, hav
+from ridgeline.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,16 +106,16 @@ def unit_detect(spark, sf_dir):
     return raw.join(scales, "run_id").select("run_id", "event_id", S.epoch_to_ns(F.col("t"), F.col("mt")).alias("unix_ns"), r6(S.pressure_to_mbar(F.col("p"), F.col("mp")), "pressure_mbar"), r6(S.angle_to_radians(F.col("a"), F.col("ma")), "angle_rad"))
 
 
-@query("SELECT doc_id, TRY_CAST(substr(text, 1, 3) AS DOUBLE) AS coerced, left(regexp_replace(source || ' ' || left(text, 80), '[^A-Za-z0-9_\\-.]+', '_', 'g'), 64) AS stem FROM documents")
+@query("SELECT doc_id, TRY_CAST(substr(source, 4) AS DOUBLE) AS coerced, left(regexp_replace(source || ' ' || text, '[^\\p{L}\\p{N}\\p{M}_\\-.]+', '_', 'g'), 64) AS stem FROM documents")
 def safe_stem(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 3).try_cast("double").alias("coerced"), S.safe_stem(F.concat("source", F.lit(" "), F.substring("text", 1, 80))).alias("stem"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(source, 4)").try_cast("double").alias("coerced"), S.safe_stem(F.concat("source", F.lit(" "), "text")).alias("stem"))
 
 
 _ORD = ", ".join(f"'{x}'" for x in S.ORDINALS)
 
 
-@query(f"""SELECT c_custkey, CASE WHEN c_custkey BETWEEN 1 AND 10 THEN list_element([{_ORD}], c_custkey::INT) ELSE c_custkey::VARCHAR || CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st'
- WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END END AS label FROM customer""")
+@query(f"""SELECT c_custkey, CASE WHEN c_custkey BETWEEN 1 AND 10 THEN list_element([{_ORD}], c_custkey::INT) || ' run' ELSE c_custkey::VARCHAR || CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st'
+ WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END || ' run' END AS label FROM customer""")
 def ordinal_label(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", S.ordinal_label(F.col("c_custkey")).alias("label"))
 
@@ -129,17 +130,17 @@ def format_labels(spark, sf_dir):
     return c.select("event_id", S.duration_label(F.col("cents") / 100.0).alias("duration"), S.bytes_label(F.col("n")).alias("bytes"), S.distance_label(F.col("n") * F.lit(10.0)).alias("distance"), S.sync_label(F.when(F.col("value") > 300, 0.61).when(F.col("value") >= 150, 0.3).otherwise(0.1)).alias("sync"))
 
 
-_STEMS = ["Gyroscope.csv", "z0_Gyroscope.csv", "dir/GyroscopeUncalibrated.CSV", "z12_Total Acceleration.csv", "Gravity.csv", "accelerometer-uncalibrated.csv", "Accelerometer_2.csv", "Orientation.csv", "Location.csv", "Metadata.csv"]
+_STEMS = ["Gyroscope.csv", "z0_Gyroscope.csv", "dir/GyroscopeUncalibrated.CSV", "z12_Total Acceleration.csv", "Gravity.csv", "accelerometer-uncalibrated.csv", "Accelerometer_2.csv", "Orientation.csv", "Location.csv", "Metadata.csv", "my gravity.csv", "old_Accelerometer.csv", "Barometer.csv"]
 
 
-@query(f"""WITH n AS (SELECT event_id, list_element([{", ".join(f"'{s}'" for s in _STEMS)}], (event_id % 10)::INT + 1) AS name FROM events),
+@query(f"""WITH n AS (SELECT event_id, list_element([{", ".join(f"'{s}'" for s in _STEMS)}], (event_id % 13)::INT + 1) AS name FROM events),
 b AS (SELECT event_id, name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '^.*[/\\\\]', ''), '\\.[^.]*$', ''), '^z\\d+_', ''), '[\\s\\-_]', '', 'g') AS s FROM n)
-SELECT event_id, name, CASE WHEN starts_with(s,'gyroscopeuncalibrated') THEN 'gyro_uncal' WHEN starts_with(s,'gyroscope') THEN 'gyro' WHEN starts_with(s,'accelerometeruncalibrated') THEN 'acc_uncal'
- WHEN starts_with(s,'totalacceleration') THEN 'total_acc' WHEN starts_with(s,'gravity') THEN 'gravity' WHEN starts_with(s,'accelerometer') THEN 'acc' END AS prefix,
+SELECT event_id, name, CASE WHEN s = 'metadata' OR starts_with(s,'location') OR contains(s,'barometer') THEN NULL WHEN contains(s,'gyroscopeuncalibrated') THEN 'gyro_uncal' WHEN starts_with(s,'gyroscope') THEN 'gyro' WHEN contains(s,'accelerometeruncalibrated') THEN 'acc_uncal'
+ WHEN contains(s,'totalacceleration') THEN 'total_acc' WHEN contains(s,'gravity') THEN 'gravity' ELSE 'acc' END AS prefix,
  contains(s,'gyroscope') OR contains(s,'accelerometer') OR contains(s,'totalacceleration') OR contains(s,'gravity') OR contains(s,'orientation') AS is_motion FROM b""")
 def stream_prefix(spark, sf_dir):
     names = F.array(*map(F.lit, _STEMS))
-    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(names, (F.col("event_id") % 10 + 1).cast("int")).alias("name"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(names, (F.col("event_id") % 13 + 1).cast("int")).alias("name"))
     return rows.select("event_id", "name", S.stream_prefix(F.col("name")).alias("prefix"), S.is_motion_sensor(F.col("name")).alias("is_motion"))
 
 
@@ -383,9 +384,9 @@ def islands(spark, sf_dir):
     return Q.islands(dist(spark, sf_dir), F.col("speed_m_s") > 8, RUN, "distance_m").select("run_id", "island", "n_rows", F.round("distance_m_start", 4).alias("start_m"), F.round("distance_m_end", 4).alias("end_m"))
 
 
-@query(f"WITH {_ISLANDS} SELECT run_id, island, n_rows, round(a,4) AS start_m FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n_rows DESC, island) AS k FROM isl WHERE n_rows >= 3) WHERE k = 1")
+@query(f"WITH {_ISLANDS.replace('> 8', '> 2')} SELECT run_id, island, n_rows, round(a,4) AS start_m FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n_rows DESC, island) AS k FROM isl WHERE n_rows >= 3) WHERE k = 1")
 def longest_subrun(spark, sf_dir):
-    return Q.longest_island(dist(spark, sf_dir), F.col("speed_m_s") > 8, RUN, "distance_m", 3).select("run_id", "island", "n_rows", F.round("distance_m_start", 4).alias("start_m"))
+    return Q.longest_island(dist(spark, sf_dir), F.col("speed_m_s") > 2, RUN, "distance_m", 3).select("run_id", "island", "n_rows", F.round("distance_m_start", 4).alias("start_m"))
 
 
 @query(f"""WITH {DIST}, c AS (SELECT *, (unix_ns - lag(unix_ns) OVER {W} > {12 * HOUR}) AS cut FROM dist), s AS (SELECT *, sum(coalesce(cut,false)::INT) OVER (PARTITION BY run_id ORDER BY unix_ns ROWS UNBOUNDED PRECEDING) AS session FROM c),
@@ -561,19 +562,17 @@ def braking_intervals(spark, sf_dir):
     return braking(rows, "a", RUN, 5).select("run_id", "island", F.round("start_m", 4).alias("start_m"), F.round("end_m", 4).alias("end_m"), r6("intensity"))
 
 
-_XC = f"{DIST}, z AS (SELECT run_id - run_id % 2 AS pair, run_id % 2 AS side, rn, speed_m_s FROM dist WHERE rn <= 40), n AS (SELECT pair FROM z GROUP BY pair HAVING count(DISTINCT side) = 2 AND count(*) FILTER (side=0) = count(*) FILTER (side=1)), d AS (SELECT z.pair, side, rn, speed_m_s - avg(speed_m_s) OVER (PARTITION BY z.pair, side) AS v FROM z JOIN n ON z.pair = n.pair)"
-
-
-@query(f"WITH {_XC}, c AS (SELECT a.pair, a.rn - b.rn AS lag, sum(a.v*b.v) AS c FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1 GROUP BY 1,2) SELECT pair, lag, round(c,4) AS c FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(c,4) DESC, lag) AS k FROM c) WHERE k = 1")
+@query(f"""WITH {DIST}, z AS (SELECT run_id - run_id % 2 AS pair, run_id % 2 AS side, rn, unix_ns, speed_m_s, (unix_ns - lag(unix_ns) OVER {W})*1e-9 AS gap FROM dist),
+n AS (SELECT pair, least(count(*) FILTER (side=0), count(*) FILTER (side=1)) AS n, coalesce(median(gap) FILTER (side = 1 AND gap > 0), 0.04) AS dt FROM z GROUP BY pair HAVING count(DISTINCT side) = 2),
+d AS (SELECT z.pair, side, rn, n, dt, speed_m_s - avg(speed_m_s) OVER p AS v, stddev_pop(speed_m_s) OVER p AS sd FROM z JOIN n ON z.pair = n.pair WHERE rn <= n WINDOW p AS (PARTITION BY z.pair, side)),
+c AS (SELECT a.pair, a.rn - b.rn AS lag, sum(a.v*b.v) AS c, any_value(a.n) AS n, any_value(a.dt) AS dt, any_value(a.sd*b.sd) AS s FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1 GROUP BY 1,2)
+SELECT pair, CASE WHEN n < 8 THEN 0 ELSE lag END AS lag, round(CASE WHEN n < 8 THEN 0.0 ELSE c/(n*(s+1e-12)) END,6) AS peak, n AS n_samples, round(dt,3) AS median_dt_s FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(c,6) DESC, lag) AS k FROM c) WHERE k = 1""")
 def lag_xcorr(spark, sf_dir):
-    """The lag of the greatest cross-correlation, by an equi-join of the two runs' first samples."""
-    d = dist(spark, sf_dir).select((F.col("run_id") - F.col("run_id") % 2).alias("pair"), (F.col("run_id") % 2).alias("side"), RUN.number().alias("rn"), "speed_m_s").where("rn <= 40")
-    n = d.groupBy("pair").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")).where("a = b and a > 0").select("pair")
-    d = d.join(n, "pair").withColumn("v", F.col("speed_m_s") - F.avg("speed_m_s").over(Window.partitionBy("pair", "side")))
-    a, b = d.where("side = 0").select("pair", F.col("rn").alias("i"), F.col("v").alias("x")), d.where("side = 1").select("pair", F.col("rn").alias("j"), F.col("v").alias("y"))
-    c = a.join(b, "pair").groupBy("pair", (F.col("i") - F.col("j")).cast("long").alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("c"))
-    w = Window.partitionBy("pair").orderBy(F.round("c", 4).desc(), "lag")
-    return c.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("pair", "lag", F.round("c", 4).alias("c"))
+    """The lag of the greatest cross-correlation of the pairs' speeds, over whole runs cut to the shorter one's length."""
+    from ridgeline.plans.align import climb_lag
+
+    a, b = (d.select("pair", "unix_ns", "distance_m", "speed_m_s") for d in _pairs(spark, sf_dir))
+    return climb_lag(a, b, "pair", "speed_m_s", most_m=None).select("pair", F.col("lag_samples").alias("lag"), r6("peak"), "n_samples", F.round("median_dt_s", 3).alias("median_dt_s"))
 
 
 # Catalog ------------------------------------------------------------------------------------------------------------
@@ -586,11 +585,11 @@ def cat_sessions(spark, sf_dir):
     return got.select("o_orderkey", "o_custkey", "file_count", "total_bytes")
 
 
-@query("SELECT o_orderkey, l_linenumber, p_name, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 50")
+@query("SELECT o_orderkey, l_linenumber, p_name, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
 def cat_files(spark, sf_dir):
     o, files, blobs = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "part"))
     files = files.withColumnRenamed("l_orderkey", "o_orderkey").withColumnRenamed("l_partkey", "p_partkey")
-    return catalog.list_files(files, blobs, o.where("o_custkey <= 50"), "o_orderkey", "p_partkey").select("o_orderkey", "l_linenumber", "p_name", "o_orderstatus")
+    return catalog.list_files(files, blobs, o, "o_orderkey", "p_partkey").select("o_orderkey", "l_linenumber", "p_name", "o_orderstatus")
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus || l_returnflag) = 2 AND count(DISTINCT l_linestatus || l_returnflag) FILTER (l_linestatus || l_returnflag IN ('OA','FN')) = 2")
@@ -693,6 +692,105 @@ def trail_counters(spark, sf_dir):
     return catalog.with_counters(trails, o, o).select(F.col("id").alias("c_custkey"), "session_count", F.round("total_distance_m", 2).alias("total"))
 
 
+# Against a baseline: the even run of each pair -----------------------------------------------------------------------
+
+_LINE = f"""{_PAIR}, u AS (SELECT run_id AS pair, distance_m AS x, max(speed_m_s) AS v, max(pressure_mbar) AS p FROM a GROUP BY 1,2), s AS (SELECT b.*, rn - 1 AS i FROM b),
+lo AS (SELECT s.*, u.x AS x0, u.v AS v0, u.p AS p0 FROM s ASOF LEFT JOIN u ON s.pair = u.pair AND s.distance_m >= u.x), hi AS (SELECT s.event_id, u.x AS x1, u.v AS v1, u.p AS p1 FROM s ASOF LEFT JOIN u ON s.pair = u.pair AND s.distance_m <= u.x),
+bl AS (SELECT lo.*, x1, CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL OR x1 = x0 THEN v0 ELSE v0 + (v1-v0)*((distance_m-x0)/(x1-x0)) END AS bv, CASE WHEN x0 IS NULL THEN p1 WHEN x1 IS NULL OR x1 = x0 THEN p0 ELSE p0 + (p1-p0)*((distance_m-x0)/(x1-x0)) END AS bp FROM lo JOIN hi USING (event_id)),
+dl AS (SELECT pair, event_id, i, distance_m, coalesce(speed_m_s - bv, 0.0) AS dv, coalesce(pressure_mbar - bp, 0.0) AS dp FROM bl)"""
+
+
+def _deltas(spark, sf_dir) -> DataFrame:
+    a, b = _pairs(spark, sf_dir)
+    return compare.against_baseline(b.withColumn("rn", RUN.number()), a, ["pair"], ["speed_m_s", "pressure_mbar"])
+
+
+@query(f"WITH {_LINE} SELECT pair, event_id, round(dv,6) AS delta_speed, round(dp,6) AS delta_pressure FROM dl")
+def baseline_difference(spark, sf_dir):
+    return _deltas(spark, sf_dir).select("pair", "event_id", r6("delta_speed_m_s", "delta_speed"), r6("delta_pressure_mbar", "delta_pressure"))
+
+
+@query(f"WITH {_LINE} SELECT pair, round(avg(dv),6) AS mean, round(min(dv),6) AS low, round(max(dv),6) AS high FROM dl WHERE distance_m BETWEEN 2000.5 AND 9000.5 GROUP BY pair")
+def section_delta(spark, sf_dir):
+    own = _deltas(spark, sf_dir).where(F.col("distance_m").between(2000.5, 9000.5))
+    return own.groupBy("pair").agg(r6(F.avg("delta_speed_m_s"), "mean"), r6(F.min("delta_speed_m_s"), "low"), r6(F.max("delta_speed_m_s"), "high"))
+
+
+@query(f"""WITH {_LINE}, n AS (SELECT *, greatest(2, floor(count(*) OVER (PARTITION BY pair)/12.0)::INT) AS step, count(*) OVER (PARTITION BY pair) AS n FROM dl), c AS (SELECT *, (i // step) AS chunk FROM n UNION ALL SELECT *, (i // step) - 1 FROM n WHERE i % step = 0 AND i > 0),
+m AS (SELECT pair, chunk, count(*) AS n_rows, avg(dv) AS d FROM c WHERE chunk <= (n-2) // step OR n < 2 GROUP BY pair, chunk)
+SELECT pair, chunk, n_rows, round(d,6) AS mean_delta, 'rgb(' || round(0 + 213*((tanh(d/1.0)+1)/2))::INT || ',' || round(114 + (94-114)*((tanh(d/1.0)+1)/2))::INT || ',' || round(178 + (0-178)*((tanh(d/1.0)+1)/2))::INT || ')' AS colour FROM m""")
+def overview_delta(spark, sf_dir):
+    """Chunks of each run with the mean difference from the baseline and its colour."""
+    parts = Q.chunks(_deltas(spark, sf_dir), Q.Ordered("pair", "rn"), 12).groupBy("pair", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("delta_speed_m_s").alias("d"))
+    return parts.select("pair", "chunk", "n_rows", r6("d", "mean_delta"), S.rgb_mix(F.col("d"), F.lit(1.0)).alias("colour"))
+
+
+@query(f"""WITH {_LINE}, q AS (SELECT pair, quantile_disc(abs(dv),0.95) AS h, count(*) AS n, min(dv) AS lo, max(dv) AS hi, list_sort(list(abs(dv))) AS l FROM dl GROUP BY pair HAVING count(*) >= 4)
+SELECT pair, round(greatest(2*least(h,10.0),1.0)/2,6) AS heat, round(greatest(1.2*l[least(floor(0.98*len(l))::INT+1, len(l))],0.75),6) AS bound, round(CASE WHEN lo = hi THEN lo-1 ELSE lo - greatest((hi-lo)*0.12,1.0) END,6) AS axis_low, round(CASE WHEN lo = hi THEN hi+1 ELSE hi + greatest((hi-lo)*0.12,1.0) END,6) AS axis_high FROM q""")
+def delta_ranges(spark, sf_dir):
+    """Ranges of colours and axes for the differences."""
+    d = _deltas(spark, sf_dir)
+    heat = A.robust_symmetric(d, ["pair"], "delta_speed_m_s", 0.95, 0.0, 1.0, 10.0).select("pair", F.col("high").alias("heat"))
+    (_, bound), (low, high) = A.symmetric_range("delta_speed_m_s"), A.axis_range("delta_speed_m_s")
+    axes = d.groupBy("pair").agg(bound.alias("bound"), low.alias("axis_low"), high.alias("axis_high"))
+    return heat.join(axes, "pair").select("pair", r6("heat"), r6("bound"), r6("axis_low"), r6("axis_high"))
+
+
+@query(f"""WITH {_GRID}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY delta_t_s DESC, distance_m) AS rank FROM dt WHERE delta_t_s > 0.02) WHERE rank <= 8), b AS (SELECT run_id - 1 AS pair, distance_m AS x, min(event_id) AS event_id FROM dist WHERE run_id % 2 = 1 GROUP BY 1,2)
+SELECT pair, rank, event_id FROM (SELECT p.pair, rank, b.event_id, row_number() OVER (PARTITION BY p.pair, rank ORDER BY abs(x - p.distance_m), x) AS k FROM p JOIN b ON p.pair = b.pair) WHERE k = 1""")
+def pin_samples(spark, sf_dir):
+    """The sample of the slower run that is nearest to each of the pins."""
+    a, b = _pairs(spark, sf_dir)
+    found = compare.pins(compare.delta_t(a, b, ["pair"], 500.0), ["pair"])
+    return compare.pin_rows(b, found, ["pair"], "event_id").select("pair", F.col("rank").cast("long").alias("rank"), "event_id")
+
+
+@query(f"""WITH {DIST}, u AS (SELECT run_id, distance_m AS x, max(time_s) AS t, max(pressure_mbar) AS p FROM dist GROUP BY 1,2), m AS (SELECT run_id, max(x) AS most FROM u GROUP BY 1), r AS (SELECT g*700.0::DOUBLE AS d, g*9000.0::DOUBLE AS t_ref, g*3.0::DOUBLE AS alt, CASE WHEN g % 4 = 0 THEN 0.0 ELSE g*0.5 END::DOUBLE AS sig FROM generate_series(0,40) t(g)),
+h AS (SELECT run_id, d, t_ref, alt, sig FROM m JOIN r ON d <= most), n AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS c FROM h), k AS (SELECT * FROM n WHERE c >= 2),
+lo AS (SELECT k.*, u.x AS x0, u.t AS t0, u.p AS p0 FROM k ASOF LEFT JOIN u ON k.run_id = u.run_id AND k.d >= u.x), hi AS (SELECT k.run_id, k.d, u.x AS x1, u.t AS t1, u.p AS p1 FROM k ASOF LEFT JOIN u ON k.run_id = u.run_id AND k.d <= u.x)
+SELECT lo.run_id, lo.d AS distance_m, round(CASE WHEN x0 IS NULL THEN t1 WHEN x1 IS NULL OR x1 = x0 THEN t0 ELSE t0 + (t1-t0)*((lo.d-x0)/(x1-x0)) END - t_ref,4) AS delta_t_s, alt AS reference_altitude_m, sig AS t_reference_sigma_s, round(CASE WHEN x0 IS NULL THEN p1 WHEN x1 IS NULL OR x1 = x0 THEN p0 ELSE p0 + (p1-p0)*((lo.d-x0)/(x1-x0)) END,6) AS altitude_m FROM lo JOIN hi ON lo.run_id = hi.run_id AND lo.d = hi.d""")
+def pace_payload(spark, sf_dir):
+    """Every run against a reference: time lost, the reference's altitude and sigma at the place, the run's own altitude."""
+    g = F.col("id")
+    reference = spark.range(41).select((g * 700.0).alias("distance_m"), (g * 9000.0).alias("time_s"), (g * 3.0).alias("altitude_m"), F.when(g % 4 != 0, g * 0.5).alias("time_sigma_s"))
+    rows = compare.against_reference(dist(spark, sf_dir), compare.compact_reference(reference), ["run_id"], "pressure_mbar")
+    return rows.select("run_id", "distance_m", F.round("delta_t_s", 4).alias("delta_t_s"), "reference_altitude_m", "t_reference_sigma_s", r6("altitude_m"))
+
+
+@query(f"WITH {_GRID}, x AS (SELECT run_id - run_id % 2 AS pair, run_id % 2 AS side, distance_m AS x, max(pressure_mbar) AS p FROM dist GROUP BY 1,2,3), lo2 AS (SELECT s.*, x.x AS x0, x.p AS p0 FROM s ASOF LEFT JOIN x ON s.pair = x.pair AND s.side = x.side AND s.d >= x.x), hi2 AS (SELECT s.*, x.x AS x1, x.p AS p1 FROM s ASOF LEFT JOIN x ON s.pair = x.pair AND s.side = x.side AND s.d <= x.x), pp AS (SELECT lo2.pair, lo2.grid_index, lo2.side, CASE WHEN x0 IS NULL THEN p1 WHEN x1 IS NULL OR x1 = x0 THEN p0 ELSE p0 + (p1-p0)*((lo2.d-x0)/(x1-x0)) END AS p FROM lo2 JOIN hi2 ON lo2.pair = hi2.pair AND lo2.grid_index = hi2.grid_index AND lo2.side = hi2.side) SELECT dt.pair, dt.grid_index, round(delta_t_s,4) AS delta_t_s, round(max(p) FILTER (side = 0),6) AS altitude_a_m, round(max(p) FILTER (side = 1),6) AS altitude_b_m FROM dt JOIN pp ON dt.pair = pp.pair AND dt.grid_index = pp.grid_index GROUP BY 1,2,3")
+def comparison_rows(spark, sf_dir):
+    rows = compare.comparison(*_pairs(spark, sf_dir), ["pair"], 500.0, "pressure_mbar")
+    return rows.select("pair", "grid_index", F.round("delta_t_s", 4).alias("delta_t_s"), r6("altitude_a_m"), r6("altitude_b_m"))
+
+
+@query(f"""WITH {TRACK}, r AS (SELECT run_id, 1/(median(dt) FILTER (dt > 0)) AS rate FROM (SELECT run_id, (unix_ns - lag(unix_ns) OVER {W})*1e-9 AS dt FROM track) GROUP BY run_id)
+SELECT run_id, round((count(*) FILTER (speed_m_s/24 < 0.55 AND accuracy > 10))/coalesce(max(rate),25.0),3) AS simple_airtime_s FROM track JOIN r USING (run_id) GROUP BY run_id""")
+def simple_airtime(spark, sf_dir):
+    from ridgeline.plans.features import simple_airtime as airtime
+
+    t = track(spark, sf_dir)
+    rows = t.join(A.sample_rate(t, RUN), "run_id").withColumn("g", F.col("speed_m_s") / 24)
+    return airtime(rows, ["run_id"], "g", F.coalesce(F.col("accuracy") > 10, F.lit(False)), "sample_rate_hz").select("run_id", F.round("simple_airtime_s", 3).alias("simple_airtime_s"))
+
+
+@query(f"WITH {DIST}, l AS (SELECT run_id, max_by(distance_m, unix_ns) AS d, min(speed_m_s) AS low, max(speed_m_s) AS high, max_by(speed_m_s, unix_ns) AS last FROM dist GROUP BY run_id) SELECT run_id, low, high, last, round((SELECT max(d) FROM l),4) AS total_m FROM l")
+def finite_summary(spark, sf_dir):
+    """Least, greatest and latest speed of each run; beside them the greatest last distance of all runs."""
+    d = dist(spark, sf_dir)
+    return A.finite_summary(d, ["run_id"], "speed_m_s", "unix_ns").crossJoin(F.broadcast(A.total_distance(d, RUN))).select("run_id", "low", "high", "last", F.round("total_m", 4).alias("total_m"))
+
+
+@query(f"""WITH {DIST}, t AS (SELECT run_id, max(distance_m)/1000 AS km, avg(speed_m_s)*9 AS lo, avg(accuracy) AS hi FROM dist GROUP BY run_id), p AS (SELECT *, least(greatest(round(lo),0.0),98.0) AS a, least(greatest(round(hi),2.0),100.0) AS b FROM t),
+q AS (SELECT *, CASE WHEN b-a < 2 THEN least(100.0, a+2) ELSE b END AS up FROM p)
+SELECT run_id, CASE WHEN up-a < 2 THEN greatest(0.0, up-2) ELSE a END AS low, up AS high, round(CASE WHEN km <= 0.2 THEN 0.0 ELSE greatest(0.0, least(km*0.9 - 0.1, km - 0.2)) END,6) AS from_km, round(CASE WHEN km >= 1.25 THEN 1.0 ELSE greatest(0.0, km*0.35) END,6) AS first_km, round(CASE WHEN km >= 1.25 THEN 1.2 ELSE greatest(greatest(0.0, km*0.35)+0.05, km*0.55) END,6) AS last_km FROM q""")
+def view_settings(spark, sf_dir):
+    """Percentile pairs, a section near the end and the default section of each run."""
+    t = dist(spark, sf_dir).groupBy("run_id").agg((F.max("distance_m") / 1000).alias("km"), (F.avg("speed_m_s") * 9).alias("lo"), F.avg("accuracy").alias("hi"))
+    low, high = S.percentile_pair(F.col("lo"), F.col("hi"))
+    first, last = S.default_section(F.col("km"))
+    return t.select("run_id", low.alias("low"), high.alias("high"), r6(S.section_around(F.col("km") * 0.9, F.col("km"))[0], "from_km"), r6(first, "first_km"), r6(last, "last_km"))
+
+
 # Extensions and kernels ---------------------------------------------------------------------------------------------
 
 
@@ -738,10 +836,10 @@ def processed_runs(spark, sf_dir):
 
 @query()
 def canonical_reference(spark, sf_dir):
-    """A reference from the runs of each nation's customers, taken as trails."""
+    """A reference from all runs of each of five trails, over their whole lengths."""
     from ridgeline.plans import canonical
 
-    u = Q.with_elapsed(Q.with_distance(uniform(spark, sf_dir).where("i <= 30").withColumn("latitude", 46 + F.col("i") * 1e-5 + F.col("run_id") * 1e-9).withColumn("longitude", F.lit(7.0)), RUN), RUN)
+    u = Q.with_elapsed(Q.with_distance(uniform(spark, sf_dir).withColumn("latitude", 46 + F.col("i") * 1e-5 + F.col("run_id") * 1e-9).withColumn("longitude", F.lit(7.0)), RUN), RUN)
     return canonical.synthesise(u.withColumn("trail", F.col("run_id") % 5).withColumn("altitude_m", S.hypsometric_m(F.col("pressure_mbar"))), "trail")
 
 
@@ -767,9 +865,11 @@ def stream_distance(spark, sf_dir):
     events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet")
     fixes = events.select(F.col("user_id").alias("run_id"), "ts", (46 + (F.col("event_id") % 997) * 1e-5).alias("latitude"), (7 + ((F.col("event_id") * 31) % 991) * 1e-5).alias("longitude"))
     name = f"distance_{uuid.uuid4().hex}"
-    q = running_distance(fixes, "run_id").writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    shared = f"{shared_dir(spark)}/{name}"
+    keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{shared}/rows/batch={batch}")  # noqa: E731  a batch that runs again writes over itself
+    q = running_distance(fixes, "run_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{shared}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.table(name).groupBy("run_id").agg(F.max("n").alias("n"), F.max("distance_m").alias("distance_m"))
+    got = spark.read.schema("run_id long, n long, distance_m double").parquet(f"{shared}/rows").groupBy("run_id").agg(F.max("n").alias("n"), F.max("distance_m").alias("distance_m"))
     return got.select("run_id", "n", F.round("distance_m", 3).alias("distance_m"))
 
 

@@ -27,7 +27,7 @@ FILTERS = {"acc": (10.0, 4), "gravity": (3.0, 4), "total_acc": (4.0, 2)}
 def motion_streams(motion: DataFrame) -> list[DataFrame]:
     """Long rows (run_id, unix_ns, stream, x, y, z) to a frame for each stream that there is, in the order of the names."""
     present = {r[0] for r in motion.select("stream").distinct().collect()}  # a few names
-    return [motion.where(F.col("stream") == s).groupBy("run_id", "unix_ns").agg(*[F.last(a).alias(f"{s}_{a}") for a in "xyz"]) for s in sorted(TRIPLES) if s in present]
+    return [motion.where(F.col("stream") == s).groupBy("run_id", "unix_ns").agg(F.max(F.struct("x", "y", "z")).alias("_v")).select("run_id", "unix_ns", *[F.col(f"_v.{a}").alias(f"{s}_{a}") for a in "xyz"]) for s in sorted(TRIPLES) if s in present]
 
 
 def on_clock(baro: DataFrame, gps: DataFrame, motion: DataFrame | None = None, step_ns: int = STEP_NS) -> DataFrame:
@@ -89,8 +89,8 @@ def _signals(own: pd.DataFrame) -> pd.DataFrame:
 _ADDED = ["gps_wgs84_residual_m", "altitude_filt_m", "altitude_smooth_m", "vz_m_s", "vz_smooth_m_s", *[f"{t}_{a}_filt" for t in FILTERS for a in "xyz"], "mtb_raw_total_g", "mtb_total_accel_g", "flight_g", "sustained_g"]
 
 
-def process(rows: DataFrame) -> DataFrame:
-    """Rows on a clock (see on_clock) to processed rows: altitude, climb, distance, time, motion, braking."""
+def process(rows: DataFrame, step_ns: int = STEP_NS) -> DataFrame:
+    """Rows on a clock of step_ns (see on_clock) to processed rows: altitude, climb, distance, time, motion, braking over half a second."""
     numbers = ["latitude", "longitude", "speed_m_s", "gps_altitude_m", "pressure_mbar", "altitude_m", *[f"{t}_{a}" for t in TRIPLES for a in "xyz"]]
     rows = rows.withColumns({c: F.lit(None).cast("double") for c in numbers if c not in rows.columns})
     rates = A.sample_rate(rows, O).withColumnRenamed("sample_rate_hz", "rate")
@@ -106,8 +106,7 @@ def process(rows: DataFrame) -> DataFrame:
     rows = Q.with_elapsed(Q.with_distance(rows, O), O).drop("step_m")
     still = F.percentile("gravity_x_filt", F.lit(0.5)).over(O.all)
     rows = rows.withColumn("mtb_lean_deg", S.lean_deg(F.col("gravity_x_filt"), F.col("gravity_z_filt"), still))
-    width = 51  # half a second of a 100 Hz clock
-    return features.braking_columns(rows, "acc_y_filt", O, width)
+    return features.braking_columns(rows, "acc_y_filt", O, max(3, round(0.5e9 / step_ns)))
 
 
 def run_stats(rows: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ AXES = {a: [f"acceleration_{a}", f"accel_{a}", f"a{a}", f"Acceleration {a.upper(
 
 
 def find_column(columns: list[str], aliases: list[str]) -> str | None:
-    """The first alias that is there: as it is written, else in any case."""
-    lower = {c.lower(): c for c in reversed(columns)}
-    return next((a for a in aliases if a in columns), None) or next((lower[a.lower()] for a in aliases if a.lower() in lower), None)
+    """The first alias that is there, each as it is written or else in any case (of columns that differ by case alone the last)."""
+    lower = {c.lower(): c for c in columns}
+    return next((a if a in columns else lower[a.lower()] for a in aliases if a in columns or a.lower() in lower), None)
 
 
 def _value(df: DataFrame, aliases: list[str]) -> Column:

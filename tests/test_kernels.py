@@ -81,3 +81,83 @@ def test_gaussian_process_smooths():
     y = np.sin(x / 30) + rng.normal(0, 0.2, 200)
     mean, sigma = dsp.gaussian_process(x, y)
     assert np.abs(mean - np.sin(x / 30)).mean() < 0.1 and (sigma > 0).all()
+
+
+def test_block_filter_like_the_recursion():
+    rng = np.random.default_rng(3)
+    for order, share in ((1, 0.2), (2, 0.05), (4, 0.3), (4, 0.9)):
+        b, a = dsp.butterworth(order, share)
+        for n in (1, 5, 127, 128, 129, 1000):
+            x, z = rng.normal(size=n), rng.normal(size=order)
+            state, want = [*z.tolist(), 0.0], []
+            for v in x:
+                y = b[0] * v + state[0]
+                for j in range(order):
+                    state[j] = state[j + 1] + b[j + 1] * v - a[j + 1] * y
+                want.append(y)
+            assert np.allclose(dsp.recursive_filter(b, a, x, z), want, rtol=1e-7, atol=1e-8)
+
+
+def test_spline_of_an_hour_with_gaps():
+    """Not-a-knot reproduces cubics; a run of 360,000 samples takes linear time and memory."""
+    t = np.arange(360_000) * 0.01
+    y = np.sin(t / 40) * 100
+    y[::1000] = np.nan
+    got = dsp.spline_gaps(t, y)
+    assert np.abs(got - np.sin(t / 40) * 100).max() < 1e-6
+    x = np.array([0.0, 1, 2.5, 3, 4.2, 6])
+    v = x**3 - 2 * x
+    v[2] = np.nan
+    assert np.allclose(dsp.spline_gaps(x, v), x**3 - 2 * x)
+
+
+def test_kalman_like_matrices():
+    rng = np.random.default_rng(4)
+    n = 400
+    t, h, acc = np.cumsum(rng.uniform(0.005, 0.05, n)), np.cumsum(rng.normal(size=n)) * 0.1, rng.normal(size=n)
+    noise = max(float(np.nanvar(h - dsp.low_pass(h, 40.0, 0.5, 2))), 0.35**2)
+    x, p, want = np.array([h[0], 0.0, 0.0]), np.diag([4.0, 4.0, 0.8]), []
+    for i in range(n):
+        if i:
+            dt = min(max(t[i] - t[i - 1], 1e-4), 0.5)
+            f = np.array([[1, dt, -dt * dt / 2], [0, 1, -dt], [0, 0, 1]])
+            x = f @ x + np.array([dt * dt / 2, dt, 0]) * acc[i]
+            p = f @ p @ f.T + np.diag([0.15 * dt**4, 0.6 * dt**2, 0.01 * dt])
+        gain = p[:, 0] / (p[0, 0] + noise)
+        x = x + gain * (h[i] - x[0])
+        p = p - np.outer(gain, p[0])
+        want.append(x[:2].copy())
+    got = np.array(dsp.fuse_vertical(t, h, acc, 40.0)).T
+    assert np.allclose(got, want, rtol=1e-8, atol=1e-9)
+
+
+def test_warping_like_a_whole_matrix():
+    rng = np.random.default_rng(5)
+    for n, m, band in ((9, 9, 50), (30, 22, 3), (40, 41, 5), (12, 60, 2)):
+        a, b = rng.normal(size=n), rng.normal(size=m)
+        wide = max(band, abs(n - m) + 1)
+        cost = np.full((n + 1, m + 1), np.inf)
+        cost[0, 0] = 0
+        for i in range(1, n + 1):
+            for j in range(max(1, round(i * m / n) - wide), min(m, round(i * m / n) + wide) + 1):
+                cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
+        path = dsp.warping_path(a, b, band)
+        assert path[0] == (0, 0) and path[-1] == (n - 1, m - 1)
+        assert sum(abs(a[i] - b[j]) for i, j in path) == pytest.approx(cost[n, m])
+        assert all((p - i, q - j) in ((1, 1), (1, 0), (0, 1)) for (i, j), (p, q) in zip(path, path[1:]))
+
+
+def test_fill_looks_ahead_in_one_pass(spark):
+    """Filling from both sides of one run of 100,000 rows: no frame is worked out anew for each row."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ridgeline.operators import sequences as Q
+
+    o = Q.Ordered("run_id", "unix_ns")
+    rows = spark.range(100_000).select(F.lit(1).alias("run_id"), F.col("id").alias("unix_ns"), F.when(F.col("id") % 50_000 == 40_000, F.col("id") * 1.0).alias("v"))
+    began = time.perf_counter()
+    got = Q.fill_linear(rows.withColumn("w", Q.fill_both("v", o)), "v", o, "filled").agg(F.sum("w"), F.min("filled"), F.max("filled")).first()
+    assert got[1] == 40_000 and got[2] == 90_000 and got[0] == 40_000 * 90_000 + 90_000 * 10_000
+    assert time.perf_counter() - began < 30

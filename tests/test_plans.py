@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -108,7 +109,13 @@ def test_corridor(spark):
     _, _, meta = align.align_auto(a, b, "pair")
     assert meta.collect()[0].reason in ("already_agrees", "trimmed")
     x, y, lag = align.align_gate(a, b, "pair", 46.001, 7.0)
-    assert x.count() > 100 and lag.count() == 1
+    row = lag.collect()[0]
+    assert x.count() > 100 and row.gate_row_a == 84 and row.gate_row_b == 34 and row.n_samples >= 32
+    assert abs(row.bearing_deg) < 1e-6 and row.gate_lon_a > row.gate_longitude_a > row.gate_lon_b and row.gate_lat_a == pytest.approx(row.gate_latitude_a)
+    assert max(r.distance_m for r in x.collect()) == pytest.approx(max(r.distance_m for r in y.collect()), abs=1.5)
+    assert align.gate_of(lag, "pair").collect()[0].gate_line[0].longitude == row.gate_lon_a
+    _, _, few = align.align_auto(a.where("distance_m < 400"), b, "pair", least=10_000)
+    assert few.collect()[0].reason == "too_few_rows"
 
 
 def test_catalog(spark):
@@ -132,11 +139,16 @@ def test_payload_and_export(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "x/runs")).count() == 2
 
 
-def test_interval_join_both_ways(spark):
-    rows = spark.createDataFrame([(float(i),) for i in range(50)], "d double")
-    i = spark.createDataFrame([(1, 0.0, 10.0), (2, 10.0, 12.5), (3, 40.0, 41.0)], "id int, low double, high double")
-    few, many = (sorted((r.d, r.id) for r in J.in_intervals(rows, i, "d", "low", "high", slack=0.5, most=m).collect()) for m in (10, 0))
-    assert few == many and len(few) == 11 + 4 + 2
+def test_interval_join_like_a_product(spark):
+    """Intervals of very different lengths, points among them, with and without a key; both ends count."""
+    rng = random.Random(3)
+    points = [(float(rng.randrange(-40, 90)), rng.randrange(2)) for _ in range(120)]
+    spans = [(i, low, low + rng.choice([0.0, 0.25, 3.0, 100.0, 7000.0]), rng.randrange(2)) for i, low in enumerate([float(rng.randrange(-90, 90)) for _ in range(40)])] + [(99, 5.0, 4.0, 0)]
+    rows, intervals = spark.createDataFrame(points, "d double, k int"), spark.createDataFrame(spans, "id int, low double, high double, k int")
+    got = sorted((r.d, r.id) for r in J.in_intervals(rows.drop("k"), intervals.drop("k"), "d", "low", "high", slack=0.5).collect())
+    assert got == sorted((d, i) for d, _ in points for i, a, b, _ in spans if a <= b and a - 0.5 <= d <= b + 0.5)
+    got = sorted((r.d, r.id, r.k) for r in J.in_intervals(rows, intervals, "d", "low", "high", ["k"]).collect())
+    assert got == sorted((d, i, k) for d, k in points for i, a, b, q in spans if a <= d <= b and k == q)
 
 
 def test_zip_to_processed_run(spark, tmp_path):
