@@ -37,13 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import small_batches, write_out
+from ridgeline.llm.common import release, small_batches, write_out
 
 ORDER, WINDOW, CONTRAST_WINDOW, PASSAGE = 5, 6, 3, 12
 HELD, HELD_ALIKE, MODEL_ROWS = 40, 100, 8_000_000
 QUANTILES = {"perplexity": 0.998, "peak": 0.997, "contrast": 0.985, "passage": 0.997}
 FIGURES = list(QUANTILES)
 CHUNK, BLOCK = 1 << 20, 16 << 20
+#: Labels are sent to all tasks up to this number (16 bytes each), so that no text is shuffled to find its label; beyond it they are joined by a shuffle.
+LABELS_SENT = 2_000_000
 #: Stands before a text's first symbol.
 PAD = "\x02"
 _B = 0x9E3779B97F4A7C15
@@ -293,7 +295,8 @@ def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str,
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     key_of, text_of, lang_of = (names[c] for c in (key, text, lang))
     marks = labels.groupBy(F.col(f"`{key}`").alias("_of")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
-    marks = marks.where("_of is not null and _good is not null")
+    marks, _ = write_out(marks.where("_of is not null and _good is not null"), "marks")
+    marks = F.broadcast(marks) if marks.count() <= LABELS_SENT else marks
     plain = rows.select(F.col(key_of).alias("_key"), F.coalesce(text_of, F.lit("")).alias("text"), F.col(lang_of).cast("string").alias("_lang"))
     marked, _ = write_out(plain.join(marks, F.col("_key") == F.col("_of")).select("text", "_lang", "_good", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(5)).alias("fold")), "marked")
     trusted = marked.where("_good = 1")
@@ -303,6 +306,7 @@ def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str,
     seen = marked.where("fold <> 0").select(F.when(F.col("_good") == 1, "good").otherwise("bad").alias("model"), "text")
     counts, _ = write_out(count_ngrams(seen), "counts")
     model, _ = write_out(train(counts), "model")
+    release(docs.sparkSession)
     held = trusted.where("fold = 0")
     edges = held.agg(F.percentile_approx(F.char_length("text"), [0.2, 0.4, 0.6, 0.8], 100_000)).first()[0] or []
     length = lambda c: sum((F.when(F.char_length(c) > e, 1).otherwise(0) for e in edges), F.lit(0))
