@@ -74,6 +74,41 @@ def climb_lag(a: DataFrame, b: DataFrame, by: str, vz: str = "vz_m_s", most_m: f
     return cut(a).groupBy(by).cogroup(cut(b).groupBy(by)).applyInPandas(kernel, f"{by} long, lag_s double, lag_samples long, peak double, n_samples long, median_dt_s double")
 
 
+ALTITUDES = ("altitude_smooth_m", "altitude_m", "relative_altitude_app_m")
+
+
+def altitude_column(rows: DataFrame) -> str:
+    """The altitude that alignment goes by; an error if there is none."""
+    if name := next((c for c in ALTITUDES if c in rows.columns), None):
+        return name
+    raise ValueError(f"none of {', '.join(ALTITUDES)} is there")
+
+
+def with_climb(rows: DataFrame, by: str) -> DataFrame:
+    """rows with vz_m_s, worked out from the altitude where the column is missing: the smoothed gradient over time."""
+    if "vz_m_s" in rows.columns:
+        return rows
+    name = altitude_column(rows)
+
+    def kernel(own: pd.DataFrame) -> pd.DataFrame:
+        t = (own["unix_ns"].to_numpy() - own["unix_ns"].iloc[0]) * 1e-9
+        gaps = np.diff(t)
+        rate = 1 / float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else 25.0
+        return own.assign(vz_m_s=dsp.smooth(dsp.vertical_velocity(own[name].to_numpy(float), t), rate, 0.55, 2))
+
+    return dsp.per_run(rows, by, ["unix_ns"], kernel, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "vz_m_s double"]))
+
+
+def with_known_distance(rows: DataFrame, by: str) -> DataFrame:
+    """rows with distance_m: as it is in runs that have any finite one, else summed up from the places."""
+    o = Q.Ordered(by, "unix_ns")
+    known = rows if "distance_m" in rows.columns else rows.withColumn("distance_m", F.lit(None).cast("double"))
+    step = F.coalesce(S.haversine_m(o.lag("latitude"), o.lag("longitude"), F.col("latitude"), F.col("longitude")), F.lit(0.0))
+    some = F.count_if(F.col("distance_m").isNotNull() & ~F.isnan("distance_m")).over(o.all) > 0
+    summed = known.withColumn("_step", step).withColumn("_sum", F.sum("_step").over(o.past))
+    return summed.withColumn("distance_m", F.when(some, F.col("distance_m")).otherwise(F.col("_sum"))).drop("_step", "_sum")
+
+
 def rezero(rows: DataFrame, o: Q.Ordered) -> DataFrame:
     return rows.withColumns({c: F.col(c) - F.min(c).over(o.all) for c in ("distance_m", "time_s")})
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators import joins as J
+from ridgeline.sources.shared import written
 
 SCHEMAS = {
     "trails": "id string, name string, location string, description string, run_count long, session_count long, total_distance_m double, elevation_min_m double, elevation_max_m double, created_at double, updated_at double",
@@ -71,3 +72,28 @@ def blob_rows(files: DataFrame, content: str = "content", name: str = "path") ->
     once = rows.groupBy("sha256", "size_bytes").agg(F.min("_name").alias("first_original_filename"))
     ending = F.lower(F.regexp_extract("first_original_filename", r"(\.[^.]+)$", 1))
     return once.withColumn("blob_path", F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), ending))
+
+
+def append_new(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Append to a Parquet table the rows whose key it has not; the table. Writing the same rows again adds nothing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new = rows.dropDuplicates(keys)
+    if fs.exists(at):
+        known = spark.read.schema(rows.schema).parquet(path).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        new = new.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_anti")
+    written(new, "new").write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def store_blobs(spark: SparkSession, root: str, files: DataFrame, content: str = "content", name: str = "path") -> DataFrame:
+    """Keep each different content once below a root: sha256, blob_path, size_bytes, first_original_filename, content."""
+    rows = blob_rows(files, content, name)
+    held = files.select(F.sha2(content, 256).alias("_sha"), F.col(content).alias("content")).dropDuplicates(["_sha"])
+    return append_new(spark, f"{root.rstrip('/')}/blobs", rows.join(held, F.col("sha256") == F.col("_sha")).drop("_sha"), ["sha256"])
+
+
+def store_session(spark: SparkSession, root: str, session: DataFrame, runs: DataFrame, files: DataFrame) -> None:
+    """Keep a session's rows, its runs' and its files'; rows that are there already stay."""
+    for name, rows, keys in (("upload_sessions", session, ["id"]), ("runs", runs, ["id"]), ("session_files", files, ["session_id", "blob_sha256"])):
+        append_new(spark, f"{root.rstrip('/')}/{name}", rows, keys)

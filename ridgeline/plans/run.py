@@ -83,10 +83,14 @@ def _signals(own: pd.DataFrame) -> pd.DataFrame:
     own["mtb_total_accel_g"] = np.sqrt(sum(own[f"total_acc_{a}_filt"].to_numpy(float) ** 2 for a in "xyz")) / S.GRAVITY_M_S2
     own["flight_g"] = dsp.low_pass(np.where(np.isfinite(total), total, 1.0), rate, 10.0, 2)
     own["sustained_g"] = pd.Series(own["flight_g"]).rolling(max(1, round(0.1 * rate)), center=True, min_periods=1).mean().to_numpy()
+    apart = max(1, int(0.06 * rate))
+    felt = np.where(own["speed_m_s"].to_numpy(float) > 0.5, own["sustained_g"].to_numpy(), 0.0)
+    hits = dsp.peaks(felt, features.LANDING_G, apart, 0.35, max(5, min(len(t) - 1, 3 * apart)))
+    own["landing_peak_g"] = float(felt[hits].max()) if len(hits) else 0.0
     return own
 
 
-_ADDED = ["gps_wgs84_residual_m", "altitude_filt_m", "altitude_smooth_m", "vz_m_s", "vz_smooth_m_s", *[f"{t}_{a}_filt" for t in FILTERS for a in "xyz"], "mtb_raw_total_g", "mtb_total_accel_g", "flight_g", "sustained_g"]
+_ADDED = ["gps_wgs84_residual_m", "altitude_filt_m", "altitude_smooth_m", "vz_m_s", "vz_smooth_m_s", *[f"{t}_{a}_filt" for t in FILTERS for a in "xyz"], "mtb_raw_total_g", "mtb_total_accel_g", "flight_g", "sustained_g", "landing_peak_g"]
 
 
 def process(rows: DataFrame, step_ns: int = STEP_NS) -> DataFrame:
@@ -110,7 +114,7 @@ def process(rows: DataFrame, step_ns: int = STEP_NS) -> DataFrame:
 
 
 def run_stats(rows: DataFrame) -> DataFrame:
-    """A row for each processed run."""
+    """A row for each processed run. Without an accepted flight the greatest landing is the highest peak of the sustained acceleration in motion."""
     found = features.flights(rows, O, "rate", "flight_g", "mtb_raw_total_g", "sustained_g", "vz_m_s", F.col("speed_m_s") > 0.5)
-    base = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("sample_count"), F.max("distance_m").alias("distance_m"), F.max("time_s").alias("duration_s"), A.smoothness("vz_m_s").alias("smoothness_score"), A.half_span("vz_m_s").alias("vz_half_span"), A.capped_percentile("mtb_lean_deg", 0.992, 62.0).alias("lean_deg"), F.first("rate").alias("sample_rate_hz"))
-    return base.join(features.airtime(found, ["run_id"]), "run_id", "left").withColumns({"airtime_s": F.coalesce("airtime_s", F.lit(0.0)), **{c: F.coalesce(c, F.lit(0)) for c in ("jumps", "drops", "witnessed_drops")}})
+    base = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("sample_count"), F.max("distance_m").alias("distance_m"), F.max("time_s").alias("duration_s"), A.smoothness("vz_m_s").alias("smoothness_score"), A.half_span("vz_m_s").alias("vz_half_span"), A.capped_percentile("mtb_lean_deg", 0.992, 62.0).alias("lean_deg"), F.max("rate").alias("sample_rate_hz"), F.max("landing_peak_g").alias("_peak"))
+    return base.join(features.airtime(found, ["run_id"]), "run_id", "left").withColumn("max_landing_g", F.coalesce("max_landing_g", "_peak")).drop("_peak").withColumns({"airtime_s": F.coalesce("airtime_s", F.lit(0.0)), **{c: F.coalesce(c, F.lit(0)) for c in ("jumps", "drops", "witnessed_drops")}})

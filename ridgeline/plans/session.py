@@ -11,6 +11,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions import scalar as S
 from ridgeline.plans import run
 from ridgeline.sources import readers as R
 
@@ -59,16 +60,35 @@ def streams(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return gps, baro, motion
 
 
+def run_names(cells: DataFrame) -> DataFrame:
+    """run_id, source_name (the archive, or the files' names where there is none), label (First run, ...; by source and run)."""
+    files = pair_files(R.classify(cells)).where("run is not null")
+    rows = files.groupBy(F.coalesce("archive", F.lit("")).alias("archive"), "run").agg(F.array_join(F.array_sort(F.collect_set("source_file")), ", ").alias("_files"))
+    rows = rows.select(F.xxhash64("archive", "run").alias("run_id"), F.when(F.col("archive") == "", F.col("_files")).otherwise(F.col("archive")).alias("source_name"), "archive", "run")
+    return rows.withColumn("label", S.ordinal_label(F.row_number().over(Window.orderBy("archive", "run")))).drop("archive", "run")  # a row for each run
+
+
 def process_cells(cells: DataFrame) -> DataFrame:
     gps, baro, motion = streams(cells)
     return run.process(run.on_clock(baro, gps, motion))
 
 
 def process_zips(spark: SparkSession, path: str) -> DataFrame:
-    """Processed runs of all ZIP archives of a folder."""
+    """Processed runs of all ZIP archives of a folder, each a session of its own."""
     return process_cells(R.read_zips(spark, path))
 
 
+def process_zips_together(spark: SparkSession, path: str) -> DataFrame:
+    """Processed runs of all ZIP archives of a folder as one session."""
+    return process_cells(R.as_one_session(R.read_zips(spark, path)))
+
+
+def process_blobs(blobs: DataFrame, files: DataFrame) -> DataFrame:
+    """Runs of a session, worked out again from its stored archives. blobs: sha256, content; files: blob_sha256, original_filename."""
+    held = blobs.join(files, F.col("sha256") == F.col("blob_sha256")).select(F.col("original_filename").alias("path"), "content")
+    return process_cells(R.as_one_session(R.zip_cells(held)))
+
+
 def process_folder(spark: SparkSession, root: str, sub: str = "") -> DataFrame:
     """Processed runs of a folder of CSV files below a root."""
     return process_cells(R.read_folder(spark, inside(root, sub)))

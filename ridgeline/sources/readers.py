@@ -26,8 +26,8 @@ ACCURACY = ["horizontal_accuracy", "horizontalAccuracy", "accuracy", "h_acc", "g
 GPS_ALTITUDE = ["altitude", "gps_altitude"]
 PRESSURE = ["pressure", "barometric_pressure", "pres", "pressure_mbar"]
 RELATIVE = ["relativeAltitude", "relative_altitude", "barometric_altitude"]
-ANGLES = {"roll_rad": ["roll"], "pitch_rad": ["pitch"], "yaw_rad": ["yaw", "heading"]}
-AXES = {a: [f"acceleration_{a}", f"accel_{a}", f"a{a}", f"Acceleration {a.upper()}", f"linear_acceleration_{a}", f"linearAcceleration{a.upper()}", f"Acc{a.upper()}"] for a in "xyz"}
+ANGLES = {f"{a}_rad": [a, f"orientation_{a}", f"orientation{a.capitalize()}", *(["heading"] if a == "yaw" else [])] for a in ("roll", "pitch", "yaw")}
+AXES = {a: [f"acceleration_{a}", f"accel_{a}", f"a{a}", f"Acceleration {a.upper()}", f"acceleration {a}", f"linear_acceleration_{a}", f"linearAcceleration{a.upper()}", f"Acc{a.upper()}"] for a in "xyz"}
 
 
 def find_column(columns: list[str], aliases: list[str]) -> str | None:
@@ -36,6 +36,13 @@ def find_column(columns: list[str], aliases: list[str]) -> str | None:
     return next((a if a in columns else lower[a.lower()] for a in aliases if a in columns or a.lower() in lower), None)
 
 
+def axis_name(name: Column) -> Column:
+    """Any spelling that begins with acceleration and an axis as the first alias of that axis; other names as they are."""
+    for a in "xyz":
+        name = F.when(F.lower(name).rlike(rf"^acceleration\s*{a}\b"), f"acceleration_{a}").otherwise(name)
+    return name
+
+
 def _value(df: DataFrame, aliases: list[str]) -> Column:
     name = find_column(df.columns, aliases)
     return S.number(name) if name else F.lit(None).cast("double")
@@ -55,8 +62,19 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
     """Every CSV member of ZIP archives, as cells: archive, source_file (without folders), line, name, value. Members that can't be read are skipped."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
-    return found.select("path", F.col("path").alias("archive"), "content").mapInPandas(_csv_cells, _CELLS)
+    return zip_cells(spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path))
+
+
+def zip_cells(archives: DataFrame) -> DataFrame:
+    """read_zips' cells of rows (path, content), wherever the archives come from."""
+    return archives.select("path", F.col("path").alias("archive"), "content").mapInPandas(_csv_cells, _CELLS)
+
+
+def as_one_session(cells: DataFrame, session: str = "session") -> DataFrame:
+    """Cells of several archives as if they came from one: files are called z<i>_<name>, i being the archive's number by name."""
+    numbers = cells.select(F.col("archive").alias("_a")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("_a")) - 1)  # a row for each archive
+    both = cells.join(F.broadcast(numbers), F.col("archive").eqNullSafe(F.col("_a")))
+    return both.withColumns({"archive": F.lit(session), "source_file": F.concat(F.lit("z"), F.col("_i").cast("string"), F.lit("_"), F.col("source_file"))}).drop("_a", "_i")
 
 
 _CELLS = "archive string, source_file string, line long, name string, value string"
@@ -95,7 +113,7 @@ def _members(path: str, archive: str | None, content: bytes) -> Iterator[tuple[s
 
 def classify(cells: DataFrame) -> DataFrame:
     """archive, source_file, kind (metadata, gps, baro, aux, unknown), by name, then columns and the usual interval."""
-    has = lambda aliases: F.bool_or(F.lower("name").isin([a.lower() for a in aliases]))
+    has = lambda aliases: F.bool_or(F.lower(axis_name(F.col("name"))).isin([a.lower() for a in aliases]))
     files = cells.groupBy("archive", "source_file").agg(
         has(TIME).alias("timed"), (has(LATITUDE) & has(LONGITUDE)).alias("placed"), (has(PRESSURE) | has(RELATIVE)).alias("baro"),
         (has(["x"]) & has(["y"]) & has(["z"])).alias("xyz"), has([a for names in AXES.values() for a in names]).alias("acc"), has([a for names in ANGLES.values() for a in names]).alias("angles"),
@@ -127,12 +145,14 @@ def classify(cells: DataFrame) -> DataFrame:
 def widen(cells: DataFrame, names: list[str]) -> DataFrame:
     """Cells of files back to rows, with the wanted columns (in any case) by their lower-case names."""
     wanted = [n.lower() for n in dict.fromkeys(names)]
-    return cells.withColumn("_n", F.lower("name")).where(F.col("_n").isin(wanted)).groupBy("archive", "source_file", "line").pivot("_n", sorted(set(wanted))).agg(F.first("value"))
+    return cells.withColumn("_n", F.lower(axis_name(F.col("name")))).where(F.col("_n").isin(wanted)).groupBy("archive", "source_file", "line").pivot("_n", sorted(set(wanted))).agg(F.first("value"))
 
 
 def _timed(df: DataFrame, by: list[str]) -> DataFrame:
     present = [c for a in TIME if (c := find_column(df.columns, [a]))]
-    t = F.coalesce(*[S.number(c) for c in present]) if present else F.lit(None).cast("double")
+    # A date and time as text counts in whole seconds, as nanoseconds.
+    dated = lambda c: F.unix_seconds(F.try_to_timestamp(F.col(c).cast("string"))) * 1e9
+    t = F.coalesce(*[S.number(c) for c in present], *[dated(c) for c in present]) if present else F.lit(None).cast("double")
     rows = df.withColumn("_t", t)
     return rows.withColumn("unix_ns", S.epoch_to_ns(F.col("_t"), F.max("_t").over(Window.partitionBy(*by)))).drop("_t").where(F.col("unix_ns").isNotNull())
 

@@ -6,6 +6,7 @@ import math
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,64 @@ def test_zip_to_processed_run(spark, tmp_path):
     assert level[0] < 1e-9 and level[1] > 9.7 and level[2] < -1
     with pytest.raises(ValueError):
         session.inside("/data", "../etc")
+
+
+def test_missing_climb_and_distance(spark):
+    rows = line_run(spark, 1).drop("vz_m_s", "distance_m", "time_s", "step_m")
+    got = align.with_known_distance(align.with_climb(rows, "run_id"), "run_id").orderBy("unix_ns").collect()
+    assert all(r.vz_m_s == pytest.approx(-0.1) for r in got[2:-2]) and got[-1].distance_m == pytest.approx(299 * 1.11195, rel=1e-4)
+    assert align.with_known_distance(rows.withColumn("distance_m", F.col("unix_ns") * 1e-9), "run_id").agg(F.max("distance_m")).first()[0] == pytest.approx(299.0)
+    with pytest.raises(ValueError):
+        align.with_climb(rows.drop("altitude_smooth_m"), "run_id")
+
+
+def test_session_of_several_archives_and_stored_blobs(spark, tmp_path):
+    import io
+    import zipfile
+
+    from ridgeline.plans import session
+    from ridgeline.sources import readers as R
+
+    start = 1_700_000_000
+
+    def archive(stamp, axis):
+        gps = "datetime,Latitude,lat,longitude\n" + "\n".join(f"{stamp(i)},{46 + i * 1e-5},0,7.0" for i in range(20))
+        baro = "time,pressure\n" + "\n".join(f"{start + i * 0.1},{950 + i * 0.01}" for i in range(190))
+        acc = f"time,{axis} X (m/s2),{axis} y,{axis}  Z\n" + "\n".join(f"{start + i * 0.1},{i},1,2" for i in range(190))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in (("Location.csv", gps), ("Barometer.csv", baro), ("TotalAcceleration.csv", acc)):
+                z.writestr(f"x/{name}", text)
+        return out.getvalue()
+
+    import datetime
+
+    stamp = lambda i: datetime.datetime.fromtimestamp(start + i, datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    for name in ("b.zip", "a.zip"):
+        (tmp_path / name).write_bytes(archive(stamp, "Acceleration"))
+    cells = R.as_one_session(R.read_zips(spark, str(tmp_path)))
+    assert {r[0] for r in cells.select("source_file").distinct().collect()} == {f"z{i}_{n}.csv" for i in (0, 1) for n in ("Location", "Barometer", "TotalAcceleration")}
+    names = session.run_names(cells).collect()
+    assert sorted(r.label for r in names) == ["First run", "Second run"] and {r.source_name for r in names} == {"session"}
+    gps, _, motion = session.streams(cells)
+    first = gps.orderBy("unix_ns").first()
+    assert first.unix_ns == start * 10**9 and first.latitude == 46.0
+    assert {(r.x, r.y, r.z) for r in motion.where(F.col("unix_ns") == start * 10**9).collect()} == {(0.0, 1.0, 2.0)}
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    root = f"file://{tmp_path}/store"
+    assert catalog.store_blobs(spark, root, files).count() == 1 == catalog.store_blobs(spark, root, files).count()
+    blobs = spark.read.parquet(f"{root}/blobs")
+    own = blobs.select(F.col("sha256").alias("blob_sha256"), F.lit("a.zip").alias("original_filename"))
+    assert session.process_blobs(blobs, own).select("run_id").distinct().count() == 1
+    row = spark.createDataFrame([("s1", "t")], "id string, trail_id string")
+    for _ in range(2):
+        catalog.store_session(spark, root, row, row, spark.createDataFrame([("s1", "h")], "session_id string, blob_sha256 string"))
+    assert spark.read.parquet(f"{root}/runs").count() == 1
+
+
+def test_peak_of_landing_without_flights(spark):
+    from ridgeline.functions import dsp
+
+    y = np.zeros(300)
+    y[100], y[150], y[151] = 2.0, 1.6, 1.5
+    assert dsp.peaks(y, 1.3, 6, 0.35, 18).tolist() == [100, 150]
