@@ -229,7 +229,8 @@ class Scorer:
         means = [(t[cut[1:]] - t[cut[:-1]]) / np.maximum(sizes, 1) for t in totals]
         peak = self._upper(totals[0], cut, WINDOW, means[0], 0.99)
         contrast, passage = (self._upper(totals[1], cut, width, means[1], rank) for width, rank in ((CONTRAST_WINDOW, 0.99), (PASSAGE, 1.0)))
-        return [2.0 ** means[0], 2.0**peak, contrast, passage]
+# Rounded, so that a text has the same figures beside whatever others it is scored, and ties at a threshold stay.
+        return [np.round(x, 6) for x in (2.0 ** means[0], 2.0**peak, contrast, passage)]
 
 
 def _scored(batch: pa.RecordBatch, scorer: Scorer, first: int, names: list[str]) -> Iterator[pa.RecordBatch]:
