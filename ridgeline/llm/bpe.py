@@ -329,9 +329,14 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(ranks_path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(ranks_path))
+
+
 def share(spark: SparkSession, ranks_path: str) -> Broadcast:
     """One vocabulary for all tasks: some megabytes, whatever the input."""
-    return spark.sparkContext.broadcast((Vocabulary(read_ranks(ranks_path)), class_table()))
+    return spark.sparkContext.broadcast((_vocabulary(ranks_path), class_table()))
 
 
 def encoder_of(name: str, shared: Broadcast) -> Encoder:

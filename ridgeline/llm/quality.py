@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,8 +203,8 @@ class Scorer:
     """The good model, and the bad one if there is one."""
 
     def __init__(self, rows: pa.Table):
-        names = np.array(rows.column("model").to_pylist(), object)
-        self.good, self.bad = (Model(rows.filter(pa.array(names == n))) if (names == n).any() else None for n in ("good", "bad"))
+        own = [rows.filter(pc.equal(rows.column("model"), n)) for n in ("good", "bad")]
+        self.good, self.bad = (Model(t) if t.num_rows else None for t in own)
 
     @staticmethod
     def _upper(total: np.ndarray, cut: np.ndarray, width: int, mean: np.ndarray, rank: float) -> np.ndarray:
