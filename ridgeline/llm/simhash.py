@@ -12,7 +12,10 @@ by a second and third family of masks with other vectors (pairs within the radiu
 by blocks, whose pairs are compared in different tasks. No link is lost. Links go through connected components.
 
 A null text has no words, like an empty one: fingerprint zero, linked like any other. Null ids never become a component's
-id unless a component has no other. Repeated rows fall into one component. Further columns are not touched.
+id unless a component has no other. Repeated rows fall into one component. Texts may be of any length: fingerprints are
+worked out a text at a time. Further columns are not touched. An empty table gives an empty one.
+
+Within RADIUS bits lie copies and texts that differ in very little; near copies of a likeness of 0.8 mostly differ in more.
 """
 
 from __future__ import annotations

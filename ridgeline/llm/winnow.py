@@ -6,7 +6,9 @@ share a kept hash. A text shorter than k code points has one print, the hash of
 k-grams is a single window; an empty text or a null has none. Equal texts have equal fingerprints.
 
 A fingerprint is binary: for each print eight bytes, hash and position, both unsigned and big-endian, in the order of
-the positions. Repeated rows are treated each on its own. Other columns pass through.
+the positions. Texts may be of any length: a batch is cut between texts into pieces of about CHUNK code points, and one
+text takes some dozens of bytes for each of its own. Repeated rows are treated each on its own. Other columns pass through,
+whatever their names; one that is called like the output is an error. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ def _rolled(points: np.ndarray, k: int) -> np.ndarray:
             break
         half = width // 2
         part[: n - half] = part[: n - half] * power + part[half:]
-        power = power * power
+        with np.errstate(over="ignore"):
+            power = power * power
     total ^= total >> np.uint64(32)
     total *= _MIX
     return total >> np.uint64(32)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from ridgeline.llm import winnow
 
 K, W = 5, 4
@@ -34,6 +36,16 @@ def test_guarantee_and_positions():
                     assert h == g
 
 
+def test_like_plain_winnowing():
+    """Of every window the least hash, the rightmost on ties, with few different characters and so many ties."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aab", k=rng.randrange(K, 90))) for _ in range(200)] + ["é" * 5000, "".join(rng.choices("abcdefgh日", k=50_000))]
+    for text, rows in zip(texts, winnow.prints(texts, K, W)):
+        hashes = winnow._rolled(np.frombuffer(text.encode("utf-32-le"), np.uint32), K)[: len(text) - K + 1].tolist()
+        kept = {max((j for j in range(i, min(i + W, len(hashes))) if hashes[j] == min(hashes[i : i + W]))) for i in range(max(1, len(hashes) - W + 1))}
+        assert [(int(h), int(p)) for h, p in rows] == [(hashes[p], p) for p in sorted(kept)]
+
+
 def test_rightmost_on_ties():
     (rows,) = winnow.prints(["a" * 30], K, W)
     assert rows[:, 1].tolist() == list(range(W - 1, 30 - K + 1))
@@ -55,6 +67,8 @@ def test_next_text(spark):
         if r.doc_id != 9000:
             assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             assert bytes(r.fingerprint) == winnow.prints([text], K, W)[0].tobytes()
+            assert r.near_edited == winnow.likeness(*winnow.prints([text, edited], K, W))
+            assert bytes(r.edited_fingerprint) == winnow.prints([edited], K, W)[0].tobytes()
             assert r.near_next == winnow.likeness(*winnow.prints([text, follow], K, W))
     assert winnow.compare_with_next(docs.limit(0)).collect() == []
     assert winnow.fingerprint(docs.select("doc_id", "text")).where("octet_length(fingerprint) % 8 <> 0").count() == 0
