@@ -10,8 +10,8 @@ equal, since two edits there join different words. Linked lines are one class, w
 2. Lines under other keys are split anew, into more segments (FINER): edits touch at most EDITS of them, so all others
    agree, and a key is all of those at once. Every near pair of such lines shares a finer key too, so nothing is lost, and
    keys cover more and more of the line until only lines that are alike nearly everywhere share one.
-3. Under keys that many lines share even then, all lines are compared with the key's first line; keys whose lines those
-   links connect are done, and what is left meets in pairs.
+3. Under finer keys all lines are compared with the key's first line; keys whose lines the links so far connect are done,
+   and what is left meets in pairs of lines that are not connected, under crowded keys after the last split.
 4. Lines that meet must hold all but EDITS of SCREEN segments about where they should, and lose what they begin and end
    with alike; what is left is verified by banded bit-parallel edit distance: a column of the band is a few bits of an integer.
 
@@ -158,8 +158,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def _in_pairs(held: DataFrame) -> DataFrame:
-    left, right = held.where("own").select("key", F.col("id").alias("a")), held.select("key", F.col("id").alias("b"))
-    return left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """held: key, id, own, root. The pairs of lines under a key that are not of one root."""
+    left, right = held.where("own").select("key", F.col("id").alias("a"), F.col("root").alias("ra")), held.select(F.col("key").alias("_k"), F.col("id").alias("b"), F.col("root").alias("rb"))
+    return left.join(right, (F.col("key") == F.col("_k")) & (F.col("ra") != F.col("rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _unconnected(held: DataFrame, near: list[DataFrame], texts: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(held with the root of each line, without the keys whose lines are all connected; links of lines to their key's first one)."""
+    first = held.where("own").groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("a"))
+    star, _ = write_out(held.join(first, F.col("key") == F.col("_key")).where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "stars")
+    links = _verified(star, texts, edits)
+    roots, _ = write_out(components(_union([*near, links])), "roots")
+    placed, _ = write_out(held.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "placed")
+    apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("_key")
+    left, _ = write_out(placed.join(apart, F.col("key") == F.col("_key"), "left_semi"), "apart")
+    return left, links
 
 
 def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tuple[int, ...] = FINER) -> DataFrame:
@@ -180,20 +193,20 @@ def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tup
             wanted, _ = write_out(held.select(F.col("id").alias("_id")).distinct(), "wanted")
             texts, _ = write_out(rows.join(_sent(wanted), F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line"), F.min("n").alias("n")), "lines")
             release(rows.sparkSession)
+            held = held.withColumn("root", F.col("id"))
+        else:  # what meets under finer keys is mostly near, and one line of a key connects it
+            held, links = _unconnected(held, near, texts, edits)
+            near.append(links)
         busy, _ = write_out(held.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > meet).select("_key"), "busy")
         crowded, _ = write_out(held.join(busy, F.col("key") == F.col("_key"), "left_semi"), "crowded")
         pairs, _ = write_out(_in_pairs(held.join(busy, F.col("key") == F.col("_key"), "left_anti")), "pairs")
         near.append(_verified(pairs, texts, edits))
         if crowded.isEmpty():
             return components(_union(near))
-    first = crowded.where("own").groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("a"))
-    star, _ = write_out(crowded.join(first, F.col("key") == F.col("_key")).where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "stars")
-    near.append(_verified(star, texts, edits))
-    roots, _ = write_out(components(_union(near)), "roots")
-    placed, _ = write_out(crowded.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "placed")
-    apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("_key")
-    pairs, _ = write_out(_in_pairs(placed.join(apart, F.col("key") == F.col("_key"), "left_semi")).join(star, ["a", "b"], "left_anti"), "pairs")
-    near.append(_verified(pairs, texts, edits))
+    if not finer:
+        crowded, links = _unconnected(crowded.drop("root"), near, texts, edits)
+        near.append(links)
+    near.append(_verified(write_out(_in_pairs(crowded), "pairs")[0], texts, edits))
     return components(_union(near))
 
 
