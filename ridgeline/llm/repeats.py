@@ -12,10 +12,9 @@ earlier in the same one). Matches never cross documents; strings are judged on t
    takes the common prefixes of neighbours, and a stack scan gives the tree of common-prefix intervals of at least LENGTH
    bytes. An interval whose occurrences have different bytes before them (or reach a context's start) is a maximal
    repeat: all its occurrences come out, the first marked.
-4. A k-gram with very many anchors (a passage that much of the corpus holds) would fill one task. K-grams of more than
-   about HOT anchors, whatever the input's size, are found by counting one anchor in PART, picked by place; their windows
-   go one by one, by k-gram and a hash of the whole, through an aggregation with partial results, and come back by a join
-   that adaptive execution splits. Which way a k-gram goes moves cost, never results.
+4. A k-gram with very many contexts (a phrase that much of the corpus goes on from in its own ways) would fill one task.
+   Above HOT of them, whatever the input's size, its windows go one by one, by k-gram and a hash of the whole, through an
+   aggregation with partial results, and come back by a join that adaptive execution splits.
 5. The spans of all occurrences but the first are joined to the texts and cut out.
 
 `repeat_groups` gives the groups themselves. Runs that repeat as a whole, intervals of the tree and hot windows are all
@@ -43,7 +42,8 @@ from ridgeline.llm.common import numbered, release, small_batches, write_out
 
 LENGTH, GRAM = 100, 24
 CHUNK, SHARD = 1 << 20, 1 << 20
-HOT, PART = 4096, 16
+#: Contexts of one k-gram that a suffix array takes: some tens of megabytes.
+HOT = 4096
 #: Bytes of a text that are worked through at a time; each piece goes on for the bytes of a window.
 PIECE = 4 << 20
 #: Windows whose k-grams are picked at a time; with a window's length less than 2^24.
@@ -134,55 +134,32 @@ def _chunks(batches: Iterator[pa.RecordBatch], key: str = "_doc") -> Iterator[tu
         yield np.array(keys, np.int64), texts, np.array(begins, np.int64)
 
 
-def _is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """hot: sorted k-grams."""
-    if not len(hot):
-        return np.zeros(len(grams), bool)
-    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-    return hot[at] == grams
-
-
 def _span(a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
     """A run in one number: where it begins, its k-gram's offset, its windows but one."""
     return (a << 16) | ((q - a) << 8) | (b - a)
 
 
-def _some_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """K-grams and how many of the counted anchors have them; one anchor in PART counts, by a hash of its place and document."""
-    for keys, texts, begins in _chunks(batches):
-        hashed = Hashed(texts)
-        q = hashed.runs()[2]
-        own = np.searchsorted(hashed.ends, q, side="right")
-        place = _mix((q - hashed.starts[own] + begins[own]).astype(np.uint64) + _mix(keys[own].view(np.uint64)))
-        gram, n = np.unique(hashed.grams[q[place % _U(PART) == 0]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, texts, begins in _chunks(batches):
         hashed = Hashed(texts)
         a, b, q = hashed.runs()
-        gram = hashed.grams[q]
-        cold = ~_is_hot(gram, hot)
-        a, b, q, gram = a[cold], b[cold], q[cold], gram[cold]
         own = np.searchsorted(hashed.ends, a, side="right")
         base = hashed.starts[own] - begins[own]
-        columns = [gram.view(np.int64), hashed.stretch(a, b + LENGTH).view(np.int64), keys[own], _span(a - base, b - base, q - base)]
+        columns = [hashed.grams[q].view(np.int64), hashed.stretch(a, b + LENGTH).view(np.int64), keys[own], _span(a - base, b - base, q - base)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "doc", "span"])
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(k-gram, hash of the window, doc, place) for each window of a hot k-gram."""
-    for keys, texts, begins in _chunks(batches):
-        hashed = Hashed(texts)
-        a, b, q = hashed.runs()
-        own = _is_hot(hashed.grams[q], hot)
-        counts = (b - a + 1)[own]
-        at = np.repeat(a[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        gram = np.repeat(hashed.grams[q[own]], counts)
-        doc = np.searchsorted(hashed.ends, at, side="right")
-        columns = [gram.view(np.int64), hashed.stretch(at, at + LENGTH).view(np.int64), keys[doc], at - hashed.starts[doc] + begins[doc]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "window", "doc", "at"])
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts (gram, doc, span, bytes) -> (k-gram, hash of the window, doc, span, place) for each of their windows."""
+    for batch in batches:
+        gram, doc, span = (batch.column(c).to_numpy() for c in ("gram", "doc", "span"))
+        hashed = Hashed(batch.column("bytes").to_pylist())
+        counts = (span & 0xFF) + 1
+        own = np.repeat(np.arange(len(doc)), counts)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = hashed.starts[own] + step
+        columns = [gram[own], hashed.stretch(at, at + LENGTH).view(np.int64), doc[own], span[own], (span[own] >> 16) + step]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "window", "doc", "span", "at"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], enough: int = 1) -> Iterator[pa.Table]:
@@ -211,18 +188,35 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], enough: int = 1) -> Iterato
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors ordered by k-gram, context, document and place: (doc, begin, end, 0) of runs that repeat as a whole, and (doc, span, k-gram, 1) of the first runs of k-grams with several contexts."""
-    for table in _whole_groups(batches):
-        gram, context, doc, span = (table.column(i).to_numpy() for i in range(4))
-        new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-        first = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
+    """Of anchors ordered by k-gram, context, document and place: (doc, begin, end, 0) of runs that repeat as a whole, and (doc, span, k-gram, 1) of the first runs of k-grams with several contexts.
+
+    Between batches no more is kept than the last k-gram and context, and the k-gram's first run as long as it is its only one."""
+    last, only = None, None  # (k-gram, context); (doc, span) not yet told to be one of several
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram, context, doc, span = (batch.column(i).to_numpy() for i in range(4))
+        same = last is not None and gram[0] == last[0]
+        new_gram = np.concatenate(([not same], gram[1:] != gram[:-1]))
+        first = new_gram | np.concatenate(([not (same and context[0] == last[1])], context[1:] != context[:-1]))
         again = ~first
         begin = span[again] >> 16
-        group = np.cumsum(new_gram) - 1
-        several = np.bincount(group, weights=first) > 1
-        edge = first & several[group]
-        columns = [np.concatenate(x) for x in ((doc[again], doc[edge]), (begin, span[edge]), (begin + (span[again] & 0xFF) + LENGTH, gram[edge]), (np.zeros(again.sum(), np.int64), np.ones(edge.sum(), np.int64)))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "x", "y", "kind"])
+        group = np.cumsum(new_gram)  # 0: goes on from the batch before
+        counts = np.bincount(group, weights=first, minlength=int(group[-1]) + 1)
+        many = counts > 1
+        many[0] = counts[0] > 0  # one more than those before
+        edge = first & many[group]
+        docs, xs, ys, kinds = [doc[again], doc[edge]], [begin, span[edge]], [begin + (span[again] & 0xFF) + LENGTH, gram[edge]], [np.zeros(again.sum(), np.int64), np.ones(edge.sum(), np.int64)]
+        if only is not None and counts[0] > 0:
+            for out, v in ((docs, only[0]), (xs, only[1]), (ys, last[0]), (kinds, 1)):
+                out.append(np.array([v], np.int64))
+        if group[-1] > 0:
+            one = np.flatnonzero(first & (group == group[-1]))
+            only = (doc[one[0]], span[one[0]]) if len(one) == 1 else None
+        elif counts[0] > 0:
+            only = None
+        last = (gram[-1], context[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (docs, xs, ys, kinds)], ["doc", "x", "y", "kind"])
 
 
 def intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -320,30 +314,25 @@ def _repeats(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _hot_grams(docs: DataFrame) -> np.ndarray:
-    """The k-grams of about HOT anchors and more, sorted: at most one for each HOT anchors of the input, eight bytes each."""
-    counts = docs.select("_doc", "_text").mapInArrow(_some_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return np.sort(counts.where(F.col("n") > HOT // PART).select("gram").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-
-def _dealt(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Anchors of all but the hot k-grams, together by k-gram, ordered by k-gram, context, document and place."""
-    anchors = docs.select("_doc", "_text").mapInArrow(lambda b: _anchors(b, hot), "gram long, context long, doc long, span long")
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Anchors, together by k-gram, ordered by k-gram, context, document and place."""
+    anchors = docs.select("_doc", "_text").mapInArrow(_anchors, "gram long, context long, doc long, span long")
     return anchors.repartition("gram").sortWithinPartitions("gram", "context", "doc", "span")
 
 
-def _met(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """What anchors say when they meet (see _meet), written out; the hot k-grams, whose anchors are left out."""
+def _met(docs: DataFrame) -> DataFrame:
+    """What anchors say when they meet (see _meet), written out."""
     small_batches(docs.sparkSession)
-    hot = _hot_grams(docs)
-    met, _ = write_out(_dealt(docs, hot).mapInArrow(_meet, "doc long, x long, y long, kind long"), "anchors")
+    met, _ = write_out(_dealt(docs).mapInArrow(_meet, "doc long, x long, y long, kind long"), "anchors")
     release(docs.sparkSession)
-    return met, hot
+    return met
 
 
-def _contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """The bytes of the contexts that need comparing, together by k-gram."""
-    asked = met.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct(F.col("y").alias("gram"), F.col("x").alias("span"))).alias("asked"))
+def _contexts(docs: DataFrame, met: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The bytes of the contexts that need comparing, together by k-gram; and the windows of k-grams that have more than `hot` of them."""
+    edges = met.where("kind = 1").select("doc", F.col("x").alias("span"), F.col("y").alias("gram"))
+    crowds, _ = write_out(edges.groupBy(F.col("gram").alias("_gram")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("_gram"), "crowds")
+    asked = edges.groupBy("doc").agg(F.collect_list(F.struct("gram", "span")).alias("asked"))
     pairs = asked.join(docs.select("_doc", "_text"), F.col("doc") == F.col("_doc")).select("doc", "_text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,34 +344,45 @@ def _contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
                 parts = [text[a : a + n + LENGTH] for a, n in zip((span >> 16).tolist(), (span & 0xFF).tolist())]
                 yield pa.RecordBatch.from_arrays([own.field("gram"), pa.array(np.full(len(span), batch.column(0)[i].as_py())), own.field("span"), pa.array(parts, pa.binary())], ["gram", "doc", "span", "bytes"])
 
-    return pairs.mapInArrow(cut, "gram long, doc long, span long, bytes binary").repartition("gram").sortWithinPartitions("gram", "doc", "span")
+    found = pairs.mapInArrow(cut, "gram long, doc long, span long, bytes binary")
+    if crowds.isEmpty():
+        windows = docs.sparkSession.createDataFrame([], _WINDOWS)
+    else:
+        found, _ = write_out(found, "contexts")
+        windows = found.join(crowds, F.col("gram") == F.col("_gram"), "left_semi").mapInArrow(_windows, _WINDOWS)
+        found = found.join(crowds, F.col("gram") == F.col("_gram"), "left_anti")
+    return found.repartition("gram").sortWithinPartitions("gram", "doc", "span"), windows
+
 
+_WINDOWS = "gram long, window long, doc long, span long, at long"
 
-def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """The maximal repeats with all their occurrences: first_doc, first_begin, doc, begin, length, a row for each occurrence.
 
     A repeat is named by its first occurrence and its length; documents go by key, or by number where keys repeat or are null."""
     docs = numbered(docs, key, text)
-    met, hot = _met(docs)
-    anchors, _ = write_out(_dealt(docs, hot), "anchors")
+    met = _met(docs)
+    contexts, windows = _contexts(docs, met, hot)
+    anchors, _ = write_out(_dealt(docs), "anchors")
     spread = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "span")).alias("first")).where("n > 1")
     spread, _ = write_out(spread.select(F.col("gram").alias("_gram"), F.col("context").alias("_context"), F.col("first.doc").alias("low_doc"), F.col("first.span").alias("low_span")), "classes")
     member = anchors.join(spread, (F.col("gram") == F.col("_gram")) & (F.col("context") == F.col("_context"))).select("gram", "low_doc", "low_span", "doc", "span")
     member, _ = write_out(member, "members")
     start, size = F.shiftright("span", 16), F.col("span").bitwiseAND(F.lit(0xFF)) + LENGTH
-    found, _ = write_out(_contexts(docs, met).mapInArrow(lambda b: _repeats(b, True), "gram long, first_doc long, first_begin long, doc long, span long, begin long, length long"), "tree")
+    found = contexts.mapInArrow(lambda b: _repeats(b, True), "gram long, first_doc long, first_begin long, doc long, span long, begin long, length long")
+    found = found.select("gram", F.xxhash64("gram", "first_doc", "first_begin", "length").alias("piece"), "doc", "span", "begin", "length")
+    often = windows.groupBy(F.col("gram").alias("_gram"), F.col("window").alias("_window")).count().where("count > 1")
+    crowded = windows.join(often, (F.col("gram") == F.col("_gram")) & (F.col("window") == F.col("_window"))).select("gram", F.xxhash64("gram", "window").alias("piece"), "doc", "span", F.col("at").alias("begin"), F.lit(LENGTH).cast("long").alias("length"))
+    found, _ = write_out(found.unionByName(crowded), "tree")
     # A run whose bytes stand within a longer run of its k-gram too is in the tree with all its places.
     within = found.where((F.col("begin") == start) & (F.col("length") == size)).select(F.col("gram").alias("_g"), F.col("doc").alias("_d"), F.col("span").alias("_s")).distinct()
     alone = member.join(within, (F.col("gram") == F.col("_g")) & (F.col("low_doc") == F.col("_d")) & (F.col("low_span") == F.col("_s")), "left_anti")
     runs = alone.select(F.xxhash64("gram", "low_doc", "low_span").alias("piece"), "doc", start.alias("begin"), size.alias("length"))
-    tree = found.withColumn("piece", F.xxhash64("gram", "first_doc", "first_begin", "length"))
     whole = member.select(F.col("gram").alias("_g"), F.col("low_doc").alias("_d"), F.col("low_span").alias("_s"), F.col("doc").alias("_doc2"), F.shiftright("span", 16).alias("_start"))
-    of_class = tree.join(whole, (F.col("gram") == F.col("_g")) & (F.col("doc") == F.col("_d")) & (F.col("span") == F.col("_s")), "left")
+    of_class = found.join(whole, (F.col("gram") == F.col("_g")) & (F.col("doc") == F.col("_d")) & (F.col("span") == F.col("_s")), "left")
     tree = of_class.select("piece", F.coalesce("_doc2", "doc").alias("doc"), (F.col("begin") - start + F.coalesce("_start", start)).alias("begin"), "length")
-    windows = docs.select("_doc", "_text").mapInArrow(lambda b: _hot_windows(b, hot), "gram long, window long, doc long, at long")
-    often = windows.groupBy("gram", "window").count().where("count > 1").select(F.col("gram").alias("_gram"), F.col("window").alias("_window"))
-    windows = windows.join(often, (F.col("gram") == F.col("_gram")) & (F.col("window") == F.col("_window"))).select(F.xxhash64("gram", "window").alias("piece"), "doc", F.col("at").alias("begin"), F.lit(LENGTH).cast("long").alias("length"))
-    pieces, _ = write_out(runs.unionByName(tree).unionByName(windows), "pieces")
+    pieces, _ = write_out(runs.unionByName(tree), "pieces")
     first = pieces.groupBy("piece").agg(F.min(F.struct("doc", "begin")).alias("first"))
     placed = pieces.join(first, "piece")
     way = lambda seed: F.sum(F.xxhash64("doc", F.col("begin") - F.col("first.begin"), F.lit(seed)).cast("decimal(38,0)"))  # noqa: E731  occurrences lie alike
@@ -396,30 +396,22 @@ def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return pieces.drop("length").join(named, F.col("piece") == F.col("_piece")).select("first_doc", "first_begin", "doc", "begin", "length").distinct()
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs: _doc long (unique; the order of documents), _text. Returns doc, begin, end: spans that repeat what starts earlier."""
-    met, hot = _met(docs)
-    found = [met.where("kind = 0").selectExpr("doc", "x as begin", "y as end")]
-    occurrences, _ = write_out(_contexts(docs, met).mapInArrow(lambda b: _repeats(b, False), "doc long, begin long, end long"), "occurrences")
+    met = _met(docs)
+    contexts, windows = _contexts(docs, met, hot)
+    occurrences, _ = write_out(contexts.mapInArrow(lambda b: _repeats(b, False), "doc long, begin long, end long"), "occurrences")
     release(docs.sparkSession)
-    found.append(occurrences)
-    if len(hot):
-        windows = docs.select("_doc", "_text").mapInArrow(lambda b: _hot_windows(b, hot), "gram long, window long, doc long, at long")
-        firsts, _ = write_out(windows.groupBy("gram", "window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("_gram"), F.col("window").alias("_window"), "first"), "firsts")
-        again = windows.join(firsts, (F.col("gram") == F.col("_gram")) & (F.col("window") == F.col("_window"))).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-        spans, _ = write_out(again.select("doc", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")), "hot")
-        release(docs.sparkSession)
-        found.append(spans)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    firsts = windows.groupBy(F.col("gram").alias("_gram"), F.col("window").alias("_window")).agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = windows.join(firsts, (F.col("gram") == F.col("_gram")) & (F.col("window") == F.col("_window"))).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+    crowded = again.select("doc", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end"))
+    return met.where("kind = 0").selectExpr("doc", "x as begin", "y as end").unionByName(occurrences).unionByName(crowded)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """key, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: the bytes that remain) of every row."""
     docs = numbered(docs, key, text).select(F.col(key).alias("_key"), "_doc", "_text")
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_spans(docs, hot).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     both = docs.join(spans, F.col("_doc") == F.col("doc"), "left").select("_key", "_text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,23 +36,25 @@ def corpus(rng):
     return texts + texts[3:9] + [near, near]
 
 
-def hot_grams(docs, most):
-    """K-grams of more than `most` anchors, counted plainly."""
-    counts = {}
-    for r in docs.select("_text").collect():
-        hashed = repeats.Hashed([r._text.encode()])
-        for g in hashed.grams[hashed.runs()[2]].tolist():
-            counts[g] = counts.get(g, 0) + 1
-    return np.sort(np.array([g for g, n in counts.items() if n > most], np.uint64))
-
+def test_meeting_in_small_batches():
+    """_meet tells the same however its rows are cut into batches."""
+    import pyarrow as pa
 
-def test_hot_grams_are_found(spark):
-    rng = random.Random(4)
-    common = "".join(rng.choices("abcdefgh", k=120))
-    texts = ["".join(rng.choices("abcdefgh", k=80)) + common for _ in range(3 * repeats.HOT)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "_doc long, _text string")
-    got = set(repeats._hot_grams(docs).tolist())
-    assert set(hot_grams(docs, 2 * repeats.HOT).tolist()) <= got <= set(hot_grams(docs, repeats.HOT // 2).tolist()) and got
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(6), rng.randrange(3), rng.randrange(50), (k << 16) | 5) for k in range(80))
+    rows += [(9, 1, 1, 1 << 16), (10, 1, 1, 1 << 16), (10, 2, 0, 1 << 16)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(4)], ["gram", "context", "doc", "span"])
+    told = lambda parts: sorted(tuple(r.values()) for b in repeats._meet(iter(map(batch, parts))) for r in b.to_pylist())
+    seen, want = set(), []
+    several = {g for g in {r[0] for r in rows} if len({r[1] for r in rows if r[0] == g}) > 1}
+    for g, c, d, s in rows:
+        if (g, c) in seen:
+            want.append((d, s >> 16, (s >> 16) + (s & 0xFF) + repeats.LENGTH, 0))
+        elif g in several:
+            want.append((d, s, g, 1))
+        seen.add((g, c))
+    for size in (1, 2, 3, 7, 100):
+        assert told([rows[i : i + size] for i in range(0, len(rows), size)]) == sorted(want)
 
 
 @pytest.mark.parametrize("hot", [repeats.HOT, 3])
@@ -60,11 +62,7 @@ def test_like_brute_force(spark, monkeypatch, hot):
     texts = corpus(random.Random(hot))
     rows = [(i * 2, t, "z") for i, t in enumerate(texts)] + [(10**6, None, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
-    if hot == 3:
-        # Small bounds reach workers as values of the closures that the driver sends, so they are set in the module's functions.
-        monkeypatch.setattr(repeats, "HOT", 3)
-        monkeypatch.setattr(repeats, "_hot_grams", lambda docs: hot_grams(docs, 3))
-    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs, hot=hot).collect()}
     assert len(got) == len(rows)
     for (i, text, _), (kept, runs) in zip(rows, brute([(t or "").encode() for _, t, _ in rows])):
         r = got[i]
@@ -115,16 +113,14 @@ def check_groups(texts, groups):
             assert all(k in covered.get(i, ()) for i, k in places)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_groups_have_all_occurrences(spark, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(repeats, "_hot_grams", lambda docs: hot_grams(docs, 3))
+@pytest.mark.parametrize("hot", [repeats.HOT, 2])
+def test_groups_have_all_occurrences(spark, hot):
     rng = random.Random(9)
     say = lambda n: "".join(rng.choices("abcdefghij", k=n))
     shared, other, whole = say(130), say(260), say(1000)
     texts = [say(200) + shared + say(200) for _ in range(6)] + [say(50) + other + shared + say(90) for _ in range(3)]
     texts += [whole, say(30) + other[:180], "x" * 99, "", whole, whole]
-    groups = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    groups = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), hot=hot).collect()
     check_groups(texts, groups)
     assert sorted((g.doc, g.begin, g.length) for g in groups if g.first_doc == 9) == [(9, 0, 1000), (13, 0, 1000), (14, 0, 1000)]
 
