@@ -9,7 +9,7 @@ by shards: each block of documents asks for the n-grams that it holds, and is sc
 
 A document has a perplexity, and a peak: the perplexity of the stretches of WINDOW symbols that only one in a hundred of
 its stretches exceeds, which a few foreign words raise where the mean does not move. Toxic text is made like good text,
-so no perplexity under trusted text alone tells it (on held-out labels, under 1 % of it is found that way). So a second
+so perplexity under trusted text alone hardly tells it. So a second
 model of the same kind is trained on text labelled bad, and the ratio of the two perplexities gives two figures more:
 contrast, by how many bits a symbol the stretches of CONTRAST_WINDOW are likelier as bad text, at the same rank; and
 passage, the greatest mean of those bits over any stretch of PASSAGE symbols (a shorter text counts as one), which
