@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def byte_cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of about so many bytes; a larger row stands alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield start, len(sizes)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, decontaminate, lines, quality, repeats, sharding, simhash, token_counts, warc, winnow
+from ridgeline.llm import bpe, decontaminate, lines, quality, repeats, repetition, sharding, simhash, token_counts, warc, winnow
 from ridgeline.llm.common import new_path, read_table, text_of, write_out
 
 
@@ -95,10 +95,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.judge(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "dup_line_chars", *[f"repeat_chars_{n}" for n in repetition.LENGTHS])
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+_OP12 = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}+') AS ws FROM t),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+lengths AS (SELECT unnest([{", ".join(map(str, repetition.LENGTHS))}]) AS n),
+gram AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, lengths)),
+twice AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) AS k FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1),
+inside AS (SELECT doc_id, n, i, bool_or(again) AS again FROM (SELECT doc_id, n, k > 1 AS again, unnest(range(i, i + n)) AS i FROM twice) GROUP BY ALL),
+cover AS (SELECT doc_id, count(*) FILTER (n = 5) AS n_repeat_words, {", ".join(f"sum(length(word)) FILTER (n = {n} AND again) AS c{n}" for n in repetition.LENGTHS)} FROM inside JOIN word USING (doc_id, i) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM t),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (k > 1), 0)::BIGINT AS dup_line_chars
+ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM line WHERE regexp_matches(line, '{_WORD}')) GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+ coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(c{n}, 0)::BIGINT AS repeat_chars_{n}" for n in repetition.LENGTHS)} FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN lines USING (doc_id)),
+b AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.REPEATED_WORDS} * n_words AS base_failed FROM f)
+SELECT *, NOT (base_failed OR 100 * n_dup_lines > {repetition.LINES} * n_lines OR 100 * dup_line_chars > {repetition.LINE_CHARS} * word_chars OR {" OR ".join(f"100 * repeat_chars_{n} > {most} * word_chars" for n, most in repetition.LENGTHS.items())}) AS kept FROM b"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op8_token_counts, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op8_token_counts, op9_warc, op10_line_dedup, op12_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: SQL has no byte-pair merges, n-gram models, bit masks, suffix arrays or archives. Tests hold these queries against plain versions."""
-    return {}
+    """SQL has no byte-pair merges, n-gram models, bit masks, suffix arrays or archives; tests hold the other queries against plain versions."""
+    return {"op12_repetition": _OP12}
