@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, decontaminate, lines, quality, repeats, repetition, sharding, simhash, token_counts, warc, winnow
+from ridgeline.llm import bpe, decontaminate, lines, quality, repeats, repetition, search, sharding, simhash, token_counts, warc, winnow
 from ridgeline.llm.common import new_path, read_table, text_of, write_out
 
 
@@ -95,6 +95,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+_OP11 = f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY ALL), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM n), m AS (SELECT doc_id, 100 - 50 + (50 * n * n_docs) // n_words AS m FROM n, c),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+q AS (SELECT DISTINCT item_id, {_TERMS} FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition.judge(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "dup_line_chars", *[f"repeat_chars_{n}" for n in repetition.LENGTHS])
@@ -118,9 +131,9 @@ SELECT *, NOT (base_failed OR 100 * n_dup_lines > {repetition.LINES} * n_lines O
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op8_token_counts, op9_warc, op10_line_dedup, op12_repetition)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op8_token_counts, op9_warc, op10_line_dedup, op11_search, op12_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL has no byte-pair merges, n-gram models, bit masks, suffix arrays or archives; tests hold the other queries against plain versions."""
-    return {"op12_repetition": _OP12}
+    return {"op11_search": _OP11, "op12_repetition": _OP12}
