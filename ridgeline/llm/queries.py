@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, decontaminate, lines, quality, repeats, repetition, search, sharding, simhash, token_counts, warc, winnow
-from ridgeline.llm.common import new_path, read_table, text_of, write_out
+from ridgeline.llm import alignment, bpe, decontaminate, lines, quality, repeats, repetition, search, sharding, simhash, token_counts, warc, winnow
+from ridgeline.llm.common import new_path, numbered, read_table, text_of, write_out
 
 
 def ranks_path() -> str:
@@ -130,8 +130,21 @@ b AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {re
 SELECT *, NOT (base_failed OR 100 * n_dup_lines > {repetition.LINES} * n_lines OR 100 * dup_line_chars > {repetition.LINE_CHARS} * word_chars OR {" OR ".join(f"100 * repeat_chars_{n} > {most} * word_chars" for n, most in repetition.LENGTHS.items())}) AS kept FROM b"""
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    docs = numbered(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    found = alignment.align(docs, *paths, ["n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "pair_links"], keep=["_doc", "doc_id"])
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    aligned, _ = write_out(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    counts, _ = write_out(alignment.pair_counts(aligned), "pair-counts")
+    summed = alignment.add_link_counts(aligned, counts, ["_doc", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+    return summed.drop("_doc")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op8_token_counts, op9_warc, op10_line_dedup, op11_search, op12_repetition)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_winnowing, op4_sharding, op5_decontamination, op6_simhash, op7_suffix_dedup, op8_token_counts, op9_warc, op10_line_dedup, op11_search, op12_repetition, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
