@@ -5,6 +5,7 @@ Each takes and gives NumPy arrays of one run, which is bounded by a ride's lengt
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ def per_run(df: DataFrame, by: str, order: list[str], kernel: Callable[[pd.DataF
 # Filters ------------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=64)
 def butterworth(order: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of a digital low-pass; share: cutoff over the Nyquist frequency."""
     k = np.arange(order)
@@ -55,30 +57,37 @@ def butterworth(order: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     return b * a.sum() / b.sum(), a
 
 
-def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 128) -> np.ndarray:
-    """Transposed direct form, from a given state.
-
-    In blocks: a block's output is its input times the impulse response, plus what the state before it still gives; both
-    are matrix products over all blocks, and only the states go from block to block."""
+@lru_cache(maxsize=64)
+def _block_tables(b: tuple, a: tuple, block: int) -> tuple[np.ndarray, ...]:
+    """Of one filter: the impulse response over a block, what a block's samples bring to the state after it, what the state before it gives to its outputs, and how a state goes on over a block."""
     n = len(a) - 1
+    a_, b_ = np.array(a), np.array(b)
     step = np.zeros((n, n))
-    step[:, 0] = -a[1:]
+    step[:, 0] = -a_[1:]
     step[:-1, 1:] += np.eye(n - 1)
-    feed = b[1:] - a[1:] * b[0]
+    feed = b_[1:] - a_[1:] * b_[0]
     powers = [np.eye(n)]
     for _ in range(block):
         powers.append(step @ powers[-1])
-    impulse = np.concatenate(([b[0]], [p[0] @ feed for p in powers[: block - 1]]))
+    impulse = np.concatenate(([b_[0]], [p[0] @ feed for p in powers[: block - 1]]))
     at = np.arange(block)[:, None] - np.arange(block)
     own = np.where(at >= 0, impulse[np.maximum(at, 0)], 0.0)
-    later = np.array([p[0] for p in powers[:block]])
     gather = np.array([powers[block - 1 - i] @ feed for i in range(block)])
+    return own.T.copy(), gather, np.array([p[0] for p in powers[:block]]).T.copy(), powers[block]
+
+
+def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 128) -> np.ndarray:
+    """Transposed direct form, from a given state.
+
+    In blocks: a block's output is its input times the impulse response, plus what the state before it still gives; both
+    are matrix products over all blocks, and only the states go from block to block."""
+    own, gather, later, over = _block_tables(tuple(np.asarray(b, float)), tuple(np.asarray(a, float)), block)
     rows = np.concatenate((x, np.zeros(-len(x) % block))).reshape(-1, block)
-    inner, brought, z, states = rows @ own.T, rows @ gather, np.asarray(state, float), np.empty((len(rows), n))
+    inner, brought, z, states = rows @ own, rows @ gather, np.asarray(state, float), np.empty((len(rows), len(a) - 1))
     for i in range(len(rows)):
         states[i] = z
-        z = powers[block] @ z + brought[i]
-    return (inner + states @ later.T).ravel()[: len(x)]
+        z = over @ z + brought[i]
+    return (inner + states @ later).ravel()[: len(x)]
 
 
 def settled_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -112,15 +121,16 @@ def low_pass(y: np.ndarray, rate: float, cutoff: float, order: int = 4) -> np.nd
     return out
 
 
+# A drift's cutoff in Hz at most, and as parts of the rate: at most, at least, and where it would pass the Nyquist frequency.
+DRIFT_HZ, DRIFT_PART, DRIFT_LEAST, DRIFT_SHARE, DRIFT_ORDER = 0.05, 80, 1000, 0.1, 2
+
+
 def drift(residual: np.ndarray, rate: float) -> np.ndarray:
-    """The slow part of a residual: below min(0.05, rate / 80) Hz, rate / 1000 at least."""
-    r = np.nan_to_num(np.asarray(residual, float), nan=0.0)
-    if len(r) < 8 or not rate > 0:
-        return r
-    cutoff = max(min(0.05, rate / 80), rate / 1000)
-    if cutoff >= 0.98 * rate / 2:
-        cutoff = 0.1 * rate / 2
-    return low_pass(r, rate, cutoff, 2)
+    """The slow part of a residual, gaps as 0."""
+    known = np.where(np.isfinite(residual), residual, 0.0)
+    cutoff = float(np.clip(DRIFT_HZ, rate / DRIFT_LEAST, max(rate / DRIFT_PART, rate / DRIFT_LEAST)))
+    nyquist = rate / 2
+    return low_pass(known, rate, cutoff if cutoff < 0.98 * nyquist else DRIFT_SHARE * nyquist, DRIFT_ORDER)
 
 
 def polynomial_weights(width: int, order: int) -> np.ndarray:
@@ -194,20 +204,23 @@ def spline_gaps(t: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def repaired_time(t: np.ndarray, eps: float = 1e-7) -> np.ndarray:
-    """Each time that isn't after the one before becomes that one plus eps; times are taken relative to the first, where eps is not lost."""
-    out = np.asarray(t, float) - (t[0] if len(t) else 0.0)
-    for i in range(1, len(out)):
-        if not out[i] > out[i - 1]:
-            out[i] = out[i - 1] + eps
-    return out
+    """Rising times: what isn't after all before it stands at their latest, plus eps for each such row in a row. Times are relative to the first, where eps is not lost."""
+    known = np.asarray(t, float) - (t[0] if len(t) else 0.0)
+    latest = np.fmax.accumulate(known) if len(known) else known
+    stays = np.arange(len(known)) > 0
+    stays[1:] &= ~(known[1:] > latest[:-1])
+    place = np.arange(len(known))
+    fresh = np.maximum.accumulate(np.where(stays, 0, place))
+    return latest + eps * (place - fresh)
 
 
 def vertical_velocity(h: np.ndarray, t: np.ndarray, most: float = 50.0) -> np.ndarray:
+    """Rates of change by central differences, held within a bound; 0 where there is none."""
     if len(h) < 2:
         return np.zeros(len(h))
     with np.errstate(all="ignore"):
-        v = np.gradient(h, repaired_time(t))
-    return np.clip(np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0), -most, most)
+        rate = np.gradient(h, repaired_time(t))
+    return np.where(np.isfinite(rate), np.clip(rate, -most, most), 0.0)
 
 
 def filled(y: np.ndarray, default: float = 0.0) -> np.ndarray:
@@ -231,51 +244,134 @@ def best_lag(a: np.ndarray, b: np.ndarray, step_s: float) -> tuple[float, float]
     return (k - (n - 1)) * max(step_s, 1 / 500), float(c[k] / (n * (x.std() * y.std() + 1e-12)))
 
 
+def apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Of rising places the higher of close ones: from the highest down (the first on ties), each that has none kept within `distance`.
+
+    Kept places stand at least `distance` apart, so a bucket of that width holds one at most, and three buckets are asked."""
+    if distance < 2 or not len(at):
+        return at
+    buckets = [-distance] * (int(at[-1]) // distance + 3)
+    for i in at[np.argsort(-height, kind="stable")].tolist():
+        b = i // distance + 1
+        if i - buckets[b - 1] >= distance and abs(i - buckets[b]) >= distance and (buckets[b + 1] < 0 or buckets[b + 1] - i >= distance):
+            buckets[b] = i
+    return np.array([i for i in buckets if i >= 0], int)
+
+
+def _foot(y: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+    """For each place the least value before it, as far as none is higher and `half` samples at most; its own value if there is none.
+
+    By doubling: the greatest and least value of 1, 2, 4, ... samples, and the longest stretch that fits put together from them."""
+    levels = [(y, y)]
+    while 2 ** len(levels) <= half:
+        width = 2 ** (len(levels) - 1)
+        high, low = levels[-1]
+        levels.append((np.maximum(high[:-width], high[width:]), np.minimum(low[:-width], low[width:])))
+        if len(levels[-1][0]) < 2 * width + 1:
+            break
+    own, foot, begin, limit = y[at], y[at].copy(), at.copy(), np.maximum(at - half, 0)
+    for k in range(len(levels) - 1, -1, -1):
+        for _ in range(2 if k == len(levels) - 1 else 1):
+            start = begin - 2**k
+            fits = start >= limit
+            there = np.maximum(start, 0)
+            fits &= levels[k][0][np.minimum(there, len(levels[k][0]) - 1)] <= own
+            foot = np.where(fits, np.minimum(foot, levels[k][1][np.minimum(there, len(levels[k][1]) - 1)]), foot)
+            begin = np.where(fits, start, begin)
+    return foot
+
+
 def peaks(y: np.ndarray, height: float, distance: int, prominence: float, width: int) -> np.ndarray:
     """Local maxima of a least height, the higher of close ones, of a least prominence within a window."""
+    y = np.asarray(y, float)
     at = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] >= height)) + 1
-    kept: list[int] = []
-    for i in at[np.argsort(-y[at], kind="stable")].tolist():
-        if all(abs(i - j) >= distance for j in kept):
-            kept.append(i)
-    half, out = width // 2, []
-    for i in sorted(kept):
-        foot = []
-        for side in (y[max(0, i - half) : i][::-1], y[i + 1 : i + half + 1]):
-            higher = np.flatnonzero(side > y[i])
-            reach = side[: higher[0]] if len(higher) else side
-            foot.append(reach.min() if len(reach) else y[i])
-        if y[i] - max(foot) >= prominence:
-            out.append(i)
-    return np.array(out, int)
+    at = apart(at, y[at], distance)
+    if not len(at):
+        return at
+    before = _foot(y, at, width // 2)
+    after = _foot(y[::-1], len(y) - 1 - at, width // 2)
+    return at[y[at] - np.maximum(before, after) >= prominence]
+
+
+# The filter's noise: acceleration and bias in the state, a metre's third in heights at least; the first state's variances.
+_NOISE, _LEAST, _FIRST = (0.15, 0.6, 0.01), 0.35**2, (4.0, 4.0, 0.8)
+
+
+def _then(first: tuple, then: tuple) -> tuple:
+    """Two stretches of a Kalman filter as one: (A, b, C, eta, J), stacks of matrices; associative."""
+    a1, b1, c1, e1, j1 = first
+    a2, b2, c2, e2, j2 = then
+    inner = np.linalg.inv(np.eye(3) + c1 @ j2)
+    left, right = a2 @ inner, np.swapaxes(a1, -1, -2) @ np.swapaxes(inner, -1, -2)
+    return (
+        left @ a1,
+        (left @ (b1 + (c1 @ e2[..., None])[..., 0])[..., None])[..., 0] + b2,
+        left @ c1 @ np.swapaxes(a2, -1, -2) + c2,
+        (right @ (e2 - (j2 @ b1[..., None])[..., 0])[..., None])[..., 0] + e1,
+        right @ j2 @ a1 + j1,
+    )
+
+
+def _elements(dt: np.ndarray, seen: np.ndarray, push: np.ndarray, noise: float) -> tuple:
+    """What one step of the filter does, for each step: predict over dt with an acceleration, then see a height."""
+    n, half = len(dt), dt * dt / 2
+    f = np.tile(np.eye(3), (n, 1, 1))
+    f[:, 0, 1], f[:, 0, 2], f[:, 1, 2] = dt, -half, -dt
+    q = np.zeros((n, 3, 3))
+    q[:, 0, 0], q[:, 1, 1], q[:, 2, 2] = _NOISE[0] * dt**4, _NOISE[1] * dt**2, _NOISE[2] * dt
+    moved = np.stack([half * push, dt * push, np.zeros(n)], -1)
+    s, off = q[:, 0, 0] + noise, seen - moved[:, 0]
+    k = q[:, :, 0] / s[:, None]
+    left = np.tile(np.eye(3), (n, 1, 1))
+    left[:, :, 0] -= k
+    row = f[:, 0, :]
+    return left @ f, moved + k * off[:, None], left @ q, row * (off / s)[:, None], row[:, :, None] * row[:, None, :] / s[:, None, None]
 
 
 def fuse_vertical(t: np.ndarray, h: np.ndarray, acc: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linear Kalman filter of height, climb and accelerometer bias: fused height and climb."""
-    noise = max(float(np.nanvar(h - low_pass(h, rate, 0.5, 2))), 0.35**2)
-    steps = np.clip(np.diff(t), 1e-4, 0.5).tolist()
-    height, climb, bias = float(h[0]), 0.0, 0.0
-    hh, hc, hb, cc, cb, bb = 4.0, 0.0, 0.0, 4.0, 0.0, 0.8  # covariances of height, climb and bias
-    heights, climbs = [], []
-    for i, (seen, push) in enumerate(zip(h.tolist(), acc.tolist())):
-        if i:
-            dt = steps[i - 1]
-            half = dt * dt / 2
-            height += dt * climb + half * (push - bias)
-            climb += dt * (push - bias)
-            h1, h2, h3 = hh + dt * hc - half * hb, hc + dt * cc - half * cb, hb + dt * cb - half * bb
-            c2, c3 = cc - dt * cb, cb - dt * bb
-            hh, hc, hb = h1 + dt * h2 - half * h3 + 0.15 * dt**4, h2 - dt * h3, h3
-            cc, cb = c2 - dt * c3 + 0.6 * dt**2, c3
-            bb += 0.01 * dt
-        total, off = hh + noise, seen - height
-        k1, k2, k3 = hh / total, hc / total, hb / total
-        height, climb, bias = height + k1 * off, climb + k2 * off, bias + k3 * off
+    """Linear Kalman filter of height, climb and accelerometer bias: fused height and climb.
+
+    The run is cut into about as many blocks as a block has steps. What a block does to any state comes from composing its
+    steps, for all blocks at once; that takes the first state from block to block; then all blocks filter from their own
+    first states, side by side."""
+    noise = max(float(np.nanvar(h - low_pass(h, rate, 0.5, 2))), _LEAST)
+    n = len(h)
+    if n < 2:
+        return np.asarray(h, float).copy(), np.zeros(n)
+    state, cov = np.array([h[0], 0.0, 0.0]), np.diag(_FIRST)
+    gain = cov[:, 0] / (cov[0, 0] + noise)
+    cov = cov - np.outer(gain, cov[0])
+    size = max(1, int(np.sqrt(n - 1)))
+    blocks = -(-(n - 1) // size)
+    fit = lambda x: np.concatenate((x, np.zeros(blocks * size - len(x)))).reshape(blocks, size)
+    dt, seen, push = fit(np.clip(np.diff(t), 1e-4, 0.5)), fit(h[1:]), fit(acc[1:])
+    whole = _elements(dt[:, 0], seen[:, 0], push[:, 0], noise)
+    for i in range(1, size):
+        whole = _then(whole, _elements(dt[:, i], seen[:, i], push[:, i], noise))
+    states, covs = np.empty((blocks, 3)), np.empty((blocks, 3, 3))
+    for k in range(blocks):
+        states[k], covs[k] = state, cov
+        none = np.zeros((3, 3))
+        _, state, cov, _, _ = _then((none, state, cov, np.zeros(3), none), tuple(x[k] for x in whole))
+    heights, climbs = np.empty((blocks, size)), np.empty((blocks, size))
+    x, p = states.T.copy(), covs
+    hh, hc, hb, cc, cb, bb = (p[:, i, j].copy() for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))
+    for i in range(size):
+        d, a = dt[:, i], push[:, i]
+        half = d * d / 2
+        x = np.stack([x[0] + d * x[1] + half * (a - x[2]), x[1] + d * (a - x[2]), x[2]])
+        h1, h2, h3 = hh + d * hc - half * hb, hc + d * cc - half * cb, hb + d * cb - half * bb
+        c2, c3 = cc - d * cb, cb - d * bb
+        hh, hc, hb = h1 + d * h2 - half * h3 + _NOISE[0] * d**4, h2 - d * h3, h3
+        cc, cb, bb = c2 - d * c3 + _NOISE[1] * d**2, c3, bb + _NOISE[2] * d
+        total = hh + noise
+        k1, k2, k3, off = hh / total, hc / total, hb / total, seen[:, i] - x[0]
+        x = x + np.stack([k1, k2, k3]) * off
         cc, cb, bb = cc - k2 * hc, cb - k2 * hb, bb - k3 * hb
         hh, hc, hb = hh - k1 * hh, hc - k1 * hc, hb - k1 * hb
-        heights.append(height)
-        climbs.append(min(max(climb, -50.0), 50.0))
-    return np.array(heights), np.array(climbs)
+        heights[:, i], climbs[:, i] = x[0], x[1]
+    back = lambda first, rest: np.concatenate(([first], rest.ravel()[: n - 1]))
+    return back(h[0], heights), np.clip(back(0.0, climbs), -50.0, 50.0)
 
 
 def z_scores(y: np.ndarray) -> np.ndarray:
@@ -318,30 +414,55 @@ def warp_onto(base: np.ndarray, other: np.ndarray, values: np.ndarray, band: int
     return filled(np.array([np.median(v) if v else np.nan for v in own]))
 
 
+#: Beyond so many lengths the kernel is under 1e-16; places are predicted so many at a time.
+_REACH, _PLACES = 8.6, 512
+
+
+def _lower_solve(low: np.ndarray, y: np.ndarray, block: int = 64) -> np.ndarray:
+    """x of low x = y for a lower triangle, by blocks."""
+    x = y.copy()
+    for i in range(0, len(y), block):
+        rows = slice(i, i + block)
+        x[rows] = np.linalg.solve(low[rows, rows], x[rows] - low[rows, :i] @ x[:i])
+    return x
+
+
 def gaussian_process(x: np.ndarray, y: np.ndarray, most: int = 2500) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sigma of a process with a squared-exponential kernel and noise; hyper-parameters by likelihood over a grid.
+    """Mean and sigma of a process with a squared-exponential kernel and noise at rising places; hyper-parameters by likelihood over a grid.
 
-    Trained on every k-th point so that at most about `most` are."""
+    Trained on every k-th point so that at most about `most` are. Places are predicted in blocks, each from the points that
+    its places can feel, so that time grows with the places and memory doesn't."""
     step = max(1, -(-len(x) // most))
     tx, mean, scale = x[::step], y.mean(), y.std() or 1.0
     ty = (y[::step] - mean) / scale
-    span, best = max(float(x[-1] - x[0]), 1.0), None
+    span, best, diagonal = max(float(x[-1] - x[0]), 1.0), None, np.arange(len(tx))
+    kernel = lambda u, v, length: np.exp(-((u[:, None] - v) ** 2) / (2 * length**2))
     for length in np.unique(np.clip(span / np.array([160, 80, 40, 20, 10]), 1.0, max(5.0, span / 2))):
-        k = np.exp(-((tx[:, None] - tx) ** 2) / (2 * length**2))
+        k = kernel(tx, tx, length)
         for noise in (1e-3, 1e-2, 0.05, 0.3):
+            k[diagonal, diagonal] = 1 + noise + 1e-4
             try:
-                chol = np.linalg.cholesky(k + (noise + 1e-4) * np.eye(len(tx)))
+                low = np.linalg.cholesky(k)
             except np.linalg.LinAlgError:
                 continue
-            w = np.linalg.solve(chol.T, np.linalg.solve(chol, ty))
-            likelihood = -0.5 * ty @ w - np.log(np.diag(chol)).sum()
+            likelihood = -0.5 * (_lower_solve(low, ty) ** 2).sum() - np.log(np.diag(low)).sum()
             if best is None or likelihood > best[0]:
-                best = likelihood, length, noise, chol, w
+                best = likelihood, length, noise
     if best is None:
         width = min(31, len(y) - 1 | 1)
         out = local_polynomial(y, width, 2) if len(y) > width > 2 else y
         return out, np.full(len(y), (y - out).std())
-    _, length, noise, chol, w = best
-    cross = np.exp(-((x[:, None] - tx) ** 2) / (2 * length**2))
-    v = np.linalg.solve(chol, cross.T)
-    return cross @ w * scale + mean, np.sqrt(np.maximum(1 + noise - (v**2).sum(0), 1e-12)) * scale
+    _, length, noise = best
+    k = kernel(tx, tx, length)
+    k[diagonal, diagonal] = 1 + noise + 1e-4
+    inverse = np.linalg.inv(k)
+    del k
+    weights, out, sigma = inverse @ ty, np.empty(len(x)), np.empty(len(x))
+    for i in range(0, len(x), _PLACES):
+        own = x[i : i + _PLACES]
+        a, b = np.searchsorted(tx, (own[0] - _REACH * length, own[-1] + _REACH * length))
+        cross = kernel(own, tx[a:b], length)
+        out[i : i + _PLACES] = cross @ weights[a:b] * scale + mean
+        taken = np.einsum("ij,ij->i", cross @ inverse[a:b, a:b], cross)
+        sigma[i : i + _PLACES] = np.sqrt(np.maximum(1 + noise - taken, 1e-12)) * scale
+    return out, sigma

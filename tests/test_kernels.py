@@ -111,26 +111,6 @@ def test_spline_of_an_hour_with_gaps():
     assert np.allclose(dsp.spline_gaps(x, v), x**3 - 2 * x)
 
 
-def test_kalman_like_matrices():
-    rng = np.random.default_rng(4)
-    n = 400
-    t, h, acc = np.cumsum(rng.uniform(0.005, 0.05, n)), np.cumsum(rng.normal(size=n)) * 0.1, rng.normal(size=n)
-    noise = max(float(np.nanvar(h - dsp.low_pass(h, 40.0, 0.5, 2))), 0.35**2)
-    x, p, want = np.array([h[0], 0.0, 0.0]), np.diag([4.0, 4.0, 0.8]), []
-    for i in range(n):
-        if i:
-            dt = min(max(t[i] - t[i - 1], 1e-4), 0.5)
-            f = np.array([[1, dt, -dt * dt / 2], [0, 1, -dt], [0, 0, 1]])
-            x = f @ x + np.array([dt * dt / 2, dt, 0]) * acc[i]
-            p = f @ p @ f.T + np.diag([0.15 * dt**4, 0.6 * dt**2, 0.01 * dt])
-        gain = p[:, 0] / (p[0, 0] + noise)
-        x = x + gain * (h[i] - x[0])
-        p = p - np.outer(gain, p[0])
-        want.append(x[:2].copy())
-    got = np.array(dsp.fuse_vertical(t, h, acc, 40.0)).T
-    assert np.allclose(got, want, rtol=1e-8, atol=1e-9)
-
-
 def test_warping_like_a_whole_matrix():
     rng = np.random.default_rng(5)
     for n, m, band in ((9, 9, 50), (30, 22, 3), (40, 41, 5), (12, 60, 2)):
@@ -161,3 +141,123 @@ def test_fill_looks_ahead_in_one_pass(spark):
     got = Q.fill_linear(rows.withColumn("w", Q.fill_both("v", o)), "v", o, "filled").agg(F.sum("w"), F.min("filled"), F.max("filled")).first()
     assert got[1] == 40_000 and got[2] == 90_000 and got[0] == 40_000 * 90_000 + 90_000 * 10_000
     assert time.perf_counter() - began < 30
+
+
+def plain_peaks(y, height, distance, prominence, width):
+    at = [i for i in range(1, len(y) - 1) if y[i] > y[i - 1] and y[i] >= y[i + 1] and y[i] >= height]
+    kept = []
+    for i in sorted(at, key=lambda i: (-y[i], i)):
+        if all(abs(i - j) >= distance for j in kept):
+            kept.append(i)
+    out = []
+    for i in sorted(kept):
+        feet = []
+        for way in (-1, 1):
+            foot, j = y[i], i + way
+            while 0 <= j < len(y) and abs(j - i) <= width // 2 and y[j] <= y[i]:
+                foot, j = min(foot, y[j]), j + way
+            feet.append(foot)
+        if y[i] - max(feet) >= prominence:
+            out.append(i)
+    return out
+
+
+def test_peaks_like_a_plain_search():
+    rng = np.random.default_rng(6)
+    for n in (3, 4, 10, 60, 400):
+        for distance, width in ((1, 0), (1, 1), (2, 5), (6, 18), (9, 64), (50, 500)):
+            y = np.round(rng.normal(1, 0.7, n), 1)  # with ties
+            assert dsp.peaks(y, 0.9, distance, 0.3, width).tolist() == plain_peaks(y.tolist(), 0.9, distance, 0.3, width), (n, distance, width)
+    assert dsp.peaks(np.zeros(2), 0, 3, 0, 4).tolist() == []
+
+
+def test_peaks_of_an_hour():
+    import time
+
+    y = np.random.default_rng(7).normal(1, 1, 360_000)
+    began = time.perf_counter()
+    found = dsp.peaks(y, 1.3, 6, 0.35, 18)
+    assert time.perf_counter() - began < 1 and np.diff(found).min() >= 6 and len(found) > 20_000
+
+
+def plain_kalman(t, h, acc, rate):
+    noise = max(float(np.nanvar(h - dsp.low_pass(h, rate, 0.5, 2))), 0.35**2)
+    x, p, want = np.array([h[0], 0.0, 0.0]), np.diag([4.0, 4.0, 0.8]), []
+    for i in range(len(h)):
+        if i:
+            dt = min(max(t[i] - t[i - 1], 1e-4), 0.5)
+            f = np.array([[1, dt, -dt * dt / 2], [0, 1, -dt], [0, 0, 1]])
+            x = f @ x + np.array([dt * dt / 2, dt, 0]) * acc[i]
+            p = f @ p @ f.T + np.diag([0.15 * dt**4, 0.6 * dt**2, 0.01 * dt])
+        gain = p[:, 0] / (p[0, 0] + noise)
+        x = x + gain * (h[i] - x[0])
+        p = p - np.outer(gain, p[0])
+        want.append([x[0], min(max(x[1], -50.0), 50.0)])
+    return np.array(want)
+
+
+def test_kalman_blocks_like_a_loop():
+    """Uneven clocks, repeated and far times, every size of the last block."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 5, 10, 17, 50, 101, 3000):
+        t = np.cumsum(rng.choice([0.0, 0.004, 0.04, 0.3, 2.0], n))
+        h, acc = np.cumsum(rng.normal(size=n)), rng.normal(size=n) * 3
+        assert np.allclose(np.array(dsp.fuse_vertical(t, h, acc, 25.0)).T, plain_kalman(t, h, acc, 25.0), rtol=1e-7, atol=1e-8), n
+
+
+def test_an_hour_through_every_kernel():
+    import time
+
+    rng = np.random.default_rng(9)
+    n = 360_000
+    t, y = np.arange(n) * 0.01, np.cumsum(rng.normal(size=n)) * 0.05
+    began = time.perf_counter()
+    dsp.low_pass(y, 100, 4, 2), dsp.smooth(y, 100), dsp.drift(y, 100), dsp.vertical_velocity(y, t), dsp.peaks(np.abs(y), 1.3, 6, 0.35, 18)
+    dsp.spline_gaps(t, np.where(rng.random(n) < 0.1, np.nan, y)), dsp.best_lag(y, np.roll(y, 50), 0.01), dsp.fuse_vertical(t, y, rng.normal(size=n), 100.0)
+    assert time.perf_counter() - began < 10
+
+
+def test_repaired_time_like_a_loop():
+    rng = np.random.default_rng(10)
+    for _ in range(50):
+        t = np.round(np.cumsum(rng.choice([-0.3, 0.0, 0.1, 0.5], 60)), 6) + 1.7e9
+        want, last = [0.0], 0.0
+        relative = t - t[0]
+        latest = relative[0]
+        for v in relative[1:]:
+            last = v if v > latest else last + 1e-7
+            latest = max(latest, v)
+            want.append(last)
+        got = dsp.repaired_time(t)
+        assert np.allclose(got, want, atol=1e-12) and (np.diff(got) > 0).all()
+
+
+def test_gaussian_process_like_whole_matrices():
+    x = np.arange(0.0, 900.0, 1.5)
+    y = np.sin(x / 50) + rng.normal(0, 0.1, len(x))
+    mean, sigma = dsp.gaussian_process(x, y, 300)
+    tx, ty = x[::2], (y[::2] - y.mean()) / y.std()
+    best = None
+    for length in np.unique(np.clip(898.5 / np.array([160, 80, 40, 20, 10]), 1.0, 898.5 / 2)):
+        for noise in (1e-3, 1e-2, 0.05, 0.3):
+            k = np.exp(-((tx[:, None] - tx) ** 2) / (2 * length**2)) + (noise + 1e-4) * np.eye(len(tx))
+            likelihood = -0.5 * ty @ np.linalg.solve(k, ty) - 0.5 * np.linalg.slogdet(k)[1]
+            if best is None or likelihood > best[0]:
+                best = likelihood, length, noise, k
+    _, length, noise, k = best
+    cross = np.exp(-((x[:, None] - tx) ** 2) / (2 * length**2))
+    assert np.allclose(mean, cross @ np.linalg.solve(k, ty) * y.std() + y.mean(), atol=1e-6)
+    assert np.allclose(sigma, np.sqrt(1 + noise - np.einsum("ij,ji->i", cross, np.linalg.solve(k, cross.T))) * y.std(), atol=1e-6)
+
+
+def test_gaussian_process_of_a_long_trail():
+    """100,000 places: memory for the training points alone."""
+    import tracemalloc
+
+    x = np.arange(100_000.0)
+    y = np.sin(x / 2000)
+    tracemalloc.start()
+    mean, _ = dsp.gaussian_process(x, y, 2500)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(mean - y).max() < 0.05 and most < 300e6
