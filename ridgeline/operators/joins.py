@@ -6,6 +6,8 @@ one shuffle, a sort for each direction, no product of the sides. Spatial joins m
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,73 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list
     return rows.select(*own, *[F.when(hit, F.col(f"_best.{v}")).alias(v + suffix) for v in values])
 
 
+@dataclass
+class Stream:
+    """Rows that on_grid takes values from: those of `rows` where `where` holds, under the names of `values`.
+
+    tolerance: the nearest row's values, within it (its bound counts; None: however far); interpolated: values on the line
+    between the rows around, constant beyond the ends. Of rows with one time, `ties` takes the greatest ("last") or least ("first")
+    by the values, or of those before the greatest and of those ahead the least ("near")."""
+
+    rows: DataFrame
+    values: dict[str, Column]
+    tolerance: int | float | None = None
+    interpolated: bool = False
+    where: Column | None = None
+    ties: str = "near"
+
+
+def on_grid(grid: DataFrame, streams: list[Stream], by: list[str], on: str) -> DataFrame:
+    """Every row of the grid with the values of all streams, in one pass: grid and streams are one table, dealt by key once
+    and sorted once each way; a window keeps the last known row of each stream.
+
+    Streams of one table with conditions, which must exclude each other, are read at once. The grid's rows come out sorted by `on` within their key."""
+    own = [c for c in grid.columns if c not in (*by, on)]
+    names = [f"_s{k}" for k in range(len(streams))]
+    kinds = [s.rows.select(F.struct(F.col(on).alias("_on"), *[v.alias(n) for n, v in s.values.items()]).alias("s")).schema["s"].dataType for s in streams]
+    held = F.struct(*own) if own else F.lit(None).cast("struct<_none:int>")
+    none = {n: F.lit(None).cast(k) for n, k in zip(names, kinds)}
+    rows = grid.select(*by, on, F.lit(LEFT).alias("_side"), held.alias("_grid"), *[v.alias(n) for n, v in none.items()])
+    kind = rows.schema["_grid"].dataType
+    tables: list[tuple[DataFrame, list[int]]] = []
+    for k, s in enumerate(streams):
+        same = next((members for t, members in tables if t is s.rows and s.where is not None and streams[members[0]].where is not None), None)
+        if same is None:
+            tables.append((s.rows, [k]))
+        else:
+            same.append(k)
+    for table, members in tables:
+        taken = {}
+        for k in members:
+            value = F.struct(F.col(on).alias("_on"), *[v.alias(n) for n, v in streams[k].values.items()])
+            taken[names[k]] = value if streams[k].where is None else F.when(streams[k].where, value)
+        part = table.where(F.col(on).isNotNull()).select(*by, on, F.lit(RIGHT).alias("_side"), F.lit(None).cast(kind).alias("_grid"), *[taken.get(n, none[n]).alias(n) for n in names])
+        rows = rows.union(part)
+    way = lambda stream, name, ahead: F.col(name).asc() if stream.ties == "last" or stream.ties == "near" and not ahead else F.col(name).desc()
+    known = lambda ahead: Window.partitionBy(*by).orderBy(F.desc(on) if ahead else F.asc(on), "_side", *[way(s, n, ahead) for s, n in zip(streams, names)]).rowsBetween(Window.unboundedPreceding, 0)
+    for c, ahead in (("_a", True), ("_b", False)):  # back last, so that rows stay in that order
+        window = known(ahead)
+        rows = rows.select("*", *[F.last(n, ignorenulls=True).over(window).alias(f"{c}{k}") for k, n in enumerate(names)])
+    out = []
+    for k, s in enumerate(streams):
+        before, after = F.col(f"_b{k}._on"), F.col(f"_a{k}._on")
+        share = (F.col(on) - before).cast("double") / F.nullif((after - before).cast("double"), F.lit(0.0))
+        behind = before.isNotNull() & (after.isNull() | (F.col(on) - before <= after - F.col(on)))
+        best = F.when(behind, before).otherwise(after)
+        hit = F.lit(True) if s.tolerance is None else F.abs(best - F.col(on)) <= s.tolerance
+        for n in s.values:
+            x, y = F.col(f"_b{k}.{n}"), F.col(f"_a{k}.{n}")
+            value = F.when(before.isNull(), y).when(after.isNull() | share.isNull(), x).otherwise(x + (y - x) * share) if s.interpolated else F.when(hit, F.when(behind, x).otherwise(y))
+            out.append(value.alias(n))
+    return rows.where(F.col("_side") == LEFT).select(*by, on, *[F.col(f"_grid.{c}").alias(c) for c in own], *out)
+
+
 def asof_attach(left: DataFrame, streams: list[DataFrame], by: list[str], on: str, tolerance: int) -> DataFrame:
-    """Nearest rows of several streams, attached in turn; where a column comes again, the later stream's value wins if there is one."""
-    for right in streams:
-        values = [c for c in right.columns if c not in (*by, on)]
-        got = asof(left, right, by, on, values, tolerance, suffix="__new")
-        again = [v for v in values if v in left.columns]
-        left = got.select(*[F.coalesce(f"{c}__new", c).alias(c) if c in again else F.col(c) for c in left.columns], *[F.col(f"{v}__new").alias(v) for v in values if v not in again])
-    return left
+    """Nearest rows of several streams, in one pass; where a column comes again, the later stream's value wins if there is one."""
+    values = [[c for c in right.columns if c not in (*by, on)] for right in streams]
+    got = on_grid(left, [Stream(right, {f"_{k}_{v}": F.col(v) for v in own}, tolerance) for k, (right, own) in enumerate(zip(streams, values))], by, on)
+    latest = lambda c: F.coalesce(*[F.col(f"_{k}_{c}") for k in reversed(range(len(streams))) if c in values[k]], *([F.col(c)] if c in left.columns else []))
+    return got.select(*[latest(c).alias(c) if any(c in own for own in values) else F.col(c) for c in dict.fromkeys([*left.columns, *[c for own in values for c in own]])])
 
 
 def interpolate(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:

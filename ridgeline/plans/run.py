@@ -1,6 +1,7 @@
 """From streams to a processed run: common clock, places, altitude, speed, motion. Runs are rows of one table, dealt by run_id.
 
-Joins and sums are window plans; the recursive filters are one grouped kernel over a run's rows."""
+All streams meet the clock in one pass; rates, levelling and densities are windows over the same dealing; the recursive filters
+are one kernel over a run's rows."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from ridgeline.operators import generators as G
 from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
 from ridgeline.plans import features
+from ridgeline.sources.shared import written
 
 STEP_NS, TOLERANCE_NS = 10_000_000, 50_000_000
 O = Q.Ordered("run_id", "unix_ns")  # noqa: E741
@@ -24,19 +26,19 @@ TRIPLES = ("acc", "gravity", "total_acc", "gyro", "acc_uncal", "gyro_uncal")
 FILTERS = {"acc": (10.0, 4), "gravity": (3.0, 4), "total_acc": (4.0, 2)}
 
 
-def motion_streams(motion: DataFrame) -> list[DataFrame]:
-    """Long rows (run_id, unix_ns, stream, x, y, z) to a frame for each stream that there is, in the order of the names."""
-    present = {r[0] for r in motion.select("stream").distinct().collect()}  # a few names
-    return [motion.where(F.col("stream") == s).groupBy("run_id", "unix_ns").agg(F.max(F.struct("x", "y", "z")).alias("_v")).select("run_id", "unix_ns", *[F.col(f"_v.{a}").alias(f"{s}_{a}") for a in "xyz"]) for s in sorted(TRIPLES) if s in present]
-
-
 def on_clock(baro: DataFrame, gps: DataFrame, motion: DataFrame | None = None, step_ns: int = STEP_NS) -> DataFrame:
-    """A clock of step_ns over each run's barometer, with the nearest barometer and motion rows and interpolated places."""
+    """A clock of step_ns over each run's barometer, with the nearest barometer and motion rows and interpolated places, in one pass.
+
+    motion: long rows (run_id, unix_ns, stream, x, y, z); streams that aren't there give null columns."""
     span = baro.groupBy("run_id").agg(F.min("unix_ns").alias("a"), F.max("unix_ns").alias("b"))
     grid = G.clock(span, ["run_id"], "a", "b", step_ns)
-    rows = J.asof_attach(grid, [baro, *(motion_streams(motion) if motion is not None else [])], ["run_id"], "unix_ns", TOLERANCE_NS)
-    good = Q.drop_step_outliers(Q.drop_inaccurate(gps, "horizontal_accuracy_m", O), O)
-    return J.interpolate(rows, good.select("run_id", "unix_ns", "latitude", "longitude", "speed_m_s", "gps_altitude_m"), ["run_id"], "unix_ns", ["latitude", "longitude", "speed_m_s", "gps_altitude_m"])
+    ordered = Q.Ordered("run_id", ["unix_ns", *[c for c in gps.columns if c not in ("run_id", "unix_ns")]])  # of one time in any order of the rows the same
+    good = Q.drop_step_outliers(Q.drop_inaccurate(gps, "horizontal_accuracy_m", ordered), ordered)
+    places = ["latitude", "longitude", "speed_m_s", "gps_altitude_m"]
+    streams = [J.Stream(baro, {c: F.col(c) for c in baro.columns if c not in ("run_id", "unix_ns")}, TOLERANCE_NS)]
+    if motion is not None:
+        streams += [J.Stream(motion, {f"{t}_{a}": F.col(a) for a in "xyz"}, TOLERANCE_NS, where=F.col("stream") == t, ties="last") for t in TRIPLES]
+    return J.on_grid(grid, [*streams, J.Stream(good, {c: F.col(c) for c in places}, interpolated=True, ties="first")], ["run_id"], "unix_ns")
 
 
 def level(rows: DataFrame, rate: str = "rate") -> DataFrame:
@@ -44,19 +46,18 @@ def level(rows: DataFrame, rate: str = "rate") -> DataFrame:
     present = [t for t in TRIPLES if f"{t}_x" in rows.columns]
     if "gravity" not in present:
         return rows.withColumn("virtual_level_applied", F.lit(False))
-    rows = rows.withColumn("_i", O.number())
-    first = F.col("_i") <= F.greatest(F.lit(3), F.round(2 * F.col(rate)))
-    mean = rows.where(first).groupBy("run_id").agg(*[F.avg(f"gravity_{a}").alias(f"_g{a}") for a in "xyz"], F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_first", O.number() <= F.greatest(F.lit(3), F.round(2 * F.col(rate))))
+    mean = {f"_g{a}": F.avg(F.when(F.col("_first"), F.col(f"gravity_{a}"))).over(O.all) for a in "xyz"}
+    rows = rows.withColumns(mean | {"_n": F.count_if(F.col("_first")).over(O.all)})
     x, y, z = (F.col(f"_g{a}") for a in "xyz")
     able = F.coalesce((F.col("_n") >= 3) & (S.magnitude(x, y, z) >= 2), F.lit(False))
-    mean = mean.withColumn("virtual_level_applied", able).withColumn("_r", F.when(able, S.levelling_matrix(x, y, z)))
-    rows = rows.join(mean.select("run_id", "virtual_level_applied", "_r"), "run_id", "left")
+    rows = rows.withColumn("virtual_level_applied", able).withColumn("_r", F.when(able, S.levelling_matrix(x, y, z)))
     turned = {}
     for t in present:
         axes = [F.col(f"{t}_{a}") for a in "xyz"]
         known = F.coalesce(*axes).isNotNull()
         turned |= {f"{t}_{a}": F.when(F.col("_r").isNotNull() & known, v).otherwise(c) for a, v, c in zip("xyz", S.rotate(*axes, F.col("_r")), axes)}
-    return rows.withColumns(turned).drop("_i", "_r")
+    return rows.withColumns(turned).drop("_first", "_n", "_gx", "_gy", "_gz", "_r")
 
 
 def _signals(own: pd.DataFrame) -> pd.DataFrame:
@@ -97,8 +98,9 @@ def process(rows: DataFrame, step_ns: int = STEP_NS) -> DataFrame:
     """Rows on a clock of step_ns (see on_clock) to processed rows: altitude, climb, distance, time, motion, braking over half a second."""
     numbers = ["latitude", "longitude", "speed_m_s", "gps_altitude_m", "pressure_mbar", "altitude_m", *[f"{t}_{a}" for t in TRIPLES for a in "xyz"]]
     rows = rows.withColumns({c: F.lit(None).cast("double") for c in numbers if c not in rows.columns})
-    rates = A.sample_rate(rows, O).withColumnRenamed("sample_rate_hz", "rate")
-    rows = level(rows.join(rates, "run_id"))
+    rows = rows.withColumn("_dt", (F.col("unix_ns") - O.lag("unix_ns")) * 1e-9)
+    rate = 1 / F.percentile(F.when(F.col("_dt") > 0, F.col("_dt")), F.lit(0.5)).over(O.all)
+    rows = level(rows.withColumn("rate", F.coalesce(rate, F.lit(25.0))).drop("_dt"))
     hypso = S.hypsometric_m(F.col("pressure_mbar"))
     density = S.air_density(F.avg(hypso).over(O.all))
     corrected = F.col("pressure_mbar") + S.dynamic_pressure_mbar(density, F.col("speed_m_s"))
@@ -114,7 +116,8 @@ def process(rows: DataFrame, step_ns: int = STEP_NS) -> DataFrame:
 
 
 def run_stats(rows: DataFrame) -> DataFrame:
-    """A row for each processed run. Without an accepted flight the greatest landing is the highest peak of the sustained acceleration in motion."""
+    """A row for each processed run; the rows are written first, as several branches read them. Without an accepted flight the greatest landing is the highest peak of the sustained acceleration in motion."""
+    rows = written(rows, "processed")
     found = features.flights(rows, O, "rate", "flight_g", "mtb_raw_total_g", "sustained_g", "vz_m_s", F.col("speed_m_s") > 0.5)
     base = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("sample_count"), F.max("distance_m").alias("distance_m"), F.max("time_s").alias("duration_s"), A.smoothness("vz_m_s").alias("smoothness_score"), A.half_span("vz_m_s").alias("vz_half_span"), A.capped_percentile("mtb_lean_deg", 0.992, 62.0).alias("lean_deg"), F.max("rate").alias("sample_rate_hz"), F.max("landing_peak_g").alias("_peak"))
     return base.join(features.airtime(found, ["run_id"]), "run_id", "left").withColumn("max_landing_g", F.coalesce("max_landing_g", "_peak")).drop("_peak").withColumns({"airtime_s": F.coalesce("airtime_s", F.lit(0.0)), **{c: F.coalesce(c, F.lit(0)) for c in ("jumps", "drops", "witnessed_drops")}})

@@ -26,6 +26,48 @@ def test_asof_edges(spark):
     assert got == {0: 1.0, 5: 1.0, 10: 3.0, 20: 3.0, 29: 4.0, 41: None}
 
 
+def test_streams_on_a_grid_like_a_chain(spark):
+    """One pass over all streams gives what two-sided joins in turn give, with ties, gaps, nulls and keys without rows."""
+    rng = random.Random(11)
+    grid = spark.createDataFrame([(k, t * 10, "g") for k in (1, 2, 3) for t in range(40)], "k int, t long, own string")
+    some = lambda n, keys: [(rng.choice(keys), rng.randrange(400), float(rng.randrange(9)), rng.choice([None, 1.5]), rng.choice("ab")) for _ in range(n)]
+    one, two = (spark.createDataFrame(some(n, keys), "k int, t long, v double, w double, kind string") for n, keys in ((60, (1, 2)), (90, (1, 3))))
+    streams = [J.Stream(one, {"v1": F.col("v"), "w1": F.col("w")}, 7), *[J.Stream(two, {f"v_{x}": F.col("v")}, 20, where=F.col("kind") == x, ties="last") for x in "ab"], J.Stream(one, {"line": F.col("v")}, interpolated=True, ties="first")]
+    got = {(r.k, r.t): tuple(r) for r in J.on_grid(grid, streams, ["k"], "t").select("k", "t", "own", "v1", "w1", "v_a", "v_b", "line").collect()}
+    want = J.asof(grid, one.select("k", "t", F.col("v").alias("v1"), F.col("w").alias("w1")), ["k"], "t", ["v1", "w1"], 7)
+    for x in "ab":
+        want = J.asof(want, two.where(F.col("kind") == x).groupBy("k", "t").agg(F.max("v").alias(f"v_{x}")), ["k"], "t", [f"v_{x}"], 20)
+    want = J.interpolate(want, one.groupBy("k", "t").agg(F.min("v").alias("line")), ["k"], "t", ["line"])
+    want = {(r.k, r.t): tuple(r) for r in want.select("k", "t", "own", "v1", "w1", "v_a", "v_b", "line").collect()}
+    near = lambda row: tuple(round(v, 9) if isinstance(v, float) else v for v in row)
+    odd = [(v, want[k]) for k, v in got.items() if near(v) != near(want[k])]
+    assert len(got) == 120 and not odd, repr([(list(a), list(b)) for a, b in odd]) + repr(sorted(r for r in one.collect() if r.k == 2 and r.t > 330))
+    # Where a column comes again the later stream wins; a stream without rows leaves what there is.
+    again = J.asof_attach(grid.withColumn("v", F.lit(-1.0)), [one.select("k", "t", "v"), two.select("k", "t", "v", "w")], ["k"], "t", 7)
+    chain = J.asof(J.asof(grid, one.select("k", "t", F.col("v").alias("a")), ["k"], "t", ["a"], 7), two.select("k", "t", F.col("v").alias("b"), "w"), ["k"], "t", ["b", "w"], 7).select("k", "t", F.coalesce("b", "a", F.lit(-1.0)).alias("v"), "w")
+    assert again.columns == ["k", "t", "own", "v", "w"] and sorted(map(str, again.select("k", "t", "v", "w").collect())) == sorted(map(str, chain.collect()))
+
+
+def test_runs_are_processed_in_one_pass(spark):
+    """One dealing, one sort each way and one kernel for all streams of a run; ties of places don't depend on the order of rows."""
+    from ridgeline.plans import run
+
+    t = spark.range(50).select(F.lit(1).cast("long").alias("run_id"), (F.col("id") * 40_000_000).alias("unix_ns"), "id")
+    baro = t.select("run_id", "unix_ns", (900 + F.col("id") * 0.01).alias("pressure_mbar"), F.lit(100.0).alias("altitude_m"))
+    gps = t.where("id % 10 = 0").select("run_id", "unix_ns", (46 + F.col("id") * 1e-6).alias("latitude"), F.lit(7.0).alias("longitude"), F.lit(3.0).alias("speed_m_s"), F.lit(None).cast("double").alias("horizontal_accuracy_m"), F.lit(5.0).alias("gps_altitude_m"))
+    twice = gps.unionByName(gps.withColumn("latitude", F.col("latitude") + 1e-7))
+    motion = t.select("run_id", "unix_ns", F.lit("gravity").alias("stream"), F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(9.7).alias("z"))
+    rows = run.process(run.on_clock(baro, twice, motion))
+    before = rows._jdf.queryExecution().sparkPlan().toString().split("MapInPandas")
+    assert len(before) == 2
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[-1]
+    assert plan.count("Sort [") <= 4
+    one, other = (run.on_clock(baro, g, motion).orderBy("unix_ns").select("latitude").collect() for g in (twice, twice.orderBy(F.desc("latitude"))))
+    assert one == other
+    (stats,) = run.run_stats(rows).collect()
+    assert stats.sample_count == 197 and stats.sample_rate_hz == pytest.approx(100)
+
+
 def test_interpolation_clamps(spark):
     left = spark.createDataFrame([(1, t) for t in (-5, 0, 5, 10, 99)], "k int, t long")
     right = spark.createDataFrame([(1, 0, 0.0), (1, 10, 20.0)], "k int, t long, v double")
