@@ -35,6 +35,26 @@ def write_out(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, removed when their last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        """write_out, with the shuffle files of finished steps removed."""
+        table, path = write_out(df, what)
+        self.paths.append((table, path))
+        release(self.spark)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            for own in [x for x in self.paths if x[0] is t]:
+                delete_path(self.spark, own[1])
+                self.paths.remove(own)
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Batches for Python workers hold at most so many bytes, where the session allows more: workers hold whole batches of texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

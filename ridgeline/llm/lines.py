@@ -16,13 +16,12 @@ equal, since two edits there join different words. Linked lines are one class, w
    with alike; what is left is verified by banded bit-parallel edit distance: a column of the band is a few bits of an integer.
 
 What goes: of a class, every later line in a document; and every line of a document but the class's first one, unless the
-two documents are copies. A document is a copy of another if more than half of its characters stand in lines whose class
-begins there; copies of one document are one family, and stay whole for the near-duplicate operators to find. So neither
-passages of several lines nor the number of documents that hold a line matter. Lines of white space alone stay.
+two documents are of one text: equal texts are one family, whose documents lose the same lines, and stay alike for the
+near-duplicate operators to find. However much of a document such lines are, they go. Lines of white space alone stay.
 
-Lines end at newlines and may be of any length. Null texts stay null, with no lines. Unlinked lines are told apart by 96
-bits of hashes. Rows whose ids repeat or are null are documents of their own, ordered by id (nulls last) and text. Of
-repeated rows, then, the later ones are copies and stay. Other columns stay as they are; columns called n_lines or n_removed
+Lines end at newlines and may be of any length. Null texts stay null, with no lines. Lines are told apart by 96
+bits of hashes. Rows whose ids repeat or are null are documents of their own, ordered by id (nulls last) and text. Repeated
+rows are of one text, so the later ones stay. Other columns stay as they are; columns called n_lines or n_removed
 are replaced. An empty table gives an empty one.
 """
 
@@ -33,7 +32,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import numbered, release, write_out
+from ridgeline.llm.common import Scratch, numbered
 from ridgeline.llm.graph import components
 
 EDITS, LEAST = 2, 20
@@ -147,14 +146,16 @@ def _screened(edits: int, parts: int = SCREEN) -> Column:
     return F.expr(f"aggregate(sequence(0, {parts - 1}), 0, (bad, i) -> if(bad > {edits}, bad, if(contains({around}, {piece}), bad, bad + 1))) <= {edits}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
     """u, v: the pairs (a, b) of lines that are near. texts: id, line, n."""
     named = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"), F.col("n").alias(f"{c}_n"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").where(_screened(edits)).repartition(parts, "a", "b")
     # The distance is a column that is written: a filter by it would be pushed below what it is worked out from, and carry that along.
-    told, _ = write_out(_windows(both, edits).select(F.col("a").alias("u"), F.col("b").alias("v"), edit_distance(F.col("x"), F.col("y"), edits).alias("d")), "near")
-    return told.where(F.col("d") <= edits).select("u", "v")
+    told = scratch.write(_windows(both, edits).select(F.col("a").alias("u"), F.col("b").alias("v"), edit_distance(F.col("x"), F.col("y"), edits).alias("d")), "told")
+    near = scratch.write(told.where(F.col("d") <= edits).select("u", "v"), "near")
+    scratch.drop(told)
+    return near
 
 
 def _in_pairs(held: DataFrame) -> DataFrame:
@@ -163,38 +164,49 @@ def _in_pairs(held: DataFrame) -> DataFrame:
 
 
 def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tuple[int, ...] = FINER) -> DataFrame:
-    """rows: id long (a hash of the line), line, n (its characters). Returns node, root: classes of linked lines; lines without a link are not in it.
+    """rows: id long (a hash of the line), more int (another one), line, n (its characters). Returns node, more, root: classes of linked lines; lines without a link are not in it.
 
     Keys are first aggregated to those that different lines share, with partial results before the shuffle, so a line that
     many documents repeat counts once for each task; only lines with such keys go on."""
+    scratch = Scratch(rows.sparkSession)
     marked, near, texts, crowded = _marked(rows, edits), [], None, None
     for parts in (0, *finer):
+        few = None
         if parts:  # the lines of the keys that too many share, once each
-            few, _ = write_out(crowded.select(F.col("id").alias("_id")).distinct(), "few")
-            marked, _ = write_out(_finer(texts.join(few, F.col("id") == F.col("_id"), "left_semi"), edits, parts), "finer")
-        shared, _ = write_out(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
-        release(rows.sparkSession)
-        held, _ = write_out(marked.join(_sent(shared), F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
-        release(rows.sparkSession)
+            few = scratch.write(crowded.select(F.col("id").alias("_id")).distinct(), "few")
+            scratch.drop(crowded)
+            marked = scratch.write(_finer(texts.join(few, F.col("id") == F.col("_id"), "left_semi"), edits, parts), "finer")
+        shared = scratch.write(marked.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(F.col("key").alias("_key")), "keys")
+        held = scratch.write(marked.join(_sent(shared), F.col("key") == F.col("_key")).select("key", "id", "own").distinct(), "segments")
+        scratch.drop(few, marked, shared)
         if not parts:
-            wanted, _ = write_out(held.select(F.col("id").alias("_id")).distinct(), "wanted")
-            texts, _ = write_out(rows.join(_sent(wanted), F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("line").alias("line"), F.min("n").alias("n")), "lines")
-            release(rows.sparkSession)
-        busy, _ = write_out(held.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > meet).select("_key"), "busy")
-        crowded, _ = write_out(held.join(busy, F.col("key") == F.col("_key"), "left_semi"), "crowded")
-        pairs, _ = write_out(_in_pairs(held.join(busy, F.col("key") == F.col("_key"), "left_anti")), "pairs")
-        near.append(_verified(pairs, texts, edits))
+            wanted = scratch.write(held.select(F.col("id").alias("_id")).distinct(), "wanted")
+            first = F.min(F.struct("line", "more", "n")).alias("_l")  # of two lines of one hash the lesser is linked
+            texts = scratch.write(rows.join(_sent(wanted), F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(first).select("id", "_l.line", "_l.more", "_l.n"), "lines")
+            scratch.drop(wanted)
+        busy = scratch.write(held.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > meet).select("_key"), "busy")
+        crowded = scratch.write(held.join(busy, F.col("key") == F.col("_key"), "left_semi"), "crowded")
+        pairs = scratch.write(_in_pairs(held.join(busy, F.col("key") == F.col("_key"), "left_anti")), "pairs")
+        scratch.drop(held, busy)
+        near.append(_verified(pairs, texts, edits, scratch))
+        scratch.drop(pairs)
         if crowded.isEmpty():
-            return components(_union(near))
-    first = crowded.where("own").groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("a"))
-    star, _ = write_out(crowded.join(first, F.col("key") == F.col("_key")).where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "stars")
-    near.append(_verified(star, texts, edits))
-    roots, _ = write_out(components(_union(near)), "roots")
-    placed, _ = write_out(crowded.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "placed")
-    apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("_key")
-    pairs, _ = write_out(_in_pairs(placed.join(apart, F.col("key") == F.col("_key"), "left_semi")).join(star, ["a", "b"], "left_anti"), "pairs")
-    near.append(_verified(pairs, texts, edits))
-    return components(_union(near))
+            break
+    else:
+        first = crowded.where("own").groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("a"))
+        star = scratch.write(crowded.join(first, F.col("key") == F.col("_key")).where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "stars")
+        near.append(_verified(star, texts, edits, scratch))
+        roots = scratch.write(components(_union(near)), "roots")
+        placed = scratch.write(crowded.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "placed")
+        apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("_key")
+        pairs = scratch.write(_in_pairs(placed.join(apart, F.col("key") == F.col("_key"), "left_semi")).join(star, ["a", "b"], "left_anti"), "pairs")
+        scratch.drop(star, placed, roots)
+        near.append(_verified(pairs, texts, edits, scratch))
+        scratch.drop(pairs)
+    found = components(_union(near))
+    told = scratch.write(found.join(texts.select("id", "more"), F.col("node") == F.col("id")).select("node", "more", "root"), "classes")
+    scratch.drop(crowded, texts, *near)
+    return told
 
 
 def _sent(some: DataFrame) -> DataFrame:
@@ -215,26 +227,29 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     docs = numbered(docs.select(*[F.col(f"`{c}`") for c in names]), key, text)
     parts = docs.where(F.col(f"`{text}`").isNotNull()).select("_doc", F.split("_text", "\n", -1).alias("parts"))
     own = parts.select(F.explode("parts").alias("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
-    roots = near_lines(own.select(F.xxhash64("line").alias("id"), "line", "n"), edits)
+    scratch = Scratch(docs.sparkSession)
+    marks = lambda d: d.withColumns({"id": F.xxhash64("line"), "more": F.hash("line")})
+    roots = near_lines(marks(own).select("id", "more", "line", "n"), edits)
     every = parts.select("_doc", F.posexplode("parts").alias("no", "line")).where(F.col("line").rlike(r"\S"))
-    plain = every.select("_doc", "no", F.xxhash64("line").alias("id"), F.hash("line").alias("more"), F.char_length("line").alias("n"))
-    rows = plain.join(roots, (F.col("n") >= least) & (F.col("id") == F.col("node")), "left")
-    rows, _ = write_out(rows.select("_doc", "no", "n", F.coalesce("root", "id").alias("class"), F.when(F.col("root").isNull(), F.col("more")).alias("more")), "classes")
-    release(docs.sparkSession)
+    plain = marks(every).select("_doc", "no", "id", "more", F.char_length("line").alias("n"))
+    roots = roots.select("node", "root", F.col("more").alias("_more"))
+    rows = plain.join(roots, (F.col("n") >= least) & (F.col("id") == F.col("node")) & (F.col("more") == F.col("_more")), "left")
+    rows = scratch.write(rows.select("_doc", "no", F.coalesce("root", "id").alias("class"), F.when(F.col("root").isNull(), F.col("more")).alias("more")), "classes")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     firsts = rows.groupBy(F.col("class").alias("_class"), F.col("more").alias("_more")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "no")).alias("first")).where("_n > 1").select("_class", "_more", F.col("first._doc").alias("first_doc"))
-    held, _ = write_out(rows.join(firsts, (F.col("class") == F.col("_class")) & same("more", "_more")).select("_doc", "no", "n", "class", "more", "first_doc"), "held")
-    release(docs.sparkSession)
+    held = scratch.write(rows.join(firsts, (F.col("class") == F.col("_class")) & same("more", "_more")).select("_doc", "no", "class", "more", "first_doc"), "held")
+    scratch.drop(rows)
     within = held.groupBy(F.col("_doc").alias("_d"), F.col("class").alias("_c"), F.col("more").alias("_e")).agg(F.count(F.lit(1)).alias("_n"), F.min("no").alias("first_no")).where("_n > 1").drop("_n")
-    total = rows.groupBy(F.col("_doc").alias("_d")).agg(F.sum("n").alias("all"))
-    from_one = held.where("first_doc <> _doc").groupBy("_doc", "first_doc").agg(F.sum("n").alias("n")).groupBy("_doc").agg(F.min(F.struct((-F.col("n")).alias("n"), "first_doc")).alias("best"))
-    families = from_one.join(total, F.col("_doc") == F.col("_d")).where(-2 * F.col("best.n") > F.col("all")).select(F.col("_doc").alias("member"), F.col("best.first_doc").alias("family"))
-    families, _ = write_out(families, "families")
+    # Families: documents of one text, called by the first one.
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select("_doc", F.sha2("_text", 256).alias("_sha"))
+    lows = texts.groupBy("_sha").agg(F.min("_doc").alias("family"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    families = scratch.write(texts.join(lows, "_sha").select(F.col("_doc").alias("member"), "family"), "families")
     of = lambda d, f: families.select(F.col("member").alias(d), F.col("family").alias(f))
     judged = held.join(of("_m1", "f1"), F.col("_doc") == F.col("_m1"), "left").join(of("_m2", "f2"), F.col("first_doc") == F.col("_m2"), "left")
     judged = judged.join(within, (F.col("_doc") == F.col("_d")) & (F.col("class") == F.col("_c")) & same("more", "_e"), "left")
     gone = (F.col("no") > F.coalesce("first_no", F.lit(1 << 30))) | (F.coalesce("f1", "_doc") != F.coalesce("f2", "first_doc"))
-    out = judged.where(gone).groupBy(F.col("_doc").alias("_of")).agg(F.sort_array(F.collect_set("no")).alias("_gone"))
+    out = scratch.write(judged.where(gone).groupBy(F.col("_doc").alias("_of")).agg(F.sort_array(F.collect_set("no")).alias("_gone")), "gone")
+    scratch.drop(held, families)
     both = docs.join(out, F.col("_doc") == F.col("_of"), "left")
     ends = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(F.split("_text", "\n", -1))))
     n_lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split("_text", "\n", -1)))
