@@ -12,6 +12,7 @@ from ridgeline.functions import scalar as S
 from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
 from ridgeline.plans import compare, features
+from ridgeline.sources import readers
 from ridgeline.sources.shared import written
 
 RADIUS_M, SPAN_M, FORWARD_M, ONWARD_M, BACK_M = 12.0, 50.0, 35.0, 140.0, 8.0
@@ -84,19 +85,31 @@ def altitude_column(rows: DataFrame) -> str:
     raise ValueError(f"none of {', '.join(ALTITUDES)} is there")
 
 
-def with_climb(rows: DataFrame, by: str) -> DataFrame:
-    """rows with vz_m_s, worked out from the altitude where the column is missing: the smoothed gradient over time."""
-    if "vz_m_s" in rows.columns:
+def with_climb(rows: DataFrame, by: str, some: bool = False) -> DataFrame:
+    """rows with vz_m_s, worked out from the altitude where the column is missing: the smoothed gradient over time.
+
+    some: the column may be there and empty in some runs; these get theirs from the first altitude that they have."""
+    if "vz_m_s" in rows.columns and not some:
         return rows
-    name = altitude_column(rows)
+    names = [c for c in ALTITUDES if c in rows.columns] if some else [altitude_column(rows)]
+    rows = rows if "vz_m_s" in rows.columns else rows.withColumn("vz_m_s", F.lit(None).cast("double"))
 
     def kernel(own: pd.DataFrame) -> pd.DataFrame:
+        name = next((c for c in names if own[c].notna().any()), None)
+        if own["vz_m_s"].notna().any() or name is None:
+            return own
         t = (own["unix_ns"].to_numpy() - own["unix_ns"].iloc[0]) * 1e-9
         gaps = np.diff(t)
         rate = 1 / float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else 25.0
         return own.assign(vz_m_s=dsp.smooth(dsp.vertical_velocity(own[name].to_numpy(float), t), rate, 0.55, 2))
 
-    return dsp.per_run(rows, by, ["unix_ns"], kernel, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "vz_m_s double"]))
+    return dsp.per_run(rows, by, ["unix_ns"], kernel, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
+
+
+def runs_of_payloads(df: DataFrame, payload: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON payloads that alignment can take, a run for each payload, climbs worked out where they are missing; and what was left out (see readers.read_payloads)."""
+    rows, bad = readers.read_payloads(df, payload, [by], climb="required")
+    return with_climb(rows.drop("extra"), by, some=True), bad
 
 
 def with_known_distance(rows: DataFrame, by: str) -> DataFrame:

@@ -876,3 +876,6 @@ def stream_distance(spark, sf_dir):
 def _is_folder(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+from ridgeline.plans import source_queries as _sources  # noqa: E402, F401  registers its queries

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import scalar as S
 from ridgeline.plans import run
-from ridgeline.sources import readers as R
+from ridgeline.sources import archives as M
+from ridgeline.sources.shared import written
 
 
 def inside(root: str, sub: str) -> str:
@@ -34,61 +35,70 @@ def pair_files(kinds: DataFrame) -> DataFrame:
     return rows.select("archive", "source_file", "kind", number.cast("int").alias("run"))
 
 
-def streams(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """GPS, barometer and motion rows with run_id (a hash of archive and run)."""
-    files = pair_files(R.classify(cells))
-    runs = files.where("run is not null").select(F.coalesce("archive", F.lit("")).alias("_archive"), F.col("source_file").alias("_file"), "kind", F.xxhash64(F.coalesce("archive", F.lit("")), "run").alias("run_id"))
-    named = cells.withColumn("archive", F.coalesce("archive", F.lit("")))
-
-    def wide(kind: str, names: list[str]) -> DataFrame:
-        own = runs.where(F.col("kind") == kind)
-        rows = R.widen(named, names)
-        return rows.join(own, (rows["archive"] == own["_archive"]) & (rows["source_file"] == own["_file"])).drop("_archive", "_file", "kind", "archive", "line")
-
-    gps = R.tidy_gps(wide("gps", R.TIME + R.LATITUDE + R.LONGITUDE + R.SPEED + R.ACCURACY + R.GPS_ALTITUDE), ["run_id", "source_file"]).drop("source_file")
-    baro = R.tidy_baro(wide("baro", R.TIME + R.PRESSURE + R.RELATIVE + R.GPS_ALTITUDE), ["run_id", "source_file"])
-    first = Window.partitionBy("run_id", "unix_ns").orderBy("source_file")
-    values = ["pressure_mbar", "relative_altitude_app_m", "altitude_from_pressure_m", "altitude_m"]
-    own = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    baro = baro.select("run_id", "unix_ns", *[F.first(v, ignorenulls=True).over(own).alias(v) for v in values], F.row_number().over(first).alias("_k")).where("_k = 1").drop("_k")
-    aux = files.where("kind = 'aux'").select(F.coalesce("archive", F.lit("")).alias("_archive"), F.col("source_file").alias("_file"))
-    wanted = R.TIME + ["x", "y", "z"] + [n for names in (*R.AXES.values(), *R.ANGLES.values()) for n in names]
-    rows = R.widen(named, wanted)
-    motion = R.tidy_motion(rows.join(aux, (rows["archive"] == aux["_archive"]) & (rows["source_file"] == aux["_file"])).drop("_archive", "_file", "line"), ["archive", "source_file"])
+def _kinds(members: DataFrame) -> DataFrame:
+    """A row for each file that has rows."""
+    return members.where("reason is null").select(F.coalesce("archive", F.lit("")).alias("archive"), "source_file", "kind").distinct()
+
+
+def streams(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """GPS, barometer and motion rows with run_id (a hash of archive and run), of members' typed rows (see archives)."""
+    members = written(members, "members")  # parsed once
+    files = pair_files(_kinds(members)).withColumnsRenamed({"archive": "_archive", "source_file": "_file", "kind": "_kind"})
+    named = members.where("reason is null").withColumn("archive", F.coalesce("archive", F.lit("")))
+    runs = files.where("run is not null").select("_archive", "_file", "_kind", F.xxhash64("_archive", "run").alias("run_id"))
+    own = lambda kind: named.where(F.col("kind") == kind).join(runs.where(F.col("_kind") == kind), (F.col("archive") == F.col("_archive")) & (F.col("source_file") == F.col("_file")))
+    gps = own("gps").select("run_id", "unix_ns", *M.PLACES)
+    # Of several barometer files the first by name that has a value at a time.
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("source_file", "line", c)))[c].alias(c)
+    baro = own("baro").groupBy("run_id", "unix_ns").agg(*[first(c) for c in M.HEIGHTS])
     of = runs.select("_archive", "run_id").distinct()
-    motion = motion.join(of, motion["archive"] == of["_archive"]).select("run_id", "unix_ns", "stream", "x", "y", "z")
+    motion = named.where("kind = 'aux'").join(of, F.col("archive") == F.col("_archive")).select("run_id", "unix_ns", "stream", "x", "y", "z")
     return gps, baro, motion
 
 
-def run_names(cells: DataFrame) -> DataFrame:
+def run_names(members: DataFrame) -> DataFrame:
     """run_id, source_name (the archive, or the files' names where there is none), label (First run, ...; by source and run)."""
-    files = pair_files(R.classify(cells)).where("run is not null")
-    rows = files.groupBy(F.coalesce("archive", F.lit("")).alias("archive"), "run").agg(F.array_join(F.array_sort(F.collect_set("source_file")), ", ").alias("_files"))
+    files = pair_files(_kinds(members)).where("run is not null")
+    rows = files.groupBy("archive", "run").agg(F.array_join(F.array_sort(F.collect_set("source_file")), ", ").alias("_files"))
     rows = rows.select(F.xxhash64("archive", "run").alias("run_id"), F.when(F.col("archive") == "", F.col("_files")).otherwise(F.col("archive")).alias("source_name"), "archive", "run")
     return rows.withColumn("label", S.ordinal_label(F.row_number().over(Window.orderBy("archive", "run")))).drop("archive", "run")  # a row for each run
 
 
-def process_cells(cells: DataFrame) -> DataFrame:
-    gps, baro, motion = streams(cells)
+def left_out(members: DataFrame) -> DataFrame:
+    """archive, source_file, kind, reason: files without rows that can be used, and those that no run can have."""
+    files = pair_files(_kinds(members)).where("run is null and kind <> 'aux'").select(F.nullif("archive", F.lit("")).alias("archive"), "source_file", "kind", F.lit("unpaired").alias("reason"))
+    return M.unusable(members).unionByName(files)
+
+
+def process_members(members: DataFrame) -> DataFrame:
+    gps, baro, motion = streams(members)
     return run.process(run.on_clock(baro, gps, motion))
 
 
 def process_zips(spark: SparkSession, path: str) -> DataFrame:
     """Processed runs of all ZIP archives of a folder, each a session of its own."""
-    return process_cells(R.read_zips(spark, path))
+    return process_members(M.read_members(spark, path).where("archive is not null"))
 
 
 def process_zips_together(spark: SparkSession, path: str) -> DataFrame:
     """Processed runs of all ZIP archives of a folder as one session."""
-    return process_cells(R.as_one_session(R.read_zips(spark, path)))
+    return process_members(M.as_one_session(M.read_members(spark, path).where("archive is not null")))
 
 
 def process_blobs(blobs: DataFrame, files: DataFrame) -> DataFrame:
     """Runs of a session, worked out again from its stored archives. blobs: sha256, content; files: blob_sha256, original_filename."""
     held = blobs.join(files, F.col("sha256") == F.col("blob_sha256")).select(F.col("original_filename").alias("path"), "content")
-    return process_cells(R.as_one_session(R.zip_cells(held)))
+    return process_members(M.as_one_session(M.members_of(held)))
 
 
 def process_folder(spark: SparkSession, root: str, sub: str = "") -> DataFrame:
     """Processed runs of a folder of CSV files below a root."""
-    return process_cells(R.read_folder(spark, inside(root, sub)))
+    return process_members(M.read_members(spark, inside(root, sub)).where("archive is null"))
+
+
+def process_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Processed runs of CSV files that are named one by one; of several GPS files the last one counts."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    members = M.members_of(files)
+    last = members.where("kind = 'gps' and reason is null").agg(F.max_by("source_file", F.array_position(F.array(*[F.lit(posixpath.basename(p)) for p in paths]), F.col("source_file"))).alias("_last"))
+    return process_members(members.join(F.broadcast(last), how="cross").where("kind <> 'gps' or source_file = _last").drop("_last"))

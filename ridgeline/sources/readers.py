@@ -1,195 +1,91 @@
-"""Readers of sensor exports: CSV files, folders, ZIP archives and telemetry JSON, brought to fixed schemas.
-
-Columns are found by their aliases when the plan is made; what a file lacks is null. Files whose rows can't be used go to
-a list of what was left out, rather than away without a word."""
+"""Readers of single CSV files and of telemetry JSON. Archives and folders of sensor files: see archives."""
 
 from __future__ import annotations
 
-import csv
-import io
-import posixpath
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.functions import scalar as S
-
-# Names under which exports hold a column, in the order of preference.
-TIME = ["unix_ns", "time_ns", "timestamp_ns", "timestamp", "time", "epoch_ns", "datetime"]
-LATITUDE = ["latitude", "lat"]
-LONGITUDE = ["longitude", "lon", "lng"]
-SPEED = ["speed", "gps_speed", "velocity", "speed_m_s"]
-ACCURACY = ["horizontal_accuracy", "horizontalAccuracy", "accuracy", "h_acc", "gps_accuracy"]
-GPS_ALTITUDE = ["altitude", "gps_altitude"]
-PRESSURE = ["pressure", "barometric_pressure", "pres", "pressure_mbar"]
-RELATIVE = ["relativeAltitude", "relative_altitude", "barometric_altitude"]
-ANGLES = {f"{a}_rad": [a, f"orientation_{a}", f"orientation{a.capitalize()}", *(["heading"] if a == "yaw" else [])] for a in ("roll", "pitch", "yaw")}
-AXES = {a: [f"acceleration_{a}", f"accel_{a}", f"a{a}", f"Acceleration {a.upper()}", f"acceleration {a}", f"linear_acceleration_{a}", f"linearAcceleration{a.upper()}", f"Acc{a.upper()}"] for a in "xyz"}
-
-
-def find_column(columns: list[str], aliases: list[str]) -> str | None:
-    """The first alias that is there, each as it is written or else in any case (of columns that differ by case alone the last)."""
-    lower = {c.lower(): c for c in columns}
-    return next((a if a in columns else lower[a.lower()] for a in aliases if a in columns or a.lower() in lower), None)
-
-
-def axis_name(name: Column) -> Column:
-    """Any spelling that begins with acceleration and an axis as the first alias of that axis; other names as they are."""
-    for a in "xyz":
-        name = F.when(F.lower(name).rlike(rf"^acceleration\s*{a}\b"), f"acceleration_{a}").otherwise(name)
-    return name
-
-
-def _value(df: DataFrame, aliases: list[str]) -> Column:
-    name = find_column(df.columns, aliases)
-    return S.number(name) if name else F.lit(None).cast("double")
-
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, with source_file."""
     rows = spark.read.option("header", True).csv(path)
-    return rows.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) if "_metadata" not in rows.columns else rows
-
-
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV file of a folder, as cells: source_file, line, name, value. Files may have different columns."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
-    return found.select(F.col("path"), F.lit(None).cast("string").alias("archive"), "content").mapInPandas(_csv_cells, _CELLS)
-
-
-def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV member of ZIP archives, as cells: archive, source_file (without folders), line, name, value. Members that can't be read are skipped."""
-    return zip_cells(spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path))
-
-
-def zip_cells(archives: DataFrame) -> DataFrame:
-    """read_zips' cells of rows (path, content), wherever the archives come from."""
-    return archives.select("path", F.col("path").alias("archive"), "content").mapInPandas(_csv_cells, _CELLS)
-
-
-def as_one_session(cells: DataFrame, session: str = "session") -> DataFrame:
-    """Cells of several archives as if they came from one: files are called z<i>_<name>, i being the archive's number by name."""
-    numbers = cells.select(F.col("archive").alias("_a")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("_a")) - 1)  # a row for each archive
-    both = cells.join(F.broadcast(numbers), F.col("archive").eqNullSafe(F.col("_a")))
-    return both.withColumns({"archive": F.lit(session), "source_file": F.concat(F.lit("z"), F.col("_i").cast("string"), F.lit("_"), F.col("source_file"))}).drop("_a", "_i")
-
-
-_CELLS = "archive string, source_file string, line long, name string, value string"
-
-
-def _csv_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, archive, content in frame.itertuples(index=False):
-            for name, data in _members(path, archive, content):
-                try:
-                    table = list(csv.reader(io.StringIO(data.decode("utf-8-sig"))))
-                except (UnicodeDecodeError, csv.Error):
-                    continue
-                stem = posixpath.basename(archive).rsplit(".", 1)[0] if archive else None
-                cells = [(stem, name, i, key, value) for i, row in enumerate(table[1:]) for key, value in zip(table[0], row)]
-                if cells:
-                    yield pd.DataFrame(cells, columns=["archive", "source_file", "line", "name", "value"])
-
-
-def _members(path: str, archive: str | None, content: bytes) -> Iterator[tuple[str, bytes]]:
-    if archive is None:
-        yield posixpath.basename(path), bytes(content)
-        return
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for member in z.infolist():
-                name = posixpath.basename(member.filename)
-                if name.lower().endswith(".csv") and not name.startswith("._"):
-                    try:
-                        yield name, z.read(member)
-                    except (zipfile.BadZipFile, RuntimeError, OSError, NotImplementedError):
-                        continue
-    except zipfile.BadZipFile:
-        return
-
-
-def classify(cells: DataFrame) -> DataFrame:
-    """archive, source_file, kind (metadata, gps, baro, aux, unknown), by name, then columns and the usual interval."""
-    has = lambda aliases: F.bool_or(F.lower(axis_name(F.col("name"))).isin([a.lower() for a in aliases]))
-    files = cells.groupBy("archive", "source_file").agg(
-        has(TIME).alias("timed"), (has(LATITUDE) & has(LONGITUDE)).alias("placed"), (has(PRESSURE) | has(RELATIVE)).alias("baro"),
-        (has(["x"]) & has(["y"]) & has(["z"])).alias("xyz"), has([a for names in AXES.values() for a in names]).alias("acc"), has([a for names in ANGLES.values() for a in names]).alias("angles"),
-    )
-    times = cells.where(F.lower("name").isin([a.lower() for a in TIME])).select("archive", "source_file", "line", S.number("value").alias("t")).groupBy("archive", "source_file", "line").agg(F.min("t").alias("t"))
-    largest = times.groupBy(F.col("archive").alias("_la"), F.col("source_file").alias("_lf")).agg(F.max("t").alias("largest"))
-    w = Window.partitionBy("archive", "source_file").orderBy("line")
-    same = F.col("archive").eqNullSafe(F.col("_la")) & (F.col("source_file") == F.col("_lf"))
-    ns = times.join(largest, same).select("archive", "source_file", "line", S.epoch_to_ns(F.col("t"), F.col("largest")).alias("ns"))
-    gaps = ns.withColumn("dt", (F.col("ns") - F.lag("ns").over(w)) * 1e-9).groupBy(F.col("archive").alias("_a"), F.col("source_file").alias("_f")).agg(F.coalesce(F.percentile("dt", F.lit(0.5)), F.lit(1.0)).alias("dt"))
-    rows = files.join(gaps, F.col("archive").eqNullSafe(F.col("_a")) & (F.col("source_file") == F.col("_f")), "left")
-    stem = S.bare_stem(F.col("source_file"))
-    moves = F.col("xyz") | F.col("acc") | F.col("angles")
-    kind = (
-        F.when(stem.startswith("metadata"), "metadata")
-        .when(stem.startswith("location") & F.col("placed"), "gps")
-        .when(stem.contains("barometer") & F.col("baro"), "baro")
-        .when(~F.col("timed") | F.col("dt").isNull(), "unknown")
-        .when(S.is_motion_sensor(F.col("source_file")) & ~F.col("baro") & ~F.col("placed") & moves, "aux")
-        .when(F.col("placed") & (F.col("dt") > 0.35), "gps")
-        .when(F.col("baro"), "baro")
-        .when(moves, "aux")
-        .when(F.col("placed"), "gps")
-        .otherwise("unknown")
-    )
-    return rows.select("archive", "source_file", kind.alias("kind"))
-
-
-def widen(cells: DataFrame, names: list[str]) -> DataFrame:
-    """Cells of files back to rows, with the wanted columns (in any case) by their lower-case names."""
-    wanted = [n.lower() for n in dict.fromkeys(names)]
-    return cells.withColumn("_n", F.lower(axis_name(F.col("name")))).where(F.col("_n").isin(wanted)).groupBy("archive", "source_file", "line").pivot("_n", sorted(set(wanted))).agg(F.first("value"))
-
-
-def _timed(df: DataFrame, by: list[str]) -> DataFrame:
-    present = [c for a in TIME if (c := find_column(df.columns, [a]))]
-    # A date and time as text counts in whole seconds, as nanoseconds.
-    dated = lambda c: F.unix_seconds(F.try_to_timestamp(F.col(c).cast("string"))) * 1e9
-    t = F.coalesce(*[S.number(c) for c in present], *[dated(c) for c in present]) if present else F.lit(None).cast("double")
-    rows = df.withColumn("_t", t)
-    return rows.withColumn("unix_ns", S.epoch_to_ns(F.col("_t"), F.max("_t").over(Window.partitionBy(*by)))).drop("_t").where(F.col("unix_ns").isNotNull())
-
-
-def tidy_gps(df: DataFrame, by: list[str]) -> DataFrame:
-    """by, unix_ns, latitude, longitude, speed_m_s, horizontal_accuracy_m, gps_altitude_m; rows without a place or time go."""
-    rows = _timed(df, by).select(*by, "unix_ns", _value(df, LATITUDE).alias("latitude"), _value(df, LONGITUDE).alias("longitude"), _value(df, SPEED).alias("speed_m_s"), _value(df, ACCURACY).alias("horizontal_accuracy_m"), _value(df, GPS_ALTITUDE).alias("gps_altitude_m"))
-    return rows.dropna(subset=["latitude", "longitude"])
-
-
-def tidy_baro(df: DataFrame, by: list[str]) -> DataFrame:
-    """by, unix_ns, pressure_mbar, relative_altitude_app_m, altitude_from_pressure_m, altitude_m."""
-    rows = _timed(df, by).select(*by, "unix_ns", _value(df, PRESSURE).alias("_p"), _value(df, RELATIVE).alias("relative_altitude_app_m"), _value(df, GPS_ALTITUDE).alias("_a"))
-    medians = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.percentile("_p", F.lit(0.5)).alias("_median"))
-    rows = rows.join(medians, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
-    rows = rows.withColumn("pressure_mbar", S.pressure_to_mbar(F.col("_p"), F.col("_median"))).withColumn("altitude_from_pressure_m", S.finite(S.hypsometric_m(F.col("pressure_mbar"))))
-    return rows.select(*by, "unix_ns", "pressure_mbar", "relative_altitude_app_m", "altitude_from_pressure_m", F.coalesce("altitude_from_pressure_m", "relative_altitude_app_m", "_a").alias("altitude_m"))
-
-
-def tidy_motion(df: DataFrame, by: list[str], name: str = "source_file") -> DataFrame:
-    """by, unix_ns, stream (from the file's name), x, y, z, roll_rad, pitch_rad, yaw_rad; rows without any of them go."""
-    axes = [F.coalesce(_value(df, [a]), _value(df, AXES[a])).alias(a) for a in "xyz"]
-    rows = _timed(df, by).select(*by, "unix_ns", F.coalesce(S.stream_prefix(F.col(name)), F.lit("acc")).alias("stream"), *axes, *[_value(df, n).alias(c) for c, n in ANGLES.items()])
-    w = Window.partitionBy(*by)
-    rows = rows.withColumns({c: S.angle_to_radians(F.col(c), F.max(F.abs(c)).over(w)) for c in ANGLES})
-    return rows.where(F.coalesce("x", "y", "z", *ANGLES).isNotNull())
+    return rows.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
 
+# The telemetry's columns, and those that a payload must have.
 TELEMETRY = "unix_ns bigint, latitude double, longitude double, speed_m_s double, gps_altitude_m double, altitude_m double, altitude_smooth_m double, distance_m double, time_s double, vz_m_s double, vz_smooth_m_s double"
 
 
+NEEDED = ["unix_ns", "latitude", "longitude"]
+#: Heights that a missing climb is made from, in the order of preference.
+HEIGHTS = ["altitude_smooth_m", "altitude_m", "relative_altitude_app_m"]
+
+
+def _given(payload: Column) -> Column:
+    """The payload without the numbers that JSON lacks, which writers put in all the same: they become null."""
+    return F.try_parse_json(F.regexp_replace(payload, r"(?<=[\[,:\s])(-?Infinity|NaN)(?=[\],}\s])", "null"))
+
+
+def _typed(v: Column, names: list[str]) -> list[Column]:
+    kinds = dict(f.split() for f in TELEMETRY.split(", ")) | {"relative_altitude_app_m": "double"}
+    return [F.try_variant_get(v, f"$.{n}", kinds[n]).alias(n) for n in names]
+
+
+def payload_columns(df: DataFrame, payload: str) -> DataFrame:
+    """One row: the types of what payloads of either shape hold, whatever their columns (records, columns: a VARIANT schema as text)."""
+    v = _given(F.col(payload))
+    kind = F.schema_of_variant(v)
+    return df.select(v.alias("_v"), kind.alias("_k")).agg(*[F.schema_of_variant_agg(F.when(F.col("_k").startswith(k), F.col("_v"))).alias(n) for n, k in (("records", "ARRAY"), ("columns", "OBJECT"))])
+
+
+def read_payloads(df: DataFrame, payload: str, by: list[str], climb: str = "optional") -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON payloads, which are lists of records or objects of columns, and what could not be read.
+
+    Rows: by, the telemetry's columns, relative_altitude_app_m, and `extra`, the record itself as a variant with all its
+    other columns. Left out: by, place (of a record in its payload, from 0; null for a whole payload), reason. A payload is left out
+    whole that is no JSON (`not_json`), neither list nor object (`not_telemetry`), empty (`empty`), lacks a column that it
+    needs (`missing_unix_ns`, ...), or has columns of different lengths (`uneven_columns`); a record is left out whose time or
+    place is null or no number (`bad_unix_ns`, ...) or that is no object (`not_a_record`).
+
+    climb: "optional"; "required": payloads must have vz_m_s or a height to make it of (`missing_vz_m_s`), see align.with_climb."""
+    key = [F.col(c) for c in by]
+    text = F.col(payload)
+    whole = df.select(*key, F.coalesce(_given(text), F.lit(None).cast("variant")).alias("_v"), F.schema_of_variant(_given(text)).alias("_type"))
+    whole = whole.withColumn("_list", F.coalesce(F.col("_type").startswith("ARRAY"), F.lit(False))).withColumn("_object", F.coalesce(F.col("_type").startswith("OBJECT"), F.lit(False)))
+    items = F.try_variant_get("_v", "$", "array<variant>")
+    fields = F.try_variant_get("_v", "$", "map<string, variant>")
+    whole = whole.withColumn("_items", F.when(F.col("_list"), items)).withColumn("_fields", F.when(F.col("_object"), fields))
+    # A column's values, and the names that a payload has: of a list those of its records.
+    whole = whole.withColumn("_columns", F.transform_values("_fields", lambda _, v: F.try_variant_get(v, "$", "array<variant>")))
+    names = F.when(F.col("_object"), F.map_keys("_fields")).otherwise(F.array_distinct(F.flatten(F.transform("_items", lambda r: F.coalesce(F.map_keys(F.try_variant_get(r, "$", "map<string, variant>")), F.array().cast("array<string>"))))))
+    whole = whole.withColumn("_names", names)
+    sizes = F.array_distinct(F.transform(F.map_values("_columns"), lambda v: F.coalesce(F.size(v), F.lit(-1))))
+    reason = F.when(F.col("_v").isNull(), "not_json").when(~F.col("_list") & ~F.col("_object"), "not_telemetry")
+    reason = reason.when(F.coalesce(F.size("_items"), F.size("_fields"), F.lit(0)) == 0, "empty")
+    for n in NEEDED:
+        reason = reason.when(~F.array_contains("_names", n), f"missing_{n}")
+    reason = reason.when(F.col("_object") & ((F.size(sizes) > 1) | (F.element_at(sizes, 1) < 0)), "uneven_columns").when(F.col("_object") & (F.element_at(sizes, 1) == 0), "empty")
+    if climb == "required":
+        reason = reason.when(~F.arrays_overlap("_names", F.array(*map(F.lit, ["vz_m_s", *HEIGHTS]))), "missing_vz_m_s")
+    whole = whole.withColumn("_reason", reason)
+    bad = whole.where("_reason is not null").select(*by, F.lit(None).cast("int").alias("place"), F.col("_reason").alias("reason"))
+    good = whole.where("_reason is null")
+    wanted = [f.split()[0] for f in TELEMETRY.split(", ")] + ["relative_altitude_app_m"]
+    records = good.where("_list").select(*by, F.posexplode("_items").alias("place", "extra")).select(*by, "place", "extra", *_typed(F.col("extra"), wanted), F.coalesce(~F.schema_of_variant("extra").startswith("OBJECT"), F.lit(True)).alias("_odd"))
+    at = lambda c: F.get(F.element_at("_columns", c), F.col("place"))
+    row = good.where("_object").withColumn("place", F.explode(F.sequence(F.lit(0), F.size(F.element_at("_columns", "unix_ns")) - 1)))
+    kinds = dict(f.split() for f in TELEMETRY.split(", ")) | {"relative_altitude_app_m": "double"}
+    extra = F.parse_json(F.to_json(F.transform_values("_columns", lambda _, v: F.get(v, F.col("place")))))
+    columns = row.select(*by, "place", extra.alias("extra"), *[F.try_variant_get(at(n), "$", kinds[n]).alias(n) for n in wanted], F.lit(False).alias("_odd"))
+    rows = records.unionByName(columns)
+    fault = F.when(F.col("_odd"), "not_a_record")
+    for n in NEEDED:
+        fault = fault.when(F.col(n).isNull(), f"bad_{n}")
+    rows = rows.withColumn("_fault", fault)
+    bad = bad.unionByName(rows.where("_fault is not null").select(*by, "place", F.col("_fault").alias("reason")))
+    return rows.where("_fault is null").select(*by, *wanted, "extra"), bad
+
+
 def read_telemetry_json(df: DataFrame, payload: str, by: list[str]) -> DataFrame:
-    """Rows of a JSON payload, which is a list of records or an object of columns: by and the telemetry's columns, ordered by time within a run. Rows without a place or time go."""
-    fields = [f.split() for f in TELEMETRY.split(", ")]
-    columns = ", ".join(f"{n} array<{t}>" for n, t in fields)
-    text = F.trim(F.col(payload))
-    records = df.where(text.startswith("[")).select(*by, F.inline(F.from_json(payload, f"array<struct<{', '.join(f'{n}:{t}' for n, t in fields)}>>")))
-    object_ = df.where(text.startswith("{")).select(*by, F.from_json(payload, columns).alias("o")).select(*by, F.inline(F.arrays_zip(*[F.coalesce(F.col(f"o.{n}"), F.array().cast(f"array<{t}>")).alias(n) for n, t in fields])))
-    names = [*by, *[n for n, _ in fields]]
-    return records.toDF(*names).unionByName(object_.toDF(*names)).where("unix_ns is not null and latitude is not null and longitude is not null")
+    """The rows of read_payloads with the telemetry's columns alone."""
+    return read_payloads(df, payload, by)[0].select(*by, *[f.split()[0] for f in TELEMETRY.split(", ")])

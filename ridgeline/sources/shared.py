@@ -26,8 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """The name of a folder of one's own in the shared one; it is not made."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The table, written to the shared folder and read back: what several branches of a plan use is worked out once, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from ridgeline.functions import scalar as S
 from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
 from ridgeline.plans import align, catalog, features, payload
-from ridgeline.sources import readers
+from ridgeline.sources import archives, readers
 
 O = Q.Ordered("run_id", "unix_ns")  # noqa: E741
 
@@ -96,18 +96,25 @@ def test_zip_and_folder(spark, tmp_path):
         z.writestr("broken.csv", b"\xff\xfe\x00\x01")
         z.writestr("readme.txt", "no")
     (tmp_path / "ride.zip").write_bytes(data.getvalue())
-    cells = readers.read_zips(spark, f"file://{tmp_path}").cache()
-    kinds = {r.source_file: r.kind for r in readers.classify(cells).collect()}
-    assert kinds == {"Location.csv": "gps", "Barometer.CSV": "baro", "Gyroscope.csv": "aux", "Metadata.csv": "metadata"}
-    own = lambda name, names: readers.widen(cells.where(F.col("source_file") == name), names)
-    gps = readers.tidy_gps(own("Location.csv", ["time", "latitude", "longitude", "speed"]), ["archive"]).orderBy("unix_ns").collect()
-    assert [(r.unix_ns, r.speed_m_s) for r in gps] == [(1700000000 * 10**9, 3.0), (1700000002 * 10**9, None)]
-    baro = readers.tidy_baro(own("Barometer.CSV", ["time", "pressure"]), ["archive"]).collect()
-    assert all(abs(r.altitude_m) < 1e-6 and r.pressure_mbar == 1013.25 for r in baro)
-    motion = readers.tidy_motion(own("Gyroscope.csv", ["time", "x", "y", "z"]), ["archive", "source_file"]).collect()
-    assert [(r.stream, r.x, r.z) for r in motion] == [("gyro", 1.0, 3.0)]
+    (tmp_path / "torn.zip").write_bytes(data.getvalue()[:100])
+    rows = archives.read_members(spark, f"file://{tmp_path}")
+    kinds = {(r.source_file, r.kind, r.reason) for r in rows.select("source_file", "kind", "reason").distinct().collect()}
+    assert kinds == {("Location.csv", "gps", None), ("Barometer.CSV", "baro", None), ("Gyroscope.csv", "aux", None), ("Metadata.csv", "metadata", "no_sensor"), ("broken.csv", None, "not_csv"), ("torn.zip", None, "unreadable")}
+    gps = rows.where("kind = 'gps'").orderBy("unix_ns").collect()
+    assert [(r.archive, r.line, r.unix_ns, r.latitude, r.speed_m_s) for r in gps] == [("ride", 0, 1700000000 * 10**9, 46.0, 3.0), ("ride", 2, 1700000002 * 10**9, 46.2, None)]
+    baro = archives.read_members(spark, str(tmp_path), "baro").collect()
+    assert len(baro) == 2 and all(abs(r.altitude_m) < 1e-6 and r.pressure_mbar == 1013.25 for r in baro)
+    motion = rows.where("kind = 'aux'").collect()
+    assert [(r.stream, r.x, r.z, r.latitude) for r in motion] == [("gyro", 1.0, 3.0, None)]
+    assert {(r.source_file, r.reason) for r in archives.unusable(rows).collect()} == {("Metadata.csv", "no_sensor"), ("broken.csv", "not_csv"), ("torn.zip", "unreadable")}
+    same = archives.members_of(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    assert sorted(map(str, same.collect())) == sorted(map(str, rows.collect()))
     (tmp_path / "Location.csv").write_text("time,latitude,longitude\n1,2,3\n")
-    assert readers.read_folder(spark, f"file://{tmp_path}").count() == 3
+    rows = archives.read_members(spark, f"file://{tmp_path}").where("archive is null")
+    assert [(r.kind, r.unix_ns) for r in rows.collect()] == [("gps", 10**9)]
+    assert rows.rdd.getNumPartitions() == 7  # a partition for each member and file
+    (tmp_path / "none").mkdir()
+    assert archives.read_members(spark, str(tmp_path / "none")).collect() == []
 
 
 def test_telemetry_json_both_shapes(spark):
@@ -118,6 +125,30 @@ def test_telemetry_json_both_shapes(spark):
     assert got == [("c", 2, None), ("c", 3, 2.0), ("r", 2, 1.5)]
 
 
+def test_payloads_and_what_is_left_out(spark):
+    at = {"unix_ns": 1, "latitude": 46.0, "longitude": 7.0}
+    columns = {"unix_ns": [5, 6], "latitude": [1.0, 2.0], "longitude": [3, 4], "heart_rate": [99, None], "altitude_m": [10.0, 11.0]}
+    data = {
+        "list": json.dumps([at | {"heart_rate": 120, "tags": ["a"]}, at | {"unix_ns": 2, "latitude": "x"}, 7, at | {"unix_ns": None}]), "columns": json.dumps(columns), "nan": '[{"unix_ns": 3, "latitude": 1, "longitude": 2, "vz_m_s": NaN, "altitude_m": -Infinity}]',
+        "torn": "[{", "null": None, "number": "5", "empty": "[]", "none": "{}", "no rows": json.dumps({k: [] for k in at}), "no place": json.dumps([{"unix_ns": 1, "longitude": 2}]), "no time": json.dumps({"latitude": [1], "longitude": [1]}), "uneven": json.dumps(columns | {"latitude": [1]}), "scalar": json.dumps(columns | {"latitude": 3}),
+    }
+    df = spark.createDataFrame(list(data.items()), "k string, p string")
+    rows, bad = readers.read_payloads(df, "p", ["k"])
+    got = {(r.k, r.unix_ns): r for r in rows.select("*", F.try_variant_get("extra", "$.heart_rate", "int").alias("beats"), F.to_json("extra").alias("whole")).collect()}
+    assert set(got) == {("list", 1), ("columns", 5), ("columns", 6), ("nan", 3)}
+    assert [got[k].beats for k in (("list", 1), ("columns", 5), ("columns", 6))] == [120, 99, None]
+    assert json.loads(got["list", 1].whole)["tags"] == ["a"] and got["nan", 3].vz_m_s is None and got["columns", 6].altitude_m == 11.0
+    assert sorted((r.k, r.place, r.reason) for r in bad.where("place is not null").collect()) == [("list", 1, "bad_latitude"), ("list", 2, "not_a_record"), ("list", 3, "bad_unix_ns")]
+    whole = {r.k: r.reason for r in bad.where("place is null").collect()}
+    assert whole == {"torn": "not_json", "null": "not_json", "number": "not_telemetry", "empty": "empty", "none": "empty", "no rows": "empty", "no place": "missing_latitude", "no time": "missing_unix_ns", "uneven": "uneven_columns", "scalar": "uneven_columns"}
+    kinds = readers.payload_columns(df.where("k in ('list', 'columns')"), "p").first()
+    assert "heart_rate: ARRAY<BIGINT>" in kinds.columns and "VARIANT" in kinds.records
+    needs = {r.k for r in readers.read_payloads(df, "p", ["k"], climb="required")[1].where("reason = 'missing_vz_m_s'").collect()}
+    assert needs == {"list"}
+    runs, left = align.runs_of_payloads(df.where("k in ('columns', 'list')"), "p", "k")
+    assert {(r.k, r.vz_m_s) for r in runs.collect()} == {("columns", 50.0)} and left.count() == 1
+
+
 def flight(run, g, rate=100, vz=0.0):
     return [(run, i * 10_000_000, float(x), float(x), float(x), vz, float(rate), float(i)) for i, x in enumerate(g)]
 
@@ -231,7 +262,6 @@ def test_session_of_several_archives_and_stored_blobs(spark, tmp_path):
     import zipfile
 
     from ridgeline.plans import session
-    from ridgeline.sources import readers as R
 
     start = 1_700_000_000
 
@@ -250,7 +280,7 @@ def test_session_of_several_archives_and_stored_blobs(spark, tmp_path):
     stamp = lambda i: datetime.datetime.fromtimestamp(start + i, datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     for name in ("b.zip", "a.zip"):
         (tmp_path / name).write_bytes(archive(stamp, "Acceleration"))
-    cells = R.as_one_session(R.read_zips(spark, str(tmp_path)))
+    cells = archives.as_one_session(archives.read_members(spark, str(tmp_path)))
     assert {r[0] for r in cells.select("source_file").distinct().collect()} == {f"z{i}_{n}.csv" for i in (0, 1) for n in ("Location", "Barometer", "TotalAcceleration")}
     names = session.run_names(cells).collect()
     assert sorted(r.label for r in names) == ["First run", "Second run"] and {r.source_name for r in names} == {"session"}
