@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.sequences import Ordered
+from ridgeline.sources.shared import written
 
 
 def _intervals_s(df: DataFrame, o: Ordered, ns: str) -> DataFrame:
@@ -41,10 +42,41 @@ def nearest_rank(v: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) within group (order by `{v}`)")
 
 
-def floor_rank(v: Column, share: float) -> Column:
-    """The value of index floor(share * n) in rising order, or the last one. The values of a group are put into one array: for groups of a run's size."""
-    values = F.array_sort(F.collect_list(v))
-    return F.element_at(values, F.least(F.floor(share * F.size(values)).cast("int") + 1, F.size(values)))
+#: Ranks are sought among at most so many values of a group at a time; targets are sent to all tasks up to this number.
+CELL, TARGETS_SENT = 100_000, 1_000_000
+_CELLS = 4096
+
+
+def floor_percentiles(df: DataFrame, by: list[str], v: str, shares: dict[str, float], cell: int | None = None) -> DataFrame:
+    """by, and for each name the finite value of index floor(share * n) in rising order, or the last one. Groups without any are left out.
+
+    By counting: values fall into cells between a group's least and greatest one, a rank's cell is the next range to look into, and so
+    on until its values are few or all alike; then those are put in order. Rounds count in steps of the size and of its logarithm
+    in turn, so neither one far value nor values of very different sizes make many rounds. No group comes together in a task."""
+    cell = CELL if cell is None else cell
+    rows = _finite(df, v).select(*by, F.col(v).cast("double").alias("_v"))
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("share")) for n, s in shares.items()])
+    first = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select("*", F.explode(named).alias("_p"))
+    rank = F.least(F.floor(F.col("_p.share") * F.col("_n")).cast("long"), F.col("_n") - 1)
+    targets = written(first.select(*by, F.col("_p.name").alias("_name"), rank.alias("_rank"), "_n", "_lo", "_hi"), "ranks")
+    of = [F.col(c).alias(f"_of_{c}") for c in by]
+    meet = lambda t: [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_v").between(F.col("_lo"), F.col("_hi"))]
+    sent = lambda t: F.broadcast(t) if t.count() <= TARGETS_SENT else t
+    far, turn = (F.col("_n") > cell) & (F.col("_lo") < F.col("_hi")), 0
+    while not targets.where(far).isEmpty():
+        way = (lambda c: F.signum(c) * F.log1p(F.abs(c))) if turn % 2 else (lambda c: c)
+        share = (way(F.col("_v")) - way(F.col("_lo"))) / F.nullif(way(F.col("_hi")) - way(F.col("_lo")), F.lit(0.0))
+        at = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * _CELLS), F.lit(_CELLS - 1)).cast("int")
+        wide = targets.where(far)
+        met = rows.join(sent(wide.select(*of, "_name", "_rank", "_lo", "_hi")), meet(wide)).groupBy(*by, "_name", "_rank", at.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_n").over(Window.partitionBy(*by, "_name").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))  # _CELLS rows at most
+        found = met.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        found = found.select(*by, "_name", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_n", "_lo", "_hi")
+        targets, turn = written(targets.where(~far).unionByName(found), "ranks"), turn + 1
+    counts = rows.join(sent(targets.select(*of, "_name", "_rank", "_lo", "_hi")), meet(targets)).groupBy(*by, "_name", "_rank", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
 
 
 def robust_range(df: DataFrame, by: list[str], v: str, low: float = 0.02, high: float = 0.98, pad: float = 0.08, least_span: float = 0.0, most: float | None = None, least: float | None = None) -> DataFrame:
@@ -106,11 +138,11 @@ def bounds(df: DataFrame, by: list[str], lat: str, lon: str, pad: float = 0.05)
     return box.withColumn("aspect", (F.col(f"max_{lon}") - F.col(f"min_{lon}")) * F.cos(F.radians((F.col(f"max_{lat}") + F.col(f"min_{lat}")) / 2)) / F.nullif(F.col(f"max_{lat}") - F.col(f"min_{lat}"), F.lit(0.0)))
 
 
-def symmetric_range(v: str, least: float = 0.75) -> tuple[Column, Column]:
-    """An axis around 0: 1.2 times the magnitude of index floor(0.98 n), at least so much. Over the finite values of a group."""
-    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), F.abs(v))
-    bound = F.greatest(1.2 * floor_rank(finite, 0.98), F.lit(least))
-    return -bound, bound
+def symmetric_range(df: DataFrame, by: list[str], v: str, least: float = 0.75) -> DataFrame:
+    """by, low, high: an axis around 0, of 1.2 times the magnitude of index floor(0.98 n), at least so much. Over the finite values of a group."""
+    sizes = df.select(*by, F.abs(v).alias("_size"))
+    bound = F.greatest(1.2 * F.col("_at"), F.lit(least))
+    return floor_percentiles(sizes, by, "_size", {"_at": 0.98}).select(*by, (-bound).alias("low"), bound.alias("high"))
 
 
 def axis_range(v: str, least_pad: float = 1.0) -> tuple[Column, Column]:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.sources.shared import written
+
 LEFT, RIGHT = 1, 0
 
 
@@ -157,6 +159,41 @@ def nearest_in_cells(a: DataFrame, b: DataFrame, radius: float, by: list[str], k
     return best.select(*by, key_a, f"_best.{key_b}", "_best.distance")
 
 
+def nearest_of_all(a: DataFrame, b: DataFrame, by: list[str], key_a: str, key_b: str, leaf: float, x: str = "x", y: str = "y") -> DataFrame:
+    """For each row of a the nearest row of b, however far (of equally near ones the least key_b): by, key_a, key_b, distance. Rows without a place, or without any b, are left out.
+
+    Rows of b stand in cells of `leaf`, these in cells four times as wide, and so on up to a few that hold all; each cell knows
+    the box of its rows. Rows of a go down that tree together: a level's cells whose nearest point is farther than some other's farthest
+    one are dropped, the rest are followed, and the rows of the last cells are compared. key_a must tell rows of a key apart."""
+    there = b.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    cell = lambda c: F.floor(F.col(c) / leaf).cast("long")
+    points = there.select(*by, F.col(key_b), F.col(x).alias("_bx"), F.col(y).alias("_by"), cell(x).alias("_i"), cell(y).alias("_j"))
+    least, most = lambda c: F.min(c).alias(c), lambda c: F.max(c).alias(c)
+    boxes = [written(points.groupBy(*by, "_i", "_j").agg(F.min("_bx").alias("_x0"), F.max("_bx").alias("_x1"), F.min("_by").alias("_y0"), F.max("_by").alias("_y1")), "boxes")]
+    spread = boxes[0].agg(F.greatest(F.max("_i") - F.min("_i"), F.max("_j") - F.min("_j"))).first()[0] or 0
+    while spread > 1:
+        up = [F.floor(F.col(c) / 4).cast("long").alias(c) for c in ("_i", "_j")]
+        boxes.append(boxes[-1].groupBy(*by, *up).agg(least("_x0"), most("_x1"), least("_y0"), most("_y1")))
+        spread = -(-spread // 4)
+    of = {c: f"_of_{c}" for c in by}
+    named = lambda t: t.withColumnsRenamed(of)
+    rows = a.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, key_a, F.col(x).alias("_ax"), F.col(y).alias("_ay"))
+    held = rows.join(named(boxes[-1]), [F.col(c) == F.col(f"_of_{c}") for c in by]).drop(*of.values())
+    size = lambda u, v: F.sqrt(u * u + v * v)
+    outside = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0.0))
+    across = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - F.col(lo)), F.abs(F.col(c) - F.col(hi)))
+    for level in range(len(boxes) - 1, -1, -1):
+        near = size(outside("_ax", "_x0", "_x1"), outside("_ay", "_y0", "_y1"))
+        far = size(across("_ax", "_x0", "_x1"), across("_ay", "_y0", "_y1"))
+        bound = F.min(far).over(Window.partitionBy(*by, key_a))
+        held = held.withColumn("_bound", bound).where(near <= F.col("_bound") * (1 + 1e-12)).select(*by, key_a, "_ax", "_ay", F.col("_i").alias("_pi"), F.col("_j").alias("_pj"))
+        below = named(boxes[level - 1] if level else points)
+        shift = 4 if level else 1
+        held = held.join(below, [*[F.col(c) == F.col(f"_of_{c}") for c in by], F.col("_pi") == F.floor(F.col("_i") / shift), F.col("_pj") == F.floor(F.col("_j") / shift)]).drop(*of.values(), "_pi", "_pj")
+    d = F.sqrt(F.pow(F.col("_ax") - F.col("_bx"), F.lit(2.0)) + F.pow(F.col("_ay") - F.col("_by"), F.lit(2.0)))
+    return held.groupBy(*by, key_a).agg(F.min(F.struct(d.alias("distance"), key_b)).alias("_best")).select(*by, key_a, f"_best.{key_b}", "_best.distance")
+
+
 def first_or_nearest(rows: DataFrame, distance: Column, radius: float, by: list[str], order: str) -> DataFrame:
     """For each run the first row within the radius, else the nearest: by, order, inside."""
     d = rows.withColumn("_d", distance)

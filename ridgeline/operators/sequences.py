@@ -1,9 +1,15 @@
-"""Operators on ordered sequences: one sequence for each run, in the order of a unique key. All are window expressions."""
+"""Operators on ordered sequences: one sequence for each run, in the order of a unique key. All but the rolling median are window expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.functions.scalar import haversine_m
 
@@ -80,8 +86,47 @@ def rolling_mean(c: str, o: Ordered, width: int) -> Column:
     return F.avg(c).over(o.rows(-(width // 2), width - 1 - width // 2))
 
 
-def rolling_median(c: str, o: Ordered, width: int) -> Column:
-    return F.percentile(c, F.lit(0.5)).over(o.rows(-(width // 2), width // 2))
+def with_rolling_median(df: DataFrame, c: str, o: Ordered, width: int, out: str) -> DataFrame:
+    """Adds the median over width // 2 rows on either side, or what there is of them; nulls and NaN count as missing.
+
+    A sliding order statistic: runs are dealt and sorted by Spark and pass through a task as a stream, of which it holds a
+    batch and a window; a row costs the logarithm of the width."""
+    half, by = width // 2, o.by
+
+    def medians(values: pa.ChunkedArray) -> np.ndarray:
+        series = pd.Series(values.cast(pa.float64()).to_numpy())
+        return series.rolling(2 * half + 1, center=True, min_periods=1).median().to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = None, 0  # rows of the last run that are still needed, and how many of them are done
+
+        def done(rows: pa.Table, first: int, end: int) -> Iterator[pa.RecordBatch]:
+            """Rows of one run, from `first` up to `end`."""
+            if first < end:
+                values = pa.array(medians(rows.column(c))[first:end], from_pandas=True)
+                yield from rows.slice(first, end - first).append_column(out, values).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            rows = new if held is None else pa.concat_tables([held, new])
+            keys = [rows.column(k).to_pandas() for k in by]
+            same = np.logical_and.reduce([(k[1:].to_numpy() == k[:-1].to_numpy()) | (k[1:].isna().to_numpy() & k[:-1].isna().to_numpy()) for k in keys]) if len(rows) > 1 else np.zeros(0, bool)
+            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(rows)]
+            for a, b in zip(cuts[:-2], cuts[1:-1]):
+                yield from done(rows.slice(a, b - a), seen, b - a)
+                seen = 0
+            last = rows.slice(cuts[-2])
+            ready = max(seen, len(last) - half)
+            yield from done(last, seen, ready)
+            start = max(0, ready - half)
+            held, seen = last.slice(start).combine_chunks(), ready - start
+        if held is not None:
+            yield from done(held, seen, len(held))
+
+    dealt = df.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by, *o.order)
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def box(c: str | Column, o: Ordered, width: int) -> Column:
@@ -97,12 +142,6 @@ def gradient(y: str, x: str, o: Ordered) -> Column:
     return F.coalesce(inner, up / after, down / before)
 
 
-def velocity(y: str, t: str, o: Ordered, most: float = 50.0) -> Column:
-    """Gradient with what isn't finite as 0, held within a bound."""
-    g = gradient(y, t, o)
-    return F.when(g.isNull() | F.isnan(g) | (F.abs(g) == float("inf")), 0.0).otherwise(F.greatest(F.least(g, F.lit(most)), F.lit(-most)))
-
-
 def islands(df: DataFrame, flag: Column, o: Ordered, first: str, last: str | None = None) -> DataFrame:
     """Runs of rows on which flag holds: by, island, n_rows, <first>_start, <first>_end (of the row's `first` and `last`)."""
     rows = df.withColumn("_on", F.coalesce(flag, F.lit(False)))
@@ -128,14 +167,40 @@ def first_sustained(df: DataFrame, flag: Column, o: Ordered, n: int, value: str)
     return rows.groupBy(*o.by).agg(F.min(F.when(F.col("_all"), F.col(value))).alias(f"first_{value}"))
 
 
-def range_mean(y: str, x: str, by: str | list[str], half: float) -> Column:
-    """Mean over rows within half of x on either side."""
-    keys = ", ".join(f"`{k}`" for k in ([by] if isinstance(by, str) else by))
-    return F.expr(f"avg(`{y}`) over (partition by {keys} order by `{x}` range between {half!r}D preceding and {half!r}D following)")
-
-
-def residual(y: str, x: str, by: str | list[str], half: float) -> Column:
-    return F.col(y) - range_mean(y, x, by, half)
+#: Sums are exact in steps of 2^-20 for values under 10^20, which are whole numbers of steps from 2^40 on; what is left of smaller ones, and larger values, are summed as doubles.
+_STEP, _LARGE, _LARGEST = float(1 << 20), float(1 << 40), 1e20
+
+
+def with_range_mean(df: DataFrame, y: str, x: str, by: str | list[str], half: float, out: str) -> DataFrame:
+    """Adds the mean of y over rows within half of x on either side, both ends included; null where x is, or where no y is known.
+
+    By prefix sums: each row asks for the sums up to x + half and before x - half; rows and questions are one table, dealt by
+    key and sorted once, with one running sum, and come back to their rows by key and x. Time does not depend on the width.
+    A NaN makes the mean NaN where it lies within, and nowhere else."""
+    keys = [by] if isinstance(by, str) else by
+    ask = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = rows.withColumn("_a", F.explode(F.array(ask(-1, F.col("_x") - half), ask(0, F.col("_x")), ask(1, F.col("_x") + half))))
+    own = F.col("_a.kind") == 0
+    known = own & F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    number = known & ~F.isnan("_y")
+    small, size = F.abs("_y") < _LARGE, F.abs("_y") < _LARGEST
+    steps = F.when(number & small, F.floor(F.col("_y") * _STEP)).otherwise(0)
+    whole = F.when(number & ~small & size, (F.col("_y") * _STEP).cast("decimal(28,0)")).otherwise(steps.cast("decimal(28,0)"))
+    rest = F.when(number & small, F.col("_y") - steps.cast("double") / _STEP).when(number & ~size, F.col("_y")).otherwise(0.0)
+    rows = rows.select("*", known.cast("long").alias("_n"), (known & F.isnan("_y")).cast("long").alias("_nan"), whole.alias("_w"), rest.alias("_f"))
+    k = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.withColumn("_row", F.when(own, F.col("_row")))
+    upto = Window.partitionBy(*k).orderBy("_a.at", "_a.kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = F.struct(*[F.sum(c).over(upto).alias(c) for c in ("_n", "_nan", "_w", "_f")])
+    rows = rows.withColumn("_s", sums).select("_row", *k, "_x", "_y", "_a", "_s")
+    met = Window.partitionBy(*k, "_x")
+    side = lambda kind: F.max(F.when(F.col("_a.kind") == kind, F.col("_s"))).over(met)
+    rows = rows.withColumn("_low", side(-1)).withColumn("_high", side(1)).where(F.col("_a.kind") == 0)
+    part = lambda c: F.col(f"_high.{c}") - F.col(f"_low.{c}")
+    mean = (part("_w").cast("double") / _STEP + part("_f")) / F.nullif(part("_n"), F.lit(0)).cast("double")
+    value = F.when(F.col("_x").isNotNull(), F.when(part("_nan") > 0, F.lit(float("nan"))).otherwise(mean))
+    return rows.select("_row.*", value.alias(out))
 
 
 def bands(df: DataFrame, level: Column, o: Ordered, x: str) -> DataFrame:

@@ -48,7 +48,7 @@ def altitude_agreement(a: DataFrame, b: DataFrame, by: list[str], altitude: str
     o = Q.Ordered(by, "grid_index")
     rows = grid.withColumn("_n", F.count(F.lit(1)).over(o.all))
     offset = F.percentile(F.when(F.col("grid_index") >= F.floor(0.45 * F.col("_n")), F.col("diff")), F.lit(0.5)).over(o.all)
-    rows = rows.withColumn("_r", F.abs(F.col("diff") - offset)).withColumn("_m", Q.rolling_median("_r", o, width))
+    rows = Q.with_rolling_median(rows.withColumn("_r", F.abs(F.col("diff") - offset)), "_r", o, width, "_m")
     first = Q.first_sustained(rows, F.col("_m") <= within, o, sustained, "distance_m")
     out = rows.groupBy(*by).agg(F.max("distance_m").alias("_most")).join(first, by)
     reason = F.when(F.col("_most") < max(80.0, sustained + 25.0), "too_short").when(F.col("first_distance_m").isNull(), "never_agrees").when(F.col("first_distance_m") <= 0, "already_agrees").when(F.col("_most") - F.col("first_distance_m") < least, "too_little_left").otherwise("trimmed")

@@ -307,6 +307,16 @@ def spatial_nn(spark, sf_dir):
     return J.nearest_in_cells(side(a, "ia"), side(b, "ib"), 60.0, ["pair"], "ia", "ib").select("pair", "ia", "ib", F.round("distance", 4).alias("distance"))
 
 
+@query(f"""WITH {DIST}, a AS (SELECT run_id AS pair, event_id AS ia, longitude AS x, latitude AS y FROM dist WHERE run_id % 2 = 0), b AS (SELECT run_id - 1 AS pair, event_id AS ib, longitude AS x, latitude AS y FROM dist WHERE run_id % 2 = 1)
+SELECT pair, ia, ib, round(d * 1e6, 3) AS micro_degrees FROM (SELECT a.pair, ia, ib, sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)) AS d, row_number() OVER (PARTITION BY a.pair, ia ORDER BY sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)), ib) AS k FROM a JOIN b ON a.pair = b.pair) WHERE k = 1""")
+def nearest_trail_point(spark, sf_dir):
+    """The nearest point of the other run's trail, in degrees and however far."""
+    a, b = _pairs(spark, sf_dir)
+    side = lambda d, name: d.select("pair", F.col("event_id").alias(name), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    got = J.nearest_of_all(side(a, "ia"), side(b, "ib"), ["pair"], "ia", "ib", 2e-4)
+    return got.select("pair", "ia", "ib", F.round(F.col("distance") * 1e6, 3).alias("micro_degrees"))
+
+
 _GATE = hav("46.005", "7.005", "latitude", "longitude")
 
 
@@ -367,7 +377,7 @@ def rolling_mean_centered(spark, sf_dir):
 
 @query(f"WITH {TRACK} SELECT event_id, round(median(speed_m_s) OVER (PARTITION BY run_id ORDER BY unix_ns ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING),6) AS median25 FROM track")
 def rolling_median(spark, sf_dir):
-    return track(spark, sf_dir).select("event_id", r6(Q.rolling_median("speed_m_s", RUN, 25), "median25"))
+    return Q.with_rolling_median(track(spark, sf_dir), "speed_m_s", RUN, 25, "median").select("event_id", r6("median", "median25"))
 
 
 @query(f"""WITH {DIST}, n AS (SELECT event_id, pressure_mbar y, lag(pressure_mbar) OVER w y0, lead(pressure_mbar) OVER w y1, time_s t, lag(time_s) OVER w t0, lead(time_s) OVER w t1 FROM dist WINDOW w AS {W})
@@ -413,7 +423,8 @@ def lookaround_max(spark, sf_dir):
 @query(f"WITH {DIST}, q AS (SELECT *, round(distance_m,3) AS d FROM dist) SELECT event_id, round(avg(speed_m_s) OVER r,9) AS smooth, round(speed_m_s - avg(speed_m_s) OVER r,9) AS detail FROM q WINDOW r AS (PARTITION BY run_id ORDER BY d RANGE BETWEEN 1000.0005 PRECEDING AND 1000.0005 FOLLOWING)")
 def range_smooth(spark, sf_dir):
     d = dist(spark, sf_dir).withColumn("d", F.round("distance_m", 3))
-    return d.select("event_id", F.round(Q.range_mean("speed_m_s", "d", "run_id", 1000.0005), 9).alias("smooth"), F.round(Q.residual("speed_m_s", "d", "run_id", 1000.0005), 9).alias("detail"))
+    rows = Q.with_range_mean(d, "speed_m_s", "d", "run_id", 1000.0005, "mean")
+    return rows.select("event_id", F.round("mean", 9).alias("smooth"), F.round(F.col("speed_m_s") - F.col("mean"), 9).alias("detail"))
 
 
 _BANDS = f"{DIST}, l AS (SELECT *, CASE WHEN speed_m_s > 18 THEN 2 WHEN speed_m_s > 8 THEN 1 ELSE 0 END AS level, lag(CASE WHEN speed_m_s > 18 THEN 2 WHEN speed_m_s > 8 THEN 1 ELSE 0 END) OVER {W} AS prev FROM dist), b AS (SELECT *, sum((prev IS NULL OR prev <> level)::INT) OVER (PARTITION BY run_id ORDER BY unix_ns ROWS UNBOUNDED PRECEDING) AS band FROM l)"
@@ -545,7 +556,7 @@ def robust_band(spark, sf_dir):
 
 @query(f"WITH {TRACK}, l AS (SELECT run_id, list_sort(list(speed_m_s)) AS v FROM track GROUP BY 1) SELECT run_id, v[least(floor(0.98*len(v))::INT+1, len(v))] AS at98 FROM l")
 def floor_percentile(spark, sf_dir):
-    return track(spark, sf_dir).groupBy("run_id").agg(A.floor_rank(F.col("speed_m_s"), 0.98).alias("at98"))
+    return A.floor_percentiles(track(spark, sf_dir), ["run_id"], "speed_m_s", {"at98": 0.98})
 
 
 @query(f"WITH {TRACK}, b AS (SELECT run_id, min(latitude) a, max(latitude) b, min(longitude) c, max(longitude) d FROM track GROUP BY 1) SELECT run_id, round(a-(b-a)*5e-2,9) AS min_latitude, round(b+(b-a)*5e-2,9) AS max_latitude, round(c-(d-c)*5e-2,9) AS min_longitude, round(d+(d-c)*5e-2,9) AS max_longitude FROM b")
@@ -731,9 +742,10 @@ def delta_ranges(spark, sf_dir):
     """Ranges of colours and axes for the differences."""
     d = _deltas(spark, sf_dir)
     heat = A.robust_symmetric(d, ["pair"], "delta_speed_m_s", 0.95, 0.0, 1.0, 10.0).select("pair", F.col("high").alias("heat"))
-    (_, bound), (low, high) = A.symmetric_range("delta_speed_m_s"), A.axis_range("delta_speed_m_s")
-    axes = d.groupBy("pair").agg(bound.alias("bound"), low.alias("axis_low"), high.alias("axis_high"))
-    return heat.join(axes, "pair").select("pair", r6("heat"), r6("bound"), r6("axis_low"), r6("axis_high"))
+    low, high = A.axis_range("delta_speed_m_s")
+    axes = d.groupBy("pair").agg(low.alias("axis_low"), high.alias("axis_high"))
+    bound = A.symmetric_range(d, ["pair"], "delta_speed_m_s").select("pair", F.col("high").alias("bound"))
+    return heat.join(axes, "pair").join(bound, "pair").select("pair", r6("heat"), r6("bound"), r6("axis_low"), r6("axis_high"))
 
 
 @query(f"""WITH {_GRID}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY delta_t_s DESC, distance_m) AS rank FROM dt WHERE delta_t_s > 0.02) WHERE rank <= 8), b AS (SELECT run_id - 1 AS pair, distance_m AS x, min(event_id) AS event_id FROM dist WHERE run_id % 2 = 1 GROUP BY 1,2)
