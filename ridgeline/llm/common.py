@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -98,12 +99,17 @@ def number_rows(df: DataFrame, within: str, order: list[str], out: str, parts: i
     )
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished steps removed now: Spark drops them when the driver's objects are collected."""
+_RELEASED = [0.0]
+
+
+def release(spark: SparkSession, least_s: float = 3.0) -> None:
+    """Have the shuffle files of finished steps removed now: Spark drops them when the driver's objects are collected. Not again within so many seconds."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _RELEASED[0] >= least_s:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _RELEASED[0] = time.monotonic()
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
