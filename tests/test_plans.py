@@ -291,13 +291,57 @@ def test_session_of_several_archives_and_stored_blobs(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
     root = f"file://{tmp_path}/store"
     assert catalog.store_blobs(spark, root, files).count() == 1 == catalog.store_blobs(spark, root, files).count()
-    blobs = spark.read.parquet(f"{root}/blobs")
+    blobs = catalog.Store(spark, root).read("blobs")
     own = blobs.select(F.col("sha256").alias("blob_sha256"), F.lit("a.zip").alias("original_filename"))
     assert session.process_blobs(blobs, own).select("run_id").distinct().count() == 1
-    row = spark.createDataFrame([("s1", "t")], "id string, trail_id string")
-    for _ in range(2):
-        catalog.store_session(spark, root, row, row, spark.createDataFrame([("s1", "h")], "session_id string, blob_sha256 string"))
-    assert spark.read.parquet(f"{root}/runs").count() == 1
+
+
+def session_tables(spark, id="s1"):
+    row = lambda schema, *values: spark.createDataFrame([values], schema)
+    return row("id string, trail_id string, status string, created_at double", id, "t", "done", 1.0), row("id string, session_id string, label string", f"{id}-r", id, "First run"), row("session_id string, blob_sha256 string, original_filename string", id, "h", "a.zip")
+
+
+def test_commits_over_several_tables(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/store"
+    store = catalog.Store(spark, root)
+    assert store.read("runs").collect() == [] and store.read("runs").columns == [f.split()[0] for f in catalog.SCHEMAS["runs"].split(", ")]
+    # A writer that dies between its tables, or before its marker, leaves nothing to be seen.
+    session, runs, files = session_tables(spark)
+    with pytest.raises(Exception):
+        store.commit("session-s1", {"upload_sessions": session, "runs": runs.withColumn("id", F.raise_error("killed"))})
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(catalog.Store, "_mark", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        catalog.store_session(spark, root, "s1", session, runs, files)
+    assert all(store.read(n).count() == 0 for n in ("upload_sessions", "runs", "session_files"))
+    # Once more, and twice: each row is there once, with today's columns.
+    assert catalog.store_session(spark, root, "s1", session, runs, files)
+    assert not catalog.store_session(spark, root, "s1", session, runs, files)
+    (row,) = store.read("upload_sessions").collect()
+    assert (row.id, row.comparison_ready, row.source_names_json, row.error) == ("s1", 0, "[]", None)
+    assert store.sweep() >= 3 and store.read("runs").count() == 1
+    # Another writer gets in between what is staged and the marker: its rows are not added again.
+    mark, first = catalog.Store._mark, []
+    def late(self, number, content):
+        if not first:
+            first.append(1)
+            assert catalog.Store(spark, root).commit("other", {"runs": session_tables(spark, "s2")[1]})
+        return mark(self, number, content)
+
+    monkeypatch.setattr(catalog.Store, "_mark", late)
+    assert store.commit("mine", {"runs": session_tables(spark, "s2")[1].unionByName(session_tables(spark, "s3")[1])})
+    assert [c["id"] for c in store.commits()] == ["session-s1", "other", "mine"] and [c["number"] for c in store.commits()] == [1, 2, 3]
+    assert sorted(r.id for r in store.read("runs").collect()) == ["s1-r", "s2-r", "s3-r"]
+
+
+def test_backfill_of_older_uploads(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    old = [("f1", "s1", "a.zip", "a", 5, "h1", "p1", 2.0), ("f2", "s1", "b.zip", "b", 5, "h1", "p1", 1.0), ("f3", "s2", "c.zip", "c", 5, "h1", "p1", 3.0)]
+    rows = spark.createDataFrame(old, "id string, session_id string, original_filename string, stem string, size_bytes long, sha256 string, blob_path string, created_at double")
+    store = catalog.Store(spark, root)
+    store.commit("old", {"upload_files": rows})
+    assert catalog.backfill_files(spark, root) and not catalog.backfill_files(spark, root)
+    assert [(r.sha256, r.first_original_filename, r.content_type) for r in store.read("file_blobs").collect()] == [("h1", "b.zip", None)]
+    assert sorted((r.id, r.session_id) for r in store.read("session_files").collect()) == [("f2", "s1"), ("f3", "s2")]
 
 
 def test_peak_of_landing_without_flights(spark):
