@@ -276,7 +276,7 @@ def decimate(df: DataFrame, o: Ordered, rate: str, most: float = 8.0) -> DataFra
     return df.withColumn("_n", o.number() - 1).where(F.col("_n") % k == 0).drop("_n")
 
 
-def stride(df: DataFrame, o: Ordered, most: int) -> DataFrame:
+def stride(df: DataFrame, o: Ordered, most: int | Column) -> DataFrame:
     """At most about so many rows of a run, evenly, the last one among them."""
     rows = df.withColumn("_i", o.number() - 1).withColumn("_n", F.count(F.lit(1)).over(o.all))
     k = F.greatest(F.ceil(F.col("_n") / most), F.lit(1))
@@ -326,9 +326,9 @@ def padded(low: float, high: float, share: float = 0.04) -> tuple[float, float]:
     return low - (high - low) * share, high + (high - low) * share
 
 
-def viewport(df: DataFrame, o: Ordered, lat: tuple[float, float], lon: tuple[float, float], most: int, least: int = 2) -> DataFrame:
-    """Rows of each run inside a box, both ends included, thinned to about `most`; of runs with too few rows inside all rows."""
-    inside = F.coalesce(F.col("latitude").between(*lat) & F.col("longitude").between(*lon), F.lit(False))
+def viewport(df: DataFrame, o: Ordered, lat: tuple[float, float], lon: tuple[float, float], most: int | Column, least: int = 2, pad: float = 0.0) -> DataFrame:
+    """Rows of each run inside a box, wider by a share `pad` at either side, both ends included, thinned to about `most` (see point_budget); of runs with too few rows inside all rows."""
+    inside = F.coalesce(F.col("latitude").between(*padded(*lat, pad)) & F.col("longitude").between(*padded(*lon, pad)), F.lit(False))
     rows = df.withColumn("_in", inside).withColumn("_n", F.count_if("_in").over(o.all))
     return stride(rows.where(F.col("_in") | (F.col("_n") < least)).drop("_in", "_n"), o, most)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import dsp
 from ridgeline.functions import scalar as S
+from ridgeline.operators import generators as G
 from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
 from ridgeline.plans import compare, features
@@ -40,19 +41,41 @@ def shared_corridor(a: DataFrame, b: DataFrame, by: list[str], radius: float = R
     return found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "stretch")
 
 
-def altitude_agreement(a: DataFrame, b: DataFrame, by: list[str], altitude: str = "altitude_smooth_m", within: float = 5.0, sustained: int = 35, width: int = 25, least: float = 80.0) -> DataFrame:
-    """by, trim_m, reason: from where on the two altitudes agree, but for a constant, over a sustained stretch.
+# Why a pair is or isn't cut where its altitudes begin to agree.
+MISSING, SHORT, FEW, AGREES, LITTLE, TRIMMED = "missing_altitude", "overlap_too_short", "not_enough_altitude", "already_agrees", "trim_would_leave_too_little", "leading_altitude_disagreement"
 
-    Reasons: too_short, already_agrees, never_agrees, too_little_left, trimmed."""
-    grid = compare.delta_t(a.withColumn("_h", F.col(altitude)), b.withColumn("_h", F.col(altitude)), by, 1.0, time="_h").withColumn("diff", F.col("t_a_s") - F.col("t_b_s"))
+
+def altitude_agreement(a: DataFrame, b: DataFrame, by: list[str], altitude: str | None = None, step: float = 1.0, within: float = 5.0, sustained_m: float = 35.0, width_m: float = 25.0, least: float = 80.0) -> DataFrame:
+    """by, trim_m, reason, stable_offset_m, initial_residual_m, residual_at_start_m: from where on the two altitudes agree, but for a constant, over a sustained stretch.
+
+    The constant is the median difference over the last 55 % of the shared grid, whose last place is the last one up to half a step
+    beyond the shared distance. altitude: a column of both, by default the first of ALTITUDES that each has. Pairs of which a run has
+    no altitude or under four rows, share too little, or have under four finite altitudes are not cut; nor are those whose altitudes
+    agree from the start on or nowhere, or which would be too short then."""
+    names = [altitude or next((c for c in ALTITUDES if c in d.columns), None) for d in (a, b)]
+    sides = [d.withColumn("_h", S.finite(F.col(n).cast("double")) if n else F.lit(None).cast("double")) for d, n in zip((a, b), names)]
+    sizes = [d.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_n{k}"), F.count_if(F.col("_h").isNotNull() & F.col("distance_m").isNotNull()).alias(f"_f{k}"), F.max("distance_m").alias(f"_d{k}")) for k, d in enumerate(sides)]
+    pairs = sizes[0].join(sizes[1], by).withColumn("_most", F.least("_d0", "_d1"))
+    reason = F.when(F.lit(None in names) | (F.least("_n0", "_n1") < 4), MISSING).when(F.col("_most").isNull() | (F.col("_most") < max(least, sustained_m + width_m)), SHORT).when(F.least("_f0", "_f1") < 4, FEW)
+    pairs = written(pairs.select(*by, "_most", reason.alias("_why")), "pairs")
+    grid = written(G.distance_grid(pairs.where("_why is null").withColumn("_end", F.col("_most") + step / 2), by, "_end", step), "grid")
+    heights = [compare.time_on_grid(d.where("_h is not null and distance_m is not null"), grid, by, time="_h") for d in sides]
+    both = heights[0].join(heights[1].select(*by, "grid_index", F.col("_h").alias("_other")), [*by, "grid_index"]).withColumn("diff", F.col("_h") - F.col("_other"))
     o = Q.Ordered(by, "grid_index")
-    rows = grid.withColumn("_n", F.count(F.lit(1)).over(o.all))
-    offset = F.percentile(F.when(F.col("grid_index") >= F.floor(0.45 * F.col("_n")), F.col("diff")), F.lit(0.5)).over(o.all)
-    rows = Q.with_rolling_median(rows.withColumn("_r", F.abs(F.col("diff") - offset)), "_r", o, width, "_m")
-    first = Q.first_sustained(rows, F.col("_m") <= within, o, sustained, "distance_m")
-    out = rows.groupBy(*by).agg(F.max("distance_m").alias("_most")).join(first, by)
-    reason = F.when(F.col("_most") < max(80.0, sustained + 25.0), "too_short").when(F.col("first_distance_m").isNull(), "never_agrees").when(F.col("first_distance_m") <= 0, "already_agrees").when(F.col("_most") - F.col("first_distance_m") < least, "too_little_left").otherwise("trimmed")
-    return out.withColumn("reason", reason).select(*by, F.when(F.col("reason") == "trimmed", F.col("first_distance_m")).otherwise(0.0).alias("trim_m"), "reason")
+    offset = F.percentile(F.when(F.col("grid_index") >= F.floor(0.45 * F.count(F.lit(1)).over(o.all)), F.col("diff")), F.lit(0.5)).over(o.all)
+    rows = both.withColumn("_offset", offset).withColumn("_r", F.abs(F.col("diff") - F.col("_offset")))
+    rows = Q.with_rolling_median(rows.select(*by, "grid_index", "distance_m", "_offset", "_r"), "_r", o, max(3, round(width_m / step)), "_m")
+    rows = written(rows, "residuals")
+    first = Q.first_sustained(rows, F.col("_m") <= within, o, max(3, round(sustained_m / step)), "grid_index")
+    found = rows.join(first, by).groupBy(*by).agg(
+        F.max("_offset").alias("stable_offset_m"), F.max(F.when(F.col("grid_index") == 0, F.col("_m"))).alias("initial_residual_m"),
+        *[F.max(F.when(F.col("grid_index") == F.col("first_grid_index"), F.col(c))).alias(n) for c, n in (("distance_m", "_at"), ("_m", "residual_at_start_m"))],
+    )
+    out = pairs.join(found, by, "left")
+    why = F.coalesce("_why", F.when(F.coalesce("_at", F.lit(0.0)) <= 0, AGREES).when(F.col("_most") - F.col("_at") < least, LITTLE).otherwise(TRIMMED))
+    out = out.withColumn("reason", why)
+    cut = F.col("reason") == TRIMMED
+    return out.select(*by, F.when(cut, F.col("_at")).otherwise(0.0).alias("trim_m"), "reason", "stable_offset_m", "initial_residual_m", F.when(cut, F.col("residual_at_start_m")).alias("residual_at_start_m"))
 
 
 def climb_lag(a: DataFrame, b: DataFrame, by: str, vz: str = "vz_m_s", most_m: float | None = 100.0, least: int = 32) -> DataFrame:
@@ -122,6 +145,12 @@ def with_known_distance(rows: DataFrame, by: str) -> DataFrame:
     return summed.withColumn("distance_m", F.when(some, F.col("distance_m")).otherwise(F.col("_sum"))).drop("_step", "_sum")
 
 
+def ready(rows: DataFrame, by: str) -> DataFrame:
+    """rows with what alignment needs and payloads may lack: distance_m (also where a run has none), time_s, vz_m_s from the altitude."""
+    rows = with_known_distance(rows, by)
+    return with_climb(rows if "time_s" in rows.columns else Q.with_elapsed(rows, Q.Ordered(by, "unix_ns")), by)
+
+
 def rezero(rows: DataFrame, o: Q.Ordered) -> DataFrame:
     return rows.withColumns({c: F.col(c) - F.min(c).over(o.all) for c in ("distance_m", "time_s")})
 
@@ -188,6 +217,7 @@ def align_gate(a: DataFrame, b: DataFrame, by: str, lat: float, lon: float, radi
     """Both runs from a gate on, cut to one length, from their first to their last climb or descent, up to the distance that they share; with a row on the alignment for each pair.
 
     The row has the gate rows and places of both, the gate line across a's way, the rows after the cut, and climb_lag's columns."""
+    a, b = ready(a, by), ready(b, by)
     gates = [gate_rows(d, by, lat, lon, radius) for d in (a, b)]
     line = gate_line(a, gates[0], by).withColumnsRenamed({"gate_row": "gate_row_a", "latitude": "gate_latitude_a", "longitude": "gate_longitude_a"})
     other = gate_line(b, gates[1], by).select(by, F.col("gate_row").alias("gate_row_b"), F.col("latitude").alias("gate_latitude_b"), F.col("longitude").alias("gate_longitude_b"))
@@ -203,6 +233,7 @@ def align_auto(a: DataFrame, b: DataFrame, by: str, moves: float = 0.03, most_m:
 
     Pairs of which fewer than `least` rows are left have the reason too_few_rows, and no rows."""
     o = Q.Ordered(by, "unix_ns")
+    a, b = ready(a, by), ready(b, by)
     found = written(shared_corridor(a, b, [by]), "corridor")
     cut = lambda d, s: rezero(d.join(found.select(by, F.col(f"{s}_start").alias("_lo"), F.col(f"{s}_end").alias("_hi")), by).where(F.floor("distance_m").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi"), o)
     a, b = written(cut(a, "a"), "runs"), written(cut(b, "b"), "runs")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import dsp
+from ridgeline.functions import scalar as S
 from ridgeline.operators import aggregates as A
 from ridgeline.operators import generators as G
 from ridgeline.operators import sequences as Q
@@ -15,8 +16,40 @@ from ridgeline.plans import compare
 from ridgeline.sources.shared import written
 
 
+def corrected_altitude(runs: DataFrame, by: str) -> DataFrame:
+    """runs with altitude_m from the pressure, corrected for speed by the density at the run's mean height; without a pressure from the first altitude that there is. Without any, an error."""
+    if "pressure_mbar" in runs.columns:
+        o = Q.Ordered(by, "unix_ns")
+        speed = F.col("speed_m_s") if "speed_m_s" in runs.columns else F.lit(0.0)
+        plain = S.hypsometric_m(F.col("pressure_mbar"))
+        density = S.air_density(F.coalesce(F.avg(S.finite(plain)).over(o.all), F.lit(0.0)))
+        return runs.withColumn("altitude_m", S.finite(S.hypsometric_m(F.col("pressure_mbar") + S.dynamic_pressure_mbar(density, speed))))
+    name = next((c for c in ("altitude_from_pressure_m", "altitude_smooth_m", "altitude_m") if c in runs.columns), None)
+    if name is None:
+        raise ValueError("telemetry has neither a pressure nor an altitude")
+    return runs.withColumn("altitude_m", S.finite(F.col(name)))
+
+
+def vertical_acceleration(runs: DataFrame, by: str) -> DataFrame:
+    """runs with vertical_acc, upward, from what there is: total acceleration along gravity less gravity, acceleration along gravity, the z axis less its median, or 0."""
+    axes = lambda t: [f"{t}_{a}_filt" for a in "xyz"]
+    has = lambda names: all(c in runs.columns for c in names)
+    size = F.greatest(S.magnitude(*[F.col(c) for c in axes("gravity")]), F.lit(1e-6))
+    along = lambda t: sum((F.col(a) * F.col(g) for a, g in list(zip(axes(t), axes("gravity")))[1:]), F.col(axes(t)[0]) * F.col(axes("gravity")[0])) / size
+    if has(axes("gravity")) and has(axes("total_acc")):
+        value = S.GRAVITY_M_S2 - along("total_acc")
+    elif has(axes("gravity")) and has(axes("acc")):
+        value = -along("acc")
+    elif "acc_z_filt" in runs.columns:
+        value = F.col("acc_z_filt") - F.percentile("acc_z_filt", F.lit(0.5)).over(Q.Ordered(by, "unix_ns").all)
+    else:
+        value = F.lit(0.0)
+    return runs.withColumn("vertical_acc", S.finite(value))
+
+
 def fuse(runs: DataFrame, by: str = "run_id") -> DataFrame:
-    """Height and climb of each run, fused by a Kalman filter: by, distance_m, time_s, altitude_m, vz_m_s. Runs of under four places or a metre go."""
+    """Height and climb of each run, from its corrected altitude and its vertical acceleration, fused by a Kalman filter: by, distance_m, time_s, altitude_m, vz_m_s. Runs of under four places or a metre go."""
+    runs = vertical_acceleration(corrected_altitude(runs, by), by)
 
     def kernel(own: pd.DataFrame) -> pd.DataFrame:
         t, h = own["time_s"].to_numpy(float), dsp.filled(own["altitude_m"].to_numpy(float))
@@ -25,13 +58,13 @@ def fuse(runs: DataFrame, by: str = "run_id") -> DataFrame:
         r = h - trend
         phi = float(np.clip((r[:-1] * r[1:]).sum() / ((r[:-1] ** 2).sum() + 1e-12), -0.98, 0.98)) if len(r) > 1 else 0.0
         white = trend + np.concatenate((r[:1], r[1:] - phi * r[:-1]))
-        acc = dsp.filled(own["vertical_acc"].to_numpy(float)) if "vertical_acc" in own else np.zeros(len(h))
+        acc = dsp.filled(own["vertical_acc"].to_numpy(float))
         height, climb = dsp.fuse_vertical(t, white, acc, rate)
         own = own.assign(altitude_m=height, vz_m_s=climb).sort_values(["distance_m", "time_s"], kind="stable").drop_duplicates("distance_m")
         own = own[[by, "distance_m", "time_s", "altitude_m", "vz_m_s"]]
         return own if len(own) >= 4 and own["distance_m"].max() - own["distance_m"].min() > 1 else own.iloc[:0]
 
-    names = [by, "unix_ns", "distance_m", "time_s", "altitude_m", *(["vertical_acc"] if "vertical_acc" in runs.columns else [])]
+    names = [by, "unix_ns", "distance_m", "time_s", "altitude_m", "vertical_acc"]
     return dsp.per_run(runs.select(*names), by, ["unix_ns"], kernel, f"{by} long, distance_m double, time_s double, altitude_m double, vz_m_s double")
 
 

@@ -20,7 +20,9 @@ from ridgeline.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-RUN = Q.Ordered("run_id", "unix_ns")
+RUN = Q.Ordered("run_id", ["unix_ns", "event_id"])
+#: Of runs on a clock of their own, where no time comes twice.
+EVEN = Q.Ordered("run_id", "unix_ns")
 
 
 def query(sql: str | None = None):
@@ -823,16 +825,6 @@ def uniform(spark, sf_dir) -> DataFrame:
     return t.withColumn("i", RUN.number()).withColumn("unix_ns", F.lit(1_700_000_000_000_000_000) + F.col("i").cast("long") * 40_000_000).drop("event_id")
 
 
-@query()
-def butterworth_filtfilt(spark, sf_dir):
-    from ridgeline.functions import dsp
-
-    def kernel(own):
-        return own[["run_id", "i"]].assign(smooth=dsp.low_pass(own["speed_m_s"].to_numpy(), 25.0, 4.0, 2), climb=dsp.smooth(own["speed_m_s"].to_numpy(), 25.0, 0.55, 2))
-
-    return dsp.per_run(uniform(spark, sf_dir).select("run_id", "i", "speed_m_s"), "run_id", ["i"], kernel, "run_id long, i long, smooth double, climb double")
-
-
 @query()
 def processed_runs(spark, sf_dir):
     """Streams of every run through the whole processing, to a row of stats for each."""
@@ -851,7 +843,7 @@ def canonical_reference(spark, sf_dir):
     """A reference from all runs of each of five trails, over their whole lengths."""
     from ridgeline.plans import canonical
 
-    u = Q.with_elapsed(Q.with_distance(uniform(spark, sf_dir).withColumn("latitude", 46 + F.col("i") * 1e-5 + F.col("run_id") * 1e-9).withColumn("longitude", F.lit(7.0)), RUN), RUN)
+    u = Q.with_elapsed(Q.with_distance(uniform(spark, sf_dir).withColumn("latitude", 46 + F.col("i") * 1e-5 + F.col("run_id") * 1e-9).withColumn("longitude", F.lit(7.0)), EVEN), EVEN)
     return canonical.synthesise(u.withColumn("trail", F.col("run_id") % 5).withColumn("altitude_m", S.hypsometric_m(F.col("pressure_mbar"))), "trail")
 
 
@@ -861,7 +853,7 @@ def aligned_pairs(spark, sf_dir):
     from ridgeline.plans import align
 
     u = uniform(spark, sf_dir).withColumn("latitude", 46 + F.col("i") * 2e-5).withColumn("longitude", 7 + F.col("run_id") % 2 * 1e-5)
-    rows = Q.with_elapsed(Q.with_distance(u, RUN), RUN).withColumns({"altitude_smooth_m": 500 - F.col("distance_m") * 0.1, "vz_m_s": F.sin(F.col("i") / 5.0), "pair": F.col("run_id") - F.col("run_id") % 2})
+    rows = Q.with_elapsed(Q.with_distance(u, EVEN), EVEN).withColumns({"altitude_smooth_m": 500 - F.col("distance_m") * 0.1, "vz_m_s": F.sin(F.col("i") / 5.0), "pair": F.col("run_id") - F.col("run_id") % 2})
     _, _, meta = align.align_auto(rows.where("run_id % 2 = 0"), rows.where("run_id % 2 = 1"), "pair")
     return meta.select("pair", "n_matches", F.round("median_m", 3).alias("median_m"), "reason", "lag_s", F.round("peak", 4).alias("peak"), "quality")
 
@@ -890,4 +882,5 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-from ridgeline.plans import source_queries as _sources  # noqa: E402, F401  registers its queries
+from ridgeline.plans import signal_queries as _signals  # noqa: E402, F401  both register their queries
+from ridgeline.plans import source_queries as _sources  # noqa: E402, F401

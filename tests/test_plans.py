@@ -181,7 +181,7 @@ def test_corridor(spark):
     assert align.shared_corridor(a, line_run(spark, 2, reverse=True), ["pair"]).collect() == []
     assert align.shared_corridor(a, line_run(spark, 2, off=1e-3), ["pair"]).collect() == []
     _, _, meta = align.align_auto(a, b, "pair")
-    assert meta.collect()[0].reason in ("already_agrees", "trimmed")
+    assert meta.collect()[0].reason == "already_agrees"
     x, y, lag = align.align_gate(a, b, "pair", 46.001, 7.0)
     row = lag.collect()[0]
     assert x.count() > 100 and row.gate_row_a == 84 and row.gate_row_b == 34 and row.n_samples >= 32
@@ -350,3 +350,48 @@ def test_peak_of_landing_without_flights(spark):
     y = np.zeros(300)
     y[100], y[150], y[151] = 2.0, 1.6, 1.5
     assert dsp.peaks(y, 1.3, 6, 0.35, 18).tolist() == [100, 150]
+
+
+def test_reasons_of_altitude_agreement(spark):
+    """Every reason, the offset, and the place from which altitudes agree."""
+    def side(pair, n, height, step=1.0):
+        return [(pair, i * 10**9, i * step, height(i)) for i in range(n)]
+
+    down = lambda i: 500 - i * 0.1
+    off = lambda far: lambda i: 500 - i * 0.1 + 7 + (30.0 if i < far else 0.0)
+    a = side(1, 300, down) + side(2, 300, down) + side(3, 60, down) + side(4, 3, down) + side(5, 300, lambda i: None if i > 2 else 1.0) + side(6, 220, down) + side(7, 300, down)
+    b = side(1, 300, off(0)) + side(2, 301, off(100)) + side(3, 300, down) + side(4, 300, down) + side(5, 300, down) + side(6, 220, off(150)) + side(7, 300, lambda i: float(i % 60 * 9))
+    kind = "pair long, unix_ns long, distance_m double, altitude_m double"
+    left, right = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind).withColumnRenamed("altitude_m", "altitude_smooth_m")
+    got = {r.pair: r for r in align.altitude_agreement(left, right, ["pair"]).collect()}
+    assert {k: r.reason for k, r in got.items()} == {1: "already_agrees", 2: "leading_altitude_disagreement", 3: "overlap_too_short", 4: "missing_altitude", 5: "not_enough_altitude", 6: "trim_would_leave_too_little", 7: "already_agrees"}
+    assert got[2].trim_m == 100.0 and got[2].stable_offset_m == pytest.approx(-7) and got[2].initial_residual_m == pytest.approx(30) and got[2].residual_at_start_m == pytest.approx(0, abs=1e-9)
+    assert all(r.trim_m == 0 for k, r in got.items() if k != 2)
+    assert {r.reason for r in align.altitude_agreement(left.drop("altitude_m"), right, ["pair"]).collect()} == {"missing_altitude"}
+
+
+def test_runs_without_climb_and_distance_align(spark):
+    a, b = (line_run(spark, k, off=k * 1e-5).drop("vz_m_s", "distance_m", "time_s", "step_m") for k in (1, 2))
+    x, y, meta = align.align_auto(a, b, "pair")
+    row = meta.collect()[0]
+    assert row.reason == "already_agrees" and row.n_samples >= 32 and x.count() > 200 and y.count() > 200
+    _, _, lag = align.align_gate(a, b, "pair", 46.001, 7.0)
+    assert lag.collect()[0].gate_row_a > 50
+
+
+def test_prepared_runs(spark):
+    """Altitude and vertical acceleration from what a run has, in the order of preference."""
+    from ridgeline.plans import canonical
+
+    rows = spark.createDataFrame([(1, i, 900.0, 3.0, 1.0, 2.0, 0.0, 0.0, 9.8, 0.0, 0.0, 10.8, 0.5) for i in range(5)], "run_id int, unix_ns long, pressure_mbar double, speed_m_s double, altitude_from_pressure_m double, altitude_smooth_m double, gravity_x_filt double, gravity_y_filt double, gravity_z_filt double, total_acc_x_filt double, total_acc_y_filt double, total_acc_z_filt double, acc_z_filt double")
+    high = 44330 * (1 - (900 / 1013.25) ** 0.1903)
+    want = 44330 * (1 - ((900 + 0.5 * 1.225 * math.exp(-high / 8500) * 9 / 100) / 1013.25) ** 0.1903)
+    height = lambda d: canonical.corrected_altitude(d, "run_id").first().altitude_m
+    push = lambda d: canonical.vertical_acceleration(d, "run_id").first().vertical_acc
+    assert height(rows) == pytest.approx(want) and height(rows.drop("pressure_mbar")) == 1.0 and height(rows.drop("pressure_mbar", "altitude_from_pressure_m")) == 2.0
+    with pytest.raises(ValueError):
+        height(rows.select("run_id", "unix_ns"))
+    assert push(rows) == pytest.approx(S.GRAVITY_M_S2 - 10.8)
+    assert push(rows.drop("gravity_x_filt")) == 0.0 and push(rows.select("run_id", "unix_ns")) == 0.0
+    acc = rows.withColumns({f"acc_{a}_filt": F.lit(1.0) for a in "xyz"}).drop("total_acc_x_filt")
+    assert push(acc) == pytest.approx(-1.0)
