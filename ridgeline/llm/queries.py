@@ -65,15 +65,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after six commits: all documents counted by op1's tokenizer; copies of earlier texts deleted; the rest counted under a further version, which sets a token before each text; and the last two once more, before and after a compaction, which must change nothing."""
+    """Totals after seven commits: all documents with their sizes in bytes, which are revised to what op1's tokenizer counts; copies of earlier texts deleted; the rest counted under a further version, which sets a token before each text; and the last two once more, before and after a compaction, which must change nothing."""
     docs = read_table(spark, sf_dir, "documents")
     store = token_counts.Store(spark, new_path(spark, "rollup"))
     tokens = bpe.encode(docs.select("doc_id", "source", "lang", "text"), ranks_path(), keep=["doc_id", "source", "lang"])
+    first = docs.select("doc_id", "source", "lang", F.octet_length(text_of()).cast("long").alias("n_tokens"), F.lit("byte_bpe_multi_50k").alias("tokenizer"))
     counted, _ = write_out(tokens.select("doc_id", "source", "lang", F.size("token_ids").cast("long").alias("n_tokens"), F.lit("byte_bpe_multi_50k").alias("tokenizer")), "counted")
     same = docs.select("doc_id", F.sha2("text", 256).alias("same")).where("same is not null")
     firsts = same.groupBy("same").agg(F.min("doc_id").alias("first"))
     copies, _ = write_out(same.join(firsts, "same").where("doc_id > first").select("doc_id"), "copies")
     anew = counted.join(copies, "doc_id", "left_anti").withColumns({"n_tokens": F.col("n_tokens") + 1, "tokenizer": F.lit("byte_bpe_multi_50k+bos")})
+    store.commit("0000", inserts=first)
     store.commit("0001", inserts=counted)
     store.commit("0002", deletes=copies)
     store.commit("0003", inserts=anew)
