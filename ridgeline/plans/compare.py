@@ -75,6 +75,26 @@ def sector_table(samples: DataFrame, sectors: DataFrame, by: list[str], distance
     return timed.join(means, [*by, "id"], "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
 
 
+def sector_deltas(runs: DataFrame, reference: DataFrame, by: list[str], sectors: DataFrame, distance: str = "distance_m", time: str = "time_s", speed: str = "vz_m_s") -> DataFrame:
+    """by, id, d0, d1, reference_s, reference_speed, delta_s, delta_speed: each run's time and mean speed in each sector against the reference's.
+
+    Times at a sector's ends lie on the line between samples; delta_s is the run's time less the reference's, delta_speed the reference's
+    mean speed less the run's, null where either has no sample inside. sectors: id, d0, d1, the same for all runs; reference: distance, time, speed."""
+    everywhere = F.lit(0).alias("_all")
+    edges = sectors.select(everywhere, F.explode(F.array("d0", "d1")).alias(distance)).distinct()
+    keys = runs.select(*by).distinct()
+    asked = keys.crossJoin(F.broadcast(edges.drop("_all")))  # some sectors' ends for each run
+    at = {"run": time_on_grid(runs, asked, by, distance, time), "reference": time_on_grid(reference.withColumn("_all", F.lit(0)), edges, ["_all"], distance, time)}
+    edge = lambda who, d, t: at[who].select(*(by if who == "run" else []), F.col(distance).alias(d), F.col(time).alias(t))
+    out = keys.crossJoin(F.broadcast(sectors.select("id", "d0", "d1")))
+    out = out.join(edge("run", "d0", "_r0"), [*by, "d0"]).join(edge("run", "d1", "_r1"), [*by, "d1"]).join(F.broadcast(edge("reference", "d0", "_f0")), "d0").join(F.broadcast(edge("reference", "d1", "_f1")), "d1")
+    known = F.col(speed).isNotNull() & ~F.isnan(speed) & (F.abs(speed) != float("inf"))
+    inside = lambda rows, own: J.in_intervals(rows.where(known).select(*own, distance, speed), sectors.select("id", "d0", "d1"), distance, "d0", "d1").groupBy(*own, "id").agg(F.avg(speed).alias("_v"))
+    out = out.join(inside(runs, by).withColumnRenamed("_v", "_run_v"), [*by, "id"], "left").join(F.broadcast(inside(reference, []).withColumnRenamed("_v", "reference_speed")), "id", "left")
+    reference_s = F.col("_f1") - F.col("_f0")
+    return out.select(*by, "id", "d0", "d1", reference_s.alias("reference_s"), "reference_speed", (F.col("_r1") - F.col("_r0") - reference_s).alias("delta_s"), (F.col("reference_speed") - F.col("_run_v")).alias("delta_speed"))
+
+
 def comparison(a: DataFrame, b: DataFrame, by: list[str], step: float = 1.0, altitude: str = "altitude_smooth_m") -> DataFrame:
     """Two aligned runs as rows of a common grid: delta_t's columns, high, and both altitudes there."""
     rows = high_delta(delta_t(a, b, by, step), by)

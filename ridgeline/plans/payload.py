@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +40,28 @@ def run_payload(runs: DataFrame, stats: DataFrame, by: str = "run_id", order: st
     return telemetry.join(stats, by, "left").select(by, F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def export_runs(runs: DataFrame, meta: DataFrame, path: str, by: str = "run_id", enabled: str | Column | None = "1") -> bool:
-    """Full-rate CSV files by run and a JSON line for each; switched off by 0, false, no or off."""
-    if str(enabled).strip().lower() in ("0", "false", "no", "off"):
-        return False
-    json_safe(runs).write.mode("overwrite").partitionBy(by).option("header", True).csv(f"{path}/runs")
-    meta.write.mode("overwrite").json(f"{path}/meta")
-    return True
+OFF = ("0", "false", "no", "off")
+_SAYS = """Calculated runs at their full rate.
+runs/run=<id>/*.csv   all columns of a run
+meta/*.json           a line for each run: rows, columns, and its figures
+"""
+
+
+def export_runs(runs: DataFrame, meta: DataFrame, root: str, tag: str = "session", by: str = "run_id", enabled: str | Column | None = "1") -> str | None:
+    """Full-rate CSV files by run, a JSON line for each and a note on what they are, in a folder of its own below root: <UTC time>_<tag>_<hex>. Its path; None if switched off by 0, false, no or off."""
+    if str(enabled).strip().lower() in OFF:
+        return None
+    stamp, safe = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ"), re.sub(r"[^\w\-.]+", "_", tag)[:64]
+    path = f"{root.rstrip('/')}/{stamp}_{safe}_{uuid.uuid4().hex[:6]}"
+    json_safe(runs).withColumn("run", F.col(by)).write.partitionBy("run").option("header", True).csv(f"{path}/runs")
+    counts = runs.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("columns", F.array(*map(F.lit, runs.columns)))
+    counts.join(meta.drop("n_rows", "columns"), by, "left").write.json(f"{path}/meta")
+    runs.sparkSession.createDataFrame([(_SAYS.strip(),)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/README")
+    return path
+
+
+def folder_summary(runs: DataFrame, by: str = "run_id") -> DataFrame:
+    """One row: run_count, points of the first run, and the names of its columns in order, as JSON (summary)."""
+    sizes = runs.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    first = sizes.agg(F.count(F.lit(1)).alias("run_count"), F.coalesce(F.min_by("n", by), F.lit(0)).alias("points"))
+    return first.withColumn("sample_keys", F.array(*map(F.lit, sorted(c for c in runs.columns if c != by)))).select(F.to_json(F.struct("run_count", "points", "sample_keys")).alias("summary"))

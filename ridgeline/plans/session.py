@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalar as S
-from ridgeline.plans import run
+from ridgeline.plans import payload, run
 from ridgeline.sources import archives as M
 from ridgeline.sources.shared import written
 
@@ -91,6 +91,25 @@ def process_blobs(blobs: DataFrame, files: DataFrame) -> DataFrame:
     return process_members(M.as_one_session(M.members_of(held)))
 
 
+def session_result(spark: SparkSession, session: DataFrame, files: DataFrame, blobs: DataFrame) -> DataFrame | None:
+    """A stored session's payloads by run: worked out again from its archives where there are any, else as they were kept at its result_json_path; None where neither is there.
+
+    session: its row; files: blob_sha256, original_filename; blobs: sha256, content."""
+    held = files.join(blobs.select("sha256"), F.col("blob_sha256") == F.col("sha256"), "left").select("sha256").collect()  # a session's handful of archives
+    if held:
+        if any(r.sha256 is None for r in held):
+            return None
+        rows = process_blobs(blobs, files)
+        return payload.run_payload(rows, run.run_stats(rows))
+    path = session.select("result_json_path").head()
+    if path is None or not path[0]:
+        return None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path[0])
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.text(path[0], wholetext=True).select(F.lit(None).cast("long").alias("run_id"), F.col("value").alias("payload"))
+
+
 def process_folder(spark: SparkSession, root: str, sub: str = "") -> DataFrame:
     """Processed runs of a folder of CSV files below a root."""
     return process_members(M.read_members(spark, inside(root, sub)).where("archive is null"))

@@ -208,9 +208,26 @@ def test_payload_and_export(spark, tmp_path):
     stats = spark.createDataFrame([(1, 2)], "run_id int, sample_count int")
     got = json.loads(payload.run_payload(rows, stats).collect()[0].payload)
     assert got["telemetry"] == {"unix_ns": [1, 2], "latitude": [45.0, 46.0], "vz_m_s": [3.0, None]} and got["sample_count"] == 2
-    assert payload.export_runs(rows, stats, str(tmp_path / "x"))
-    assert not payload.export_runs(rows, stats, str(tmp_path / "y"), enabled="off")
-    assert spark.read.option("header", True).csv(str(tmp_path / "x/runs")).count() == 2
+    path = payload.export_runs(rows, stats, str(tmp_path), "my ride/1")
+    assert "_my_ride_1_" in path and payload.export_runs(rows, stats, str(tmp_path), enabled="off") is None
+    got = spark.read.option("header", True).csv(f"{path}/runs").drop("run")
+    assert got.count() == 2 and got.columns == rows.columns
+    (meta,) = spark.read.json(f"{path}/meta").collect()
+    assert (meta.run_id, meta.n_rows, meta.sample_count, meta["columns"]) == (1, 2, 2, rows.columns) and spark.read.text(f"{path}/README").count() == 3
+    assert json.loads(payload.folder_summary(rows).first().summary) == {"run_count": 1, "points": 2, "sample_keys": ["latitude", "unix_ns", "vz_m_s"]}
+
+
+def test_stored_results(spark, tmp_path):
+    from ridgeline.plans import session
+
+    (tmp_path / "kept.json").write_text('{"runs": []}')
+    row = lambda path: spark.createDataFrame([("s", path)], "id string, result_json_path string")
+    files, blobs = spark.createDataFrame([], "blob_sha256 string, original_filename string"), spark.createDataFrame([], "sha256 string, content binary")
+    kept = lambda path: session.session_result(spark, row(path), files, blobs)
+    assert kept(f"file://{tmp_path}/kept.json").first().payload == '{"runs": []}'
+    assert kept(None) is None and kept(f"file://{tmp_path}/none.json") is None
+    gone = spark.createDataFrame([("h", "a.zip")], "blob_sha256 string, original_filename string")
+    assert session.session_result(spark, row(None), gone, blobs) is None
 
 
 def test_interval_join_like_a_product(spark):
