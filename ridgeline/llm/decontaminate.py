@@ -11,7 +11,9 @@ The index of the item windows is built for blocks of items of at most BLOCK byte
 items mean more passes over the documents, whose hits are then united, so neither memory nor broadcasts grow with the
 benchmark. Null texts have no words. Repeated documents get a row each; of items with one id the windows are united.
 Documents need a key for the union only when there is more than one block; a row number is added then. Columns besides
-those asked for are dropped; clashing names of the benchmark's columns don't matter.
+those asked for are dropped, one of these that is called like an output is an error; names of the benchmark's columns don't
+matter. Texts may be of any length: a document's words are held once, its hits as ranges. Of windows whose words are equally rare the
+first word is the prefix. Empty tables of documents give an empty one; without items no word is hit.
 """
 
 from __future__ import annotations
@@ -111,6 +113,8 @@ def _blocks(items: DataFrame, item: str, text: str, most: int) -> Iterator[list[
 def find_items(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The columns `keep` of docs with n_words long, spans array<struct<begin, end>> (word ranges that are hit, apart from one another) and items array<string> (sorted)."""
     added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("items", T.ArrayType(T.StringType()))]
+    if clash := {f.name for f in added} & set(keep):
+        raise ValueError(f"a kept column is called {', '.join(sorted(clash))}")
     blocks = _blocks(items, item, item_text, block)
     first = next(blocks)
     second = next(blocks, None)

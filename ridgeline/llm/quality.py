@@ -259,8 +259,10 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", whole: bool = F
         return docs.mapInArrow(run, schema)
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length(f"`{text}`")), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.spark_partition_id()), F.lit(1 + size // BLOCK))
-    dealt = docs.withColumn("_block", block)
+    # Written, as both sides read it: a block that was dealt anew would be scored by another block's n-grams. Numbers of rows deal equal rows out too.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 + size // BLOCK))
+    dealt, _ = write_out(docs.select(F.col(f"`{docs.columns[0]}`").alias("_text"), *docs.columns[1:], block.alias("_block")), "dealt")
+    dealt = dealt.select(F.col("_text").alias(text), *docs.columns[1:], "_block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which rows of the model each block needs."""

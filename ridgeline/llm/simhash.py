@@ -13,7 +13,7 @@ by blocks, whose pairs are compared in different tasks. No link is lost. Links g
 
 A null text has no words, like an empty one: fingerprint zero, linked like any other. Null ids never become a component's
 id unless a component has no other. Repeated rows fall into one component. Texts may be of any length: fingerprints are
-worked out a text at a time. Further columns are not touched. An empty table gives an empty one.
+worked out a text at a time. Further columns are not touched; one called simhash or component_id is an error. An empty table gives an empty one.
 
 Within RADIUS bits lie copies and texts that differ in very little; near copies of a likeness of 0.8 mostly differ in more.
 """
@@ -67,6 +67,8 @@ def fingerprints(texts: list[bytes], words: int = SHINGLE, seed: int = SEED) ->
 def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = SHINGLE) -> DataFrame:
     """The columns `keep` (default: all) and simhash long (the 64 bits, signed)."""
     keep = docs.columns if keep is None else keep
+    if "simhash" in keep:
+        raise ValueError("a kept column is called simhash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +181,8 @@ def near_links(nodes: DataFrame, node: str, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(hashed: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """Add component_id to (key, simhash) rows: the smallest key that links reach."""
+    if "component_id" in hashed.columns:
+        raise ValueError("a column is called component_id")
     nodes, _ = write_out(hashed.groupBy("simhash").agg(F.min(key).alias("_low")), "nodes")
     roots = components(near_links(nodes, "simhash", radius))
     rooted = nodes.join(roots, nodes["simhash"] == roots["node"], "left").select("simhash", "_low", F.coalesce("root", "simhash").alias("root"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ridgeline.llm import decontaminate as d
 
 
@@ -34,3 +36,16 @@ def test_like_brute_force(spark):
             assert (r.n_words, sum(s.end - s.begin for s in r.spans), list(r.items)) == want[r.doc_id]
     assert d.find_items(table, bench.limit(0), ["doc_id"]).where("size(items) > 0").count() == 0
     assert d.find_items(table.limit(0), bench, ["doc_id"]).collect() == []
+
+
+def test_long_text_ties_and_names(spark):
+    """A very long document, windows of equally rare words, other columns and clashing ones."""
+    words = [f"w{i % 1000}" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), 7), (2, "p q r s " * 3, 8)], "doc_id long, text string, more int")
+    bench = spark.createDataFrame([("a", " ".join(words[500:512])), ("b", "p q r s")], "item_id string, text string")
+    got = {r.doc_id: r for r in d.find_items(docs, bench, ["doc_id", "more"]).collect()}
+    assert got[1].n_words == 200_000 and len(got[1].spans) == 200 and sum(s.end - s.begin for s in got[1].spans) == 2400 and got[1].more == 7
+    assert [(s.begin, s.end) for s in got[2].spans] == [(0, 12)] and list(got[2]["items"]) == ["b"]
+    for name in ("n_words", "spans", "items"):
+        with pytest.raises(ValueError):
+            d.find_items(docs.withColumnRenamed("more", name), bench, ["doc_id", name])

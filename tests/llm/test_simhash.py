@@ -71,3 +71,12 @@ def test_long_path_and_empty(spark):
     hashed = simhash.fingerprint(docs)
     assert {r.component_id for r in simhash.near_duplicates(hashed).collect()} == {1}
     assert np.all([r.simhash == 0 for r in hashed.collect()])
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 2)], "doc_id long, text string, simhash int")
+    with pytest.raises(ValueError):
+        simhash.fingerprint(docs)
+    hashed = simhash.fingerprint(docs, keep=["doc_id"])
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(hashed.withColumn("component_id", hashed.doc_id))
