@@ -109,11 +109,11 @@ _EDGES = [(1, 0.0, 5000.0), (2, 5000.0, 10000.0), (3, 10000.0, 20000.0)]
 e AS (SELECT DISTINCT run_id, d FROM (SELECT run_id FROM dist GROUP BY 1), (SELECT unnest([d0, d1]) AS d FROM s)), lo AS (SELECT e.*, u.x AS x0, u.t AS t0 FROM e ASOF LEFT JOIN u ON e.run_id = u.run_id AND e.d >= u.x), hi AS (SELECT e.*, u.x AS x1, u.t AS t1 FROM e ASOF LEFT JOIN u ON e.run_id = u.run_id AND e.d <= u.x),
 t AS (SELECT lo.run_id, lo.d, CASE WHEN x0 IS NULL THEN t1 WHEN x1 IS NULL OR x1 = x0 THEN t0 ELSE t0 + (t1-t0)*((lo.d-x0)/(x1-x0)) END AS t FROM lo JOIN hi ON lo.run_id = hi.run_id AND lo.d = hi.d),
 o AS (SELECT a.run_id, s.*, z.t - a.t AS sec FROM s JOIN t a ON a.d = s.d0 JOIN t z ON z.d = s.d1 AND z.run_id = a.run_id), v AS (SELECT run_id, id, avg(speed_m_s) AS v FROM dist JOIN s ON distance_m BETWEEN d0 AND d1 GROUP BY 1,2)
-SELECT o.run_id, o.id, round(f.sec,6) AS reference_s, round(fv.v,4) AS reference_speed, round(o.sec - f.sec,6) AS delta_s, round(fv.v - ov.v,4) AS delta_speed FROM o JOIN b ON true JOIN o f ON f.run_id = b.run_id AND f.id = o.id LEFT JOIN v ov ON ov.run_id = o.run_id AND ov.id = o.id LEFT JOIN v fv ON fv.run_id = b.run_id AND fv.id = o.id""")
+SELECT o.run_id, o.id, round(f.sec,6) AS reference_s, round(fv.v,9) AS reference_speed, round(o.sec - f.sec,6) AS delta_s, round(fv.v - ov.v,9) AS delta_speed FROM o JOIN b ON true JOIN o f ON f.run_id = b.run_id AND f.id = o.id LEFT JOIN v ov ON ov.run_id = o.run_id AND ov.id = o.id LEFT JOIN v fv ON fv.run_id = b.run_id AND fv.id = o.id""")
 def sectors_against_reference(spark, sf_dir):
     """Times and speeds of all runs in three sectors against the slowest run's."""
     rows = dist(spark, sf_dir)
     b = A.slowest(A.run_durations(rows, RUN, "time_s"), "run_id").select("run_id")
     sectors = spark.createDataFrame(_EDGES, "id int, d0 double, d1 double")
     got = compare.sector_deltas(rows, rows.join(F.broadcast(b), "run_id", "left_semi"), ["run_id"], sectors, speed="speed_m_s")
-    return got.select("run_id", "id", r6("reference_s"), r6("delta_s"), F.round("reference_speed", 4).alias("reference_speed"), F.round("delta_speed", 4).alias("delta_speed"))
+    return got.select("run_id", "id", r6("reference_s"), r6("delta_s"), F.round("reference_speed", 9).alias("reference_speed"), F.round("delta_speed", 9).alias("delta_speed"))

@@ -21,7 +21,7 @@ from ridgeline.sources.shared import new_folder
 def member_files(spark, sf_dir):
     """A folder of CSV files, written by Spark, through the source of sensor members."""
     path = new_folder(spark, "members")
-    rows = track(spark, sf_dir).select((F.col("unix_ns") / 1_000_000).cast("long").alias("Timestamp"), F.col("latitude").alias("LAT"), F.col("longitude").alias("lng"), F.col("speed_m_s").alias("velocity"), F.col("accuracy").alias("h_acc"))
+    rows = track(spark, sf_dir).select(F.expr("unix_ns div 1000000").alias("Timestamp"), F.col("latitude").alias("LAT"), F.col("longitude").alias("lng"), F.col("speed_m_s").alias("velocity"), F.col("accuracy").alias("h_acc"))
     rows.repartitionByRange(8, "Timestamp").sortWithinPartitions("Timestamp").write.option("header", True).csv(path)
     got = archives.read_members(spark, path)
     return got.select("kind", "unix_ns", r6("latitude"), r6("longitude"), r6("speed_m_s"), r6("horizontal_accuracy_m"))
@@ -64,7 +64,7 @@ def archive_members(spark, sf_dir):
     unit = F.when(F.col("run_id") % 2 == 0, F.col("pressure_mbar") * 100).otherwise(F.col("pressure_mbar"))
     tables = t.groupBy("run_id").agg(
         lines("time_ns,Latitude,lon,gps_speed", F.col("unix_ns"), place, F.col("longitude"), F.col("speed_m_s")).alias("Location"),
-        lines("epoch,timestamp,pres", F.lit("x"), F.floor(F.col("unix_ns") / 1_000_000), unit).alias("pressures"),
+        lines("epoch,timestamp,pres", F.lit("x"), F.expr("unix_ns div 1000000"), unit).alias("pressures"),
         lines("unix_ns,Acceleration X (rad),acceleration  y,az,heading", F.col("unix_ns"), sin, sin / 2, F.lit(1), F.col("angle")).alias("Gyroscope Uncalibrated"),
         F.lit("device,x\nphone,1\n").alias("Metadata"),
     )
