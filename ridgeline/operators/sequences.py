@@ -210,6 +210,12 @@ def bands(df: DataFrame, level: Column, o: Ordered, x: str) -> DataFrame:
     return rows.groupBy(*o.by, "band", "level").agg(F.min(x).alias(f"{x}_start"), F.max(x).alias(f"{x}_end"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def with_slope(df: DataFrame, y: str, step: str, o: Ordered, out: str) -> DataFrame:
+    """Adds the change of y over a row's step; where there is none, as on a step of 0, that of the row before, 0 at first."""
+    rows = df.withColumn("_slope", (F.col(y) - o.lag(y)) / F.nullif(F.col(step), F.lit(0.0)))
+    return rows.withColumn(out, F.coalesce(F.last("_slope", ignorenulls=True).over(o.past), F.lit(0.0))).drop("_slope")
+
+
 def slope_bin(slope: Column, steps: list[float]) -> Column:
     """How many of the rising limits the slope reaches."""
     return sum(((slope >= s).cast("int") for s in steps[1:]), (slope >= steps[0]).cast("int"))

@@ -9,7 +9,7 @@ from ridgeline.functions import scalar as S
 from ridgeline.operators import aggregates as A
 from ridgeline.operators import generators as G
 from ridgeline.operators import sequences as Q
-from ridgeline.plans import align, compare
+from ridgeline.plans import align, compare, features
 from ridgeline.plans.queries import RUN, _pairs, dist, query, r6, table, track, uniform
 from ridgeline.plans.sql import DIST, TRACK, W
 
@@ -117,3 +117,34 @@ def sectors_against_reference(spark, sf_dir):
     sectors = spark.createDataFrame(_EDGES, "id int, d0 double, d1 double")
     got = compare.sector_deltas(rows, rows.join(F.broadcast(b), "run_id", "left_semi"), ["run_id"], sectors, speed="speed_m_s")
     return got.select("run_id", "id", r6("reference_s"), r6("delta_s"), F.round("reference_speed", 9).alias("reference_speed"), F.round("delta_speed", 9).alias("delta_speed"))
+
+
+@query(f"""WITH {DIST}, s AS (SELECT run_id, rn AS i, CASE WHEN rn % 23 BETWEEN 5 AND 5 + run_id % 6 THEN 0.2 + 5e-2*((rn*7) % 5) ELSE 1.0 END AS f, 1.0 + (event_id % 5)*1e-1 AS raw, 1.0 + (event_id % 7)*1e-1 AS land, speed_m_s - 12 AS vz, speed_m_s > 0.5 AS moves FROM dist),
+o AS (SELECT *, f < 0.55 AND moves AS low, lag(f < 0.55 AND moves) OVER (PARTITION BY run_id ORDER BY i) AS was FROM s), p AS (SELECT *, sum((low AND NOT coalesce(was, false))::INT) OVER (PARTITION BY run_id ORDER BY i) AS island FROM o),
+z AS (SELECT run_id, island, min(i) AS first_row, max(i) AS last_row, count(*) AS n_rows, median(vz) AS median_vz FROM p WHERE low GROUP BY ALL), l AS (SELECT *, CASE WHEN median_vz < -5.0 THEN 0.33 ELSE 0.55 END AS lim FROM z),
+h AS (SELECT p.run_id, p.island, i, f < lim AS strict, lag(f < lim) OVER (PARTITION BY p.run_id, p.island ORDER BY i) AS was2 FROM p JOIN l USING (run_id, island) WHERE low), g AS (SELECT *, sum((strict AND NOT coalesce(was2, false))::INT) OVER (PARTITION BY run_id, island ORDER BY i) AS part FROM h),
+q AS (SELECT run_id, island, part, min(i) AS a, max(i) AS b, count(*) AS n FROM g WHERE strict GROUP BY ALL HAVING count(*) >= 3), best AS (SELECT run_id, island, a, b FROM q QUALIFY row_number() OVER (PARTITION BY run_id, island ORDER BY n DESC, a) = 1),
+k AS (SELECT b.run_id, b.island, max(raw) FILTER (s.i < b.a) AS takeoff_g, max(land) FILTER (s.i > b.b) AS landing_g FROM best b JOIN s ON s.run_id = b.run_id AND s.i BETWEEN b.a - 2 AND b.b + 5 GROUP BY ALL)
+SELECT l.run_id, l.island::BIGINT AS island, first_row, last_row, n_rows, a AS start_row, round((b - a + 1)/10.0,6) AS duration_s, round(takeoff_g,6) AS takeoff_g, round(landing_g,6) AS landing_g,
+ CASE WHEN n_rows < 3 THEN 'candidate_too_short' WHEN a IS NULL THEN 'refine_duration' WHEN NOT coalesce(landing_g >= 1.3, false) THEN 'landing_peak' WHEN a > 1 AND takeoff_g >= 1.15 THEN 'jump' WHEN median_vz < -1.5 THEN 'witnessed_drop' ELSE 'drop' END AS kind
+FROM l LEFT JOIN best USING (run_id, island) LEFT JOIN k USING (run_id, island)""")
+def flights(spark, sf_dir):
+    """Candidate flights of all runs, accepted or not, with the reason."""
+    rows = dist(spark, sf_dir).withColumn("rn", RUN.number().cast("long")).withColumn("rate", F.lit(10.0))
+    low = (F.col("rn") % 23).between(5, 5 + F.col("run_id") % 6)
+    rows = rows.withColumns({"f": F.when(low, 0.2 + 5e-2 * (F.col("rn") * 7 % 5)).otherwise(1.0), "raw": 1.0 + (F.col("event_id") % 5) * 1e-1, "land": 1.0 + (F.col("event_id") % 7) * 1e-1, "vz": F.col("speed_m_s") - 12})
+    got = features.flights(rows, RUN, "rate", "f", "raw", "land", "vz", F.col("speed_m_s") > 0.5)
+    return got.select("run_id", F.col("island").cast("long").alias("island"), "first_row", "last_row", "n_rows", "start_row", r6("duration_s"), r6("takeoff_g"), r6("landing_g"), "kind")
+
+
+_SPEED_STEPS = [-1e-2, -1e-3, 0.0, 1e-3, 1e-2]
+
+
+@query(f"""WITH {DIST}, s AS (SELECT *, (speed_m_s - lag(speed_m_s) OVER {W})/nullif(step_m,0) AS slope FROM dist), f AS (SELECT *, coalesce(last_value(slope IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY unix_ns, event_id ROWS UNBOUNDED PRECEDING), 0.0) AS filled FROM s),
+b AS (SELECT *, {" + ".join(f"(filled >= {s!r})::INT" for s in _SPEED_STEPS)} AS bin FROM f), c AS (SELECT *, lag(bin) OVER {W} AS before FROM b), r AS (SELECT *, sum((before IS NULL OR before <> bin)::INT) OVER {W} AS piece FROM c)
+SELECT run_id, piece::BIGINT AS piece, bin, count(*) AS n_rows, round(min(distance_m),4) AS from_m, round(max(distance_m),4) AS to_m FROM r GROUP BY run_id, piece, bin""")
+def slope_pieces(spark, sf_dir):
+    """Stretches of a run whose slopes fall into one bin; a row without a slope keeps the one before."""
+    rows = Q.with_slope(dist(spark, sf_dir), "speed_m_s", "step_m", RUN, "slope")
+    got = Q.bands(rows, Q.slope_bin(F.col("slope"), _SPEED_STEPS), RUN, "distance_m")
+    return got.select("run_id", F.col("band").cast("long").alias("piece"), F.col("level").alias("bin"), "n_rows", F.round("distance_m_start", 4).alias("from_m"), F.round("distance_m_end", 4).alias("to_m"))
