@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions import scalar as S
 from ridgeline.operators.sequences import Ordered
 from ridgeline.sources.shared import written
 
@@ -42,6 +43,21 @@ def nearest_rank(v: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) within group (order by `{v}`)")
 
 
+# Fixed values of a tight view in degrees: the least span, the margin as a share of the span and of the least span, the bounds of width over height.
+VIEW_SPAN, VIEW_PAD, VIEW_LEAST_PAD, VIEW_ASPECT = 0.00035, 0.12, 0.45, (0.35, 2.85)
+
+
+def tight_view(df: DataFrame, by: list[str], lat: str, lon: str) -> DataFrame:
+    """by, min and max of latitude and longitude with margins, aspect (width over height as it looks on the ground, within bounds) and lon_lat_ratio. Over finite places."""
+    box = df.groupBy(*by).agg(*[f(S.finite(F.col(c))).alias(f"{n}_{c}") for c in (lat, lon) for n, f in (("min", F.min), ("max", F.max))]).where(F.col(f"min_{lat}").isNotNull() & F.col(f"min_{lon}").isNotNull())
+    for c in (lat, lon):
+        pad = F.greatest(F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(VIEW_SPAN)) * VIEW_PAD, F.lit(VIEW_SPAN * VIEW_LEAST_PAD))
+        box = box.withColumn("_p", pad).withColumns({f"min_{c}": F.col(f"min_{c}") - F.col("_p"), f"max_{c}": F.col(f"max_{c}") + F.col("_p")}).drop("_p")
+    middle = F.cos(F.radians((F.col(f"min_{lat}") + F.col(f"max_{lat}")) / 2))
+    shape = (F.col(f"max_{lon}") - F.col(f"min_{lon}")) * middle / F.greatest(F.col(f"max_{lat}") - F.col(f"min_{lat}"), F.lit(1e-9))
+    return box.withColumns({"aspect": S.clamp(shape, *VIEW_ASPECT), "lon_lat_ratio": 1 / F.greatest(middle, F.lit(0.2))})
+
+
 #: Ranks are sought among at most so many values of a group at a time; targets are sent to all tasks up to this number.
 CELL, TARGETS_SENT = 100_000, 1_000_000
 _CELLS = 4096

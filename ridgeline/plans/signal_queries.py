@@ -148,3 +148,10 @@ def slope_pieces(spark, sf_dir):
     rows = Q.with_slope(dist(spark, sf_dir), "speed_m_s", "step_m", RUN, "slope")
     got = Q.bands(rows, Q.slope_bin(F.col("slope"), _SPEED_STEPS), RUN, "distance_m")
     return got.select("run_id", F.col("band").cast("long").alias("piece"), F.col("level").alias("bin"), "n_rows", F.round("distance_m_start", 4).alias("from_m"), F.round("distance_m_end", 4).alias("to_m"))
+
+
+@query(f"""WITH {TRACK}, b AS (SELECT run_id, min(latitude) AS a, max(latitude) AS b, min(longitude) AS c, max(longitude) AS d FROM track GROUP BY run_id), p AS (SELECT *, greatest(greatest(b-a, 35e-5)*0.12, 35e-5*0.45) AS y, greatest(greatest(d-c, 35e-5)*0.12, 35e-5*0.45) AS x FROM b)
+SELECT run_id, round(a-y,9) AS min_latitude, round(b+y,9) AS max_latitude, round(c-x,9) AS min_longitude, round(d+x,9) AS max_longitude, round(least(greatest((d-c+2*x)*cos(radians((a+b)/2))/greatest(b-a+2*y,1e-9),0.35),2.85),6) AS aspect, round(1/greatest(cos(radians((a+b)/2)),0.2),6) AS lon_lat_ratio FROM p""")
+def tight_view(spark, sf_dir):
+    got = A.tight_view(track(spark, sf_dir), ["run_id"], "latitude", "longitude")
+    return got.select("run_id", *[F.round(c, 9).alias(c) for c in ("min_latitude", "max_latitude", "min_longitude", "max_longitude")], r6("aspect"), r6("lon_lat_ratio"))

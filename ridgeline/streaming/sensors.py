@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions.scalar import EARTH_RADIUS_M
+
 
 def windowed(events: DataFrame, by: str, ts: str, value: str, width: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and means by window and key; events later than `late` are left out."""
@@ -27,18 +30,16 @@ def running_distance(fixes: DataFrame, by: str, ts: str = "ts") -> DataFrame:
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        last, n, total = (None, 0, 0.0) if not state.exists else ((state.get[0], state.get[1], state.get[2]), state.get[3], state.get[4])
-        rows = pd.concat(list(frames)).sort_values("unix_us")
-        for t, lat, lon in rows[["unix_us", "latitude", "longitude"]].itertuples(index=False):
-            if last is not None and t <= last[0]:
-                continue
-            if last is not None:
-                p, q = np.radians(last[1]), np.radians(lat)
-                a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon - last[2]) / 2) ** 2
-                total += float(2 * 6_371_000.0 * np.arctan2(np.sqrt(a), np.sqrt(max(1 - a, 0.0))))
-            last, n = (int(t), float(lat), float(lon)), n + 1
+        rows = pd.concat(list(frames)).sort_values("unix_us", kind="stable").drop_duplicates("unix_us")
+        n, total = 0, 0.0
+        if state.exists:
+            t, lat, lon, n, total = state.get
+            rows = pd.concat([pd.DataFrame({"unix_us": [t], "latitude": [lat], "longitude": [lon]}), rows[rows["unix_us"] > t]])
+        lat, lon = np.radians(rows["latitude"].to_numpy()), np.radians(rows["longitude"].to_numpy())
+        a = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lon) / 2) ** 2
+        total += float((2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0.0)))).sum())
+        n += len(rows) - state.exists
+        last = (int(rows["unix_us"].iloc[-1]), float(rows["latitude"].iloc[-1]), float(rows["longitude"].iloc[-1]))
         state.update((*last, n, total))
         yield pd.DataFrame({by: [key[0]], "n": [n], "distance_m": [total]})
 
