@@ -412,3 +412,14 @@ def test_prepared_runs(spark):
     assert push(rows.drop("gravity_x_filt")) == 0.0 and push(rows.select("run_id", "unix_ns")) == 0.0
     acc = rows.withColumns({f"acc_{a}_filt": F.lit(1.0) for a in "xyz"}).drop("total_acc_x_filt")
     assert push(acc) == pytest.approx(-1.0)
+
+
+def test_written_tables_are_as_large_as_their_rows(spark):
+    """Even series compress well; a join with such a table must not be planned as a broadcast of all its rows."""
+    from ridgeline.sources.shared import written
+
+    rows = written(spark.range(2_000_000).select((F.col("id") % 100).alias("k"), F.lit(1.5).alias("v")), "even")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size >= 16 * 2_000_000
+    other = rows.withColumnRenamed("v", "w").unionByName(spark.createDataFrame([(1, 2.0)], "k long, w double"))
+    assert "BroadcastHashJoin" not in rows.join(other, "k")._jdf.queryExecution().executedPlan().toString()
