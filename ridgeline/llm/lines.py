@@ -6,7 +6,7 @@ equal, since two edits there join different words. Linked lines are one class, w
 1. A line is split into EDITS + 1 segments of even length; a line within EDITS edits holds one of them unchanged, at a
    place that the number of edits bounds. So each line puts its segments into an index, keyed by its length, the segment's
    number and its characters, and each line probes, for each length up to EDITS shorter than its own, the substrings at
-   the few places where that segment can stand. Lines under keys that at most MEET lines share meet in pairs.
+   the few places where that segment can stand. Lines under keys that at most MEET lines share meet in pairs, once for all keys of the same lines.
 2. Lines under other keys are split anew, into more segments (FINER): edits touch at most EDITS of them, so all others
    agree, and a key is all of those at once. Every near pair of such lines shares a finer key too, so nothing is lost, and
    keys cover more and more of the line until only lines that are alike nearly everywhere share one.
@@ -36,7 +36,7 @@ from ridgeline.llm.common import Scratch, numbered
 from ridgeline.llm.graph import components
 
 EDITS, LEAST = 2, 20
-MEET, FINER = 64, (6, 12)
+MEET, FINER = 24, (6, 12)
 #: Segments by which lines that meet are screened; rows of a table that is sent to all tasks.
 SCREEN, SENT = 12, 1_000_000
 
@@ -158,9 +158,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int, scratch: Scratch)
     return near
 
 
+def _once(held: DataFrame, most: int | None = None) -> DataFrame:
+    """held without the keys that hold the same lines as another one, as their pairs are the same; most: and of at most so many lines."""
+    sizes = held.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_m"), F.sum(F.xxhash64("id", "own").cast("decimal(38,0)")).alias("_who"))
+    sizes = sizes if most is None else sizes.where(F.col("_m") <= most)
+    return held.join(sizes.groupBy("_m", "_who").agg(F.min("_key").alias("_key")).select("_key"), F.col("key") == F.col("_key"), "left_semi")
+
+
 def _in_pairs(held: DataFrame) -> DataFrame:
-    left, right = held.where("own").select("key", F.col("id").alias("a")), held.select("key", F.col("id").alias("b"))
-    return left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Of two lines that both stand in the index under the key the lesser one probes.
+    left, right = held.where("own").select("key", F.col("id").alias("a")), held.select("key", F.col("id").alias("b"), "own")
+    return left.join(right, "key").where("a < b or a > b and not own").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tuple[int, ...] = FINER) -> DataFrame:
@@ -186,8 +194,9 @@ def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tup
             scratch.drop(wanted)
         busy = scratch.write(held.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > meet).select("_key"), "busy")
         crowded = scratch.write(held.join(busy, F.col("key") == F.col("_key"), "left_semi"), "crowded")
-        pairs = scratch.write(_in_pairs(held.join(busy, F.col("key") == F.col("_key"), "left_anti")), "pairs")
-        scratch.drop(held, busy)
+        once = scratch.write(_once(held, meet), "once")
+        pairs = scratch.write(_in_pairs(once), "pairs")
+        scratch.drop(held, busy, once)
         near.append(_verified(pairs, texts, edits, scratch))
         scratch.drop(pairs)
         if crowded.isEmpty():
@@ -199,8 +208,9 @@ def near_lines(rows: DataFrame, edits: int = EDITS, meet: int = MEET, finer: tup
         roots = scratch.write(components(_union(near)), "roots")
         placed = scratch.write(crowded.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "placed")
         apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("_key")
-        pairs = scratch.write(_in_pairs(placed.join(apart, F.col("key") == F.col("_key"), "left_semi")).join(star, ["a", "b"], "left_anti"), "pairs")
-        scratch.drop(star, placed, roots)
+        once = scratch.write(_once(placed.join(apart, F.col("key") == F.col("_key"), "left_semi").select("key", "id", "own")), "once")
+        pairs = scratch.write(_in_pairs(once).join(star, ["a", "b"], "left_anti"), "pairs")
+        scratch.drop(star, placed, roots, once)
         near.append(_verified(pairs, texts, edits, scratch))
         scratch.drop(pairs)
     found = components(_union(near))
@@ -237,7 +247,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     rows = scratch.write(rows.select("_doc", "no", F.coalesce("root", "id").alias("class"), F.when(F.col("root").isNull(), F.col("more")).alias("more")), "classes")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     firsts = rows.groupBy(F.col("class").alias("_class"), F.col("more").alias("_more")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "no")).alias("first")).where("_n > 1").select("_class", "_more", F.col("first._doc").alias("first_doc"))
-    held = scratch.write(rows.join(firsts, (F.col("class") == F.col("_class")) & same("more", "_more")).select("_doc", "no", "class", "more", "first_doc"), "held")
+    # What grows with the documents is dealt at every size, so that what is shuffled grows with the input.
+    held = scratch.write(rows.join(firsts.hint("merge"), (F.col("class") == F.col("_class")) & same("more", "_more")).select("_doc", "no", "class", "more", "first_doc"), "held")
     scratch.drop(rows)
     within = held.groupBy(F.col("_doc").alias("_d"), F.col("class").alias("_c"), F.col("more").alias("_e")).agg(F.count(F.lit(1)).alias("_n"), F.min("no").alias("first_no")).where("_n > 1").drop("_n")
     # Families: documents of one text, called by the first one.
@@ -246,11 +257,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     families = scratch.write(texts.join(lows, "_sha").select(F.col("_doc").alias("member"), "family"), "families")
     of = lambda d, f: families.select(F.col("member").alias(d), F.col("family").alias(f))
     judged = held.join(of("_m1", "f1"), F.col("_doc") == F.col("_m1"), "left").join(of("_m2", "f2"), F.col("first_doc") == F.col("_m2"), "left")
-    judged = judged.join(within, (F.col("_doc") == F.col("_d")) & (F.col("class") == F.col("_c")) & same("more", "_e"), "left")
+    judged = judged.join(within.hint("merge"), (F.col("_doc") == F.col("_d")) & (F.col("class") == F.col("_c")) & same("more", "_e"), "left")
     gone = (F.col("no") > F.coalesce("first_no", F.lit(1 << 30))) | (F.coalesce("f1", "_doc") != F.coalesce("f2", "first_doc"))
     out = scratch.write(judged.where(gone).groupBy(F.col("_doc").alias("_of")).agg(F.sort_array(F.collect_set("no")).alias("_gone")), "gone")
     scratch.drop(held, families)
-    both = docs.join(out, F.col("_doc") == F.col("_of"), "left")
+    both = docs.join(out.hint("merge"), F.col("_doc") == F.col("_of"), "left")
     ends = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(F.split("_text", "\n", -1))))
     n_lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split("_text", "\n", -1)))
     both = both.withColumn("_ends", ends).withColumn("_parts", F.when(F.col("_gone").isNotNull(), F.split("_text", "\n", -1)))

@@ -166,3 +166,12 @@ def test_lines_of_one_hash(spark):
     rows = [(1, 10, "a line of some words 1", 22), (1, 11, "quite another line there", 24), (2, 12, "a line of some words 2", 22)]
     got = lines.near_lines(spark.createDataFrame(rows, "id long, more int, line string, n int"))
     assert sorted((r.node, r.more, r.root) for r in got.collect()) == [(1, 10, 1), (2, 12, 1)]
+
+
+def test_keys_of_the_same_lines_meet_once(spark):
+    """Lines that are alike nearly everywhere share many keys; their pairs are made once, and none is lost."""
+    rows = [(key, line, True) for key in range(20) for line in (1, 2, 3)] + [(30, 3, True), (30, 4, False), (31, 4, True), (31, 5, True), (31, 5, False)]
+    held = spark.createDataFrame(rows, "key long, id long, own boolean")
+    once = lines._once(held)
+    assert once.select("key").distinct().count() == 3
+    assert {tuple(r) for r in lines._in_pairs(once).collect()} == {(1, 2), (1, 3), (2, 3), (3, 4), (4, 5)} == {tuple(r) for r in lines._in_pairs(held).collect()}
