@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.sources.shared import written
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, with source_file."""
@@ -50,7 +52,7 @@ def read_payloads(df: DataFrame, payload: str, by: list[str], climb: str = "opti
     climb: "optional"; "required": payloads must have vz_m_s or a height to make it of (`missing_vz_m_s`), see align.with_climb."""
     key = [F.col(c) for c in by]
     text = F.col(payload)
-    whole = df.select(*key, F.coalesce(_given(text), F.lit(None).cast("variant")).alias("_v"), F.schema_of_variant(_given(text)).alias("_type"))
+    whole = df.select(*key, F.coalesce(_given(text), F.lit(None).cast("variant")).alias("_v")).withColumn("_type", F.schema_of_variant("_v"))
     whole = whole.withColumn("_list", F.coalesce(F.col("_type").startswith("ARRAY"), F.lit(False))).withColumn("_object", F.coalesce(F.col("_type").startswith("OBJECT"), F.lit(False)))
     items = F.try_variant_get("_v", "$", "array<variant>")
     fields = F.try_variant_get("_v", "$", "map<string, variant>")
@@ -67,7 +69,9 @@ def read_payloads(df: DataFrame, payload: str, by: list[str], climb: str = "opti
     reason = reason.when(F.col("_object") & ((F.size(sizes) > 1) | (F.element_at(sizes, 1) < 0)), "uneven_columns").when(F.col("_object") & (F.element_at(sizes, 1) == 0), "empty")
     if climb == "required":
         reason = reason.when(~F.arrays_overlap("_names", F.array(*map(F.lit, ["vz_m_s", *HEIGHTS]))), "missing_vz_m_s")
-    whole = whole.withColumn("_reason", reason)
+    # Written, so that a payload is parsed once: the conditions below would else hold all that they are worked out from, many times over.
+    whole = written(whole.select(*by, "_v", "_list", "_object", reason.alias("_reason")), "payloads").withColumn("_items", F.when(F.col("_list"), items)).withColumn("_fields", F.when(F.col("_object"), fields))
+    whole = whole.withColumn("_columns", F.transform_values("_fields", lambda _, v: F.try_variant_get(v, "$", "array<variant>")))
     bad = whole.where("_reason is not null").select(*by, F.lit(None).cast("int").alias("place"), F.col("_reason").alias("reason"))
     good = whole.where("_reason is null")
     wanted = [f.split()[0] for f in TELEMETRY.split(", ")] + ["relative_altitude_app_m"]

@@ -423,3 +423,11 @@ def test_written_tables_are_as_large_as_their_rows(spark):
     assert size >= 16 * 2_000_000
     other = rows.withColumnRenamed("v", "w").unionByName(spark.createDataFrame([(1, 2.0)], "k long, w double"))
     assert "BroadcastHashJoin" not in rows.join(other, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_are_parsed_once(spark):
+    """What is left out and what is read come from one table: conditions must not hold the parsing of the payload."""
+    docs = spark.createDataFrame([(1, '[{"unix_ns": 1, "latitude": 2, "longitude": 3}, {"unix_ns": 1}]'), (2, "{")], "run_id long, payload string")
+    rows, bad = readers.read_payloads(docs, "payload", ["run_id"])
+    assert "parse_json" not in bad._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in bad.collect()} == {(1, 1, "bad_latitude"), (2, None, "not_json")} and rows.count() == 1
