@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.sources.shared import shared_dir
+from ridgeline.sources.shared import shared_dir, small_batches  # noqa: F401  the latter is taken from here
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +56,6 @@ class Scratch:
                 self.paths.remove(own)
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Batches for Python workers hold at most so many bytes, where the session allows more: workers hold whole batches of texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).rstrip("b")
-    if not now.isdigit() or int(now) > most:
-        spark.conf.set(name, str(most))
-
-
 def byte_cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of about so many bytes; a larger row stands alone."""
     start = total = 0

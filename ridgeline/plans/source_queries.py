@@ -14,7 +14,11 @@ from ridgeline.plans import align
 from ridgeline.plans.queries import query, r6, track
 from ridgeline.plans.sql import TRACK
 from ridgeline.sources import archives, readers
-from ridgeline.sources.shared import new_folder
+from ridgeline.sources.shared import new_folder, small_batches
+
+
+#: Records of one file at most: a task holds a whole file, so longer recordings go on in further files.
+RECORDS = 100_000
 
 
 @query(f"WITH {TRACK} SELECT 'gps' AS kind, (unix_ns // 1000000) * 1000000 AS unix_ns, round(latitude,6) AS latitude, round(longitude,6) AS longitude, round(speed_m_s,6) AS speed_m_s, round(accuracy,6) AS horizontal_accuracy_m FROM track")
@@ -22,7 +26,7 @@ def member_files(spark, sf_dir):
     """A folder of CSV files, written by Spark, through the source of sensor members."""
     path = new_folder(spark, "members")
     rows = track(spark, sf_dir).select(F.expr("unix_ns div 1000000").alias("Timestamp"), F.col("latitude").alias("LAT"), F.col("longitude").alias("lng"), F.col("speed_m_s").alias("velocity"), F.col("accuracy").alias("h_acc"))
-    rows.repartitionByRange(8, "Timestamp").sortWithinPartitions("Timestamp").write.option("header", True).csv(path)
+    rows.repartitionByRange(8, "Timestamp").sortWithinPartitions("Timestamp").write.options(header=True, maxRecordsPerFile=RECORDS).csv(path)
     got = archives.read_members(spark, path)
     return got.select("kind", "unix_ns", r6("latitude"), r6("longitude"), r6("speed_m_s"), r6("horizontal_accuracy_m"))
 
@@ -44,6 +48,7 @@ def _zips(tables: DataFrame) -> DataFrame:
                 contents.append(data.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
 
+    small_batches(tables.sparkSession)
     return tables.mapInArrow(run, "path string, content binary")
 
 

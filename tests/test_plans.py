@@ -431,3 +431,17 @@ def test_payloads_are_parsed_once(spark):
     rows, bad = readers.read_payloads(docs, "payload", ["run_id"])
     assert "parse_json" not in bad._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in bad.collect()} == {(1, 1, "bad_latitude"), (2, None, "not_json")} and rows.count() == 1
+
+
+def test_long_recordings_go_on_in_further_files(spark, tmp_path, monkeypatch):
+    """A task holds a whole file, so files are bounded, and what is read from them stays the same."""
+    from ridgeline.plans import source_queries
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, source_queries.member_files(spark, sf).collect()))
+    monkeypatch.setattr(source_queries, "RECORDS", 20)
+    monkeypatch.setattr(source_queries, "new_folder", lambda _, what: str(tmp_path / what))
+    got = source_queries.member_files(spark, sf)
+    assert sorted(map(tuple, got.collect())) == want
+    files = list((tmp_path / "members").glob("*.csv"))
+    assert len(files) >= len(want) / 20 and max(len(f.read_text().splitlines()) for f in files) <= 21
