@@ -32,7 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles alike to 0.8 or more): that of the smallest id."""
+    """One document of each group of near-duplicates (5-word shingles alike to 0.8 or more): that of the smallest id.
+
+    SimHash proposes and the whole sets decide; an exact join finds what lies beyond SimHash's radius."""
     return similar.keep_one(docs.select(COLUMNS))
 
 

@@ -6,6 +6,9 @@ of SimHash differs in about one case of seven, so masks that cover the radius ha
 prefix filter does: in any one order of all shingles, two linked sets share one among the first n - ceil(0.8 n) + 1 of
 either. The order puts common shingles last (counted in a part of the texts, which moves cost and never results).
 
+So SimHash goes first, as in `simhash`: texts whose fingerprints are equal or within its radius are compared by their whole
+sets, and what that connects is not compared again; the prefix filter finds the rest.
+
 Equal sets are one node. Nodes that share a prefix shingle meet: under shingles of up to PAIRS nodes in pairs, which
 lengths, places and a bitmap of parities bound (a bit that differs stands for at least one shingle that one set alone
 has); under others first with two nodes of the group, and what that does not connect in blocks of about BLOCK hashes, of
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm import simhash
 from ridgeline.llm.common import Scratch, numbered
 from ridgeline.llm.graph import components
 from ridgeline.llm.simhash import _LOWER
@@ -194,8 +198,23 @@ def _rest_of_groups(members: DataFrame, ends: DataFrame, sets: DataFrame, near:
     return _union([scratch.write(shipped(i, parts).mapInArrow(_links, "u long, v long").distinct(), "links") for i in range(parts)])
 
 
+def _hash_pairs(rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs a, b of nodes that SimHash proposes: a node and the least one of its fingerprint, and the least ones of linked fingerprints."""
+    firsts = rows.join(nodes.select("sig", "low"), F.col("_doc") == F.col("low")).select("sig", "_text")
+    hashed = scratch.write(simhash.fingerprint(firsts, "_text", keep=["sig"]), "hashed")
+    lows = scratch.write(hashed.groupBy("simhash").agg(F.min("sig").alias("first")), "fingerprints")
+    named = lambda h, s: lows.select(F.col("simhash").alias(h), F.col("first").alias(s))
+    equal = hashed.join(named("_h", "a"), F.col("simhash") == F.col("_h")).select("a", F.col("sig").alias("b"))
+    linked = simhash.near_links(lows, "simhash").join(named("u", "a"), "u").join(named("v", "b"), "v").select("a", "b")
+    pairs = equal.unionByName(linked).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = scratch.write(pairs.distinct(), "hash-pairs")
+    scratch.drop(hashed, lows)
+    return out
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links u, v between nodes that connect all that alike pairs connect. nodes: sig, low (a _doc), n; prefixes: sig, n, keys."""
+    proposed = _hash_pairs(docs, nodes, scratch)
     marks = prefixes.select("sig", "n", F.posexplode("keys").alias("at", "key"))
     several = scratch.write(marks.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a < b").select(F.col("key").alias("_key")), "shared")
     held = scratch.write(marks.join(_sent(several), F.col("key") == F.col("_key")).select("key", "sig", "n", "at").distinct(), "held")
@@ -214,7 +233,8 @@ def near_links(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, scratch:
     groups = counts.where(F.col("m") > PAIRS).groupBy("m", "total", "who").agg(F.min("_key").alias("_key")).select("_key", "m")
     members = scratch.write(held.select("key", "sig", "n").distinct().join(groups, F.col("key") == F.col("_key")).select("key", "sig", "n", "m"), "members")
     scratch.drop(held, counts)
-    wanted = pairs.select(F.col("a").alias("_sig")).unionByName(pairs.select(F.col("b").alias("_sig"))).unionByName(members.select(F.col("sig").alias("_sig"))).distinct()
+    ends_of = [t.select(F.col(c).alias("_sig")) for t, c in ((pairs, "a"), (pairs, "b"), (proposed, "a"), (proposed, "b"), (members, "sig"))]
+    wanted = _union(ends_of).distinct()
     lows = scratch.write(nodes.join(wanted, F.col("sig") == F.col("_sig"), "left_semi").select("low"), "lows")
     sets = scratch.write(_sets(docs.join(_sent(lows), F.col("_doc") == F.col("low"), "left_semi"), "sig", lambda own: own), "sets")
     scratch.drop(lows)
@@ -232,10 +252,14 @@ def near_links(docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, scratch:
     largest = members.groupBy(F.col("sig").alias("_sig")).agg(F.max(F.struct("m", "key")).alias("_l")).select("_sig", F.col("_l.key").alias("_of"))
     star = largest.join(ends, F.col("_of") == F.col("_key")).select("_sig", F.explode(F.array("_low", "_high")).alias("_end")).where("_sig <> _end")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(star.select(F.least("_sig", "_end").alias("a"), F.greatest("_sig", "_end").alias("b"))).distinct()
-    near = alike(scratch.write(first, "first"))
+    # What SimHash connects needs no second comparison.
+    hashed = alike(proposed)
+    roots = scratch.write(components(hashed), "roots")
+    root = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    first = first.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    near = hashed.unionByName(alike(scratch.write(first, "first")))
     near = near.unionByName(_rest_of_groups(members, ends, sets, near, scratch))
     roots = scratch.write(components(near), "roots")
-    root = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
     left = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     rest = scratch.write(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest")

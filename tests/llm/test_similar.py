@@ -51,3 +51,15 @@ def test_stage_like_brute_force_jaccard(spark, monkeypatch, pairs, block):
     got = cp.near_dedup(spark, table, "").collect()
     assert {r.doc_id for r in got} == plain_kept(docs) and len(got) < len(docs)
     assert all(r.text == docs[r.doc_id] for r in got)
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    proposed, own = [], similar._hash_pairs
+    monkeypatch.setattr(similar, "_hash_pairs", lambda *a: proposed.append(own(*a).collect()) or own(*a))
+    # Repeated shingles outvote the rest of a fingerprint, but count once in a set: 0 and 1 have one fingerprint and are not alike.
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = ["a b c d e f g " * 40 + base, "a b c d e f g " * 40 + base.replace("w", "v"), base, base + " " + base, None]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_dedup(spark, table, "").collect()} == plain_kept(docs) == {0, 1, 4}
+    sig = {i: similar._sig(similar.shingle_set((t or "").encode())) for i, t in enumerate(docs)}
+    assert tuple(sorted((sig[0], sig[1]))) in {tuple(r) for r in proposed[0]}
