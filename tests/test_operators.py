@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import aggregates as A
+from ridgeline.operators import generators as G
 from ridgeline.operators import joins as J
 from ridgeline.operators import sequences as Q
+from ridgeline.plans.queries import QUERIES
 
 O = Q.Ordered("k", "t")  # noqa: E741
 
@@ -96,3 +98,17 @@ def test_floor_percentile_of_one_group_of_all_rows(spark):
     assert A.floor_percentiles(rows, ["k"], "v", {"at": 0.98}, 1000).collect()[0].at == own[math.floor(0.98 * len(own))]
     bound = A.symmetric_range(rows.withColumn("v", F.col("v") / 1e6), ["k"], "v").collect()[0]
     assert bound.high == 0.75 == -bound.low
+
+
+def test_clock_like_asof_on_a_grid_without_dealing_ticks(spark):
+    """Times that come twice, null times and values, one row, ticks on rows and half-way; the sorted table holds rows and no ticks."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(5), rng.randrange(400), rng.choice([None, rng.randrange(9)])) for _ in range(120)] + [(7, 5, 1), (0, None, 3), (8, -20, 2), (8, 15, 4)]
+    t = spark.createDataFrame(rows, "k int, t long, v int").repartition(3)
+    limits = t.where("t is not null").groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    for step, most in ((1, 3), (7, 7), (10, None), (1000, 5)):
+        got = J.asof_clock(t, ["k"], "t", ["v"], step, most)
+        want = J.asof(G.clock(limits, ["k"], "a", "b", step, "t"), t, ["k"], "t", ["v"], most)
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, want.collect()), key=lambda r: r[:2])
+    plan = QUERIES["master_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window"), "ticks come out of the sorted rows"
