@@ -112,3 +112,15 @@ def test_clock_like_asof_on_a_grid_without_dealing_ticks(spark):
         assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, want.collect()), key=lambda r: r[:2])
     plan = QUERIES["master_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Window"), "ticks come out of the sorted rows"
+
+
+def test_nearest_of_all_drops_cells_where_they_meet(spark):
+    """Rows and points over one square: what the joins give is near the number of rows, and nothing that is far is dealt again."""
+    rng = random.Random(5)
+    side = lambda name, n: spark.createDataFrame([(0, i, rng.random() * 100, rng.random() * 100) for i in range(n)], f"k int, {name} int, x double, y double")
+    a, b = side("ia", 300), side("ib", 300)
+    bounded = J._bounded(a.selectExpr("k", "ia", "x _ax", "y _ay"), b.selectExpr("k", "x _bx", "y _by"), ["k"], "ia", 2.0).collect()
+    points = [(r.x, r.y) for r in b.collect()]
+    least = {r.ia: min(math.dist((r._ax, r._ay), p) for p in points) for r in bounded}
+    assert len(bounded) == 300 and all(r._bound >= least[r.ia] * (1 - 1e-12) for r in bounded)
+    assert sum(math.dist((r._ax, r._ay), p) <= r._bound for r in bounded for p in points) < 300 * 20
