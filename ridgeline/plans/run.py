@@ -60,34 +60,35 @@ def level(rows: DataFrame, rate: str = "rate") -> DataFrame:
     return rows.withColumns(turned).drop("_first", "_n", "_gx", "_gy", "_gz", "_r")
 
 
-def _signals(own: pd.DataFrame) -> pd.DataFrame:
+def _signals(own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Altitude, climb and filtered motion of one run in time order."""
-    rate = float(own["rate"].iloc[0])
-    t = (own["unix_ns"].to_numpy() - own["unix_ns"].iloc[0]) * 1e-9
-    pressure, raw = own["altitude_corrected_m"].to_numpy(float), own["altitude_m"].to_numpy(float)
+    own, numbers = dict(own), lambda c: np.asarray(own[c], float)
+    rate, n = float(own["rate"][0]), len(own["rate"])
+    t = (own["unix_ns"] - own["unix_ns"][0]) * 1e-9
+    pressure, raw = numbers("altitude_corrected_m"), numbers("altitude_m")
     altitude = np.where(np.isfinite(pressure), pressure, raw)
-    gps = own["gps_altitude_m"].to_numpy(float)
-    residual = gps - pd.Series(altitude).ffill().bfill().to_numpy()
-    anchor = dsp.drift(residual, rate) if np.isfinite(gps).any() else np.zeros(len(t))
-    own["gps_wgs84_residual_m"] = residual if np.isfinite(gps).any() else np.nan
-    own["altitude_m"] = altitude + anchor
-    own["altitude_filt_m"] = dsp.low_pass(own["altitude_m"].to_numpy(), rate, 4.0, 2)
-    own["altitude_smooth_m"] = dsp.spline_gaps(t, dsp.smooth(own["altitude_filt_m"].to_numpy(), rate))
+    gps = numbers("gps_altitude_m")
+    measured = np.isfinite(gps).any()
+    residual = gps - pd.Series(altitude).ffill().bfill().to_numpy() if measured else np.full(n, np.nan)
+    own["gps_wgs84_residual_m"] = residual
+    own["altitude_m"] = altitude + (dsp.drift(residual, rate) if measured else np.zeros(n))
+    own["altitude_filt_m"] = dsp.low_pass(own["altitude_m"], rate, 4.0, 2)
+    own["altitude_smooth_m"] = dsp.spline_gaps(t, dsp.smooth(own["altitude_filt_m"], rate))
     climb = dsp.vertical_velocity(dsp.smooth(dsp.low_pass(raw, rate, 4.0, 2), rate), t)
     own["vz_m_s"] = dsp.smooth(climb, rate, 0.55, 2)
-    own["vz_smooth_m_s"] = dsp.smooth(dsp.low_pass(own["vz_m_s"].to_numpy(), rate, 0.5, 4), rate, 1.5, 2)
+    own["vz_smooth_m_s"] = dsp.smooth(dsp.low_pass(own["vz_m_s"], rate, 0.5, 4), rate, 1.5, 2)
     for name, (cutoff, order) in FILTERS.items():
         for a in "xyz":
-            own[f"{name}_{a}_filt"] = dsp.low_pass(own[f"{name}_{a}"].to_numpy(float), rate, cutoff, order)
-    total = np.sqrt(sum(own[f"total_acc_{a}"].to_numpy(float) ** 2 for a in "xyz")) / S.GRAVITY_M_S2
+            own[f"{name}_{a}_filt"] = dsp.low_pass(numbers(f"{name}_{a}"), rate, cutoff, order)
+    total = np.sqrt(sum(numbers(f"total_acc_{a}") ** 2 for a in "xyz")) / S.GRAVITY_M_S2
     own["mtb_raw_total_g"] = total
-    own["mtb_total_accel_g"] = np.sqrt(sum(own[f"total_acc_{a}_filt"].to_numpy(float) ** 2 for a in "xyz")) / S.GRAVITY_M_S2
+    own["mtb_total_accel_g"] = np.sqrt(sum(own[f"total_acc_{a}_filt"] ** 2 for a in "xyz")) / S.GRAVITY_M_S2
     own["flight_g"] = dsp.low_pass(np.where(np.isfinite(total), total, 1.0), rate, 10.0, 2)
     own["sustained_g"] = pd.Series(own["flight_g"]).rolling(max(1, round(0.1 * rate)), center=True, min_periods=1).mean().to_numpy()
     apart = max(1, int(0.06 * rate))
-    felt = np.where(own["speed_m_s"].to_numpy(float) > 0.5, own["sustained_g"].to_numpy(), 0.0)
-    hits = dsp.peaks(felt, features.LANDING_G, apart, 0.35, max(5, min(len(t) - 1, 3 * apart)))
-    own["landing_peak_g"] = float(felt[hits].max()) if len(hits) else 0.0
+    felt = np.where(numbers("speed_m_s") > 0.5, own["sustained_g"], 0.0)
+    hits = dsp.peaks(felt, features.LANDING_G, apart, 0.35, max(5, min(n - 1, 3 * apart)))
+    own["landing_peak_g"] = np.full(n, float(felt[hits].max()) if len(hits) else 0.0)
     return own
 
 
@@ -108,7 +109,7 @@ def process(rows: DataFrame, step_ns: int = STEP_NS) -> DataFrame:
     if "relative_altitude_app_m" in rows.columns:
         rows = rows.withColumn("sanity_pressure_minus_app_m", hypso - F.col("relative_altitude_app_m"))
     kept = [f"`{c}` {t}" for c, t in rows.dtypes]
-    rows = dsp.per_run(rows, "run_id", ["unix_ns"], _signals, ", ".join([*kept, *[f"{c} double" for c in _ADDED]]))
+    rows = dsp.per_run_arrays(rows, "run_id", ["unix_ns"], _signals, ", ".join([*kept, *[f"{c} double" for c in _ADDED]]))
     rows = Q.with_elapsed(Q.with_distance(rows, O), O).drop("step_m")
     still = F.percentile("gravity_x_filt", F.lit(0.5)).over(O.all)
     rows = rows.withColumn("mtb_lean_deg", S.lean_deg(F.col("gravity_x_filt"), F.col("gravity_z_filt"), still))

@@ -261,3 +261,41 @@ def test_gaussian_process_of_a_long_trail():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.abs(mean - y).max() < 0.05 and most < 300e6
+
+
+def test_short_runs_step_by_step_like_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 30, 700):
+        t, h, acc = np.cumsum(rng.uniform(0.01, 0.1, n)), rng.normal(size=n).cumsum(), rng.normal(size=n)
+        monkeypatch.setattr(dsp, "_ONE_BY_ONE", 2048)
+        one = dsp.fuse_vertical(t, h, acc, 25.0)
+        monkeypatch.setattr(dsp, "_ONE_BY_ONE", 1)
+        monkeypatch.setattr(dsp, "_fused_steps", None)
+        blocks = dsp.fuse_vertical(t, h, acc, 25.0)
+        monkeypatch.undo()
+        assert np.allclose(one, blocks, rtol=1e-9, atol=1e-9), n
+
+
+def test_series_are_warped_along_one_path(monkeypatch):
+    rng, found, own = np.random.default_rng(5), [], dsp.warping_path
+    base, other, third = rng.normal(size=(3, 60))
+    third[7] = np.nan
+    monkeypatch.setattr(dsp, "warping_path", lambda *a: found.append(own(*a)) or found[-1])
+    got = dsp.warp_all(base, other, [other, third])
+    assert len(found) == 1
+    for values, series in zip((other, third), got):
+        places = [[values[j] for i, j in found[0] if i == k] for k in range(60)]
+        assert np.array_equal(series, dsp.filled(np.array([np.median(p) if p else np.nan for p in places])))
+
+
+def test_runs_as_arrays_across_batches(spark):
+    """Runs longer than a batch, runs that end with one, a null key; a kernel that drops rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i, float(i * k)) for k, n in ((1, 7), (2, 20), (3, 1), (4, 14)) for i in range(n)] + [(None, 0, 1.0)]
+        df = spark.createDataFrame(rows, "k long, i long, y double").repartition(3)
+        kernel = lambda own: {"k": own["k"][::2], "i": own["i"][::2], "total": np.full(len(own["k"][::2]), own["y"].sum())}
+        got = {tuple(r) for r in dsp.per_run_arrays(df, "k", ["i"], kernel, "k long, i long, total double").collect()}
+        assert got == {(k, i, float(k * n * (n - 1) // 2)) for k, n in ((1, 7), (2, 20), (3, 1), (4, 14)) for i in range(0, n, 2)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
