@@ -124,3 +124,8 @@ def test_nearest_of_all_drops_cells_where_they_meet(spark):
     least = {r.ia: min(math.dist((r._ax, r._ay), p) for p in points) for r in bounded}
     assert len(bounded) == 300 and all(r._bound >= least[r.ia] * (1 - 1e-12) for r in bounded)
     assert sum(math.dist((r._ax, r._ay), p) <= r._bound for r in bounded for p in points) < 300 * 20
+
+
+def test_range_mean_is_not_put_into_few_parts(spark):
+    """What a small shuffle tells is no measure of the rows that come out of it: the parts stay as many as the session has."""
+    assert QUERIES["range_smooth"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
