@@ -175,3 +175,46 @@ def test_keys_of_the_same_lines_meet_once(spark):
     once = lines._once(held)
     assert once.select("key").distinct().count() == 3
     assert {tuple(r) for r in lines._in_pairs(once).collect()} == {(1, 2), (1, 3), (2, 3), (3, 4), (4, 5)} == {tuple(r) for r in lines._in_pairs(held).collect()}
+
+
+def near_pairs(texts, edits):
+    return [(i, j) for i, a in enumerate(texts) for j in range(i) if within(a, texts[j], edits)]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_lines_share_keys(spark, edits):
+    """Coarse keys, finer keys and the letters' bounds lose no near pair, of lines of all lengths; and a line has few coarse keys."""
+    rng = random.Random(edits)
+    base = ["".join(rng.choices("abc ", k=n)) for n in (6, 24, 31, 64, 130)]
+    texts = sorted({mutate(rng, b, rng.randrange(edits + 2)) for b in base for _ in range(16)} - {""})
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "id long, line string, n int")
+    near = near_pairs(texts, edits)
+    assert len(near) > 20
+    for keys in (lines.coarse_keys(rows, edits), *[lines._finer(rows, edits, parts) for parts in (6, 12) if edits < 3]):
+        held = [set() for _ in texts]
+        for r in keys.select("id", "key").collect():
+            held[r.id].add(r.key)
+        assert all(held[i] & held[j] for i, j in near)
+    assert lines.coarse_keys(rows, 2).where("n >= 64").groupBy("id").count().agg(F.avg("count")).first()[0] < 6  # before, 11
+    odd = {r.id: r for r in lines._letters(rows).collect()}
+    apart = lambda i, j, c: ((odd[i][c] ^ odd[j][c]) & (1 << 64) - 1).bit_count()
+    assert all(apart(i, j, "letters") <= 2 * edits and apart(i, j, "couples") <= 4 * edits for i, j in near)
+
+
+def test_copies_but_for_a_word_do_not_all_meet(spark, monkeypatch):
+    """Lines that share all keys but are not near: their pairs grow with the square of their number, and few are left to verify."""
+    rng = random.Random(4)
+    head, tail = ("".join(rng.choices("abcdefgh ", k=150)) for _ in range(2))
+    texts = sorted({head + "".join(rng.choices("klmnopqrstuvwxyz", k=9)) + tail for _ in range(60)} | {head + "klmnopqrs" + tail, head + "klmnopq" + tail})
+    met, verified = [], lines._verified
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    rows = spark.createDataFrame([(i, i, t, len(t)) for i, t in enumerate(texts)], "id long, more int, line string, n int")
+    found = {r.node: r.root for r in lines.near_lines(rows).collect()}
+    near = near_pairs(texts, 2)
+    assert near and all(found[i] == found[j] for i, j in near) and set(found) == {i for p in near for i in p}
+    assert sum(met) < 5 * len(texts)  # before, 62 * 61 / 2
