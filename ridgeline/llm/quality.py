@@ -34,7 +34,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,9 +171,9 @@ def train(counts: DataFrame) -> DataFrame:
 class Model:
     """One model's tables as sorted arrays."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, even: float | None = None):
         size, key, p, back = (rows.column(c).to_numpy() for c in ("size", "key", "p", "back"))
-        self.even, self.levels = float(p[size == 0].max(initial=0.0)), []
+        self.even, self.levels = float(p[size == 0].max(initial=0.0)) if even is None else even, []
         for n in range(1, ORDER + 1):
             level = []
             for own, value in (((size == n) & ~np.isnan(p), p), ((size == n) & ~np.isnan(back), back)):
@@ -202,9 +203,10 @@ class Model:
 class Scorer:
     """The good model, and the bad one if there is one."""
 
-    def __init__(self, rows: pa.Table):
-        own = [rows.filter(pc.equal(rows.column("model"), n)) for n in ("good", "bad")]
-        self.good, self.bad = (Model(t) if t.num_rows else None for t in own)
+    def __init__(self, rows: pa.Table, evens: dict[str, float] | None = None):
+        """evens: the even chances, where rows don't hold them."""
+        own = ((n, rows.filter(pc.equal(rows.column("model"), n)).drop_columns(["model"])) for n in ("good", "bad"))  # one at a time
+        self.good, self.bad = (Model(t, evens and evens[n]) if t.num_rows else None for n, t in own)
 
     @staticmethod
     def _upper(total: np.ndarray, cut: np.ndarray, width: int, mean: np.ndarray, rank: float) -> np.ndarray:
@@ -242,6 +244,16 @@ def _scored(batch: pa.RecordBatch, scorer: Scorer, first: int, names: list[str])
         yield pa.RecordBatch.from_arrays([*rows.columns[first:], *map(pa.array, scorer.score([t or "" for t in texts[a:b]]))], names)
 
 
+def _shared(spark: SparkSession, model: DataFrame) -> Broadcast:
+    """The scorer of a model, for all tasks. Its rows come to the driver no wider than the scorer keeps them, and Arrow gives back what they took there."""
+    narrow = model.where("size > 0").select("model", *[F.col(c).cast(kind).alias(c) for c, kind in (("size", "byte"), ("key", "long"), ("p", "float"), ("back", "float"))])
+    evens = {r.model: r.p for r in model.where("size = 0").select("model", "p").collect()}  # two rows
+    shared = spark.sparkContext.broadcast(Scorer(narrow.toArrow(), evens))
+    release(spark)
+    pa.default_memory_pool().release_unused()
+    return shared
+
+
 def score(docs: DataFrame, model: DataFrame, text: str = "text", whole: bool = False, most: int = MODEL_ROWS) -> DataFrame:
     """docs with the FIGURES; without the text, unless `whole`. Texts cross to Python and back once."""
     spark, others = docs.sparkSession, [c for c in docs.columns if c != text]
@@ -250,7 +262,7 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", whole: bool = F
     small_batches(spark)
 
     if model.count() <= most:
-        shared = spark.sparkContext.broadcast(Scorer(model.toArrow()))
+        shared = _shared(spark, model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

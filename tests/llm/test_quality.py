@@ -158,3 +158,20 @@ def test_edges(spark):
     assert q.classify(docs.limit(0), labels).collect() == []
     clash = docs.toDF("doc_id", "text", "lang", "perplexity").withColumn("_length", F.lit("x"))
     assert sorted(q.keep_good(clash, labels).collect(), key=str) == sorted(clash.collect(), key=str) and q.keep_good(clash, labels).columns == clash.columns
+
+
+def test_the_model_reaches_the_driver_narrow(spark, monkeypatch):
+    """At most 17 bytes a row and its model's name, where it took 28; and the scorer is that of the whole rows."""
+    seen = [("good", "the quick brown fox"), ("good", "a lazy dog sleeps"), ("bad", "zzz xx qq")]
+    model = q.train(q.count_ngrams(spark.createDataFrame(seen, "model string, text string"))).cache()
+    taken, made = [], q.Scorer.__init__
+
+    def looked(self, rows, *rest):
+        taken.append({f.name: f.type.bit_width for f in rows.schema if f.name != "model"})
+        made(self, rows, *rest)
+
+    want = q.Scorer(model.toArrow()).score(["the fox", "xx a dog", ""])
+    monkeypatch.setattr(q.Scorer, "__init__", looked)
+    out = q.score(spark.createDataFrame([("the fox",), ("xx a dog",), ("",)], "text string").coalesce(1), model, whole=True).collect()
+    assert sum(taken[0].values()) <= 17 * 8
+    assert [[r[f] for f in q.FIGURES] for r in out] == [list(map(float, x)) for x in zip(*want)]
